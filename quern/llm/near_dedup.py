@@ -108,10 +108,10 @@ def near_duplicates(
     Every text is hashed once into ``bands * band_rows`` bins (one permutation, optimal
     densification). Documents with the same set collapse into a class named by its
     smallest id, so groups of copies cost one row per band. In each bucket of a band all
-    classes are paired with two centres only, the smallest class and one drawn by hash:
-    pairs grow with the bucket, not its square. Pairs are confirmed on full sets. While a
-    round joins components, buckets that still hold several components get new centres,
-    paired with the members outside the centre's component, until a round adds nothing.
+    classes are paired with one centre only, the smallest class: pairs grow with the bucket,
+    not its square. Pairs are confirmed on full sets. Then buckets that still hold several
+    components get two centres drawn by hash, paired with the members outside the centre's
+    component, again and again until a round adds no link.
 
     Misses: two linked documents meet in no bucket with probability (1 - J**4)**32, at most
     6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``).
@@ -139,10 +139,10 @@ def near_duplicates(
     parts = buckets.select("rep").distinct().withColumn("component", F.col("rep"))
     for round_ in range(max_rounds):
         named = buckets.join(parts, "rep") if round_ else buckets.withColumn("component", F.col("rep"))
-        drawn = F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(round_)).alias("h"), "rep", "component"))
-        first = F.min(F.struct(F.col("rep").alias("h"), "rep", "component"))
-        centres = named.groupBy("bucket").agg(first.alias("x"), drawn.alias("y"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        centres = centres.where("lo < hi").select("bucket", F.explode(F.array("x", "y") if not round_ else F.array("y")).alias("c"))
+        drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
+        drawn = [F.min(F.struct(h.alias("h"), "rep", "component")).alias(f"x{k}") for k, h in enumerate(drawn)]
+        centres = named.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
+        centres = centres.where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
         pairs = named.join(centres, "bucket").where("rep <> c.rep AND component <> c.component")
         pairs = pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
         if tested is not None:
@@ -152,7 +152,7 @@ def near_duplicates(
         new = checkpointed(pairs.mapInArrow(_confirm(words, percent), "a long, b long, linked boolean"))
         found = new.where("linked").select("a", "b")
         tested = new if tested is None else tested.unionByName(new)
-        if found.isEmpty():
+        if round_ and found.isEmpty():
             break
         linked = found if linked is None else linked.unionByName(found)
         found_parts = connected_components(linked)
