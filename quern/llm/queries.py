@@ -4,14 +4,38 @@ from __future__ import annotations
 
 from quern.llm.common import table
 from quern.llm.near_dedup import near_duplicates
+from quern.llm.packing import best_fit_packing
+from quern.llm.quality import quality_rules
+from quern.llm.secrets import report, secret_ledger
+from quern.llm.sharding import uniform_shards
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_robust_quality(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_hypergeometric_shards(spark, sf_dir):
+    return uniform_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_residual_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_ledger(spark, sf_dir):
+    return report(secret_ledger(table(spark, sf_dir, "documents"))[0])
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_robust_quality": op5_robust_quality,
+    "op6_hypergeometric_shards": op6_hypergeometric_shards,
+    "op7_residual_packing": op7_residual_packing,
+    "op10_secret_ledger": op10_secret_ledger,
 }
 
 ORACLE_SQL: dict[str, str] = {}
