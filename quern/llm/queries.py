@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from quern.llm.common import table
+from quern.llm.langid import identify_languages
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules
 from quern.llm.secrets import report, secret_ledger
 from quern.llm.sharding import uniform_shards
+from quern.llm.urls import PATTERN_RULES, SITE_RULES, filter_urls
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_compression_langid(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_robust_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -26,16 +32,44 @@ def op7_residual_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op9_rarest_token_urls(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_ledger(spark, sf_dir):
     return report(secret_ledger(table(spark, sf_dir, "documents"))[0])
 
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_compression_langid": op2_compression_langid,
     "op5_robust_quality": op5_robust_quality,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_residual_packing": op7_residual_packing,
+    "op9_rarest_token_urls": op9_rarest_token_urls,
     "op10_secret_ledger": op10_secret_ledger,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _url_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sites = sorted(SITE_RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in sites]
+    hits = [f"regexp_matches(lower(url), '{p}')" for p, _ in PATTERN_RULES]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, sites))
+    site = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, sites))
+    hit = " ".join(f"WHEN {h} THEN '{p}'" for h, (p, _) in zip(hits, PATTERN_RULES))
+    return f"""
+        WITH split AS (
+            SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{upper}', '{upper.lower()}') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), ruled AS (SELECT *, CASE {rule} END AS rule, CASE {site} END AS site, CASE {hit} END AS hit FROM split)
+        SELECT page_id, host, path, rule, coalesce(site, CASE WHEN hit IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+               CASE WHEN rule IS NULL THEN hit END AS pattern
+        FROM ruled
+    """
+
+
+ORACLE_SQL: dict[str, str] = {"op9_rarest_token_urls": _url_sql()}
