@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from quern.llm.common import table
 from quern.llm.langid import identify_languages
+from quern.llm.mixing import mixing_plan
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules
 from quern.llm.secrets import report, secret_ledger
 from quern.llm.sharding import uniform_shards
+from quern.llm.topk import exact_top_k
 from quern.llm.urls import PATTERN_RULES, SITE_RULES, filter_urls
 
 
@@ -20,6 +22,10 @@ def op2_compression_langid(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_mtree_top_k(spark, sf_dir):
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_robust_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op7_residual_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_temperature_mix(spark, sf_dir):
+    return mixing_plan(table(spark, sf_dir, "documents"))
+
+
 def op9_rarest_token_urls(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -43,9 +53,11 @@ def op10_secret_ledger(spark, sf_dir):
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_compression_langid": op2_compression_langid,
+    "op3_mtree_top_k": op3_mtree_top_k,
     "op5_robust_quality": op5_robust_quality,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_residual_packing": op7_residual_packing,
+    "op8_temperature_mix": op8_temperature_mix,
     "op9_rarest_token_urls": op9_rarest_token_urls,
     "op10_secret_ledger": op10_secret_ledger,
 }
