@@ -8,6 +8,7 @@ from quern.llm.mixing import mixing_plan
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules
+from quern.llm.repeats import remove_repeats
 from quern.llm.secrets import report, secret_ledger
 from quern.llm.sharding import uniform_shards
 from quern.llm.topk import exact_top_k
@@ -26,6 +27,10 @@ def op3_mtree_top_k(spark, sf_dir):
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_repeated_bytes(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_robust_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_compression_langid": op2_compression_langid,
     "op3_mtree_top_k": op3_mtree_top_k,
+    "op4_repeated_bytes": op4_repeated_bytes,
     "op5_robust_quality": op5_robust_quality,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_residual_packing": op7_residual_packing,
