@@ -222,12 +222,10 @@ def _strings(buckets: int, least: int):
             raw, seen, keep = data.tobytes(), {}, []
             for i, a, b, c, d in zip(order.tolist(), q0[order].tolist(), (q1[order] + least).tolist(), p[order].tolist(), doc[order].tolist()):
                 content = (raw[a:b], c - a)
-                had = seen.get(content)
-                if had is None:
-                    seen[content] = ids[d]
-                    keep.append(i)
-                elif had < ids[d]:
+                if seen.setdefault(content, ids[d]) < ids[d]:
                     done.append((d, a - offsets[d], b - offsets[d]))
+                else:
+                    keep.append(i)
             del seen
             keep = np.array(keep, np.int64)
             keep = keep[np.argsort(bucket[keep], kind="stable")]
