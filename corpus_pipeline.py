@@ -1,8 +1,78 @@
-"""The corpus pipeline: quality rules, near-dedup, secret scan, source mixing, packing."""
+"""The corpus pipeline: quality rules, near-dedup, secret scan, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of ``documents``. No stage has SQL, as robust estimates, MinHash and packing have none; the
+tests hold each against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.common import checkpointed, table
+from quern.llm.mixing import mix_sources
+from quern.llm.near_dedup import near_duplicates
+from quern.llm.packing import best_fit_packing
+from quern.llm.quality import quality_rules
+from quern.llm.secrets import redact, secret_ledger
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("STAGES is empty")
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The documents that ``judged`` keeps; only ids of the others move to meet the texts, and null ids stay."""
+    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie far from their (language, source) go."""
+    return _without(docs, quality_rules(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    return _without(docs, near_duplicates(docs))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text becomes ``[SECRET]`` and ``n_chars`` follows; no document goes."""
+    _, ledger = secret_ledger(docs)
+    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans"))
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hit_key"))
+    joined = named.join(hits, F.col("hit_key") == F.col("hit_blob"), "left")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    text = redact(F.col("doc.text"), F.coalesce("hit_spans", none))
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    found = joined.select(*kept, text.alias("text"), F.col("doc.n_chars").alias("old_chars"), F.col("hit_blob").isNotNull().alias("changed"))
+    chars = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("old_chars"))
+    return found.withColumn("n_chars", chars).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at tempered weights: every document at least once, those of small sources up to 1.5 times on average."""
+    return mix_sources(docs, repetitions=1.5).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return best_fit_packing(docs)
+
+
+STAGES = [
+    ("quality rules", drop_low_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("secret scan", mask_secrets),
+    ("source mixing", mix),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpointed(docs)
+    return docs
