@@ -24,8 +24,8 @@ _NO_ID = (1 << 63) - 1
 GRAM = 26
 
 
-def _zip(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+def _zip(array: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(array).tobytes())
 
 
 def _unzip(raw: bytes, dtype) -> np.ndarray:
@@ -239,11 +239,11 @@ def _strings(buckets: int, least: int):
                 out.setdefault(int(k), []).append((rows, text))
         columns = [[], [], [], [], []]
         spans = np.array(done, _SPAN) if done else np.zeros(0, _SPAN)
-        home = number % buckets
+        home = int(mix64(np.array([number], np.uint64))[0] % np.uint64(buckets))
         for k in sorted(out.keys() | ({home} if done else set())):
             rows = np.concatenate([r for r, _ in out[k]]) if k in out else np.zeros(0, _STRING)
             text = np.frombuffer(b"".join(t for _, t in out.get(k, ())), np.uint8)
-            for column, value in zip(columns, (k, number, _zip(rows), _zip(text), _zip(spans) if k == home else None)):
+            for column, value in zip(columns, (k, number, _zip(rows), _zip(text, 3), _zip(spans) if k == home else None)):
                 column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
 
