@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """A parquet table as a stream of its files."""
+    """A parquet table, one file or a folder of files, as a stream of its files (the glob allows for both)."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
