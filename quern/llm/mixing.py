@@ -58,7 +58,7 @@ def bisect_exponent(tokens: dict, entropy: float = 0.95, repetitions: float = 2.
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = 0.95, repetitions: float = 2.0, budget: float | None = None, block_rows: int = 1_000, seed: int = 29
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = 0.95, repetitions: float = 2.0, budget: float | None = None, block_rows: int = 1_000, seed: int = 29, copy_col: str | None = "mix_copy"
 ) -> DataFrame:
     """The rows of ``docs``, repeated or left out so that each source supplies its tempered share of the token budget.
 
@@ -72,13 +72,13 @@ def mix_sources(
     repeated rows are rows; an empty table gives an empty result. The columns of ``docs`` stay as they are, also those
     named like the operator's own.
 
-    Returns the columns of ``docs`` and ``mix_copy`` (int, from 0).
+    Returns the columns of ``docs`` and, if named, ``copy_col`` (int, from 0).
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    text = F.coalesce(F.col(f"doc.`{text_col}`").cast("string"), F.lit(""))
-    source = F.coalesce(F.concat(F.lit("="), F.col(f"doc.`{source_col}`").cast("string")), F.lit(""))
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(f"doc.`{id_col}`").cast("string"), F.lit("")), F.crc32(text))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole_row"))
+    text = F.coalesce(F.col(f"_whole_row.`{text_col}`").cast("string"), F.lit(""))
+    source = F.coalesce(F.concat(F.lit("="), F.col(f"_whole_row.`{source_col}`").cast("string")), F.lit(""))
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(f"_whole_row.`{id_col}`").cast("string"), F.lit("")), F.crc32(text))
     tokens = F.greatest(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(1)).cast("long")
     slim = checkpointed(keyed.select(source.alias("s"), key.alias("k"), tokens.alias("t")))
     totals = {r["s"]: (r["t"], r["n"]) for r in slim.groupBy("s").agg(F.sum("t").alias("t"), F.count("*").alias("n")).collect()}
@@ -100,8 +100,9 @@ def mix_sources(
     copies = F.col("full") + (F.col("before") + F.col("inside") < F.col("rest")).cast("int")
     chosen = placed.select(F.col("k").alias("chosen_k"), F.col("s").alias("chosen_s"), copies.alias("copies")).where("copies > 0")
     joined = keyed.withColumns({"k": key, "s": source}).join(chosen, (F.col("k") == F.col("chosen_k")) & (F.col("s") == F.col("chosen_s")))
-    out = joined.select("doc", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("mix_copy"))
-    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns], "mix_copy")
+    out = joined.select("_whole_row", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_copy"))
+    own = [F.col(f"_whole_row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*own, *([F.col("_copy").alias(copy_col)] if copy_col else []))
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:

@@ -162,5 +162,5 @@ def near_duplicates(
         labels = labels.join(found_parts, labels.rep == F.col("node"), "left")
     else:
         labels = labels.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return labels.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
