@@ -40,19 +40,19 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every secret in a text becomes ``[SECRET]`` and ``n_chars`` follows; no document goes."""
     _, ledger = secret_ledger(docs)
     hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans"))
-    named = docs.select(F.struct(*docs.columns).alias("doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hit_key"))
+    named = docs.select(F.struct(*docs.columns).alias("_whole_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hit_key"))
     joined = named.join(hits, F.col("hit_key") == F.col("hit_blob"), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    text = redact(F.col("doc.text"), F.coalesce("hit_spans", none))
-    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
-    found = joined.select(*kept, text.alias("text"), F.col("doc.n_chars").alias("old_chars"), F.col("hit_blob").isNotNull().alias("changed"))
+    text = redact(F.col("_whole_row.text"), F.coalesce("hit_spans", none))
+    kept = [F.col(f"_whole_row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    found = joined.select(*kept, text.alias("text"), F.col("_whole_row.n_chars").alias("old_chars"), F.col("hit_blob").isNotNull().alias("changed"))
     chars = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("old_chars"))
     return found.withColumn("n_chars", chars).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at tempered weights: every document at least once, those of small sources up to 1.5 times on average."""
-    return mix_sources(docs, repetitions=1.5).select(docs.columns)
+    return mix_sources(docs, repetitions=1.5, copy_col=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
