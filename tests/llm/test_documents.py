@@ -1,0 +1,274 @@
+"""Document operators against brute force, on rows with nulls, blanks, copies, ties, repeats and clashing columns."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from quern.llm.langid import identify_languages
+from quern.llm.mixing import bisect_exponent, mix_sources
+from quern.llm.near_dedup import near_duplicates, one_permutation_signatures
+from quern.llm.packing import best_fit, best_fit_packing, pack_pieces, tokenizer_path
+from quern.llm.quality import quality_rules
+from quern.llm.repeats import remove_repeats
+from quern.llm.secrets import report, secret_ledger
+from quern.llm.sharding import communication_matrix, uniform_shards
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text):
+    w = [x for x in (text or "").encode().lower().split()]
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def components(rows, percent=75):
+    sets = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            sets[i] = shingles(t)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}, sets
+
+
+def test_near_duplicates_match_brute_force(docs, rows):
+    want, sets = components(rows)
+    got = near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_near_duplicates_follow_chains(frame):
+    words = [f"w{i}" for i in range(300)]
+    chain = []
+    for step in range(6):
+        own = list(words)
+        for k in range(step):
+            own[40 * k + 10] = own[40 * k + 22] = own[40 * k + 34] = f"x{k}"
+        chain.append((100 - step, " ".join(own), "en", "web"))
+    want, _ = components(chain)
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(chain)).collect()} == want
+
+
+def test_densification_fills_every_bin_with_values_of_the_set():
+    sets = [np.array([5, 1 << 58, 1 << 63], np.uint64), np.zeros(0, np.uint64)]
+    sig = one_permutation_signatures(sets, 128)
+    assert set(sig[0].tolist()) == set(sets[0].tolist()) and not sig[1].any()
+
+
+def test_repeats_match_brute_force(docs, rows):
+    first = {}
+    for i, t, *_ in sorted(rows, key=lambda r: math.inf if r[0] is None else r[0]):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], math.inf if i is None else i)
+    want = Counter()
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < (math.inf if i is None else i):
+                gone[k : k + 50] = b"\1" * 50
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        want[(i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())] += 1
+    for hot, size in ((500, 8 << 20), (2, 20_000)):
+        assert Counter(map(tuple, remove_repeats(docs, digest=True, hot=hot, slice_bytes=size).collect())) == want
+
+
+def test_repeats_give_the_remaining_text(docs):
+    kept = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs).where("doc_id IN (0, 60, 73)").collect()}
+    assert kept[60] == b"" and kept[73] == b"one two" and len(kept[0]) > 100
+
+
+def statistics(text):
+    w = WORD.findall(text or "")
+    tri = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    n = Counter(tri)
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len({k + j for k, g in enumerate(tri) if n[g] > 1 for j in range(3)}))
+
+
+def test_quality_statistics_and_base_rules(docs, rows):
+    got = quality_rules(docs).collect()
+    want = Counter()
+    for i, t, *_ in rows:
+        s = statistics(t)
+        want[(i, *s, s[0] < 50 or 100 * s[4] > 50 * s[0])] += 1
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    assert not any(r.kept for r in got if r.base_failed)
+
+
+def test_quality_rejects_planted_outliers_only(frame):
+    import random
+
+    from conftest import prose
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randint(80, 400)), "en", "web") for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "$$$###" for w in prose(rng, 150).split()), "en", "web") for i in range(15)]
+    kept = {r.doc_id for r in quality_rules(frame(rows)).collect() if r.kept}
+    assert kept == set(range(300))
+
+
+def spans(text):
+    rules = [
+        ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 12),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+    ]
+    return [sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(rules) for m in re.finditer(p, text or "") if ok(m)), rules]
+
+
+def test_secret_spans_match_regular_expressions(docs, rows):
+    want = Counter()
+    for i, t, *_ in rows:
+        found, rules = spans(t)
+        text = ",".join(f"{rules[k][0]}:{a}:{b}" for a, k, b in found)
+        want[(i, *[sum(s[1] == k for s in found) for k in range(3)], hashlib.sha256(text.encode()).hexdigest())] += 1
+    got = report(secret_ledger(docs)[0]).collect()
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+
+
+def test_secret_ledger_scans_only_what_it_has_not_seen(docs, spark):
+    from pyspark.sql import functions as F
+
+    first, ledger = secret_ledger(docs)
+    marked = ledger.withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind"), F.lit(1).alias("end"))))
+    again, full = secret_ledger(docs, marked)
+    assert full.count() == ledger.count() and again.where("size(spans) <> 1").isEmpty()
+    fresh, both = secret_ledger(docs, marked, rule_version="other")
+    assert both.count() == 2 * ledger.count() and sorted(map(str, fresh.collect())) == sorted(map(str, first.collect()))
+
+
+def test_shards_are_exact_and_gapless(docs, rows):
+    for block in (None, 7):
+        got = uniform_shards(docs, block_rows=block).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+        by = {}
+        for r in got:
+            by.setdefault(r.shard, []).append(r.slot)
+        counts = [len(by.get(s, [])) for s in range(24)]
+        assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+        assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+
+
+def test_communication_matrix_has_its_margins_and_law():
+    sources, targets = np.array([30, 0, 50, 20]), np.array([40, 35, 25])
+    rng = np.random.default_rng(1)
+    draws = np.array([communication_matrix(sources, targets, rng) for _ in range(2000)])
+    assert (draws.sum(axis=2) == sources).all() and (draws.sum(axis=1) == targets).all()
+    assert np.allclose(draws.mean(axis=0), np.outer(sources, targets) / 100, atol=0.25)
+    n, good, bad = 1000, 2 * 10**9, 3 * 10**9
+    from quern.llm.sharding import _hypergeometric
+
+    big = [_hypergeometric(rng, good, bad, n) for _ in range(400)]
+    assert abs(np.mean(big) - 400) < 4 and abs(np.var(big) - 240) < 75
+
+
+def test_packing_tokens_and_layout(docs, rows):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[(i, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    got = best_fit_packing(docs).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    full = {}
+    for r in got:
+        full.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in full.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(np.cumsum([0] + [n for _, n in parts])[:-1]) and sum(n for _, n in parts) <= 2048
+
+
+def test_packing_tree_reaches_the_bound(spark):
+    rng = np.random.default_rng(3)
+    items = [(i, int(n)) for i, n in enumerate(rng.integers(1, 900, 4000))]
+    placed = pack_pieces(spark.createDataFrame(items, "item long, length long"), 2048, group_rows=150, fan_in=4)
+    got = placed.collect()
+    length, fill = dict(items), Counter()
+    assert len(got) == len(items)
+    for r in got:
+        fill[r.sequence_id] += length[r.item]
+    assert max(fill.values()) <= 2048 and len(fill) <= 1.01 * math.ceil(sum(length.values()) / 2048)
+
+
+def test_best_fit_takes_the_fullest_bin():
+    bins, offsets, fills = best_fit([7, 5, 3, 3, 2], 10)
+    assert fills == [10, 10] and bins == [0, 1, 0, 1, 1] and offsets == [0, 0, 7, 5, 8]
+
+
+def test_mixing_meets_weights_and_keeps_everything(docs, rows):
+    got = mix_sources(docs, entropy=0.99, repetitions=4.0, block_rows=5)
+    assert got.columns == [*docs.columns, "mix_copy"]
+    slim = got.select("doc_id", "text", "source").collect()
+    assert {(r.doc_id, r.text) for r in slim} == {(i, t) for i, t, *_ in rows}
+    tokens = Counter()
+    for i, t, _, s in rows:
+        tokens[s] += max(1, len(WORD.findall(t or "")))
+    alpha, weights, size = bisect_exponent(tokens, 0.99, 4.0)
+    out = Counter()
+    for r in slim:
+        out[r.source] += max(1, len(WORD.findall(r.text or "")))
+    longest = max(len(WORD.findall(t or "")) for _, t, *_ in rows)
+    for s, w in weights.items():
+        assert size * w - 1 <= out[s] <= size * w + longest
+
+
+def test_exponent_obeys_entropy_then_repetition():
+    tokens = {"a": 900, "b": 50, "c": 50}
+    alpha, w, _ = bisect_exponent(tokens, entropy=0.9, repetitions=100)
+    assert abs(-sum(x * math.log(x) for x in w.values()) - 0.9 * math.log(3)) < 1e-6 and 0 < alpha < 1
+    _, w, size = bisect_exponent(tokens, entropy=0.9, repetitions=2.0)
+    assert abs(max(size * w[s] / tokens[s] for s in tokens) - 2.0) < 1e-6
+    assert bisect_exponent({}, 0.9, 2.0) == (1.0, {}, 0.0)
+
+
+def test_languages_of_held_out_rows(frame):
+    import random
+
+    rng = random.Random(9)
+    tongues = {"aa": "kor lum net pis".split(), "bb": "ash eth ing oul".split(), "cc": "zür öhm äbe ück".split()}
+    rows = [(i, " ".join("".join(rng.choice(tongues[x]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(4, 80))), x, "web") for i in range(600) for x in [rng.choice(sorted(tongues))]]
+    rows += [(900, None, "aa", "web"), (901, "123 !?", "aa", "web"), (902, "", None, "web"), (None, "kor lum", None, "web")]
+    got = identify_languages(frame(rows)).collect()
+    by = {r.doc_id: r for r in got}
+    for i in (900, 901, 902):
+        assert (by[i].lang_pred, by[i].score, by[i].accepted) == ("und", 0.0, False)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [(by[i].lang_pred, x) for i, _, x, _ in rows[:600] if by[i].held_out]
+    assert len(held) > 100 and sum(a == b for a, b in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_empty_tables(empty):
+    assert near_duplicates(empty).count() == 0
+    assert remove_repeats(empty).count() == 0
+    assert quality_rules(empty).count() == 0
+    assert uniform_shards(empty).count() == 0
+    assert best_fit_packing(empty).count() == 0
+    assert mix_sources(empty).count() == 0
+    assert identify_languages(empty).count() == 0
+    assert report(secret_ledger(empty)[0]).count() == 0

@@ -1,0 +1,51 @@
+"""The pipeline's stages: what each decides takes effect, and the columns of documents pass through."""
+
+from collections import Counter
+
+import corpus_pipeline as pipeline
+from quern.llm.secrets import secret_ledger
+from test_documents import components
+
+
+def test_stages_in_order():
+    assert [name for name, _ in pipeline.STAGES] == ["quality rules", "near-duplicates", "secret scan", "source mixing", "packing"]
+
+
+def test_quality_stage_drops_failures(docs, spark):
+    kept = pipeline.drop_low_quality(spark, docs, "")
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert kept.columns == docs.columns and set(range(60)) <= ids and not ids & {70, 71, 72, 73, 74, 76, 80}
+
+
+def test_near_duplicate_stage_keeps_one_of_each(docs, rows, spark):
+    kept = pipeline.drop_near_duplicates(spark, docs, "")
+    want = {i for i, c in components(rows)[0].items() if i == c} | {None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == want
+
+
+def test_secret_stage_masks_and_keeps(docs, rows, spark):
+    out = pipeline.mask_secrets(spark, docs, "")
+    assert out.columns == docs.columns
+    texts = {r.doc_id: (r.text, r.n_chars) for r in out.select("doc_id", "text", "n_chars").collect() if r.doc_id is not None}
+    assert out.count() == len(rows) and texts[78][0] == "[SECRET]' and [SECRET] or [SECRET]" and texts[78][1] == len(texts[78][0])
+    same = {i: t for i, t, *_ in rows if i is not None and i not in (78, 79)}
+    assert all(texts[i][0] == t for i, t in same.items())
+    hits = secret_ledger(out)[0].where("size(spans) > 0 AND doc_id = 78")
+    assert hits.isEmpty()
+
+
+def test_mixing_stage_keeps_every_document(docs, rows, spark):
+    out = pipeline.mix(spark, docs, "").select("doc_id", "text").collect()
+    have = Counter(map(tuple, out))
+    assert all(have[k] >= n for k, n in Counter((i, t) for i, t, *_ in rows).items())
+
+
+def test_run_packs_what_the_stages_keep(spark, tmp_path, frame, rows):
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} >= set(range(10, 40)) and not {r.doc_id for r in packed} & {60, 61, 70, 71, 74}
+
+
+def test_empty_documents(spark, tmp_path, empty):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
