@@ -32,8 +32,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def right_sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """Merge a small table's partitions so that a task has about ``per_task`` rows; loops over shrinking tables stay cheap."""
+    return df.coalesce(max(1, -(-rows // per_task)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, checkpointed, mix64, text_slices, word_hashes, word_spans
+from quern.llm.common import LOWER, checkpointed, mix64, right_sized, text_slices, word_hashes, word_spans
 from quern.llm.components import connected_components
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -132,35 +132,35 @@ def near_duplicates(
     rows = labelled.where("doc_id = rep").select(F.explode("bands").alias("bucket"), "rep")
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
     buckets = checkpointed(rows.join(shared, "bucket"))
-    members = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    pool = checkpointed(texts.join(members, "doc_id"))
-
-    tested = linked = None
-    parts = buckets.select("rep").distinct().withColumn("component", F.col("rep"))
+    n_rows = buckets.count()
+    sized = lambda df: right_sized(df, n_rows)
+    with_text = lambda df: right_sized(df, n_rows, 10_000)
+    buckets = sized(buckets)
+    members = sized(buckets.select("rep").distinct())
+    pool = with_text(checkpointed(texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")))
+
+    tested = linked = found_parts = None
+    named = buckets.withColumn("component", F.col("rep"))
     for round_ in range(max_rounds):
-        named = buckets.join(parts, "rep") if round_ else buckets.withColumn("component", F.col("rep"))
         drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
         drawn = [F.min(F.struct(h.alias("h"), "rep", "component")).alias(f"x{k}") for k, h in enumerate(drawn)]
         centres = named.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
-        centres = centres.where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
-        pairs = named.join(centres, "bucket").where("rep <> c.rep AND component <> c.component")
-        pairs = pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        centres = sized(centres).where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
+        pairs = sized(named.join(centres, "bucket")).where("rep <> c.rep AND component <> c.component")
+        pairs = sized(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct())
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = pairs.join(pool.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+            pairs = sized(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        pairs = with_text(pairs.join(pool.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"))
         pairs = pairs.join(pool.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        new = checkpointed(pairs.mapInArrow(_confirm(words, percent), "a long, b long, linked boolean"))
+        new = sized(checkpointed(with_text(pairs).mapInArrow(_confirm(words, percent), "a long, b long, linked boolean")))
         found = new.where("linked").select("a", "b")
         tested = new if tested is None else tested.unionByName(new)
         if round_ and found.isEmpty():
             break
         linked = found if linked is None else linked.unionByName(found)
         found_parts = connected_components(linked)
-        parts = buckets.select("rep").distinct().join(found_parts, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+        named = sized(buckets.join(sized(found_parts), F.col("rep") == F.col("node"), "left")).select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     labels = labelled.drop("bands")
-    if linked is not None:
-        labels = labels.join(found_parts, labels.rep == F.col("node"), "left")
-    else:
-        labels = labels.withColumn("component", F.lit(None).cast("long"))
+    labels = labels.join(found_parts, labels.rep == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return labels.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
