@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Alternatives of the pre-tokeniser, in order (special tokens, contractions, letters, one digit, other).
 PRETOKEN = r"(?i)<start_of_text>|<end_of_text>|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -32,7 +33,7 @@ def pretokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(collapse_ws(c)), F.lit(PRETOKEN), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_twice(s: pd.Series) -> pd.Series:
     """HTML entities resolved twice, as captions are often escaped twice."""
     return s.map(lambda x: None if x is None else html.unescape(html.unescape(x)).strip())
