@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quern.plans import load
@@ -23,7 +24,7 @@ def duck():
 
 def canonical(df):
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.6f}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 
