@@ -97,3 +97,54 @@ def triplets(rows: DataFrame, key: str, vector: str, tag: str, block_rows: int =
     found = anchors.join(positive, F.col("anchor_id") == F.col("_p"), "left").join(negative, F.col("anchor_id") == F.col("_n"), "left")
     status = F.when(F.col("positive_id").isNull(), "no_positive").when(F.col("negative_id").isNull(), "no_hard_negative").otherwise("ok")
     return found.select("anchor_id", "label", "positive_id", "positive_value", "negative_id", "negative_value", status.alias("status"))
+
+
+def _pair_sums(tau: float):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = row["a"], row["b"]
+                x, y = (np.array([r["v"] for r in side], float) for side in (a, b))
+                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+                sim = x @ y.T
+                ids, tags = np.array([r["id"] for r in b]), np.array([r["tag"] for r in b], object)
+                own = np.array([r["id"] for r in a])
+                other = own[:, None] != ids[None]
+                same = other & (np.array([r["tag"] for r in a], object)[:, None] == tags[None])
+                mass = (np.exp((sim - 1) / tau) * other).sum(axis=1)
+                columns = [pa.array(own, pa.int64()), pa.array(mass), pa.array((sim * same).sum(axis=1)), pa.array(same.sum(axis=1), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["source_id", "mass", "positive_sum", "n_positive"])
+
+    return run
+
+
+def contrastive_sums(rows: DataFrame, key: str, vector: str, tag: str, tau: float, block_rows: int = 2_000) -> DataFrame:
+    """For every row the log of the summed exp(cosine / tau) over all others, and the sum and count of its same-tag cosines.
+
+    Blocks meet blocks as in :func:`knn`; each meeting gives one partial sum a row, merged by an aggregate.
+    """
+    slim = rows.select(F.col(key).cast("long").alias("id"), F.col(tag).cast("string").alias("tag"), F.col(vector).cast("array<double>").alias("v"))
+    left, n = _blocks(slim, block_rows, "a", None)
+    right, _ = _blocks(slim, block_rows, "b", None)
+    left = left.select("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"))
+    met = left.join(right.hint("merge"), F.col("at") == F.col("block")).select("a", "b")
+    parts = met.mapInArrow(_pair_sums(tau), "source_id long, mass double, positive_sum double, n_positive long")
+    sums = parts.groupBy("source_id").agg(F.sum("mass").alias("m"), F.sum("positive_sum").alias("positive_sum"), F.sum("n_positive").alias("n_positive"))
+    return sums.select("source_id", (F.log("m") + 1 / tau).alias("log_mass"), "positive_sum", "n_positive")
+
+
+def batch_positives(rows: DataFrame, batch: str, key: str, tag: str, vector: str) -> DataFrame:
+    """In every batch each anchor's one positive (same tag) and hardest negative; batches are bounded, so pairs within one are too.
+
+    An anchor without exactly one positive is an error of the running job.
+    """
+    from quern.functions.vectors import dot, normalise
+
+    unit = rows.select(batch, F.col(key).alias("a"), F.col(tag).alias("ta"), normalise(F.col(vector).cast("array<double>")).alias("_x"))
+    other = unit.select(F.col(batch).alias("_b"), F.col("a").alias("b"), F.col("ta").alias("tb"), F.col("_x").alias("_y"))
+    met = unit.join(other, (F.col(batch) == F.col("_b")) & (F.col("a") != F.col("b"))).withColumn("s", dot(F.col("_x"), F.col("_y")))
+    same = F.col("ta") == F.col("tb")
+    found = met.groupBy(batch, "a").agg(
+        F.count_if(same).alias("n"), F.max(F.when(same, F.col("b"))).alias("positive"), F.max_by("b", F.when(~same, F.struct(F.round("s", 12), -F.col("b")))).alias("negative")
+    )
+    return found.select(batch, "a", F.when(F.col("n") == 1, F.col("positive")).otherwise(F.raise_error(F.lit("anchor without exactly one positive")).cast("long")).alias("positive"), "negative")

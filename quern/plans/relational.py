@@ -280,3 +280,43 @@ def dependency_violations(spark, d):
     from quern.contracts import dependency_violations as check
 
     return check(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) >= 2)")
+def groups_with_two_members(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    wide = docs.groupBy("source").agg(F.count_distinct("lang").alias("n")).where("n >= 2").select("source")
+    return docs.join(wide, "source", "left_semi").select("doc_id", "lang", "source")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL AND isfinite(value) AND value < 1000")
+def candidate_predicate(spark, d):
+    v = F.col("value")
+    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (v < 1000)
+    return table(spark, d, "events").where(F.col("event_type").isin("click", "purchase") & ok).select("event_id", "user_id")
+
+
+@query("SELECT conv_id, CAST(sum(length(text)) AS bigint) AS n_chars, count(*) AS n_turns FROM conversations GROUP BY conv_id HAVING min(length(text)) * 50 >= max(length(text))")
+def aspect_filter(spark, d):
+    """Groups whose smallest side is not far below the largest."""
+    sides = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("n_turns"), F.min(F.length("text")).alias("lo"), F.max(F.length("text")).alias("hi"))
+    return sides.where(F.col("lo") * 50 >= F.col("hi")).select("conv_id", "n_chars", "n_turns")
+
+
+@query("SELECT user_id, round(sum(value) / count(*), 3) AS mean, count(*) AS n FROM events GROUP BY user_id")
+def mergeable_mean(spark, d):
+    """Running means merged from (sum, count) parts of each event type."""
+    parts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    return parts.groupBy("user_id").agg(F.round(F.sum("s") / F.sum("n"), 3).alias("mean"), F.sum("n").alias("n"))
+
+
+@query("SELECT n_regionkey, count(*) AS n_samples FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey")
+def shard_size_totals(spark, d):
+    sizes = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("shard")).agg(F.count("*").alias("n"))
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("shard"), "n_regionkey")
+    return nation.join(sizes, "shard").groupBy("n_regionkey").agg(F.sum("n").alias("n_samples"))
+
+
+@query("SELECT conv_id, count(DISTINCT role) AS n_roles, round(count(DISTINCT role) * 1.0 / count(*), 6) AS unique_share FROM conversations GROUP BY conv_id")
+def unique_fraction(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_distinct("role").alias("n_roles"), F.round(F.count_distinct("role") / F.count("*"), 6).alias("unique_share"))

@@ -216,3 +216,60 @@ def lr_schedule(spark, d):
 def harmonic_throughput(spark, d):
     sums = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("a"), F.count("*").cast("double").alias("b"))
     return sums.select("user_id", F.round(M.harmonic_throughput(F.col("a"), F.col("b")), 6).alias("pairs_per_second"))
+
+
+@query(
+    f"""SELECT round(avg(loss), 6) AS loss, count(*) AS n_anchors FROM (SELECT a, ln(sum(exp(s / 0.1))) - sum(CASE WHEN la = lb THEN s END) / 0.1 / count(*) FILTER (WHERE la = lb) AS loss
+    FROM {_SIM} GROUP BY a HAVING count(*) FILTER (WHERE la = lb) > 0)"""
+)
+def supcon_loss(spark, d):
+    """Supervised contrastive loss over all vectors, averaged over anchors that have positives."""
+    sums = neighbors.contrastive_sums(_vectors(spark, d), "vec_id", "v", "label", 0.1).where("n_positive > 0")
+    loss = F.col("log_mass") - F.col("positive_sum") / F.col("n_positive") / 0.1
+    return sums.agg(F.round(F.avg(loss), 6).alias("loss"), F.count("*").alias("n_anchors"))
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id, label, v, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 2 AS batch, count(*) OVER (PARTITION BY label) AS n FROM {_E}),
+    q AS (SELECT * FROM p WHERE (batch + 1) * 2 <= n)
+    SELECT a.batch, a.vec_id AS a, max(CASE WHEN a.label = b.label THEN b.vec_id END) AS positive,
+    arg_max(b.vec_id, (round(list_cosine_similarity(a.v, b.v), 12), -b.vec_id)) FILTER (WHERE a.label <> b.label) AS negative
+    FROM q a JOIN q b ON a.batch = b.batch AND a.vec_id <> b.vec_id GROUP BY ALL"""
+)
+def batch_hard_negatives(spark, d):
+    """Batches of two vectors of every label: the positive and the hardest negative in each."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = _vectors(spark, d).withColumns({"batch": F.floor(place / 2), "n": F.count("*").over(Window.partitionBy("label"))})
+    return neighbors.batch_positives(rows.where((F.col("batch") + 1) * 2 <= F.col("n")), "batch", "vec_id", "label", "v")
+
+
+@query(f"SELECT round(avg(CAST(list_has_any([e.label, e.label // 2 + 100], [f.label, f.label // 2 + 100]) AS int)), 6) AS accuracy FROM ({_nearest('true', 1)}) JOIN embeddings e ON e.vec_id = a JOIN embeddings f ON f.vec_id = b")
+def knn_overlap_accuracy(spark, d):
+    """Share of vectors whose nearest neighbour shares one of its labels, with two labels each."""
+    rows = _vectors(spark, d)
+    tags = rows.select(F.col("vec_id").alias("i"), F.array(F.col("label"), F.floor(F.col("label") / 2).cast("int") + 100).alias("tags"))
+    found = neighbors.knn(rows, "vec_id", "v", "label", 1).join(tags, F.col("source_id") == F.col("i")).drop("i")
+    found = found.join(tags.select("i", F.col("tags").alias("others")), F.col("neighbour_id") == F.col("i"))
+    return found.agg(F.round(F.avg(F.arrays_overlap("tags", "others").cast("double")), 6).alias("accuracy"))
+
+
+@query()
+def pca_variance(spark, d):
+    """Explained variance of the first components; the projection's signs are free."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _vectors(spark, d).select(array_to_vector("v").alias("v"))
+    shares = PCA(k=8, inputCol="v", outputCol="p").fit(rows).explainedVariance
+    return spark.createDataFrame([(i, round(float(x), 9)) for i, x in enumerate(shares)], "component int, share double")
+
+
+@query()
+def fourier_mixed(spark, d):
+    """Every vector as an 8 x 8 image, its low amplitudes mixed with those of its nearest neighbour of another label."""
+    from quern.functions.arrays2d import amplitude_mixer
+
+    rows = _vectors(spark, d)
+    near = neighbors.knn(rows, "vec_id", "v", "label", 1, rule="other").select("source_id", "neighbour_id")
+    both = rows.join(near, F.col("vec_id") == F.col("source_id")).join(rows.select(F.col("vec_id").alias("j"), F.col("v").alias("w")), F.col("neighbour_id") == F.col("j"))
+    return both.select("vec_id", amplitude_mixer(8, 8)("v", "w").alias("mixed"))

@@ -236,3 +236,25 @@ def test_loss_terms(spark):
     rows = [math.log(math.exp(2) + math.exp(1)) - 2, math.log(1 + math.exp(3)) - 3]
     cols = [math.log(math.exp(2) + 1) - 2, math.log(math.exp(1) + math.exp(3)) - 3]
     assert abs(metrics.contrastive_loss(logits, "r", "c", "s").first().loss - sum(rows + cols) / 4) < 1e-12
+
+
+def test_amplitude_mixing_keeps_phase_and_ends(spark):
+    import numpy as np
+
+    from quern.functions.arrays2d import amplitude_mixer, mix_amplitude
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(8, 8)), rng.normal(size=(8, 8))
+    assert np.allclose(mix_amplitude(a, b, 0.0, 0.5), a)
+    assert np.allclose(mix_amplitude(a, a, 0.7, 0.5), a)
+    df = spark.createDataFrame([(a.ravel().tolist(), b.ravel().tolist())], "a array<double>, b array<double>")
+    got = df.select(amplitude_mixer(8, 8, 0.3, 0.5)("a", "b")).first()[0]
+    assert np.allclose(got, mix_amplitude(a, b, 0.3, 0.5).ravel())
+
+
+def test_batch_positives_are_unique(spark):
+    rows = spark.createDataFrame([(0, 1, "a", [1.0, 0.0]), (0, 2, "a", [0.8, 0.2]), (0, 3, "b", [0.0, 1.0]), (0, 4, "b", [0.1, 0.9])], "bt int, id long, tag string, v array<double>")
+    got = {r.a: (r.positive, r.negative) for r in neighbors.batch_positives(rows, "bt", "id", "tag", "v").collect()}
+    assert got == {1: (2, 4), 2: (1, 4), 3: (4, 2), 4: (3, 2)}
+    with pytest.raises(Exception, match="exactly one positive"):
+        neighbors.batch_positives(rows.where("id < 4"), "bt", "id", "tag", "v").collect()
