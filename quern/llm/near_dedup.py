@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ def _confirm(words: int, percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, band_rows: int = 4, max_rounds: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, band_rows: int = 4
 ) -> DataFrame:
     """Group documents linked by Jaccard similarity >= percent / 100 on distinct word shingles.
 
@@ -141,7 +142,7 @@ def near_duplicates(
 
     tested = linked = found_parts = None
     named = buckets.withColumn("component", F.col("rep"))
-    for round_ in range(max_rounds):
+    for round_ in count():
         drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
         drawn = [F.min(F.struct(h.alias("h"), "rep", "component")).alias(f"x{k}") for k, h in enumerate(drawn)]
         centres = named.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
