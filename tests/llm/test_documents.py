@@ -120,7 +120,7 @@ def test_quality_statistics_and_base_rules(docs, rows):
 def test_quality_rejects_planted_outliers_only(frame):
     import random
 
-    from conftest import prose
+    from documents_made import prose
 
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.randint(80, 400)), "en", "web") for i in range(300)]
