@@ -9,7 +9,7 @@ from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules
 from quern.llm.repeats import remove_repeats
-from quern.llm.secrets import report, secret_ledger
+from quern.llm.secrets import BASE, RULES, report, secret_ledger
 from quern.llm.sharding import uniform_shards
 from quern.llm.topk import exact_top_k
 from quern.llm.urls import PATTERN_RULES, SITE_RULES, filter_urls
@@ -71,7 +71,6 @@ QUERIES = {
 
 
 def _url_sql() -> str:
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     sites = sorted(SITE_RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in sites]
     hits = [f"regexp_matches(lower(url), '{p}')" for p, _ in PATTERN_RULES]
@@ -80,7 +79,7 @@ def _url_sql() -> str:
     hit = " ".join(f"WHEN {h} THEN '{p}'" for h, (p, _) in zip(hits, PATTERN_RULES))
     return f"""
         WITH split AS (
-            SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{upper}', '{upper.lower()}') AS host,
+            SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_UPPER.lower()}') AS host,
                    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
             FROM pages
         ), ruled AS (SELECT *, CASE {rule} END AS rule, CASE {site} END AS site, CASE {hit} END AS hit FROM split)
@@ -90,4 +89,82 @@ def _url_sql() -> str:
     """
 
 
-ORACLE_SQL: dict[str, str] = {"op9_rarest_token_urls": _url_sql()}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+_NEAR_SQL = f"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+    FROM documents d JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+_TOP_SQL = """
+    WITH v AS (
+        SELECT vec_id, [floor(1024 * x::double) FOR x IN embedding] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS bigint) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS int) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+_REPEATS_SQL = """
+    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    g AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM t WHERE len(h) >= 100)),
+    m AS (SELECT g, min(doc_id) AS lo FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+    marks AS (SELECT g.doc_id, i FROM g JOIN m ON g.g = m.g WHERE m.lo < g.doc_id),
+    runs AS (
+        SELECT doc_id, run, min(i) AS a, max(i) + 49 AS b
+        FROM (SELECT doc_id, i, sum(CASE WHEN i - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+              FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM marks))
+        GROUP BY doc_id, run
+    ), gaps AS (
+        SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS u FROM runs
+        UNION ALL SELECT doc_id, 1000000000000, max(b) + 1, 1000000000000 FROM runs GROUP BY doc_id
+    ), kept AS (
+        SELECT t.doc_id, string_agg(CASE WHEN u = 1000000000000 THEN substr(h, 2 * f - 1) ELSE substr(h, 2 * f - 1, 2 * (u - f + 1)) END, '' ORDER BY a) AS h
+        FROM t JOIN gaps ON t.doc_id = gaps.doc_id GROUP BY t.doc_id
+    ), sums AS (SELECT doc_id, CAST(sum(b - a + 1) AS bigint) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+    SELECT t.doc_id, len(t.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+    FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN sums ON sums.doc_id = t.doc_id
+"""
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for k, (name, pattern, least, by_group) in enumerate(RULES):
+        p = pattern.replace("'", "''")
+        size = f"len(regexp_extract(m, '{p}', 2))" if by_group else "len(m)"
+        parts.append(f"""
+            SELECT doc_id, {k} AS k, '{name}' AS kind, pos AS a, pos + len(m) AS b FROM (
+                SELECT doc_id, f[i] AS m, CAST(list_sum([len(x) FOR x IN s[1:i]]) + coalesce(list_sum([len(x) FOR x IN f[1:i - 1]]), 0) AS bigint) AS pos
+                FROM (SELECT doc_id, f, s, unnest(range(1, len(f) + 1)) AS i
+                      FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS f, regexp_split_to_array(text, '{p}') AS s FROM documents WHERE regexp_matches(text, '{p}')))
+            ) WHERE {size} >= {least}""")
+    base = ", ".join(f"count(*) FILTER (WHERE kind = '{n}') AS n_{n}" for n in BASE)
+    names = ", ".join(f"'{n}'" for n in BASE)
+    shown = "kind || ':' || a || ':' || b, ',' ORDER BY a, k"
+    zeros = ", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in BASE)
+    return f"""
+        WITH spans AS ({" UNION ALL ".join(parts)}),
+        found AS (SELECT doc_id, {base}, string_agg({shown}) FILTER (WHERE kind IN ({names})) AS own, string_agg({shown}) AS spans FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, {zeros}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
+    """
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": _NEAR_SQL,
+    "op3_mtree_top_k": _TOP_SQL,
+    "op4_repeated_bytes": _REPEATS_SQL,
+    "op9_rarest_token_urls": _url_sql(),
+    "op10_secret_ledger": _secrets_sql(),
+}
