@@ -118,8 +118,8 @@ _TOP_SQL = """
 """
 
 _REPEATS_SQL = """
-    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    g AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM t WHERE len(h) >= 100)),
+    WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+    g AS (SELECT doc_id, i, h[i:i + 49] AS g FROM (SELECT doc_id, h, unnest(range(1, octet_length(h) - 48)) AS i FROM t WHERE octet_length(h) >= 50)),
     m AS (SELECT g, min(doc_id) AS lo FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
     marks AS (SELECT g.doc_id, i FROM g JOIN m ON g.g = m.g WHERE m.lo < g.doc_id),
     runs AS (
@@ -131,10 +131,10 @@ _REPEATS_SQL = """
         SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS u FROM runs
         UNION ALL SELECT doc_id, 1000000000000, max(b) + 1, 1000000000000 FROM runs GROUP BY doc_id
     ), kept AS (
-        SELECT t.doc_id, string_agg(CASE WHEN u = 1000000000000 THEN substr(h, 2 * f - 1) ELSE substr(h, 2 * f - 1, 2 * (u - f + 1)) END, '' ORDER BY a) AS h
+        SELECT t.doc_id, unhex(string_agg(CASE WHEN f <= least(u, octet_length(h)) THEN hex(h[f:least(u, octet_length(h))]) ELSE '' END, '' ORDER BY a)) AS h
         FROM t JOIN gaps ON t.doc_id = gaps.doc_id GROUP BY t.doc_id
     ), sums AS (SELECT doc_id, CAST(sum(b - a + 1) AS bigint) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
-    SELECT t.doc_id, len(t.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+    SELECT t.doc_id, octet_length(t.h) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept.h, t.h)) AS kept_sha256
     FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN sums ON sums.doc_id = t.doc_id
 """
 
