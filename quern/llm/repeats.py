@@ -172,7 +172,7 @@ def _shared(hot: int):
 
 
 _ROW = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("rows", pa.binary()), ("bytes", pa.binary()), ("done", pa.binary())])
-_STRING = np.dtype([("id", "<i8"), ("doc", "<u4"), ("q0", "<u4"), ("far", "u1"), ("near", "u1")])
+_STRING = np.dtype([("id", "<i8"), ("doc", "<u4"), ("q0", "<u4"), ("far", "u1"), ("near", "u1"), ("copies", "<u4")])
 _SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
@@ -219,12 +219,15 @@ def _strings(buckets: int, least: int):
                     parts.append(np.stack([q, q, q, np.repeat(doc[f] + a, n), (mix64(own) % np.uint64(buckets)).astype(np.int64)]))
             q0, q1, p, doc, bucket = np.concatenate(parts, axis=1)
             order = np.lexsort((q0, ids[doc]))
-            raw, seen, keep = data.tobytes(), {}, []
+            raw, seen, keep, copies = data.tobytes(), {}, [], np.zeros(len(q0), np.uint32)
             for i, a, b, c, d in zip(order.tolist(), q0[order].tolist(), (q1[order] + least).tolist(), p[order].tolist(), doc[order].tolist()):
                 content = (raw[a:b], c - a)
-                if seen.setdefault(content, ids[d]) < ids[d]:
+                least_id, at = seen.setdefault(content, (ids[d], i))
+                copies[at] += 1
+                if least_id < ids[d]:
                     done.append((d, a - offsets[d], b - offsets[d]))
                 else:
+                    copies[i] += at != i
                     keep.append(i)
             del seen
             keep = np.array(keep, np.int64)
@@ -234,7 +237,7 @@ def _strings(buckets: int, least: int):
                 i = keep[cuts[k] : cuts[k + 1]]
                 rows = np.zeros(len(i), _STRING)
                 rows["id"], rows["doc"], rows["q0"] = ids[doc[i]], doc[i], q0[i] - offsets[doc[i]]
-                rows["far"], rows["near"] = p[i] - q0[i], p[i] - q1[i]
+                rows["far"], rows["near"], rows["copies"] = p[i] - q0[i], p[i] - q1[i], copies[i]
                 text = b"".join([raw[a:b] for a, b in zip(q0[i].tolist(), (q1[i] + least).tolist())])
                 out.setdefault(int(k), []).append((rows, text))
         columns = [[], [], [], [], []]
@@ -269,32 +272,85 @@ def _sorted_prefixes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeat_classes(rows: np.ndarray, text: np.ndarray, least: int):
-    """Cut the common-prefix interval tree of a bucket's suffixes at every depth that a string of ``least`` bytes needs.
+def lcp_intervals(common: list[int], least: int) -> list[tuple[int, int, int, int]]:
+    """Stack-scan of common-prefix lengths: every interval of depth >= least as (depth, depth of its parent, first, last).
 
-    The enhanced suffix array stands at the anchors: suffixes from an anchor on are sorted with the lengths of their common prefixes, and
-    so are the bytes before it, read backwards. A string that starts ``back`` bytes before its anchor
-    is one node of the prefix tree at depth ``least - back`` and one left extension of ``back`` bytes; the
-    nodes' occurrences that agree in both are a repeat group. Yields (back, rows that have such a string, group of each).
+    ``common[i]`` belongs to sorted rows i - 1 and i. An interval is a maximal run of rows that share ``depth`` bytes; intervals
+    nest as the internal nodes of the prefix tree do. Parents below ``least`` count as least - 1.
     """
-    width = least - GRAM + 1
-    size = rows["far"].astype(np.int64) - rows["near"] + least
-    begin = np.cumsum(size) - size
-    after, before = np.arange(least), np.arange(1, width)
-    padded = np.r_[text, np.zeros(least + 1, np.uint8)]
-    tail = padded[np.minimum((begin + rows["far"])[:, None] + after, len(padded) - 1)]
-    tail[after[None, :] >= (least - rows["near"].astype(np.int64))[:, None]] = 0
-    left = padded[np.maximum((begin + rows["far"])[:, None] - before, 0)]
-    left[before[None, :] > rows["far"].astype(np.int64)[:, None]] = 0
-    t_order, t_common = _sorted_prefixes(tail)
-    l_order, l_common = _sorted_prefixes(left)
-    node, side = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-    for back in range(width):
-        own = np.flatnonzero((rows["near"] <= back) & (back <= rows["far"]))
-        if len(own):
-            node[t_order] = np.cumsum(t_common < least - back)
-            side[l_order] = np.cumsum(l_common < back) if back else 0
-            yield back, own, (node[own] << 32) | side[own]
+    out, stack = [], []  # of (depth, first)
+    for i, depth in enumerate([*common[1:], 0], 1):
+        first = i - 1
+        while stack and stack[-1][0] > depth:
+            own, first = stack.pop()
+            out.append((own, max(depth, stack[-1][0] if stack else 0, least - 1), first, i - 1))
+        if depth >= least and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+    return out
+
+
+class SuffixBucket:
+    """The enhanced suffix array of one bucket: suffixes from the anchors on, and the bytes before them read backwards.
+
+    A string that starts ``back`` bytes before its anchor lies under one interval of the suffix tree cut at depth
+    ``least - back`` and under one of the backward tree cut at depth ``back``.
+    """
+
+    def __init__(self, rows: np.ndarray, text: np.ndarray, least: int):
+        self.rows, self.least, self.width = rows, least, least - GRAM + 1
+        far, near = rows["far"].astype(np.int64), rows["near"].astype(np.int64)
+        begin = np.cumsum(far - near + least) - (far - near + least)
+        after, before = np.arange(least), np.arange(1, self.width)
+        padded = np.r_[text, np.zeros(least + 1, np.uint8)]
+        tail = padded[np.minimum((begin + far)[:, None] + after, len(padded) - 1)]
+        tail[after[None, :] >= (least - near)[:, None]] = 0
+        left = padded[np.maximum((begin + far)[:, None] - before, 0)]
+        left[before[None, :] > far[:, None]] = 0
+        self.order, self.common = _sorted_prefixes(tail)
+        self.left_order, self.left_common = _sorted_prefixes(left)
+        found = lcp_intervals(self.common.tolist(), GRAM)
+        self.depth, self.parent, self.first, self.last = np.array(found, np.int64).reshape(-1, 4).T
+
+    def classes(self):
+        """Yield (back, rows with such a string that others share, group of each): groups are the strings' occurrences."""
+        node, side = np.empty(len(self.rows), np.int64), np.zeros(len(self.rows), np.int64)
+        for back in range(self.width):
+            cut = np.flatnonzero((self.parent < self.least - back) & (self.least - back <= self.depth))
+            node[:] = -1
+            size = self.last[cut] - self.first[cut] + 1
+            at = np.repeat(self.first[cut] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            node[self.order[at]] = np.repeat(cut, size)
+            if back:
+                side[self.left_order] = np.cumsum(self.left_common < back)
+            own = np.flatnonzero((self.rows["near"] <= back) & (back <= self.rows["far"]) & (node >= 0))
+            if len(own):
+                yield back, own, (node[own] << 32) | side[own]
+
+    def maximal(self):
+        """Yield (length, bytes before the anchor, rows) of every maximal repeat: left- and right-diverse within its strings.
+
+        For each interval the rows are scanned by their left contexts; a left interval with enough depth is a repeat
+        whose left extensions differ. It is right-diverse unless all its rows lie in one child interval. A row that stands for
+        several copies is a repeat of its whole string by itself.
+        """
+        rank, place = np.empty(len(self.rows), np.int64), np.empty(len(self.rows), np.int64)
+        rank[self.left_order], place[self.order] = np.arange(len(rank)), np.arange(len(rank))
+        far, room = self.rows["far"].astype(np.int64), self.least - self.rows["near"].astype(np.int64)
+        for alone in np.flatnonzero(self.rows["copies"] > 1):
+            yield int(far[alone] + room[alone]), int(far[alone]), np.array([alone])
+        for d, a, b in zip(self.depth.tolist(), self.first.tolist(), self.last.tolist()):
+            members = self.order[a : b + 1]
+            members = members[np.argsort(rank[members], kind="stable")]
+            left = [0, *(int(self.left_common[rank[x] + 1 : rank[y] + 1].min()) for x, y in zip(members[:-1], members[1:]))]
+            extensions = lcp_intervals(left, 1)
+            if min(left[1:]) == 0:
+                extensions.append((0, 0, 0, len(members) - 1))
+            for back, _, i, j in extensions:
+                group = members[i : j + 1]
+                back, depth = min(back, int(far[group].min())), min(d, int(room[group].min()))
+                diverse = self.common[place[group].min() + 1 : place[group].max() + 1].min() <= d
+                if back + depth >= self.least and diverse:
+                    yield back + depth, back, group
 
 
 def _repeats(least: int):
@@ -315,7 +371,7 @@ def _repeats(least: int):
             by_id = np.argsort(rows["id"], kind="stable")
             rank[by_id] = np.cumsum(np.r_[0, np.diff(rows["id"][by_id]) != 0])
             gone = np.zeros((len(rows), width + 2), bool)
-            for back, own, group in repeat_classes(rows, text, least):
+            for back, own, group in SuffixBucket(rows, text, least).classes():
                 order = np.argsort(group, kind="stable")
                 g = group[order]
                 first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -335,6 +391,25 @@ def _repeats(least: int):
     return run
 
 
+def _groups(least: int):
+    """Maximal repeat groups of a bucket with all their occurrences."""
+    schema = pa.schema([("group", pa.int64()), ("length", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("copies", pa.int64())])
+
+    def run(key, table):
+        rows = np.concatenate([np.zeros(0, _STRING), *(_unzip(r, _STRING) for r in table["rows"].to_pylist())])
+        text = np.concatenate([np.zeros(0, np.uint8), *(_unzip(t, np.uint8) for t in table["bytes"].to_pylist())])
+        out = [[], [], [], [], []]
+        if len(rows):
+            for number, (length, back, members) in enumerate(SuffixBucket(rows, text, least).maximal()):
+                own = rows[members]
+                starts = own["q0"].astype(np.int64) + own["far"] - back
+                for column, values in zip(out, ([key[0].as_py() << 38 | number] * len(own), [length] * len(own), own["id"].tolist(), starts.tolist(), own["copies"].tolist())):
+                    column += values
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return run
+
+
 def _finish(key, slices, found):
     """Count and cut the covered bytes of every document of a slice."""
     out = [[], [], [], [], []]
@@ -373,7 +448,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        anchors of its strings. 2. Anchors meet in buckets; those of one document are dropped, at a few bytes each.
     3. Slices send the strings around shared anchors to the anchors' buckets, once for each content and slice; strings at an anchor
        of over ``hot`` documents go by their own hash, so no bucket collects a common passage. 4. Each bucket sorts its suffixes, and the
-       common-prefix intervals with their left extensions are the repeat groups (:func:`repeat_classes`).
+       common-prefix intervals with their left extensions are the repeat groups (:class:`SuffixBucket`).
     5. The covered spans return to the slices. A task holds one slice or one bucket.
 
     Nulls and edge cases: null text is empty; a null id counts as larger than every id; rows with one id
@@ -382,6 +457,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns ``doc_id, n_bytes, n_removed, n_spans`` and ``kept`` (the remaining bytes), or with ``digest`` their ``kept_sha256``.
     """
+    slices, strings = _anchored_strings(docs, id_col, text_col, least, slice_bytes, bucket_bytes, hot)
+    spans = strings.groupBy("bucket").applyInArrow(_repeats(least), "slice long, spans binary")
+    last = "kept_sha256 string" if digest else "kept binary"
+    return slices.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_digest if digest else _finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, slice_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, hot: int = 500) -> DataFrame:
+    """Maximal repeat groups of at least ``least`` bytes, with all occurrences.
+
+    A group is an interval of an anchor's suffixes with one left extension, diverse on both sides within the strings around the
+    anchor; a repeat longer than those appears once for each of its anchors (at a hot anchor, for each start). An occurrence
+    stands for all documents of its slice with the very same string around it, ``copies`` counts them, the smallest id names
+    them; so a common passage costs a row for each slice. Edge cases are those of :func:`remove_repeats`.
+
+    Returns ``group, length, doc_id, start, copies`` (start in bytes).
+    """
+    _, strings = _anchored_strings(docs, id_col, text_col, least, slice_bytes, bucket_bytes, hot)
+    return strings.groupBy("bucket").applyInArrow(_groups(least), "group long, length int, doc_id long, start long, copies long")
+
+
+def _anchored_strings(docs: DataFrame, id_col: str, text_col: str, least: int, slice_bytes: int, bucket_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Checkpointed slices, and the strings around shared anchors in their buckets."""
     if least < GRAM + 8:
         raise ValueError(f"least must be {GRAM + 8} or more")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -392,7 +489,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = slices.mapInArrow(_count(buckets, least), "bucket int, slice long, single binary, multi binary, counts binary")
     shared = counted.groupBy("bucket").applyInArrow(_shared(hot), "slice long, bucket int, cold binary, hot binary")
     strings = slices.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(_strings(buckets, least), "bucket int, slice long, rows binary, bytes binary, done binary")
-    spans = strings.groupBy("bucket").applyInArrow(_repeats(least), "slice long, spans binary")
-    last = "kept_sha256 string" if digest else "kept binary"
-    done = slices.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_digest if digest else _finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
-    return done
+    return slices, strings

@@ -13,7 +13,7 @@ from quern.llm.mixing import bisect_exponent, mix_sources
 from quern.llm.near_dedup import near_duplicates, one_permutation_signatures
 from quern.llm.packing import best_fit, best_fit_packing, pack_pieces, tokenizer_path
 from quern.llm.quality import quality_rules
-from quern.llm.repeats import remove_repeats
+from quern.llm.repeats import lcp_intervals, remove_repeats, repeat_groups
 from quern.llm.secrets import report, secret_ledger
 from quern.llm.sharding import communication_matrix, uniform_shards
 
@@ -272,3 +272,39 @@ def test_empty_tables(empty):
     assert mix_sources(empty).count() == 0
     assert identify_languages(empty).count() == 0
     assert report(secret_ledger(empty)[0]).count() == 0
+
+
+def test_stack_scan_finds_the_nested_intervals():
+    common = [0, 3, 5, 5, 2, 4, 0, 6]
+    assert sorted(lcp_intervals(common, 1)) == [(2, 0, 0, 5), (3, 2, 0, 3), (4, 2, 4, 5), (5, 3, 1, 3), (6, 0, 6, 7)]
+    assert sorted(lcp_intervals(common, 4)) == [(4, 3, 4, 5), (5, 3, 1, 3), (6, 3, 6, 7)]
+
+
+def test_repeat_groups_hold_all_occurrences(frame):
+    import random
+
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    shared, other = make(90), make(55)
+    texts = [make(80) + shared + make(60), make(30) + shared + make(20) + other, other + make(70) + shared[20:85], make(200), shared, shared]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    for size in (8 << 20, 100):
+        got = repeat_groups(frame(rows).coalesce(1), slice_bytes=size).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r.group, []).append(r)
+            assert r.copies >= 1
+        for members in groups.values():
+            assert len({texts[r.doc_id][r.start : r.start + r.length] for r in members}) == 1 and members[0].length >= 50
+        places = {}
+        for i, t in enumerate(texts):
+            for k in range(len(t) - 49):
+                places.setdefault(t[k : k + 50], set()).add((i, k))
+        for text, own in places.items():
+            if len(own) > 1:
+                holding = [(m, texts[m[0].doc_id][m[0].start : m[0].start + m[0].length].find(text)) for m in groups.values()]
+                holding = [(m, at) for m, at in holding if at >= 0]
+                if size == 100:
+                    assert any(own <= {(r.doc_id, r.start + at) for r in m} for m, at in holding)
+                else:
+                    assert max(sum(r.copies for r in m) for m, _ in holding) >= len(own)
