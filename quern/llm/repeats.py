@@ -89,7 +89,7 @@ def _slices(max_bytes: int):
             ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, offsets in text_slices(batch.column("text"), max_bytes):
                 own = ids[row : row + len(offsets) - 1]
-                columns = [pa.array([x], pa.binary()) for x in (own.tobytes(), np.diff(offsets).astype(np.int64).tobytes(), _zip(data))]
+                columns = [pa.array([x], pa.binary()) for x in (own.tobytes(), np.diff(offsets).astype(np.int64).tobytes(), _zip(data, 3))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -246,7 +246,7 @@ def _strings(buckets: int, least: int):
         for k in sorted(out.keys() | ({home} if done else set())):
             rows = np.concatenate([r for r, _ in out[k]]) if k in out else np.zeros(0, _STRING)
             text = np.frombuffer(b"".join(t for _, t in out.get(k, ())), np.uint8)
-            for column, value in zip(columns, (k, number, _zip(rows), _zip(text, 3), _zip(spans) if k == home else None)):
+            for column, value in zip(columns, (k, number, _zip(rows), _zip(text, 5), _zip(spans) if k == home else None)):
                 column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
 
