@@ -8,6 +8,7 @@ occurrences of a string, and only anchors that two documents share go on.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -441,7 +442,7 @@ def _digest(key, slices, found):
     return table.drop_columns(["kept"]).append_column("kept_sha256", sums)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, digest: bool = False, slice_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, hot: int = 500) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, digest: bool = False, slice_bytes: int | None = None, bucket_bytes: int | None = None, hot: int = 500) -> DataFrame:
     """Remove every byte covered by a ``least``-byte string that also starts in a document with a smaller id.
 
     1. Documents are packed into compressed slices of about ``slice_bytes`` (checkpointed), and each slice lists the
@@ -449,7 +450,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Slices send the strings around shared anchors to the anchors' buckets, once for each content and slice; strings at an anchor
        of over ``hot`` documents go by their own hash, so no bucket collects a common passage. 4. Each bucket sorts its suffixes, and the
        common-prefix intervals with their left extensions are the repeat groups (:class:`SuffixBucket`).
-    5. The covered spans return to the slices. A task holds one slice or one bucket.
+    5. The covered spans return to the slices. A task holds one slice or one bucket. By default both are 8 MB, beyond 54 GB of text the
+    root of 1300 times its bytes, so that a slice still sends a bucket some hundred anchors at once.
 
     Nulls and edge cases: null text is empty; a null id counts as larger than every id; rows with one id
     remove nothing from each other; strings are judged on the input; texts shorter than ``least`` keep everything; an empty
@@ -463,7 +465,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return slices.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_digest if digest else _finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 
 
-def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, slice_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, hot: int = 500) -> DataFrame:
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, slice_bytes: int | None = None, bucket_bytes: int | None = None, hot: int = 500) -> DataFrame:
     """Maximal repeat groups of at least ``least`` bytes, with all occurrences.
 
     A group is an interval of an anchor's suffixes with one left extension, diverse on both sides within the strings around the
@@ -477,15 +479,16 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return strings.groupBy("bucket").applyInArrow(_groups(least), "group long, length int, doc_id long, start long, copies long")
 
 
-def _anchored_strings(docs: DataFrame, id_col: str, text_col: str, least: int, slice_bytes: int, bucket_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def _anchored_strings(docs: DataFrame, id_col: str, text_col: str, least: int, slice_bytes: int | None, bucket_bytes: int | None, hot: int) -> tuple[DataFrame, DataFrame]:
     """Checkpointed slices, and the strings around shared anchors in their buckets."""
     if least < GRAM + 8:
         raise ValueError(f"least must be {GRAM + 8} or more")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    slices = rows.mapInArrow(_slices(slice_bytes), "ids binary, lengths binary, data binary")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    side = max(8 << 20, math.isqrt(1300 * total))
+    slices = rows.mapInArrow(_slices(slice_bytes or side), "ids binary, lengths binary, data binary")
     slices = checkpointed(slices.withColumn("slice", F.monotonically_increasing_id()))
-    total = slices.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(256, -(-total // bucket_bytes))
+    buckets = max(256, -(-total // (bucket_bytes or side)))
     counted = slices.mapInArrow(_count(buckets, least), "bucket int, slice long, single binary, multi binary, counts binary")
     shared = counted.groupBy("bucket").applyInArrow(_shared(hot), "slice long, bucket int, cold binary, hot binary")
     strings = slices.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(_strings(buckets, least), "bucket int, slice long, rows binary, bytes binary, done binary")
