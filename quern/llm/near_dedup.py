@@ -115,7 +115,8 @@ def near_duplicates(
     component, again and again until a round adds no link.
 
     Misses: two linked documents meet in no bucket with probability (1 - J**4)**32, at most
-    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``).
+    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``). A link between members of which neither was
+    drawn as a centre before a round without a new link is missed too, unless other links join them.
 
     Nulls and edge cases: null or blank text has no shingle and is linked with nothing;
     rows that share an id count as one document; a row with null id takes no part, with null
