@@ -15,7 +15,7 @@ from quern.llm.mixing import mix_sources
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules
-from quern.llm.secrets import redact, secret_ledger
+from quern.llm.secrets import MASK_RULE_VERSION, MASK_RULES, redact, secret_ledger
 
 ORACLE_SQL = None
 
@@ -37,8 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text becomes ``[SECRET]`` and ``n_chars`` follows; no document goes."""
-    _, ledger = secret_ledger(docs)
+    """Every secret in a text, private keys with their bodies, becomes ``[SECRET]`` and ``n_chars`` follows; no document goes."""
+    _, ledger = secret_ledger(docs, rules=MASK_RULES, rule_version=MASK_RULE_VERSION)
     hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans"))
     named = docs.select(F.struct(*docs.columns).alias("_whole_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hit_key"))
     joined = named.join(hits, F.col("hit_key") == F.col("hit_blob"), "left")

@@ -17,6 +17,13 @@ RULES = (
     ("github", "gh[pousr]_[A-Za-z0-9]{30,}", 1, False),
     ("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}", 1, False),
 )
+#: For masking, a private key with its body: all up to its END line, or without one the key lines that follow.
+_PEM_BODY = (
+    "(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    "|(?:(?:\\s|\\\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\n]*+|[A-Za-z0-9+/=]{16,}+)|[ \\t\r]*+\n[ \\t]*+[A-Za-z0-9+/=]++(?=[ \\t\r]*+(?:\n|\\z)))*+)"
+)
+MASK_RULES = tuple((name, pattern + _PEM_BODY if name == "pem" else pattern, *rest) for name, pattern, *rest in RULES)
+MASK_RULE_VERSION = f"{RULE_VERSION}-mask"
 BASE = ("assign", "access", "hex")
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
 
