@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, checkpointed, mix64, right_sized, text_slices, word_hashes, word_spans
 from quern.llm.components import connected_components
 
+#: Cells of the shingle counts that order shingles by rarity; any order is right, a rare one first is fast.
+GRAM_CELLS = 1 << 20
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -101,6 +103,47 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _gram_cells(words: int):
+    """Counts of the texts' shingles by hash cell."""
+
+    def run(batches):
+        total = np.zeros(GRAM_CELLS, np.int64)
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column("text")):
+                grams = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(LOWER[data], offsets, words)])
+                total += np.bincount((grams % np.uint64(GRAM_CELLS)).astype(np.int64), minlength=GRAM_CELLS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    return run
+
+
+def _packed_cells(batches):
+    """The counts as bytes, so that the driver holds no row for each cell."""
+    for batch in batches:
+        n = np.minimum(batch.column("n").to_numpy(zero_copy_only=False), np.iinfo(np.int32).max).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("cell").to_numpy(zero_copy_only=False).tobytes()]), pa.array([n.tobytes()])], names=["cell", "n"])
+
+
+def _prefixes(words: int, percent: int, weights):
+    """Each text's rarest shingles, so many that two linked sets share one: n - ceil(percent * n / 100) + 1."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in text_slices(batch.column("text")):
+                sets = shingle_sets(LOWER[data], offsets, words)
+                grams, sizes = [np.zeros(0, np.uint64)], [len(s) for s in sets]
+                takes = [n + percent * n // -100 + 1 if n else 0 for n in sizes]
+                for s, take in zip(sets, takes):
+                    weight = weights.value[(s % np.uint64(GRAM_CELLS)).astype(np.int64)]
+                    grams.append(s[np.lexsort((s, weight))[:take]])
+                ids = batch.column("doc_id").slice(row, len(sets)).to_numpy(zero_copy_only=False)
+                columns = [np.concatenate(grams).view(np.int64), np.repeat(ids, takes), np.repeat(np.array(sizes, np.int64), takes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "rep", "n"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, band_rows: int = 4
 ) -> DataFrame:
@@ -114,9 +157,14 @@ def near_duplicates(
     components get two centres drawn by hash, paired with the members outside the centre's
     component, again and again until a round adds no link.
 
+    Members of buckets that then still hold several components are searched exactly: two sets with the
+    wanted similarity share one of their rarest shingles (prefix filter: ``n - ceil(percent * n / 100) + 1`` of n
+    shingles, in one order for all, by counts in hash cells). Groups of a prefix shingle go through
+    the same rounds, then every untested pair across components in a group is compared. Pairs whose set
+    sizes rule the similarity out are left out throughout.
+
     Misses: two linked documents meet in no bucket with probability (1 - J**4)**32, at most
-    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``). A link between members of which neither was
-    drawn as a centre before a round without a new link is missed too, unless other links join them.
+    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``); a link between members of one bucket is never missed.
 
     Nulls and edge cases: null or blank text has no shingle and is linked with nothing;
     rows that share an id count as one document; a row with null id takes no part, with null
@@ -127,11 +175,12 @@ def near_duplicates(
     """
     if (bands * band_rows) & (bands * band_rows - 1):
         raise ValueError("bands * band_rows must be a power of two")
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = checkpointed(texts.mapInArrow(_features(words, bands, band_rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     classes = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     labelled = features.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", "bands", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
-    rows = labelled.where("doc_id = rep").select(F.explode("bands").alias("bucket"), "rep")
+    rows = labelled.where("doc_id = rep").select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
     buckets = checkpointed(rows.join(shared, "bucket"))
     n_rows = buckets.count()
@@ -142,26 +191,73 @@ def near_duplicates(
     pool = with_text(checkpointed(texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")))
 
     tested = linked = found_parts = None
-    named = buckets.withColumn("component", F.col("rep"))
-    for round_ in count():
-        drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
-        drawn = [F.min(F.struct(h.alias("h"), "rep", "component")).alias(f"x{k}") for k, h in enumerate(drawn)]
-        centres = named.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
-        centres = sized(centres).where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
-        pairs = sized(named.join(centres, "bucket")).where("rep <> c.rep AND component <> c.component")
-        pairs = sized(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct())
+
+    def compare(pairs):
+        """Confirm the untested ones of ``pairs``; the new links."""
+        nonlocal tested
+        pairs = sized(pairs.distinct())
         if tested is not None:
             pairs = sized(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         pairs = with_text(pairs.join(pool.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"))
         pairs = pairs.join(pool.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         new = sized(checkpointed(with_text(pairs).mapInArrow(_confirm(words, percent), "a long, b long, linked boolean")))
-        found = new.where("linked").select("a", "b")
         tested = new if tested is None else tested.unionByName(new)
-        if round_ and found.isEmpty():
-            break
+        return new.where("linked").select("a", "b")
+
+    def join_up(found):
+        nonlocal linked, found_parts
         linked = found if linked is None else linked.unionByName(found)
         found_parts = connected_components(linked)
-        named = sized(buckets.join(sized(found_parts), F.col("rep") == F.col("node"), "left")).select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+
+    def named(groups):
+        parts = groups.select("bucket", "rep", "n")
+        if found_parts is None:
+            return parts.withColumn("component", F.col("rep"))
+        return sized(parts.join(sized(found_parts), F.col("rep") == F.col("node"), "left")).select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+
+    near_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
+
+    def search(groups):
+        """Stars, then drawn centres, until a round adds no link."""
+        for round_ in count():
+            now = named(groups)
+            drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
+            drawn = [F.min(F.struct(h.alias("h"), "rep", "component", "n")).alias(f"x{k}") for k, h in enumerate(drawn)]
+            centres = now.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
+            centres = sized(centres).where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
+            pairs = sized(now.join(centres, "bucket")).where("rep <> c.rep AND component <> c.component").where(near_size(F.col("n"), F.col("c.n")))
+            found = compare(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")))
+            if round_ and found.isEmpty():
+                break
+            join_up(found)
+
+    def mixed(groups):
+        """The members of groups that hold several components."""
+        now = checkpointed(named(groups))
+        several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        return sized(now.join(sized(several), "bucket"))
+
+    search(buckets)
+    open_ = checkpointed(mixed(buckets).select("rep").distinct())
+    if not open_.isEmpty():
+        texts_open = checkpointed(with_text(pool.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id")))
+        cells = texts_open.mapInArrow(_gram_cells(words), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+        weights = np.zeros(GRAM_CELLS, np.int32)
+        for part in cells.mapInArrow(_packed_cells, "cell binary, n binary").collect():
+            weights[np.frombuffer(part.cell, np.int32)] = np.frombuffer(part.n, np.int32)
+        prefixes = texts_open.mapInArrow(_prefixes(words, percent, spark.sparkContext.broadcast(weights)), "bucket long, rep long, n long")
+        prefixes = checkpointed(prefixes)
+        n_rows = prefixes.count()
+        repeated = prefixes.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
+        grams = sized(checkpointed(prefixes.join(repeated, "bucket")))
+        search(grams)
+        rest = checkpointed(mixed(grams))
+        sides = rest.select("bucket", "component").distinct()
+        sides = sides.withColumnRenamed("component", "ca").join(sides.withColumnRenamed("component", "cb"), "bucket").where("ca < cb")
+        left = rest.select("bucket", F.col("component").alias("ca"), F.col("rep").alias("ra"), F.col("n").alias("na"))
+        right = rest.select("bucket", F.col("component").alias("cb"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
+        pairs = sides.join(left, ["bucket", "ca"]).join(right, ["bucket", "cb"]).where(near_size(F.col("na"), F.col("nb")))
+        join_up(compare(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))))
     labels = labelled.drop("bands")
     labels = labels.join(found_parts, labels.rep == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

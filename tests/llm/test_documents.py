@@ -308,3 +308,25 @@ def test_repeat_groups_hold_all_occurrences(frame):
                     assert any(own <= {(r.doc_id, r.start + at) for r in m} for m, at in holding)
                 else:
                     assert max(sum(r.copies for r in m) for m, _ in holding) >= len(own)
+
+
+def test_near_duplicates_compare_all_members_of_a_bucket(frame):
+    import random
+
+    from documents_made import prose
+    from quern.llm.near_dedup import shingle_sets
+
+    rng = random.Random(12)
+    template = prose(rng, 100)
+    rows = [(i, template + " " + prose(rng, 100), "en", "web") for i in range(160)]
+    for i in range(160, 200):
+        words = rows[4 * (i - 160) + 1][1].split(" ")
+        words[150] = "changed"
+        rows.append((i, " ".join(words), "en", "web"))
+    want, _ = components(rows)
+    raw = [t.encode() for _, t, *_ in rows]
+    offsets = np.cumsum([0] + [len(t) for t in raw])
+    signature = one_permutation_signatures(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offsets, 5), 2)
+    together = [i for i in range(160, 200) if (signature[i] == signature[want[i]]).any()]
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(rows), bands=2, band_rows=1).collect()}
+    assert len(together) > 30 and all(got[i] == want[i] for i in together)
