@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,8 +120,11 @@ def quality_rules(
     source costs no more than its share. The floors in ``STATS`` keep the covariance regular where a
     statistic is constant.
 
+    Groups of fewer than ``least_group`` rows that pass the base rules are judged by the estimate
+    of all rows with the same keys but the last (the language), and where these are too few, too, of all rows.
+
     Nulls and edge cases: null text has no words and fails the base rules; null keys form a
-    group of their own; groups of fewer than ``least_group`` rows that pass the base rules reject nothing by distance;
+    group of their own; only a table of fewer than ``least_group`` such rows in all gives no estimate and rejects nothing by distance;
     repeated rows count as often as they occur; an empty table gives an empty result.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2``
@@ -131,6 +136,25 @@ def quality_rules(
     rows = rows.withColumns({"base_failed": failed, **{s: F.expr(e).cast("double") for s, (e, _) in STATS.items()}})
     rows = checkpointed(rows.withColumns({k: F.coalesce(F.concat(F.lit("="), k), F.lit("")) for k in names}))
     fit = rows.where("NOT base_failed").select(*names, *stats)
+    level = lambda j: [F.col(k) if i < len(names) - j else F.lit("*").alias(k) for i, k in enumerate(names)]
+    sizes = checkpointed(fit.groupBy(*names).agg(F.count("*").alias("n_fit")))
+    judge, small = [], sizes
+    for j in range(len(names) + 1):
+        at = sizes.groupBy(*level(j)).agg(F.sum("n_fit").alias("n_level"))
+        at = at.withColumnsRenamed({k: f"g_{k}" for k in names})
+        met = small.join(at, [c.eqNullSafe(F.col(f"g_{k}")) for c, k in zip(level(j), names)])
+        enough = met.where(F.col("n_level") >= least_group)
+        judge.append(enough.select(*[F.col(k).alias(f"s_{k}") for k in names], *[F.col(f"g_{k}").alias(f"j_{k}") for k in names]))
+        small = met.where(F.col("n_level") < least_group).select(*names, "n_fit")
+    judge = checkpointed(reduce(DataFrame.unionByName, judge))
+    coarse = judge.select(*[f"j_{k}" for k in names]).where(F.col(f"j_{names[-1]}") == "*").distinct().collect()
+    own = fit
+    for j in range(1, len(names) + 1):
+        heads = {tuple(r)[: len(names) - j] for r in coarse if sum(v == "*" for v in r) == j}
+        if heads:
+            of = reduce(or_, [reduce(and_, [F.col(k) == v for k, v in zip(names, h)], F.lit(True)) for h in heads])
+            own = own.unionByName(fit.where(of).select(*level(j), *stats))
+    fit = checkpointed(own) if coarse else fit
     floors = [f for _, f in STATS.values()]
     quarter = [F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, s in enumerate(stats)]
     start = fit.groupBy(*names).agg(F.count("*").alias("n"), *quarter)
@@ -148,10 +172,10 @@ def quality_rules(
         else:
             near = near.where(F.col("d2") <= cutoff)
         groups = checkpointed(_factor(_moments(near.select(*names, *stats), names, stats), names, floors))
-    sizes = fit.groupBy(*names).agg(F.count("*").alias("n_fit")).withColumnsRenamed({k: f"s_{k}" for k in names})
-    judged = _with_distance(rows, groups, names, stats)
-    judged = judged.join(sizes, [F.col(k) == F.col(f"s_{k}") for k in names], "left")
-    far = (F.coalesce("n_fit", F.lit(0)) >= least_group) & (F.coalesce("d2", F.lit(0.0)) > cutoff)
+    judge = judge.withColumnsRenamed({f"j_{k}": f"at_{k}" for k in names})
+    rows = rows.join(judge, [F.col(k) == F.col(f"s_{k}") for k in names], "left").drop(*[f"s_{k}" for k in names])
+    judged = _with_distance(rows, groups.withColumnsRenamed({k: f"at_{k}" for k in names}), [f"at_{k}" for k in names], stats)
+    far = F.coalesce("d2", F.lit(0.0)) > cutoff
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "d2", *names
     )

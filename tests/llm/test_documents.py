@@ -330,3 +330,17 @@ def test_near_duplicates_compare_all_members_of_a_bucket(frame):
     together = [i for i in range(160, 200) if (signature[i] == signature[want[i]]).any()]
     got = {r.doc_id: r.component_id for r in near_duplicates(frame(rows), bands=2, band_rows=1).collect()}
     assert len(together) > 30 and all(got[i] == want[i] for i in together)
+
+
+def test_quality_judges_small_groups_by_coarser_ones(frame):
+    import random
+
+    from documents_made import prose
+
+    rng = random.Random(6)
+    junk = lambda: " ".join(w + "$$$###" for w in prose(rng, 150).split())
+    rows = [(i, prose(rng, rng.randint(80, 400)), "en", f"s{i // 20}") for i in range(300)]
+    rows += [(300 + i, prose(rng, rng.randint(80, 400)), None, None) for i in range(5)]
+    rows += [(1000 + i, junk(), "en", f"s{i}") for i in range(6)] + [(1006, junk(), "fr", "s0"), (1007, junk(), None, None)]
+    kept = {r.doc_id for r in quality_rules(frame(rows)).collect() if r.kept}
+    assert kept == set(range(305))
