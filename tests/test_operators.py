@@ -91,6 +91,16 @@ def test_greedy_pairs_equal_a_sequential_scan(spark):
     assert set(map(tuple, got.collect())) == want
 
 
+def test_greedy_pairs_never_return_a_part(spark):
+    chain = spark.createDataFrame([(i, i + 1, 0.9 - i / 10) for i in range(5)], "a long, b long, v double")
+    assert {(r.a, r.b) for r in matching.greedy_pairs(chain, "a", "b", "v", max_rounds=3).collect()} == {(0, 1), (2, 3), (4, 5)}
+    try:
+        matching.greedy_pairs(chain, "a", "b", "v", max_rounds=1)
+    except RuntimeError:
+        return
+    raise AssertionError("a partial matching was returned")
+
+
 def test_stratified_split_keeps_groups_and_nears_targets(spark):
     rng = random.Random(4)
     rows = [(g, rng.choice("abcd")) for g in range(300) for _ in range(rng.randint(1, 3))]
