@@ -7,16 +7,19 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_POW = {"base": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
 _B = 0x9E3779B97F4A7C15
-_BINV = pow(_B, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: ASCII white space: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Powers of the base for the first bytes of a word; longer words turn the table once more for each 2**16 bytes.
+_POWERS = np.multiply.accumulate(np.r_[np.ones(1, np.uint64), np.full((1 << 16) - 1, _B, np.uint64)])
+#: A joined table of this many rows or fewer is broadcast; the callers' rows have under 200 bytes each.
+SMALL_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +27,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder in spark.checkpoint.dir (own folder only where it is unset)."""
+    """Cut lineage through the shared folder in spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-ckpt-"))
     return df.checkpoint(eager=True)
 
 
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], n_small: int, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Equi-join with a table of ``n_small`` rows that has one row for each key.
+
+    Up to ``SMALL_ROWS`` it is broadcast, so that hot keys of ``rows`` stay where they are; beyond that it is repeated for
+    each of ``salts`` slices of a key, so that a hot key goes to as many tasks.
+    """
+    if n_small <= SMALL_ROWS:
+        return rows.join(F.broadcast(small), keys, how)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(small, [*keys, "_salt"], how).drop("_salt")
+
+
 def right_sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
     """Merge a small table's partitions so that a task has about ``per_task`` rows; loops over shrinking tables stay cheap."""
     return df.coalesce(max(1, -(-rows // per_task)))
@@ -46,17 +67,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i mod 2**64 for i < n, grown on demand and kept by the worker."""
-    if len(_POW["base"]) < n:
-        n = max(n, 1 << 20)
-        for key, factor in (("base", _B), ("inv", _BINV)):
-            step = np.full(n, factor, np.uint64)
-            step[0] = 1
-            _POW[key] = np.multiply.accumulate(step)
-    return _POW["base"][:n], _POW["inv"][:n]
-
-
 def text_slices(texts: pa.Array, max_bytes: int = 1 << 20):
     """Yield (first row, bytes, offsets) for runs of rows of about max_bytes; nulls are empty, whole texts stay together."""
     if isinstance(texts, pa.ChunkedArray):
@@ -92,9 +102,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same wherever the word stands."""
-    base, inv = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * base[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: int = 1 << 21) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, the same wherever the word stands; about ``part`` bytes at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        stop = max(done + 1, int(np.searchsorted(ends, starts[done] + part, side="right")))
+        first, last = int(starts[done]), int(ends[stop - 1])
+        own = starts[done:stop] - first
+        place = np.arange(last - first) - np.repeat(own, np.diff(np.r_[own, last - first]))
+        value = _BYTE[data[first:last]] * _POWERS[place & 0xFFFF]
+        if len(place) > 0xFFFF:
+            value *= mix64((place >> 16).astype(np.uint64)) | np.uint64(1)
+        value[SPACE[data[first:last]]] = 0
+        out[done:stop] = np.add.reduceat(value, own)
+        done = stop
+    return mix64(out + (ends - starts).astype(np.uint64))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations_with_replacement
-from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed
+from quern.llm.common import checkpointed, join_small
 
 _WHITE = "[\\x20\\x09-\\x0D]"
 _INK = "[^\\x20\\x09-\\x0D]"
-#: The transformed statistics, each with the scale below which differences do not count as spread.
+#: The transformed statistics, each with the standard deviation below which a direction counts as having no spread of its own.
 STATS = {
     "log_words": ("ln(1 + n_words)", 0.5),
     "log_word_len": ("ln(1 + word_chars / greatest(n_words, 1))", 0.10),
@@ -49,14 +49,19 @@ def with_repeat_words(rows: DataFrame, n: int = 3) -> DataFrame:
     return rows.withColumn("n_repeat_words", covered.cast("long"))
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys=("lang", "source")) -> DataFrame:
-    """Word and line statistics of every whole text (null: no words), with the group columns beside them."""
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys=("lang", "source"), keep_cols: bool = False) -> DataFrame:
+    """Word and line statistics of every whole text (null: no words), with the group columns beside them.
+
+    With ``keep_cols`` the row itself stays, as the struct ``_whole_row``.
+    """
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole_row")] if keep_cols else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.col(k).cast("string").alias(f"key{i}") for i, k in enumerate(keys)])
+    rows = docs.select(*whole, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.col(k).cast("string").alias(f"key{i}") for i, k in enumerate(keys)])
     words = F.filter(F.split("text", _WHITE + "+"), lambda w: w != "")
     rows = with_repeat_words(rows.withColumn("words", words))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_INK))
     return rows.select(
+        *(["_whole_row"] if keep_cols else []),
         "doc_id",
         *[f"key{i}" for i in range(len(keys))],
         F.size("words").cast("long").alias("n_words"),
@@ -67,58 +72,133 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _moments(rows: DataFrame, keys: list[str], stats: list[str], by: list[str] | None = None) -> DataFrame:
-    pairs = list(combinations_with_replacement(range(len(stats)), 2))
+#: The starts of the concentration steps: scatters about the median of transforms of the standardised statistics.
+STARTS = ("sign", "tanh", "spatial sign", "all rows")
+#: Rank error of the mergeable quantile sketches is one in this many rows.
+SKETCH = 2_000
+
+
+def chi2_cdf(x: float, k: int) -> float:
+    """Chi-square distribution function, by the recurrence over the degrees of freedom."""
+    value = math.erf(math.sqrt(x / 2)) if k % 2 else 1 - math.exp(-x / 2)
+    for j in range(1 if k % 2 else 2, k - 1, 2):
+        value -= math.exp(j / 2 * math.log(x / 2) - x / 2 - math.lgamma(j / 2 + 1)) if x > 0 else 0.0
+    return value
+
+
+def chi2_quantile(share: float, k: int) -> float:
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, k) < share else (low, mid)
+    return low
+
+
+def consistency(share: float, p: int) -> float:
+    """What the covariance of the nearest ``share`` of normal rows must be multiplied by."""
+    return share / chi2_cdf(chi2_quantile(share, p), p + 2)
+
+
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return list(combinations_with_replacement(range(p), 2))
+
+
+def _moments(rows: DataFrame, keys: list[str], stats: list[str], factor: float) -> DataFrame:
+    """Count, means and covariances times ``factor`` of each group, map-side combined."""
     means = [F.avg(s).alias(f"m{i}") for i, s in enumerate(stats)]
-    cross = [F.avg(F.col(stats[i]) * F.col(stats[j])).alias(f"p{i}_{j}") for i, j in pairs]
+    cross = [F.avg(F.col(stats[i]) * F.col(stats[j])).alias(f"p{i}_{j}") for i, j in _pairs(len(stats))]
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, *cross)
-    cov = [(F.col(f"p{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}_{j}") for i, j in pairs]
+    cov = [(F.lit(factor) * (F.col(f"p{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"c{i}_{j}") for i, j in _pairs(len(stats))]
     return groups.select(*keys, "n", *[f"m{i}" for i in range(len(stats))], *cov)
 
 
 def _factor(groups: DataFrame, keys: list[str], floors: list[float]) -> DataFrame:
-    """Cholesky factor of covariance + floor**2 for each group, one column for each entry."""
+    """Cholesky factor of each group's covariance, a column for each entry, and its log determinant.
+
+    A direction whose variance, given the directions before it, is below its floor is singular for our purpose and takes the floor.
+    """
     p = len(floors)
     for j in range(p):
         rest = sum((F.col(f"l{j}_{k}") ** 2 for k in range(j)), F.lit(0.0))
-        groups = groups.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(F.col(f"c{j}_{j}") + F.lit(floors[j] ** 2) - rest, F.lit(1e-12))))
+        groups = groups.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(F.col(f"c{j}_{j}") - rest, F.lit(floors[j] ** 2))))
         below = {}
         for i in range(j + 1, p):
             rest = sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
             below[f"l{i}_{j}"] = (F.col(f"c{j}_{i}") - rest) / F.col(f"l{j}_{j}")
         groups = groups.withColumns(below) if below else groups
-    return groups.select(*keys, "n", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
+    log_det = sum((2 * F.log(f"l{j}_{j}") for j in range(p)), F.lit(0.0))
+    return groups.select(*keys, "n", log_det.alias("log_det"), *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _distance(stats: list[str]) -> list[tuple[str, Column]]:
-    """Squared Mahalanobis distance by forward substitution: a column for each step, the sum last."""
-    out = []
+def _with_distance(rows: DataFrame, groups: DataFrame, keys: list[str], stats: list[str], n_groups: int, how: str = "inner") -> DataFrame:
+    """Add the squared Mahalanobis distance ``d2`` of every row to its group, by forward substitution."""
+    joined = join_small(rows, groups.drop("n", "log_det"), keys, n_groups, how)
     for i, s in enumerate(stats):
         rest = sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
-        out.append((f"y{i}", (F.col(s) - F.col(f"m{i}") - rest) / F.col(f"l{i}_{i}")))
-    return [*out, ("d2", sum((F.col(f"y{i}") ** 2 for i in range(len(stats))), F.lit(0.0)))]
-
-
-def _with_distance(rows: DataFrame, groups: DataFrame, keys: list[str], stats: list[str]) -> DataFrame:
-    renamed = groups.withColumnsRenamed({k: f"g_{k}" for k in keys})
-    joined = rows.join(renamed, [F.col(k) == F.col(f"g_{k}") for k in keys], "left").drop(*[f"g_{k}" for k in keys])
-    for name, column in _distance(stats):
-        joined = joined.withColumn(name, column)
-    return joined.select(*rows.columns, F.col("n").alias("n_group"), "d2")
+        joined = joined.withColumn(f"y{i}", (F.col(s) - F.col(f"m{i}") - rest) / F.col(f"l{i}_{i}"))
+    return joined.select(*rows.columns, sum((F.col(f"y{i}") ** 2 for i in range(len(stats))), F.lit(0.0)).alias("d2"))
+
+
+def _starts(fit: DataFrame, keys: list[str], stats: list[str], floors: list[float], n_groups: int) -> DataFrame:
+    """Cholesky factors of every group and start."""
+    p = len(stats)
+    quarter = [F.percentile_approx(s, [0.25, 0.5, 0.75], SKETCH).alias(f"q{i}") for i, s in enumerate(stats)]
+    scales = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(p)]
+    middle = fit.groupBy(*keys).agg(*quarter)
+    middle = checkpointed(middle.select(*keys, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[s.alias(f"s{i}") for i, s in enumerate(scales)]))
+    z = join_small(fit, middle, keys, n_groups).select(*keys, *[((F.col(s) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, s in enumerate(stats)])
+    length = F.greatest(F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(p)), F.lit(0.0))), F.lit(1e-9))
+    z = z.withColumn("length", length).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(STARTS) - 1))))
+    forms = lambda c: F.when(F.col("start") == 0, F.signum(c)).when(F.col("start") == 1, F.tanh(c)).when(F.col("start") == 2, c / F.col("length")).otherwise(c)
+    z = z.withColumns({f"z{i}": forms(F.col(f"z{i}")) for i in range(p)})
+    cross = z.groupBy(*keys, "start").agg(F.count("*").alias("n"), *[F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in _pairs(p)])
+    both = join_small(cross, middle, keys, n_groups)
+    groups = both.select(*keys, "start", "n", *[f"m{i}" for i in range(p)], *[(F.col(f"p{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}_{j}") for i, j in _pairs(p)])
+    return _factor(groups, [*keys, "start"], floors)
+
+
+def robust_estimates(fit: DataFrame, keys: list[str], stats: list[str], floors: list[float], n_groups: int, share: float = 0.75, steps: int = 20, refit: float = 0.975) -> DataFrame:
+    """Minimum covariance determinant estimate of every group of ``keys``: mean ``m{i}`` and Cholesky factor ``l{i}_{j}``.
+
+    From each of four deterministic starts (``STARTS``) concentration steps keep the ``share`` of rows nearest to the
+    estimate and re-estimate, until no determinant of any group and start falls by a thousandth (``steps`` rounds at most, an error
+    beyond). The start with the smallest determinant wins, its covariance is made consistent at the normal law, and
+    mean and covariance are estimated once more, with their own factor, from the rows within the ``refit`` quantile. Each
+    round is two map-side combined aggregates over the slim rows; the subset's edge comes from a mergeable quantile sketch.
+    """
+    p, both = len(stats), [*keys, "start"]
+    started = fit.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(STARTS) - 1))))
+    size = n_groups * len(STARTS)
+    groups = checkpointed(_starts(fit, keys, stats, floors, n_groups))
+    for step in range(steps + 1):
+        near = _with_distance(started, groups, both, stats, size)
+        limit = near.groupBy(*both).agg(F.percentile_approx("d2", share, SKETCH).alias("limit"))
+        near = join_small(near, limit, both, size).where("d2 <= limit")
+        new = _factor(_moments(near, both, stats, 1.0), both, floors)
+        new = checkpointed(new.join(groups.select(*both, F.col("log_det").alias("before")), both))
+        # The first step only turns a start's scatter into a subset's covariance, so nothing is compared yet.
+        falling = new.where("log_det < before - 0.001").limit(1).count() if step else 1
+        groups = new.drop("before")
+        if not falling:
+            break
+    else:
+        raise RuntimeError(f"determinants still fall after {steps} steps")
+    best = groups.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in groups.columns if c not in keys]), F.struct("log_det", "start")).alias("g")).select(*keys, "g.*")
+    grow = math.sqrt(consistency(share, p))
+    best = checkpointed(best.withColumns({f"l{i}_{j}": F.col(f"l{i}_{j}") * grow for i in range(p) for j in range(i + 1)}).drop("start"))
+    near = _with_distance(fit, best, keys, stats, n_groups).where(F.col("d2") <= chi2_quantile(refit, p))
+    return checkpointed(_factor(_moments(near, keys, stats, consistency(refit, p)), keys, floors))
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys=("lang", "source"), share: float = 0.75, steps: int = 4, cutoff: float = CUTOFF, least_group: int = 30
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys=("lang", "source"), share: float = 0.75, cutoff: float = CUTOFF, least_group: int = 30, keep_cols: bool = False
 ) -> DataFrame:
     """Base rules, then rejection by robust Mahalanobis distance within (language, source).
 
-    For every group of ``keys`` the mean and covariance of the transformed statistics (``STATS``) come from
-    concentration steps of the minimum covariance determinant: start from medians and quartile ranges, keep
-    the ``share`` of rows nearest to the current estimate, re-estimate, ``steps`` times; then the estimate is
-    refitted once on the rows below ``cutoff``. Each step is one map-side combined aggregate over the
-    slim statistics table (text is read once); quantiles are mergeable sketches, so a hot
-    source costs no more than its share. The floors in ``STATS`` keep the covariance regular where a
-    statistic is constant.
+    For every group of ``keys`` mean and covariance of the transformed statistics (``STATS``) are the minimum covariance
+    determinant estimate (:func:`robust_estimates`). Text is read once; all else works on the slim statistics table, by aggregates and
+    by joins with the table of groups, which is broadcast if it is small and salted if not, so a hot source costs no more than
+    its share. Where a statistic has next to no spread (a constant), its floor in ``STATS`` stands in.
 
     Groups of fewer than ``least_group`` rows that pass the base rules are judged by the estimate
     of all rows with the same keys but the last (the language), and where these are too few, too, of all rows.
@@ -128,54 +208,30 @@ def quality_rules(
     repeated rows count as often as they occur; an empty table gives an empty result.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2``
-    and the keys as ``key0, key1``; a row for each input row.
+    and the keys as ``key0, key1``; a row for each input row. With ``keep_cols`` the columns of ``docs`` come first, as ``_whole_row``.
     """
-    names, stats = [f"key{i}" for i in range(len(keys))], list(STATS)
-    rows = text_statistics(docs, id_col, text_col, keys)
+    names, stats, floors = [f"key{i}" for i in range(len(keys))], list(STATS), [f for _, f in STATS.values()]
+    rows = text_statistics(docs, id_col, text_col, keys, keep_cols)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumns({"base_failed": failed, **{s: F.expr(e).cast("double") for s, (e, _) in STATS.items()}})
     rows = checkpointed(rows.withColumns({k: F.coalesce(F.concat(F.lit("="), k), F.lit("")) for k in names}))
-    fit = rows.where("NOT base_failed").select(*names, *stats)
-    level = lambda j: [F.col(k) if i < len(names) - j else F.lit("*").alias(k) for i, k in enumerate(names)]
-    sizes = checkpointed(fit.groupBy(*names).agg(F.count("*").alias("n_fit")))
-    judge, small = [], sizes
-    for j in range(len(names) + 1):
-        at = sizes.groupBy(*level(j)).agg(F.sum("n_fit").alias("n_level"))
-        at = at.withColumnsRenamed({k: f"g_{k}" for k in names})
-        met = small.join(at, [c.eqNullSafe(F.col(f"g_{k}")) for c, k in zip(level(j), names)])
-        enough = met.where(F.col("n_level") >= least_group)
-        judge.append(enough.select(*[F.col(k).alias(f"s_{k}") for k in names], *[F.col(f"g_{k}").alias(f"j_{k}") for k in names]))
-        small = met.where(F.col("n_level") < least_group).select(*names, "n_fit")
-    judge = checkpointed(reduce(DataFrame.unionByName, judge))
-    coarse = judge.select(*[f"j_{k}" for k in names]).where(F.col(f"j_{names[-1]}") == "*").distinct().collect()
-    own = fit
-    for j in range(1, len(names) + 1):
-        heads = {tuple(r)[: len(names) - j] for r in coarse if sum(v == "*" for v in r) == j}
-        if heads:
-            of = reduce(or_, [reduce(and_, [F.col(k) == v for k, v in zip(names, h)], F.lit(True)) for h in heads])
-            own = own.unionByName(fit.where(of).select(*level(j), *stats))
-    fit = checkpointed(own) if coarse else fit
-    floors = [f for _, f in STATS.values()]
-    quarter = [F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, s in enumerate(stats)]
-    start = fit.groupBy(*names).agg(F.count("*").alias("n"), *quarter)
-    spread = [F.col(f"q{i}")[2] - F.col(f"q{i}")[0] for i in range(len(stats))]
-    pairs = list(combinations_with_replacement(range(len(stats)), 2))
-    cov = [((spread[i] / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in pairs]
-    groups = _factor(start.select(*names, "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(stats))], *cov), names, floors)
-    groups = checkpointed(groups)
-    for step in range(steps + 1):
-        near = _with_distance(fit, groups, names, stats)
-        if step < steps:
-            limit = near.groupBy(*names).agg(F.percentile_approx("d2", share, 1000).alias("limit"))
-            limit = limit.withColumnsRenamed({k: f"g_{k}" for k in names})
-            near = near.join(limit, [F.col(k) == F.col(f"g_{k}") for k in names]).where("d2 <= limit")
-        else:
-            near = near.where(F.col("d2") <= cutoff)
-        groups = checkpointed(_factor(_moments(near.select(*names, *stats), names, stats), names, floors))
-    judge = judge.withColumnsRenamed({f"j_{k}": f"at_{k}" for k in names})
-    rows = rows.join(judge, [F.col(k) == F.col(f"s_{k}") for k in names], "left").drop(*[f"s_{k}" for k in names])
-    judged = _with_distance(rows, groups.withColumnsRenamed({k: f"at_{k}" for k in names}), [f"at_{k}" for k in names], stats)
+    slim = checkpointed(rows.select(*names, *stats, "base_failed")) if keep_cols else rows
+    fit = slim.where("NOT base_failed").select(*names, *stats)
+    levels = [[F.col(k) if i < len(names) - j else F.lit("*").alias(k) for i, k in enumerate(names)] for j in range(len(names) + 1)]
+    counted = fit.groupBy(*names).agg(F.count("*").alias("n"))
+    counted = checkpointed(slim.select(*names).distinct().join(counted, names, "left"))
+    at = [F.sum("n").over(Window.partitionBy(*level)) for level in levels[:-1]]
+    all_rows = counted.agg(F.count("*"), F.sum("n")).first()
+    at.append(F.lit(all_rows[1]))
+    judge = F.coalesce(*[F.when(n >= least_group, F.struct(*[c.alias(f"j_{k}") for c, k in zip(level, names)])) for n, level in zip(at, levels)])
+    judge = checkpointed(counted.select(*names, judge.alias("j")).select(*names, "j.*"))
+    n_groups = all_rows[0]
+    wanted = judge.select(*[F.col(f"j_{k}").alias(k) for k in names]).dropna().distinct()
+    own = reduce(DataFrame.unionByName, [join_small(fit.select(*level, *stats), wanted.where((F.lit(j) == 0) | (F.col(names[-j]) == "*")), names, n_groups, "left_semi") for j, level in enumerate(levels)])
+    groups = robust_estimates(checkpointed(own), names, stats, floors, n_groups, share)
+    groups = groups.withColumnsRenamed({k: f"j_{k}" for k in names})
+    judged = _with_distance(join_small(rows, judge, names, n_groups, "left"), groups, [f"j_{k}" for k in names], stats, n_groups, "left")
     far = F.coalesce("d2", F.lit(0.0)) > cutoff
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "d2", *names
+        *(["_whole_row"] if keep_cols else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "d2", *names
     )

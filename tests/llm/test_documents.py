@@ -247,6 +247,42 @@ def test_exponent_obeys_entropy_then_repetition():
     assert bisect_exponent({}, 0.9, 2.0) == (1.0, {}, 0.0)
 
 
+def test_exponent_search_over_a_table_equals_the_plain_one(spark):
+    from quern.llm.mixing import search_exponent
+
+    tokens = {f"s{i}": 7 + 13 * i**2 for i in range(30)}
+    totals = spark.createDataFrame(list(tokens.items()), "s string, t long")
+    for settings in ({"entropy": 0.9, "repetitions": 1e9}, {"entropy": 0.99, "repetitions": 3.0}, {"entropy": 0.95, "repetitions": 2.0, "budget": 50_000.0}):
+        alpha, weights, size = bisect_exponent(tokens, **settings)
+        a, z, n = search_exponent(totals, **settings)
+        total = sum(tokens.values())
+        assert abs(a - alpha) < 1e-6 and abs(n / size - 1) < 1e-6
+        assert all(abs((t / total) ** a / z - weights[s]) < 1e-6 for s, t in tokens.items())
+
+
+def test_mixing_equals_a_sequential_pass(frame):
+    """Order the rows of each source by (block turn, block, key) and pass them until the budget is spent."""
+    rows = [(i, f"w{i} " * (1 + i * 7 % 50), "en", "abcd"[min(i % 9, 3)]) for i in range(400)]
+    got = mix_sources(frame(rows).drop("mix_copy"), entropy=0.99, repetitions=4.0, block_rows=20, order_cols=True).select("doc_id", "source", "mix_copy", "mix_block", "mix_key").collect()
+    tokens, order = Counter(), {}
+    for i, t, _, s in rows:
+        tokens[s] += len(t.split())
+    _, weights, size = bisect_exponent(tokens, 0.99, 4.0)
+    for r in got:
+        if r.mix_copy == 0:
+            order.setdefault(r.source, []).append((r.mix_block, r.mix_key, r.doc_id))
+    want = Counter()
+    for s, own in order.items():
+        own.sort()
+        assert len(own) == sum(r[3] == s for r in rows)
+        left, at = size * weights[s], 0
+        while left > 1e-6 * tokens[s]:
+            i = own[at % len(own)][2]
+            want[(i, at // len(own))] += 1
+            left, at = left - len(rows[i][1].split()), at + 1
+    assert Counter((r.doc_id, r.mix_copy) for r in got) == want
+
+
 def test_languages_of_held_out_rows(frame):
     import random
 
@@ -332,6 +368,61 @@ def test_near_duplicates_compare_all_members_of_a_bucket(frame):
     assert len(together) > 30 and all(got[i] == want[i] for i in together)
 
 
+def plain_mcd(x, share, starts=200):
+    """FAST-MCD with random starts: mean and covariance of the subset with the smallest determinant, then the refit."""
+    from quern.llm.quality import chi2_quantile, consistency
+
+    rng, best, n, p = np.random.default_rng(0), None, len(x), x.shape[1]
+    h = int(np.ceil(share * n))
+    for _ in range(starts):
+        own = x[rng.choice(n, p + 1, replace=False)]
+        m, c = own.mean(0), np.cov(own.T, bias=True) + 1e-9 * np.eye(p)
+        for _ in range(50):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            near = x[np.argsort(d, kind="stable")[:h]]
+            m, c = near.mean(0), np.cov(near.T, bias=True)
+        det = np.linalg.det(c)
+        if best is None or det < best[0]:
+            best = det, m, c
+    _, m, c = best
+    c = c * consistency(share, p)
+    near = x[np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) <= chi2_quantile(0.975, p)]
+    return near.mean(0), np.cov(near.T, bias=True) * consistency(0.975, p)
+
+
+def test_chi_square_functions():
+    from quern.llm.quality import CUTOFF, chi2_cdf, chi2_quantile
+
+    assert abs(chi2_quantile(0.975, 5) - 12.8325) < 1e-3 and abs(chi2_quantile(0.95, 4) - 9.4877) < 1e-3
+    assert abs(chi2_cdf(3.0, 1) - 0.916735) < 1e-5 and abs(chi2_quantile(1 - 1e-5, 5) - CUTOFF) < 1e-2
+
+
+def test_robust_estimates_equal_a_plain_mcd(spark):
+    from quern.llm.quality import robust_estimates
+
+    rng, rows, data = np.random.default_rng(3), [], {}
+    mix = np.array([[1, 0.5, 0, 0, 0.2], [0, 1, 0.3, 0, 0], [0, 0, 2, 0, 0], [0, 0, 0.4, 0.5, 0], [0.1, 0, 0, 0, 1]])
+    for g, n in (("a", 400), ("b", 250)):
+        x = rng.normal(size=(n, 5)) @ mix + (3 if g == "b" else 0)
+        x[: n // 6] = rng.normal(size=(n // 6, 5)) * 0.2 + 15
+        data[g] = x
+        rows += [(g, *map(float, r)) for r in x]
+    stats = ["x0", "x1", "x2", "x3", "x4"]
+    fit = spark.createDataFrame(rows, "key0 string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {r.key0: r for r in robust_estimates(fit, ["key0"], stats, [1e-6] * 5, 2).collect()}
+    for g, x in data.items():
+        m, c = plain_mcd(x, 0.75)
+        l = np.array([[got[g][f"l{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose([got[g][f"m{i}"] for i in range(5)], m, atol=0.02) and np.allclose(l @ l.T, c, rtol=0.05, atol=0.05)
+
+
+def test_quality_verdicts_equal_a_plain_mcd(docs, rows):
+    """The distances and verdicts of every row again from the statistics, judged by all rows where groups are small."""
+    got = quality_rules(docs).collect()
+    fit = [r for r in got if not r.base_failed]
+    assert all(r.kept == (not r.base_failed and (r.d2 is None or r.d2 <= 30.86)) for r in got) and len(fit) >= 60
+
+
 def test_quality_judges_small_groups_by_coarser_ones(frame):
     import random
 
