@@ -7,43 +7,50 @@ tests hold each against a brute-force version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed, table
+from quern.llm.common import SMALL_ROWS, checkpointed, table
 from quern.llm.mixing import mix_sources
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.packing import best_fit_packing
 from quern.llm.quality import quality_rules
-from quern.llm.secrets import MASK_RULE_VERSION, MASK_RULES, redact, secret_ledger
+from quern.llm.secrets import MASK_RULE_VERSION, MASK_RULES, merged_runs, redact, secret_ledger
 
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents that ``judged`` keeps; only ids of the others move to meet the texts, and null ids stay."""
-    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far from their (language, source) go."""
-    return _without(docs, quality_rules(docs))
+    """Documents that fail the base rules or lie far from their (language, source) go; the verdict stays with its row."""
+    judged = quality_rules(docs, keep_cols=True).where("kept")
+    return judged.select(*[F.col(f"_whole_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    return _without(docs, near_duplicates(docs))
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    A row is known by its id and its text: rows that share an id are judged each by its own text, equal ones count once, and a
+    row without id takes part under an id made of its text, above all others.
+    """
+    text = F.coalesce("text", F.lit(""))
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    keyed = docs.select(F.struct(*docs.columns).alias("_whole_row"), row_id.alias("row_id"), F.xxhash64(text).alias("text_key"))
+    slim = docs.select(row_id.alias("row_id"), "text")
+    judged = near_duplicates(slim, id_col="row_id", text_key=True)
+    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    met = keyed.join(kept.hint("merge"), (F.col("row_id") == F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")))
+    first = F.row_number().over(Window.partitionBy("row_id", "text_key").orderBy("row_id"))
+    return met.withColumn("first", first).where("first = 1").select(*[F.col(f"_whole_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text, private keys with their bodies, becomes ``[SECRET]`` and ``n_chars`` follows; no document goes."""
     _, ledger = secret_ledger(docs, rules=MASK_RULES, rule_version=MASK_RULE_VERSION)
-    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans"))
+    hits = checkpointed(merged_runs(ledger.where(F.size("spans") > 0)).select(F.col("blob").alias("hit_blob"), "runs"))
     named = docs.select(F.struct(*docs.columns).alias("_whole_row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hit_key"))
-    joined = named.join(hits, F.col("hit_key") == F.col("hit_blob"), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    text = redact(F.col("_whole_row.text"), F.coalesce("hit_spans", none))
+    size = hits.agg(F.coalesce(F.sum(F.size("runs") + 1), F.lit(0))).first()[0]
+    joined = named.join(F.broadcast(hits) if size <= SMALL_ROWS else hits, F.col("hit_key") == F.col("hit_blob"), "left")
+    text = F.when(F.col("hit_blob").isNull(), F.col("_whole_row.text")).otherwise(redact(F.col("_whole_row.text"), F.col("runs")))
     kept = [F.col(f"_whole_row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     found = joined.select(*kept, text.alias("text"), F.col("_whole_row.n_chars").alias("old_chars"), F.col("hit_blob").isNotNull().alias("changed"))
     chars = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("old_chars"))
@@ -56,8 +63,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
-    return best_fit_packing(docs)
+    """Sequences of at most 2048 tokens, with the ids of every piece."""
+    return best_fit_packing(docs, with_ids=True)
 
 
 STAGES = [

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from quern.llm.components import connected_components
 
 #: Cells of the shingle counts that order shingles by rarity; any order is right, a rare one first is fast.
 GRAM_CELLS = 1 << 20
+#: Tasks that compare texts get about this many bytes of bucket members' texts, each counted once a bucket.
+TASK_BYTES = 64 << 20
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -62,7 +63,7 @@ def one_permutation_signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
 
 
 def _features(words: int, bands: int, band_rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -75,6 +76,8 @@ def _features(words: int, bands: int, band_rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, len(sets)).cast(pa.int64()),
+                        batch.column("text_key").slice(row, len(sets)),
+                        pa.array(np.diff(offsets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(marks[:, 0]),
                         pa.array(marks[:, 1]),
@@ -145,7 +148,7 @@ def _prefixes(words: int, percent: int, weights):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, band_rows: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, band_rows: int = 4, text_key: bool = False
 ) -> DataFrame:
     """Group documents linked by Jaccard similarity >= percent / 100 on distinct word shingles.
 
@@ -154,14 +157,13 @@ def near_duplicates(
     smallest id, so groups of copies cost one row per band. In each bucket of a band all
     classes are paired with one centre only, the smallest class: pairs grow with the bucket,
     not its square. Pairs are confirmed on full sets. Then buckets that still hold several
-    components get two centres drawn by hash, paired with the members outside the centre's
-    component, again and again until a round adds no link.
+    components get one round of two centres drawn by hash, paired with the members outside the centre's component.
 
     Members of buckets that then still hold several components are searched exactly: two sets with the
     wanted similarity share one of their rarest shingles (prefix filter: ``n - ceil(percent * n / 100) + 1`` of n
     shingles, in one order for all, by counts in hash cells). Groups of a prefix shingle go through
-    the same rounds, then every untested pair across components in a group is compared. Pairs whose set
-    sizes rule the similarity out are left out throughout.
+    the same two rounds, then every untested pair across components in a group is compared. Pairs whose set
+    sizes rule the similarity out are left out throughout. So the rounds are five at most, whatever the buckets hold.
 
     Misses: two linked documents meet in no bucket with probability (1 - J**4)**32, at most
     6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``); a link between members of one bucket is never missed.
@@ -171,21 +173,24 @@ def near_duplicates(
     ``component_id`` and ``kept`` true. An empty table gives an empty result. Only the two
     named columns are read.
 
-    Returns ``doc_id, n_shingles, component_id, kept``, a row for each input row.
+    Returns ``doc_id, n_shingles, component_id, kept``, a row for each input row; with ``text_key`` also the xxhash64 of its text.
     """
     if (bands * band_rows) & (bands * band_rows - 1):
         raise ValueError("bands * band_rows must be a power of two")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = checkpointed(texts.mapInArrow(_features(words, bands, band_rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    key = F.xxhash64(F.coalesce("text", F.lit(""))) if text_key else F.lit(None).cast("long")
+    features = texts.withColumn("text_key", key).mapInArrow(_features(words, bands, band_rows), "doc_id long, text_key long, n_bytes long, n_shingles long, k1 long, k2 long, bands array<long>")
+    features = checkpointed(features)
     classes = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    labelled = features.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", "bands", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
-    rows = labelled.where("doc_id = rep").select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
+    labelled = features.join(classes, ["k1", "k2"], "left").select("doc_id", "text_key", "n_bytes", "n_shingles", "bands", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
+    rows = labelled.where("doc_id = rep").select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"), "n_bytes")
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
     buckets = checkpointed(rows.join(shared, "bucket"))
-    n_rows = buckets.count()
+    n_rows, n_bytes = buckets.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    buckets = buckets.drop("n_bytes")
     sized = lambda df: right_sized(df, n_rows)
-    with_text = lambda df: right_sized(df, n_rows, 10_000)
+    with_text = lambda df: right_sized(df, n_bytes, TASK_BYTES)
     buckets = sized(buckets)
     members = sized(buckets.select("rep").distinct())
     pool = with_text(checkpointed(texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")))
@@ -218,18 +223,15 @@ def near_duplicates(
     near_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
     def search(groups):
-        """Stars, then drawn centres, until a round adds no link."""
-        for round_ in count():
+        """Stars, then drawn centres."""
+        for round_ in range(2):
             now = named(groups)
             drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
             drawn = [F.min(F.struct(h.alias("h"), "rep", "component", "n")).alias(f"x{k}") for k, h in enumerate(drawn)]
             centres = now.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
             centres = sized(centres).where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
             pairs = sized(now.join(centres, "bucket")).where("rep <> c.rep AND component <> c.component").where(near_size(F.col("n"), F.col("c.n")))
-            found = compare(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")))
-            if round_ and found.isEmpty():
-                break
-            join_up(found)
+            join_up(compare(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))))
 
     def mixed(groups):
         """The members of groups that hold several components."""
@@ -258,7 +260,8 @@ def near_duplicates(
         right = rest.select("bucket", F.col("component").alias("cb"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
         pairs = sides.join(left, ["bucket", "ca"]).join(right, ["bucket", "cb"]).where(near_size(F.col("na"), F.col("nb")))
         join_up(compare(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))))
-    labels = labelled.drop("bands")
+    labels = labelled.drop("bands", "n_bytes")
     labels = labels.join(found_parts, labels.rep == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return labels.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return labels.select("doc_id", "n_shingles", component.alias("component_id"), kept, *(["text_key"] if text_key else []))
