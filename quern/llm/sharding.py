@@ -47,6 +47,10 @@ def communication_matrix(sources: np.ndarray, targets: np.ndarray, rng: np.rando
     total = sum(left)
     for i, n in enumerate(sources):
         n, rest = int(n), total
+        if 0 < total < 10**9:
+            own = rng.multivariate_hypergeometric(np.array(left, np.int64), n, method="marginals")
+            out[i], left, total = own, [a - b for a, b in zip(left, own.tolist())], total - n
+            continue
         for j in range(len(left)):
             if not n:
                 break
@@ -99,14 +103,15 @@ def uniform_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows are hashed to source blocks of about ``block_rows`` (by default 10 times the root of the row
     count, 20,000 at least). Only the blocks' counts reach the driver, which draws the matrix from source
-    blocks to shards; a second matrix for each shard, drawn in tasks, leads to stretches of its slots.
+    blocks to shards; a second matrix for each shard, drawn in tasks, leads to stretches of its slots. Its cells
+    grow with the rows (about one for each 2,500 rows of 10**10), each one draw.
     Each source block is permuted on its own and cut by its row, the pieces are exchanged, and each
     stretch is permuted again, which gives the slots. No task holds more than one block, and a task that
     runs again repeats its draw: order comes from hashes and seeded generators.
 
-    Nulls and edge cases: null text has size 8 and the checksum of the empty string; a null id is
-    hashed by row, and stays null; repeated rows are dealt one by one; an empty table gives
-    an empty result. Only the two named columns are read.
+    Nulls and edge cases: null text has size 8 and the checksum of the empty string; a null id stays
+    null; rows are hashed with their place in the checkpointed table, so repeated rows are dealt one by one and fill no
+    block together; an empty table gives an empty result. Only the two named columns are read.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
     """
@@ -115,8 +120,8 @@ def uniform_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    slim = slim.withColumn("row", F.monotonically_increasing_id())
-    slim = checkpointed(slim.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("doc_id", "row"), "text_crc32", "size")))
+    slim = checkpointed(slim.withColumn("row", F.monotonically_increasing_id()))
+    slim = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "row"))
     total = slim.count()
     block_rows = block_rows or max(20_000, 10 * math.isqrt(total))
     blocks = max(1, -(-total // block_rows))

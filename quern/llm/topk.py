@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product: M-trees over blocks of vectors, searched best-first."""
+"""Exact top-k search by inner product: pivot cells, and in their blocks M-trees searched best-first."""
 
 from __future__ import annotations
 
@@ -65,13 +65,17 @@ class MTree:
             return np.array_split(rows, math.ceil(len(rows) / max(self.page, math.ceil(len(rows) / self.page))))
         return [rows[owner == k] for k in range(len(pivots)) if (owner == k).any()]
 
-    def search(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) but for ``own_id``: pages by smallest possible distance, entries cut by stored bounds."""
+    def search(self, query: np.ndarray, own_id: int, k: int, known: float = math.nan) -> tuple[list[tuple[int, int]], int]:
+        """The k best (score, id) but for ``own_id``, of scores from ``known`` on, and how many vectors were compared.
+
+        Pages come by smallest possible distance, entries are cut by stored bounds.
+        """
         q2 = float((query.astype(float) ** 2).sum())
         lifted = np.append(query.astype(float), 0.0)
         slack = 1e-6 * (1 + math.sqrt(self.norm2 + q2))
         top: list[tuple[int, int]] = []  # (score, -id), worst first
-        limit = math.inf
+        reach = lambda score: math.sqrt(max(0.0, q2 + self.norm2 - 2 * score))
+        limit, compared = (math.inf if math.isnan(known) else reach(known)), 0
         d_root = float(_distances(self.centre[None], lifted)[0])
         heap = [(max(0.0, d_root - self.radius), 0, self.root, d_root)]
         count = 0
@@ -86,6 +90,7 @@ class MTree:
                 continue
             if leaf:
                 scores = vectors[open_] @ query
+                compared += len(open_)
                 for s, i in zip(scores.tolist(), below[open_].tolist()):
                     if i != own_id:
                         if len(top) < k:
@@ -93,7 +98,7 @@ class MTree:
                         elif (s, -i) > top[0]:
                             heapq.heapreplace(top, (s, -i))
                 if len(top) == k:
-                    limit = math.sqrt(max(0.0, q2 + self.norm2 - 2 * top[0][0]))
+                    limit = min(limit, reach(top[0][0]))
             else:
                 d = _distances(points[open_], lifted)
                 low = np.maximum(d - radii[open_], 0.0)
@@ -101,74 +106,194 @@ class MTree:
                     if lj <= limit + slack:
                         count += 1
                         heapq.heappush(heap, (lj, count, below[j], dj))
-        return sorted(((s, -i) for s, i in top), key=lambda x: (-x[0], x[1]))
+        return sorted(((s, -i) for s, i in top), key=lambda x: (-x[0], x[1])), compared
+
+
+def _lifted(vectors: np.ndarray, norm2: float) -> np.ndarray:
+    """One coordinate more, so that all stored vectors have the same norm."""
+    return np.column_stack([vectors, np.sqrt(np.maximum(norm2 - (vectors**2).sum(axis=1), 0.0))])
+
+
+def far_apart(points: np.ndarray, n: int) -> np.ndarray:
+    """Places of up to ``n`` pivots, each the point farthest from those before it."""
+    chosen, nearest = [0], _distances(points, points[0])
+    while len(chosen) < n:
+        far = int(nearest.argmax())
+        if nearest[far] == 0:
+            break
+        chosen.append(far)
+        nearest = np.minimum(nearest, _distances(points, points[far]))
+    return np.array(chosen)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _by_dim(batch: pa.RecordBatch):
+    """The parts of a batch with vectors of one length."""
+    dims = batch.column("dim").to_numpy()
+    for d in np.unique(dims):
+        yield int(d), batch.take(pa.array(np.flatnonzero(dims == d))) if len(np.unique(dims)) > 1 else batch
+
+
+def _assign(pivots: dict[int, np.ndarray], norm2: float, stored: bool):
+    """Nearest pivot of every vector and its distance; queries are lifted by zero, stored vectors to the common norm."""
+
+    def run(batches):
+        for batch in batches:
+            for d, part in _by_dim(batch):
+                v = _matrix(part.column("v")).astype(float)
+                cell, far = np.zeros(len(v), np.int32), np.zeros(len(v))
+                if d in pivots:
+                    at = _lifted(v, norm2) if stored else np.column_stack([v, np.zeros(len(v))])
+                    for k in range(0, len(at), 1024):
+                        gap = ((at[k : k + 1024, None, :] - pivots[d][None]) ** 2).sum(axis=2) if len(pivots[d]) <= 16 else np.stack([((at[k : k + 1024] - c) ** 2).sum(axis=1) for c in pivots[d]], axis=1)
+                        cell[k : k + 1024], far[k : k + 1024] = gap.argmin(axis=1), np.sqrt(gap.min(axis=1))
+                yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(cell), part.column("vec_id"), part.column("v"), pa.array(far)], names=["dim", "cell", "vec_id", "v", "far"])
+
+    return run
+
+
+def _route(cells: dict[int, list[tuple[int, float]]], pivots: dict[int, np.ndarray], norm2: float):
+    """The cells beyond its own whose ball may hold a better or equal answer than a query's limit."""
+
+    def run(batches):
+        for batch in batches:
+            for d, part in _by_dim(batch):
+                v = _matrix(part.column("v")).astype(float)
+                q2 = (v**2).sum(axis=1)
+                limit = part.column("limit").to_numpy(zero_copy_only=False)
+                own = part.column("cell").to_numpy()
+                slack = 1e-6 * (1 + np.sqrt(norm2 + q2))
+                reach = np.where(np.isnan(limit), np.inf, np.sqrt(np.maximum(q2 + norm2 - 2 * np.nan_to_num(limit), 0.0))) + slack
+                at = np.column_stack([v, np.zeros(len(v))])
+                for cell, radius in cells.get(d, ()):
+                    low = (np.sqrt(((at - pivots[d][cell]) ** 2).sum(axis=1)) if d in pivots else np.zeros(len(v))) - radius
+                    go = np.flatnonzero((low <= reach) & (own != cell))
+                    if len(go):
+                        taken = part.take(pa.array(go))
+                        columns = [taken.column("dim"), pa.array(np.full(len(go), cell, np.int32)), taken.column("vec_id"), taken.column("v"), taken.column("limit")]
+                        yield pa.RecordBatch.from_arrays(columns, names=["dim", "cell", "vec_id", "v", "limit"])
+
+    return run
 
 
 def _pack(key, rows):
-    """One block: its ids and integer vectors as bytes."""
-    ids, flat = rows["vec_id"].to_numpy(), rows["v"].combine_chunks()
-    vectors = flat.flatten().to_numpy().reshape(len(ids), -1)
+    """One block: its ids, integer vectors and, of queries, limits, as bytes."""
+    ids, vectors = rows["vec_id"].to_numpy(), _matrix(rows["v"])
     order = np.argsort(ids, kind="stable")
-    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "vectors": [np.ascontiguousarray(vectors[order]).tobytes()]})
+    out = {"dim": pa.array([key[0].as_py()], pa.int32()), "cell": pa.array([key[1].as_py()], pa.int32()), "block": pa.array([key[2].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "vectors": [np.ascontiguousarray(vectors[order]).tobytes()]}
+    if "limit" in rows.column_names:
+        out["limits"] = [rows["limit"].to_numpy()[order].tobytes()]
+    return pa.table(out)
 
 
-def _search(k: int, page: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _search(k: int, page: int, norm2: float):
+    """Best-first search of each packed query in the block it meets; one tree is kept while its block comes again."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("n_compared", pa.int64())])
 
     def run(batches):
         kept = (None, None)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 ids, queries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                if kept[0] != (row["dim"], row["block"]):
-                    vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dim"])
-                    norm2 = float((vectors.astype(float) ** 2).sum(axis=1).max())
-                    kept = ((row["dim"], row["block"]), MTree(ids, vectors, norm2, page))
-                out = [[], [], []]
-                for q, v in zip(queries.tolist(), np.frombuffer(row["q_vectors"], np.int64).reshape(len(queries), row["dim"])):
-                    for score, i in kept[1].search(v, q, k):
-                        out[0].append(q), out[1].append(i), out[2].append(score)
+                name = row["dim"], row["cell"], row["block"]
+                if kept[0] != name:
+                    kept = name, MTree(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dim"]), norm2, page)
+                out = [[], [], [], []]
+                limits = np.frombuffer(row["q_limits"], np.float64)
+                for q, v, limit in zip(queries.tolist(), np.frombuffer(row["q_vectors"], np.int64).reshape(len(queries), row["dim"]), limits.tolist()):
+                    found, n = kept[1].search(v, q, k, limit)
+                    # A row without vector carries the count of compared vectors.
+                    for score, i_, n_ in [*((s, j, 0) for s, j in found), (None, None, n)]:
+                        out[0].append(q), out[1].append(i_), out[2].append(score), out[3].append(n_)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
     return run
 
 
 def exact_top_k(
-    vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, block_rows: int = 4_000, query_rows: int = 2_000, page: int = 64
+    vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, block_rows: int = 4_000, query_rows: int = 2_000, page: int = 64, max_cells: int = 256, sample_rows: int = 4_096, counts: bool = False
 ) -> DataFrame:
     """The ``k`` highest integer inner products of each query over all other rows, ties to the smaller id.
 
-    Components become floor(scale * x). Rows are hashed to blocks of about ``block_rows`` and queries to blocks of about
-    ``query_rows``; every query block meets every vector block by an equi-join on the block number, each meeting builds
-    (or reuses) the block's M-tree and searches it best-first, and each query keeps the best ``k`` of its blocks'
-    answers. What a task holds is one block of each; nothing is broadcast. ``queries`` has the same columns as
-    ``vectors``; by default rows whose id is divisible by 100.
+    Components become floor(scale * x). The index has three levels: cells around up to ``max_cells`` far-apart pivots (chosen
+    from the ``sample_rows`` rows with the smallest hashes; every row is indexed, at its nearest pivot), blocks of about ``block_rows`` within
+    a cell, and in each block an M-tree of pages with covering radii and parent distances. A query is searched in its own cell
+    first; its k-th score is the limit with which it goes only to those other cells whose covering ball, by the triangle inequality, may hold
+    an equal or better one, and there into the trees, best-first. Each query keeps the best ``k`` of its blocks'
+    answers. A task holds one block and one pack of about ``query_rows`` queries; shared data are the pivots and radii, ``max_cells`` rows.
+    ``queries`` has the same columns as ``vectors``; by default rows whose id is divisible by 100.
 
     Nulls and edge cases: null vectors and ids, empty vectors and vectors with a null or non-finite component take no part; vectors meet only
     vectors of their own length; a query with fewer than ``k`` candidates returns all; repeated ids are candidates each, but
-    never of a query with their id; an empty table gives an empty result; only the two named columns are read.
+    never of a query with their id; an empty table gives an empty result; only the two named columns are read. If the square of a scaled vector's length
+    reaches 2**62, scores might not fit a long: a ValueError.
 
-    Returns ``query_id, rank, vec_id, score``.
+    Returns ``query_id, rank, vec_id, score``; with ``counts`` also ``n_compared``, the stored vectors a query's score was computed for.
     """
-    spark = vectors.sparkSession
 
     def clean(df):
         v = F.col(vector_col)
         ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
         scaled = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-        rows = df.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"))
-        return rows.withColumn("dim", F.size("v"))
+        rows = df.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"), v.alias("raw"))
+        norm = F.aggregate("raw", F.lit(0.0), lambda a, x: a + F.pow(F.lit(float(scale)) * x.cast("double"), F.lit(2.0)))
+        return rows.select("vec_id", "v", F.size("v").alias("dim"), norm.alias("norm"))
 
     base = clean(vectors)
     asked = base.where(F.col("vec_id") % 100 == 0) if queries is None else clean(queries)
-    blocks = max(1, -(-vectors.count() // block_rows))
-    parts = max(1, -(-asked.count() // query_rows))
-    packed = "dim int, block int, ids binary, vectors binary"
-    stored = base.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(_pack, packed)
-    wanted = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts)).cast("int")).groupBy("dim", "block").applyInArrow(_pack, packed)
-    wanted = wanted.select(F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    stored = checkpointed(stored)
-    met = stored.join(wanted.hint("merge"), (F.col("block") == F.col("at")) & (F.col("dim") == F.col("q_dim"))).select("dim", "block", "ids", "vectors", "q_ids", "q_vectors")
-    found = met.mapInArrow(_search(k, page), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, top = base.agg(F.count("*"), F.max("norm")).first()
+    n_queries, top_query = asked.agg(F.count("*"), F.max("norm")).first()
+    if max(top or 0.0, top_query or 0.0) >= 2.0**62:
+        raise ValueError("scores of these vectors may not fit a long")
+    norm2 = float(base.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))).first()[0] or 0)
+    pivots: dict[int, np.ndarray] = {}
+    n_cells = min(max_cells, -(-n // block_rows))
+    if n_cells > 1:
+        drawn = base.select("dim", "v", F.xxhash64("vec_id", F.lit(3)).alias("h")).orderBy("h", "dim").limit(sample_rows).collect()
+        for d in sorted({r.dim for r in drawn}):
+            points = _lifted(np.array([r.v for r in drawn if r.dim == d], float), norm2)
+            pivots[d] = points[far_apart(points, max(1, round(n_cells * len(points) / len(drawn))))]
+    kinds = "dim int, cell int, vec_id long, v array<long>, far double"
+    stored = base.select("dim", "vec_id", "v").mapInArrow(_assign(pivots, norm2, True), kinds)
+    stored = checkpointed(stored) if n_cells > 1 else stored
+    sizes = stored.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
+    cells: dict[int, list[tuple[int, float]]] = {}
+    for r in sizes:
+        cells.setdefault(r.dim, []).append((r.cell, r.radius))
+    blocks = F.coalesce(*[F.when((F.col("dim") == r.dim) & (F.col("cell") == r.cell), F.lit(-(-r.n // block_rows))) for r in sizes if r.n > block_rows], F.lit(1))
+    packed = "dim int, cell int, block int, ids binary, vectors binary"
+    block = F.pmod(F.xxhash64("vec_id", F.lit(3)), blocks).cast("int")
+    trees = checkpointed(stored.select("dim", "cell", block.alias("block"), "vec_id", "v").groupBy("dim", "cell", "block").applyInArrow(_pack, packed))
+    parts = max(1, -(-n_queries // query_rows))
+
+    def meet(rows):
+        """Search packs of ``rows`` (dim, cell, vec_id, v, limit) in all blocks of their cells."""
+        pack = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts)).cast("int")
+        packs = rows.select("dim", "cell", pack.alias("block"), "vec_id", "v", "limit").groupBy("dim", "cell", "block").applyInArrow(_pack, packed + ", limits binary")
+        packs = packs.select("dim", "cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("limits").alias("q_limits"))
+        met = trees.join(packs.hint("merge"), ["dim", "cell"]).select("dim", "cell", "block", "ids", "vectors", "q_ids", "q_vectors", "q_limits")
+        return met.mapInArrow(_search(k, page, norm2), "query_id long, vec_id long, score long, n_compared long")
+
+    def best(rows):
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return rows.where("vec_id IS NOT NULL").withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+
+    home = asked.select("dim", "vec_id", "v").distinct().mapInArrow(_assign(pivots, norm2, False), kinds)
+    home = checkpointed(home.drop("far").withColumn("limit", F.lit(float("nan"))))
+    found = checkpointed(meet(home))
+    if n_cells > 1:
+        limit = best(found).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("limit"))
+        again = home.drop("limit").join(limit, "vec_id", "left").select("dim", "cell", "vec_id", "v", F.coalesce("limit", F.lit(float("nan"))).alias("limit"))
+        routed = again.mapInArrow(_route(cells, pivots, norm2), "dim int, cell int, vec_id long, v array<long>, limit double")
+        found = found.unionByName(meet(routed))
+        found = checkpointed(found) if counts else found
+    out = best(found).select("query_id", "rank", "vec_id", "score")
+    if counts:
+        work = found.groupBy(F.col("query_id").alias("_q")).agg(F.sum("n_compared").alias("n_compared"))
+        out = out.join(work, F.col("query_id") == F.col("_q")).drop("_q")
+    return out

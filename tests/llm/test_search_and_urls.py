@@ -39,6 +39,24 @@ def test_top_k_matches_brute_force(spark):
         assert {tuple(r) for r in got} == brute(rows) and len(got) == len(brute(rows))
 
 
+def test_top_k_prunes_cells_and_pages(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 10
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=8) * 0.3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_top_k(df, block_rows=150, query_rows=10, page=16, counts=True).collect()
+    assert {tuple(r)[:4] for r in got} == brute(rows)
+    compared = sorted({r.query_id: r.n_compared for r in got}.values())
+    assert compared[len(compared) // 2] < 3000 / 4 and sum(compared) < 30 * 3000 / 2, compared
+
+
+def test_top_k_refuses_scores_beyond_a_long(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        exact_top_k(spark.createDataFrame([(100, [1e30, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_top_k_of_an_empty_table(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -85,3 +103,24 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert everywhere == [len(PATTERN_RULES) - 1] and index["login"] == [3]
     common = spark.createDataFrame([("http://cheap.net/cheap",)] * 5 + [("http://pills.net",)], "url string")
     assert index_rules(common)[0]["pills"] == [1] and "cheap" not in index_rules(common)[0]
+
+
+def test_tokens_come_from_the_parsed_patterns():
+    from quern.llm.urls import literal_tokens
+
+    sets = {p: {frozenset(s) for s in t} for p, t in PATTERN_RULES}
+    assert sets[r"://([^/]*[.-])?(cheap|discount)-pills[.-]"] == {frozenset({"cheap", "discount"}), frozenset({"pills"})}
+    for unsure in (r"foo[0-9]+bar", r"a.b", r"x{2,}foo", r"(?i:foo)", r"(?i)/foo/", r"foo", r"[a-z]foo/"):
+        assert literal_tokens(unsure) == (), unsure
+    assert literal_tokens(r"^https?://spam[.]") == (frozenset({"http", "https"}), frozenset({"spam"}))
+    assert literal_tokens(r"/ads?/") == (frozenset({"ad", "ads"}),)
+
+
+def test_rules_from_a_table(spark):
+    from quern.llm.urls import load_rules
+
+    table = spark.createDataFrame([("a.org", "/x", "block", None), ("org", None, "allow", None), (None, None, None, r"/bad/"), (None, None, None, r"/bad/")], "host string, path string, verdict string, pattern string")
+    sites, patterns = load_rules(table)
+    assert sites == (("a.org", "/x", "block"), ("org", "/", "allow")) and patterns == ((r"/bad/", (frozenset({"bad"}),)),)
+    pages = spark.createDataFrame([(1, "http://b.a.org/x1"), (2, "http://q.org/bad/"), (3, "http://q.net/bad/"), (4, "http://" + "a." * 50_000 + "net/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in filter_urls(pages, sites=sites, patterns=patterns).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
