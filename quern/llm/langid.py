@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import checkpointed, join_small
+
 _LETTER = regex.compile(r"\p{L}")
-#: Matches of three bytes count: they tell languages apart in short texts, where longer ones are rare.
-_FINE = {"window_log": 18, "hash_log": 15, "chain_log": 15, "search_log": 3, "min_match": 3, "strategy": zstandard.STRATEGY_LAZY2}
 
 
 def _folded(text: str) -> str:
@@ -22,45 +22,54 @@ def _folded(text: str) -> str:
 
 
 def learn_dictionaries(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 600, doc_chars: int = 600, dictionaries: int = 1, max_bytes: int = 110_000
-) -> dict[str, list[bytes]]:
-    """Raw-content dictionaries for every language of ``labelled``, the most frequent language first.
-
-    A hash of the id draws about ``sample_docs`` rows a language (all, if fewer), and each gives a stretch of at most
-    ``doc_chars`` characters from its middle: the sample that reaches the driver is bounded by
-    languages * sample_docs * doc_chars, whatever the table's size. Texts without a letter and null languages are left out.
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64, sample_rows: int = 8_192, long_chars: int = 20_000
+) -> dict[str, bytes]:
+    """One raw-content dictionary for every language of ``labelled``, the most frequent language first.
+
+    A language gives ``sample_docs`` rows (all, if fewer), those with the smallest hashes of the id, rows of over ``long_chars`` characters
+    only after all others; with many languages so many fewer that about ``sample_rows`` rows are drawn in all, one a language at
+    least. That is the bound on what reaches the driver. A drawn text is used whole: the dictionary is all of them, one after the
+    other. Texts without a letter and null languages are left out.
     """
     rows = labelled.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    place = F.struct((F.length("text") > long_chars).alias("long"), F.col("h"))
+    slim = checkpointed(rows.select("lang", place.alias("place")))
+    counts = {r["lang"]: r["n"] for r in slim.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n))])
-    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
-    middle = F.greatest(F.lit(1), F.floor((F.length("text") - doc_chars) / 2).cast("int") + 1)
-    drawn = drawn.select("lang", "h", F.substring("text", middle, F.lit(doc_chars)).alias("part")).collect()
-    found: dict[str, list[bytes]] = {}
+    most = max(1, min(sample_docs, sample_rows // len(counts)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    last = slim.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("lang").agg(F.max("place").alias("last"))
+    drawn = join_small(rows.withColumn("place", place), last, ["lang"], len(counts)).where("place <= last").select("lang", "place", "text").collect()
+    found: dict[str, bytes] = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        parts = [_folded(r["part"]) for r in sorted((r for r in drawn if r["lang"] == lang), key=lambda r: (r["h"], r["part"]))]
-        parts = list(dict.fromkeys(parts))
-        found[lang] = [" ".join(parts[k::dictionaries] or parts).encode()[-max_bytes:] for k in range(dictionaries)]
+        own = sorted((r["place"], r["text"]) for r in drawn if r["lang"] == lang)
+        found[lang] = " ".join(dict.fromkeys(_folded(text) for _, text in own)).encode()
     return found
 
 
-def _classify(dictionaries: dict[str, list[bytes]], margin: float, temperature: float):
-    langs = list(dictionaries)
+def compressors(dictionaries: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
+    """A compressor for each dictionary, whose window and tables span the whole of it.
+
+    Matches of three bytes count: they tell languages apart in short texts, where longer ones are rare.
+    """
+    out = []
+    for raw in dictionaries.values():
+        bits = min(max(len(raw), 1 << 15).bit_length(), 27)
+        fine = zstandard.ZstdCompressionParameters(window_log=bits + 1 if bits < 27 else 27, hash_log=min(bits, 20), chain_log=min(bits, 20), search_log=3, min_match=3, strategy=zstandard.STRATEGY_LAZY2)
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=fine)
+        out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=fine))
+    return out
+
+
+def _classify(dictionaries, margin: float, temperature: float):
+    """``dictionaries`` is a Spark broadcast of the learned bytes."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
     def run(batches):
-        packers = []
-        for lang in langs:
-            own = []
-            for raw in dictionaries[lang]:
-                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                fine = zstandard.ZstdCompressionParameters(**_FINE)
-                d.precompute_compress(compression_params=fine)
-                own.append(zstandard.ZstdCompressor(dict_data=d, compression_params=fine))
-            packers.append(own)
+        langs, packers = list(dictionaries.value), compressors(dictionaries.value)
         for batch in batches:
             pred, score, accepted = [], [], []
             for text in batch.column("text"):
@@ -69,9 +78,9 @@ def _classify(dictionaries: dict[str, list[bytes]], margin: float, temperature:
                     pred.append("und"), score.append(0.0), accepted.append(False)
                     continue
                 raw = _folded(text).encode()
-                sizes = np.array([sum(len(p.compress(raw)) for p in own) for own in packers], float)
+                sizes = np.array([len(p.compress(raw)) for p in packers], float)
                 best = int(sizes.argmin())
-                gain = (sizes - sizes[best]) / len(packers[0])
+                gain = sizes - sizes[best]
                 rest = np.delete(gain, best)
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(-gain / temperature).sum()))
@@ -83,14 +92,15 @@ def _classify(dictionaries: dict[str, list[bytes]], margin: float, temperature:
 
 
 def identify_languages(
-    docs: DataFrame, dictionaries: dict[str, list[bytes]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = 0.15, temperature: float = 4.0
+    docs: DataFrame, dictionaries: dict[str, bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = 0.15, temperature: float = 4.0
 ) -> DataFrame:
-    """Predict the language whose dictionaries shorten the whole text most; narrow margins are rejected.
+    """Predict the language whose dictionary shortens the whole text most; narrow margins are rejected.
 
-    Each text is compressed once with every dictionary of every language; the summed sizes decide, ties to
+    Each text is compressed once with every language's dictionary; the smallest size decides, ties to
     the language that comes first in ``dictionaries``. ``score`` is the softmax of the size differences in bytes; ``accepted`` is false if the
     runner-up is within ``margin * sqrt(bytes)`` bytes, so that a caller may treat the row as undecided.
-    Without ``dictionaries`` they are learned from the rows whose crc32 of the id's text, modulo 3, is not 1.
+    Without ``dictionaries`` they are learned from the rows whose crc32 of the id's text, modulo 3, is not 1. They go to the
+    tasks as one broadcast, of the sampled rows' size.
 
     Nulls and edge cases: null text and text without a letter give ``und``, score 0, not accepted; so
     does everything if no language was learned. A null id counts as learnable (not held out). Repeated rows and extra
@@ -101,5 +111,6 @@ def identify_languages(
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
     if dictionaries is None:
         dictionaries = learn_dictionaries(docs.where(~held_out), id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_classify(dictionaries, margin, temperature), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(_classify(shared, margin, temperature), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

@@ -216,6 +216,37 @@ def test_packing_tree_reaches_the_bound(spark):
     assert max(fill.values()) <= 2048 and len(fill) <= 1.01 * math.ceil(sum(length.values()) / 2048)
 
 
+def test_packing_sends_up_all_that_can_merge(spark):
+    """What stays behind saves no sequence: as many sequences as if every underfull bin went up."""
+    rng = np.random.default_rng(11)
+    for low, high in ((700, 1500), (1, 2048), (1100, 2000)):
+        items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(low, high, 3000))], "item long, length long")
+        few, all_ = (pack_pieces(items, 2048, group_rows=100, fan_in=4, forward=f).select("sequence_id").distinct().count() for f in (4, 10**6))
+        assert few == all_
+
+
+def test_packing_falls_back_on_other_vocabularies(docs, rows):
+    import glob
+
+    from quern.llm.packing import _Encoder, tokenize_pieces
+    from tokenizers import Tokenizer
+
+    others = [p for p in sorted(glob.glob("/opt/tokenizers/**/*.json", recursive=True)) if p != tokenizer_path()]
+    for path in others:
+        try:
+            tok = Tokenizer.from_file(path)
+        except Exception:  # noqa: BLE001
+            continue
+        texts = [t for _, t, *_ in rows[:30] if t]
+        enc = _Encoder(path, 1000)
+        assert [np.frombuffer(enc.ids(t), "<u4").tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_gives_the_token_ids(docs):
+    got = best_fit_packing(docs, with_ids=True).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, fills = best_fit([7, 5, 3, 3, 2], 10)
     assert fills == [10, 10] and bins == [0, 1, 0, 1, 1] and offsets == [0, 0, 7, 5, 8]
@@ -299,6 +330,35 @@ def test_languages_of_held_out_rows(frame):
     assert len(held) > 100 and sum(a == b for a, b in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_languages_equal_plain_compression(frame):
+    """Every prediction again: the smallest of the sizes under plain zstandard with each learned dictionary."""
+    import random
+
+    import zstandard
+
+    from documents_made import prose
+    from quern.llm.langid import learn_dictionaries
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(1, 300)) + " ".join(rng.choice(["der", "die", "und"] if i % 2 else ["le", "et", "une"]) for _ in range(9)), "de" if i % 2 else "fr", "web") for i in range(200)]
+    rows.append((500, "Und " * 30_000, "de", "web"))
+    df = frame(rows)
+    learned = learn_dictionaries(df, sample_docs=20)
+    assert set(learned) == {"de", "fr"}
+    assert max(len(raw) for raw in learned.values()) < 100_000 and learn_dictionaries(df.where("doc_id = 500"))["de"] == ("und " * 29_999 + "und").encode()
+    want = {}
+    for i, t, *_ in rows:
+        raw, sizes = " ".join(t.lower().split()).encode(), []
+        for content in learned.values():
+            bits = max(len(content), 1 << 15).bit_length()
+            params = zstandard.ZstdCompressionParameters(window_log=bits + 1, hash_log=min(bits, 20), chain_log=min(bits, 20), search_log=3, min_match=3, strategy=zstandard.STRATEGY_LAZY2)
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(compression_params=params)
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress(raw)))
+        want[i] = list(learned)[sizes.index(min(sizes))]
+    assert {r.doc_id: r.lang_pred for r in identify_languages(df, learned).collect()} == want
+
+
 def test_empty_tables(empty):
     assert near_duplicates(empty).count() == 0
     assert remove_repeats(empty).count() == 0
