@@ -157,35 +157,37 @@ def _starts(fit: DataFrame, keys: list[str], stats: list[str], floors: list[floa
     return _factor(groups, [*keys, "start"], floors)
 
 
-def robust_estimates(fit: DataFrame, keys: list[str], stats: list[str], floors: list[float], n_groups: int, share: float = 0.75, steps: int = 20, refit: float = 0.975) -> DataFrame:
+def robust_estimates(fit: DataFrame, keys: list[str], stats: list[str], floors: list[float], n_groups: int, share: float = 0.75, steps: int = 12, refit: float = 0.975) -> DataFrame:
     """Minimum covariance determinant estimate of every group of ``keys``: mean ``m{i}`` and Cholesky factor ``l{i}_{j}``.
 
-    From each of four deterministic starts (``STARTS``) concentration steps keep the ``share`` of rows nearest to the
-    estimate and re-estimate, until no determinant of any group and start falls by a thousandth (``steps`` rounds at most, an error
-    beyond). The start with the smallest determinant wins, its covariance is made consistent at the normal law, and
-    mean and covariance are estimated once more, with their own factor, from the rows within the ``refit`` quantile. Each
-    round is two map-side combined aggregates over the slim rows; the subset's edge comes from a mergeable quantile sketch.
+    Two concentration steps from each of four deterministic starts (``STARTS``) keep the ``share`` of rows nearest to the
+    estimate and re-estimate; the start with the smallest determinant goes on until no determinant of any group falls by a hundredth, or
+    for ``steps`` steps (the determinant falls at every step, so the last estimate is the best). Its covariance is made consistent at the
+    normal law, and mean and covariance are estimated once more, with their own factor, from the rows within the ``refit`` quantile. Each
+    step is two map-side combined aggregates over the slim rows; the subset's edge comes from a mergeable quantile sketch.
     """
     p, both = len(stats), [*keys, "start"]
-    started = fit.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(STARTS) - 1))))
-    size = n_groups * len(STARTS)
+
+    def concentrated(rows, groups, by, size):
+        near = _with_distance(rows, groups, by, stats, size)
+        limit = near.groupBy(*by).agg(F.percentile_approx("d2", share, SKETCH).alias("limit"))
+        near = join_small(near, limit, by, size).where("d2 <= limit")
+        return checkpointed(_factor(_moments(near, by, stats, 1.0), by, floors))
+
     groups = checkpointed(_starts(fit, keys, stats, floors, n_groups))
-    for step in range(steps + 1):
-        near = _with_distance(started, groups, both, stats, size)
-        limit = near.groupBy(*both).agg(F.percentile_approx("d2", share, SKETCH).alias("limit"))
-        near = join_small(near, limit, both, size).where("d2 <= limit")
-        new = _factor(_moments(near, both, stats, 1.0), both, floors)
-        new = checkpointed(new.join(groups.select(*both, F.col("log_det").alias("before")), both))
-        # The first step only turns a start's scatter into a subset's covariance, so nothing is compared yet.
-        falling = new.where("log_det < before - 0.001").limit(1).count() if step else 1
-        groups = new.drop("before")
+    started = fit.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(STARTS) - 1))))
+    for _ in range(2):
+        groups = concentrated(started, groups, both, n_groups * len(STARTS))
+    best = groups.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in groups.columns if c not in both]), F.struct("log_det", "start")).alias("g")).select(*keys, "g.*")
+    best = checkpointed(best)
+    for _ in range(steps):
+        new = concentrated(fit, best, keys, n_groups)
+        falling = new.join(best.select(*keys, F.col("log_det").alias("before")), keys).where("log_det < before - 0.01").limit(1).count()
+        best = new
         if not falling:
             break
-    else:
-        raise RuntimeError(f"determinants still fall after {steps} steps")
-    best = groups.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in groups.columns if c not in keys]), F.struct("log_det", "start")).alias("g")).select(*keys, "g.*")
     grow = math.sqrt(consistency(share, p))
-    best = checkpointed(best.withColumns({f"l{i}_{j}": F.col(f"l{i}_{j}") * grow for i in range(p) for j in range(i + 1)}).drop("start"))
+    best = best.withColumns({f"l{i}_{j}": F.col(f"l{i}_{j}") * grow for i in range(p) for j in range(i + 1)})
     near = _with_distance(fit, best, keys, stats, n_groups).where(F.col("d2") <= chi2_quantile(refit, p))
     return checkpointed(_factor(_moments(near, keys, stats, consistency(refit, p)), keys, floors))
 

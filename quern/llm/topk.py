@@ -216,7 +216,7 @@ def _search(k: int, page: int, norm2: float):
 
 
 def exact_top_k(
-    vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, block_rows: int = 4_000, query_rows: int = 2_000, page: int = 64, max_cells: int = 256, sample_rows: int = 4_096, counts: bool = False
+    vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, block_rows: int = 4_000, query_rows: int = 500, page: int = 64, max_cells: int = 256, sample_rows: int = 4_096, counts: bool = False
 ) -> DataFrame:
     """The ``k`` highest integer inner products of each query over all other rows, ties to the smaller id.
 
@@ -271,13 +271,16 @@ def exact_top_k(
     trees = checkpointed(stored.select("dim", "cell", block.alias("block"), "vec_id", "v").groupBy("dim", "cell", "block").applyInArrow(_pack, packed))
     parts = max(1, -(-n_queries // query_rows))
 
+    # A meeting is little data and much work, so meetings are dealt out evenly whatever their size in bytes.
+    tasks = min(20_000, max(1, parts * sum(-(-r.n // block_rows) for r in sizes)))
+
     def meet(rows):
         """Search packs of ``rows`` (dim, cell, vec_id, v, limit) in all blocks of their cells."""
         pack = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts)).cast("int")
         packs = rows.select("dim", "cell", pack.alias("block"), "vec_id", "v", "limit").groupBy("dim", "cell", "block").applyInArrow(_pack, packed + ", limits binary")
-        packs = packs.select("dim", "cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("limits").alias("q_limits"))
-        met = trees.join(packs.hint("merge"), ["dim", "cell"]).select("dim", "cell", "block", "ids", "vectors", "q_ids", "q_vectors", "q_limits")
-        return met.mapInArrow(_search(k, page, norm2), "query_id long, vec_id long, score long, n_compared long")
+        packs = packs.select("dim", "cell", F.col("block").alias("pack"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("limits").alias("q_limits"))
+        met = trees.join(packs.hint("merge"), ["dim", "cell"]).repartition(tasks, "dim", "cell", "block", "pack")
+        return met.select("dim", "cell", "block", "ids", "vectors", "q_ids", "q_vectors", "q_limits").mapInArrow(_search(k, page, norm2), "query_id long, vec_id long, score long, n_compared long")
 
     def best(rows):
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
