@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.windows import batch_of, bottom_k
+from quern.contracts import checkpointed
+from quern.operators.windows import batch_of, bottom_k, numbered_in_groups
 
 
 def digest(*parts: Column, separator: str = "\0") -> Column:
@@ -67,55 +66,45 @@ def balanced_pairs(rows: DataFrame, label: str, key: str, classes: int, seed: in
     Items of a class are paired in hash order (a last odd one waits for another epoch); a class's i-th pair goes to
     round i, and the classes of a round are cut into batches in hash order, so no batch has a class twice.
     """
-    s = F.lit(seed + 100_003 * epoch)
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(s, F.col(key)), key)) - 1
-    count = F.count("*").over(Window.partitionBy(label))
-    paired = rows.select(label, key, place.alias("_p"), count.alias("_n")).where((F.col("_p") + 1 <= F.col("_n") - F.col("_n") % 2))
-    paired = paired.withColumns({"round": F.floor(F.col("_p") / 2), "item": F.col("_p") % 2})
-    turn = F.dense_rank().over(Window.partitionBy("round").orderBy(F.xxhash64(s, F.col(label), "round"), label)) - 1
+    mark = digest(F.lit(seed), F.lit(epoch), F.col(key), separator=":")
+    placed = numbered_in_groups(rows.select(label, key, mark.alias("_d")), label, "_d", [key])
+    paired = placed.where(F.col("_place") + 1 <= F.col("_size") - F.col("_size") % 2)
+    paired = paired.withColumns({"round": F.floor(F.col("_place") / 2), "item": F.col("_place") % 2})
+    turn = F.dense_rank().over(Window.partitionBy("round").orderBy(digest(F.lit(seed), F.lit(epoch), F.col(label), F.col("round"), separator=":"), label)) - 1
     return paired.withColumn("batch", F.floor(turn / classes)).select("round", "batch", label, "item", key)
 
 
-def _two_images(classes: int, seed: int, attempts: int):
-    def run(key, items):
-        rng = np.random.default_rng([seed, int(key[0])])
-        queues = {c: list(rng.permutation(g.to_numpy(), axis=0)) for c, g in items.sort_values(["label", "item", "image"]).groupby("label")[["item", "image"]]}
-        out, batch = [], 0
-        while len(queues) >= classes:
-            for _ in range(attempts):
-                used, picks = set(), []
-                for c in rng.permutation(sorted(queues)):
-                    first = next((x for x in queues[c] if x[1] not in used), None)
-                    second = first is not None and next((x for x in queues[c] if x[1] not in used and x[1] != first[1]), None)
-                    if second is not None and second is not False:
-                        picks.append((c, first, second))
-                        used |= {first[1], second[1]}
-                    if len(picks) == classes:
-                        break
-                if len(picks) == classes:
-                    break
-            else:
-                break
-            for c, *two in picks:
-                for x in two:
-                    out.append((int(key[0]), batch, c, x[0], x[1]))
-                queues[c] = [x for x in queues[c] if x[0] not in {y[0] for y in two}]
-                if len(queues[c]) < 2:
-                    del queues[c]
-            batch += 1
-        return pd.DataFrame(out, columns=["part", "batch", "label", "item", "image"])
-
-    return run
-
-
-def distinct_image_batches(rows: DataFrame, label: str, item: str, image: str, classes: int, parts: int = 8, seed: int = 0, attempts: int = 100) -> DataFrame:
+def distinct_image_batches(rows: DataFrame, label: str, item: str, image: str, classes: int, parts: int = 4, seed: int = 0) -> DataFrame:
     """Batches of ``classes`` classes with two items of different images, no image twice in a batch.
 
-    The greedy draw is sequential, so classes are dealt to ``parts`` independent draws by hash; each task holds its classes' ids only.
+    A class's items are numbered in the order of their images' digests, and number i is paired with number i + half: the two have different
+    images unless one image has over half of the class. The pairs of all classes then fill batches: a class's i-th pair goes to round i, the
+    classes of a round in hash order. A batch that is short or holds an image twice dissolves, and its pairs
+    are dealt anew in the next pass; after ``parts`` passes the rest waits for another epoch, as a last short batch does.
+    Numbers come from counts of digest prefixes, so a hot class is no task's alone; each pass is two shuffles of ids.
+
+    Returns ``part`` (the pass), ``batch, label, item, image``.
     """
     slim = rows.select(F.col(label).cast("string").alias("label"), F.col(item).cast("long").alias("item"), F.col(image).cast("string").alias("image"))
-    dealt = slim.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int"))
-    return dealt.groupBy("part").applyInPandas(_two_images(classes, seed, attempts), "part int, batch int, label string, item long, image string")
+    slim = slim.where("label IS NOT NULL AND item IS NOT NULL AND image IS NOT NULL").dropDuplicates(["label", "item"])
+    order = F.concat(digest(F.lit(seed), F.col("image"), separator=":"), digest(F.lit(seed), F.col("item"), separator=":"))
+    placed = numbered_in_groups(slim.withColumn("_d", order), "label", "_d", ["item"])
+    half = F.floor(F.col("_size") / 2)
+    placed = placed.where(F.col("_place") < 2 * half).withColumn("_pair", F.pmod(F.col("_place"), half))
+    pairs = placed.groupBy("label", "_pair").agg(F.array_sort(F.collect_list(F.struct("item", "image"))).alias("two"))
+    open_ = checkpointed(pairs.where(F.col("two")[0]["image"] != F.col("two")[1]["image"]))
+    in_round, done = -(-open_.agg(F.count_distinct("label")).first()[0] // classes), None
+    for n in range(parts):
+        mark = digest(F.lit(seed), F.lit(n), F.col("label"), F.col("_pair"), separator=":")
+        dealt = numbered_in_groups(open_.withColumn("_d", mark), "label", "_d", ["_pair"]).withColumnRenamed("_place", "round")
+        turn = F.row_number().over(Window.partitionBy("round").orderBy(digest(F.lit(seed), F.lit(n), F.col("label"), F.col("round"), separator=":"), "label")) - 1
+        dealt = checkpointed(dealt.withColumn("batch", F.col("round") * in_round + F.floor(turn / classes)).select("label", "_pair", "two", "batch"))
+        whole = dealt.select("batch", "label", F.explode("two").alias("x")).groupBy("batch").agg(F.count_distinct("label").alias("n"), F.count_distinct("x.image").alias("m"))
+        whole = whole.where((F.col("n") == classes) & (F.col("m") == 2 * classes)).select("batch")
+        won = dealt.join(whole, "batch", "left_semi").withColumn("part", F.lit(n))
+        done = won if done is None else done.unionByName(won)
+        open_ = checkpointed(dealt.join(whole, "batch", "left_anti").select("label", "_pair", "two"))
+    return done.select("part", "batch", "label", F.explode("two").alias("x")).select("part", "batch", "label", "x.item", "x.image")
 
 
 def donors(rows: DataFrame, parent: str, leaf: str, image: str, seed: int = 0) -> DataFrame:

@@ -32,6 +32,28 @@ def with_row_number(rows: DataFrame, order: str, ties: list[str] = (), parts: in
     return numbered.join(F.broadcast(starts), F.col("_range") == F.col("_r")).select(*rows.columns, (F.col("_before") + F.col("_place")).alias("row_number"))
 
 
+def numbered_in_groups(rows: DataFrame, group: str, order: str, ties: list[str] = (), prefix: int = 3) -> DataFrame:
+    """Place of each row in its group, from 0, in the order of a hexadecimal digest, without a task that holds a group.
+
+    Adds ``_place``, ``_size`` (rows of the group) and ``_all_before`` (rows of the groups before, in the order of their names' digests). Rows are
+    numbered within (group, first ``prefix`` digits of the digest), 4,096 of them in a hot group; the counts of these are summed within a
+    prefix of the group's digest, and those over the prefixes, so that each window sees a small share of the groups.
+    """
+    cut = rows.withColumns({"_g": F.sha2(F.coalesce(F.col(group).cast("string"), F.lit("")), 256), "_p": F.substring(order, 1, prefix)})
+    counts = cut.groupBy("_g", "_p").agg(F.count("*").alias("_n")).withColumn("_top", F.substring("_g", 1, prefix))
+    tops = counts.groupBy("_top").agg(F.sum("_n").alias("_m"))
+    tops = tops.select(F.col("_top").alias("_t"), F.coalesce(F.sum("_m").over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own, near = Window.partitionBy("_top", "_g").orderBy("_p"), Window.partitionBy("_top").orderBy("_g", "_p")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"_own": before(own), "_near": before(near), "_size": F.sum("_n").over(Window.partitionBy("_top", "_g"))})
+    starts = counts.join(tops, F.col("_top") == F.col("_t"))
+    starts = starts.select(F.col("_g").alias("_g1"), F.col("_p").alias("_p1"), "_own", "_size", (F.col("_start") + F.col("_near") - F.col("_own")).alias("_all_before"))
+    within = Window.partitionBy("_g", "_p").orderBy(order, *ties)
+    placed = cut.withColumn("_row", F.row_number().over(within) - 1)
+    placed = placed.join(starts, (F.col("_g") == F.col("_g1")) & (F.col("_p") == F.col("_p1")))
+    return placed.withColumn("_place", F.col("_own") + F.col("_row")).select(*rows.columns, "_place", "_size", "_all_before")
+
+
 def ranked_with_count(rows: DataFrame, group: str, order: list) -> DataFrame:
     return rows.withColumns({"rank": F.row_number().over(Window.partitionBy(group).orderBy(*order)), "candidates": F.count("*").over(Window.partitionBy(group))})
 
@@ -39,7 +61,7 @@ def ranked_with_count(rows: DataFrame, group: str, order: list) -> DataFrame:
 def round_robin(rows: DataFrame, group: str, key: list, n: int) -> DataFrame:
     """The n first rows when groups take turns: each group's k-th row before any group's next."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*key))
-    return rows.withColumn("turn", turn).orderBy("turn", group, *key).limit(n)
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", group, *key).limit(n)
 
 
 def contiguous_runs(rows: DataFrame, part: str, order: str, key: str) -> DataFrame:

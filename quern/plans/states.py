@@ -120,8 +120,8 @@ def json_and_format(spark, d):
 
 @query()
 def table_fingerprint(spark, d):
-    kinds = ["documents", "labels", "events"]
-    return spark.createDataFrame([(k, str(sinks.fingerprint(table(spark, d, k)))) for k in kinds], "name string, fingerprint string")
+    kinds = {"documents": "doc_id", "labels": "doc_id", "events": "event_id"}
+    return spark.createDataFrame([(k, sinks.fingerprint(table(spark, d, k), [by])) for k, by in kinds.items()], "name string, fingerprint string")
 
 
 @query("SELECT event_type, count(*) AS n_rows FROM events GROUP BY event_type")

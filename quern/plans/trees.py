@@ -155,7 +155,7 @@ def balanced_class_batches(spark, d):
 @query()
 def distinct_image_batches(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", F.crc32("text").alias("image"))
-    return S.distinct_image_batches(docs, "source", "doc_id", "image", 2, parts=4)
+    return S.distinct_image_batches(docs, "source", "doc_id", "image", 2)
 
 
 @query(
@@ -185,11 +185,25 @@ def split_targets(spark, d):
     return counts.select("source", "total", *[t.alias(s) for s, t in zip(P.SPLITS, P.integer_targets(F.col("total")))])
 
 
-@query()
+_SPLIT = """(WITH c AS (SELECT doc_id, coalesce('=' || lang, '') || chr(0) || coalesce('=' || source, '') AS k, count(*) AS n FROM documents GROUP BY ALL),
+    g AS (SELECT doc_id, sha256(string_agg(k || ':' || n, chr(1) ORDER BY k || ':' || n)) AS sig FROM c GROUP BY doc_id),
+    r AS (SELECT doc_id, (row_number() OVER (ORDER BY sha256(sig), sha256('0:' || doc_id), doc_id) - 1) % 10 AS i FROM g)
+    SELECT d.doc_id, d.lang, d.source, CASE i WHEN 4 THEN 'validation' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM documents d JOIN r ON d.doc_id = r.doc_id)"""
+
+
+@query(f"SELECT * FROM {_SPLIT}")
 def greedy_stratified_split(spark, d):
     return P.greedy_stratified(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id", ["lang", "source"])
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT * FROM {_SPLIT}), t AS (SELECT lang, source, split FROM a UNION ALL SELECT '__ALL__', '__ALL__', split FROM a),
+    n AS (SELECT lang, source, count(*) AS total, count(*) FILTER (WHERE split = 'train') AS train_actual, count(*) FILTER (WHERE split = 'validation') AS validation_actual,
+    count(*) FILTER (WHERE split = 'test') AS test_actual FROM t GROUP BY lang, source),
+    b AS (SELECT *, 8 * total // 10 AS b0, total // 10 AS b1, 8 * total % 10 AS r0, total % 10 AS r1, total - 8 * total // 10 - 2 * (total // 10) AS rest FROM n)
+    SELECT lang, source, total, train_actual, validation_actual, test_actual, round(train_actual / total, 6) AS train_ratio, round(validation_actual / total, 6) AS validation_ratio,
+    round(test_actual / total, 6) AS test_ratio, b0 + CASE WHEN 2 * (r1 > r0)::int < rest THEN 1 ELSE 0 END AS train_target,
+    b1 + CASE WHEN (r0 >= r1)::int < rest THEN 1 ELSE 0 END AS validation_target, b1 + CASE WHEN (r0 >= r1)::int + 1 < rest THEN 1 ELSE 0 END AS test_target FROM b"""
+)
 def split_summary_rollup(spark, d):
     return P.split_summary(greedy_stratified_split(spark, d), ["lang", "source"])

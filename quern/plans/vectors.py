@@ -266,10 +266,10 @@ def pca_variance(spark, d):
 
 @query()
 def fourier_mixed(spark, d):
-    """Every vector as an 8 x 8 image, its low amplitudes mixed with those of its nearest neighbour of another label."""
+    """For every vector as an 8 x 8 image, its nearest neighbour of another label with the vector's low amplitudes."""
     from quern.functions.arrays2d import amplitude_mixer
 
     rows = _vectors(spark, d)
     near = neighbors.knn(rows, "vec_id", "v", "label", 1, rule="other").select("source_id", "neighbour_id")
     both = rows.join(near, F.col("vec_id") == F.col("source_id")).join(rows.select(F.col("vec_id").alias("j"), F.col("v").alias("w")), F.col("neighbour_id") == F.col("j"))
-    return both.select("vec_id", amplitude_mixer(8, 8)("v", "w").alias("mixed"))
+    return both.select("vec_id", amplitude_mixer(8, 8)("w", "v").alias("mixed"))

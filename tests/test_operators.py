@@ -268,3 +268,71 @@ def test_batch_positives_are_unique(spark):
     assert got == {1: (2, 4), 2: (1, 4), 3: (4, 2), 4: (3, 2)}
     with pytest.raises(Exception, match="exactly one positive"):
         neighbors.batch_positives(rows.where("id < 4"), "bt", "id", "tag", "v").collect()
+
+
+def test_low_amplitudes_are_replaced_exactly():
+    from quern.functions.arrays2d import mix_amplitude
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for shape, share in (((8, 8), 0.1), ((9, 6), 0.5), ((5, 7), 0.3)):
+        a, b = rng.normal(size=shape), rng.normal(size=shape)
+        f, g = np.fft.fftshift(np.fft.fft2(a)), np.fft.fftshift(np.fft.fft2(b))
+        h, w = (max(1, round(n * share)) for n in shape)
+        i, j = (shape[0] - h) // 2, (shape[1] - w) // 2
+        want = np.abs(f)
+        want[i : i + h, j : j + w] = np.abs(g)[i : i + h, j : j + w]
+        assert np.allclose(mix_amplitude(a, b, share=share), np.fft.ifft2(np.fft.ifftshift(want * np.exp(1j * np.angle(f)))).real)
+        assert np.allclose(mix_amplitude(np.stack([a, b]), np.stack([b, a]), share=share)[0], mix_amplitude(a, b, share=share))
+
+
+def test_fingerprints_see_values_and_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i % 7}", None if i % 5 else 1.5) for i in range(500)], "i long, v string, x double")
+    own = sinks.fingerprint(df, ["i"])
+    assert own == sinks.fingerprint(df.orderBy(F.desc("i")).repartition(7), ["i"]) and len(own) == 64
+    assert own != sinks.fingerprint(df.withColumn("v", F.when(F.col("i") == 3, "w").otherwise(F.col("v"))), ["i"])
+    assert own != sinks.fingerprint(df.where("i <> 3"), ["i"]) and own != sinks.fingerprint(df.unionByName(df.limit(1)), ["i"])
+    calls, root = [], str(tmp_path / "kept")
+    sinks.cached_table(spark, root, lambda: calls.append(1) or df, name="x")
+    import glob
+    import os
+
+    os.remove(glob.glob(f"{root}/*/_SUCCESS")[0])
+    assert sinks.cached_table(spark, root, lambda: calls.append(1) or df, name="x").count() == 500 and len(calls) == 2
+
+
+def test_numbers_in_groups(spark):
+    rows = [(g, i) for g in "aab" "c" * 1 for i in range(1)] + [("hot", i) for i in range(3000)] + [(None, 5), (None, 6)]
+    df = spark.createDataFrame(list(dict.fromkeys(rows)), "g string, i long").withColumn("d", F.sha2(F.col("i").cast("string"), 256))
+    from quern.operators.windows import numbered_in_groups
+
+    by = {}
+    for r in numbered_in_groups(df, "g", "d", ["i"]).collect():
+        by.setdefault(r.g, []).append((r.d, r["_place"], r["_size"], r["_all_before"]))
+    starts = set()
+    for own in by.values():
+        own.sort()
+        assert [x[1] for x in own] == list(range(len(own))) and {x[2] for x in own} == {len(own)}
+        starts |= {(own[0][3], len(own))}
+    at = 0
+    for start, n in sorted(starts):
+        assert start == at
+        at += n
+
+
+def test_every_class_is_split_eight_to_one_to_one(spark):
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(900)] + [(1000 + i, f"rare{i}") for i in range(40)]
+    got = splits.greedy_stratified(spark.createDataFrame(rows, "g long, c string"), "g", ["c"]).collect()
+    for c, n in (("a", 600), ("b", 300)):
+        own = [r.split for r in got if r.c == c]
+        assert len(own) == n and abs(own.count("train") - 0.8 * n) <= 1 and abs(own.count("validation") - 0.1 * n) <= 1
+    rare = [r.split for r in got if r.c.startswith("rare")]
+    assert abs(rare.count("test") - 4) <= 3 and abs([r.split for r in got].count("test") - 94) <= 1
+
+
+def test_image_batches_use_nearly_everything(spark):
+    """One class with a third of all items, images shared by classes: few items are left over, none comes twice."""
+    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 11}", f"img{i % 397}") for i in range(3000)]
+    got = sampling.distinct_image_batches(spark.createDataFrame(rows, "id long, c string, im string"), "c", "id", "im", 2).collect()
+    assert len({r.item for r in got}) == len(got) >= 0.7 * len(rows)
