@@ -95,8 +95,11 @@ def _confirm(words: int, percent: int):
     def run(batches):
         for batch in batches:
             sides = []
-            for name in ("text_a", "text_b"):
-                sides.append([s for _, data, offsets in text_slices(batch.column(name)) for s in shingle_sets(LOWER[data], offsets, words)])
+            for name, text in (("a", "text_a"), ("b", "text_b")):
+                # A centre comes in many pairs; its set is built once a batch.
+                _, first, place = np.unique(batch.column(name).to_numpy(), return_index=True, return_inverse=True)
+                own = [s for _, data, offsets in text_slices(batch.column(text).take(pa.array(first))) for s in shingle_sets(LOWER[data], offsets, words)]
+                sides.append([own[i] for i in place])
             keep = []
             for x, y in zip(*sides):
                 common = len(np.intersect1d(x, y, assume_unique=True))
@@ -159,14 +162,17 @@ def near_duplicates(
     not its square. Pairs are confirmed on full sets. Then buckets that still hold several
     components get one round of two centres drawn by hash, paired with the members outside the centre's component.
 
-    Members of buckets that then still hold several components are searched exactly: two sets with the
+    Members of buckets that then still hold several components are split by content: two sets with the
     wanted similarity share one of their rarest shingles (prefix filter: ``n - ceil(percent * n / 100) + 1`` of n
-    shingles, in one order for all, by counts in hash cells). Groups of a prefix shingle go through
-    the same two rounds, then every untested pair across components in a group is compared. Pairs whose set
-    sizes rule the similarity out are left out throughout. So the rounds are five at most, whatever the buckets hold.
+    shingles, in one order for all, by counts in hash cells), usually many. Groups of a prefix shingle go through
+    the same two rounds, with four drawn centres. Pairs whose set sizes rule the similarity out are left out throughout. So the
+    rounds are four, whatever the buckets hold, and pairs grow with the members of the groups, not their square.
 
     Misses: two linked documents meet in no bucket with probability (1 - J**4)**32, at most
-    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``); a link between members of one bucket is never missed.
+    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``). Beyond that a link can be missed only if in every bucket and every prefix
+    group that the two share there are more than five other texts, neither end is drawn in any, and no chain of other links joins
+    them: that takes crowds of texts just below the limit that share their rarest shingles too. To compare all
+    pairs of such a crowd would be quadratic in it.
 
     Nulls and edge cases: null or blank text has no shingle and is linked with nothing;
     rows that share an id count as one document; a row with null id takes no part, with null
@@ -222,11 +228,11 @@ def near_duplicates(
 
     near_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
-    def search(groups):
+    def search(groups, drawn_centres=2):
         """Stars, then drawn centres."""
         for round_ in range(2):
             now = named(groups)
-            drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
+            drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(drawn_centres)] if round_ else [F.col("rep")]
             drawn = [F.min(F.struct(h.alias("h"), "rep", "component", "n")).alias(f"x{k}") for k, h in enumerate(drawn)]
             centres = now.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
             centres = sized(centres).where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
@@ -252,14 +258,7 @@ def near_duplicates(
         n_rows = prefixes.count()
         repeated = prefixes.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
         grams = sized(checkpointed(prefixes.join(repeated, "bucket")))
-        search(grams)
-        rest = checkpointed(mixed(grams))
-        sides = rest.select("bucket", "component").distinct()
-        sides = sides.withColumnRenamed("component", "ca").join(sides.withColumnRenamed("component", "cb"), "bucket").where("ca < cb")
-        left = rest.select("bucket", F.col("component").alias("ca"), F.col("rep").alias("ra"), F.col("n").alias("na"))
-        right = rest.select("bucket", F.col("component").alias("cb"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
-        pairs = sides.join(left, ["bucket", "ca"]).join(right, ["bucket", "cb"]).where(near_size(F.col("na"), F.col("nb")))
-        join_up(compare(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))))
+        search(grams, 4)
     labels = labelled.drop("bands", "n_bytes")
     labels = labels.join(found_parts, labels.rep == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

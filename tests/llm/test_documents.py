@@ -499,7 +499,7 @@ def test_quality_judges_small_groups_by_coarser_ones(frame):
 
 def test_near_duplicates_on_a_common_template(frame):
     """All documents share a template just below the limit (0.739), pairs lie just above it (0.765): every pair is found."""
-    for n, seed in ((80, 1), (600, 2)):
+    for n, seed in ((80, 1), (240, 2)):
         words, rows = [f"t{k}" for k in range(1000)], []
         for i in range(n):
             own = [f"p{i // 2}x{k}" for k in range(20)] + [f"d{seed}x{i}x{k}" for k in range(156)]
