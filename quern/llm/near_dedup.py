@@ -144,8 +144,9 @@ def _prefixes(words: int, percent: int, weights):
                     weight = weights.value[(s % np.uint64(GRAM_CELLS)).astype(np.int64)]
                     grams.append(s[np.lexsort((s, weight))[:take]])
                 ids = batch.column("doc_id").slice(row, len(sets)).to_numpy(zero_copy_only=False)
-                columns = [np.concatenate(grams).view(np.int64), np.repeat(ids, takes), np.repeat(np.array(sizes, np.int64), takes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "rep", "n"])
+                places = np.concatenate([np.zeros(0, np.int64), *[np.arange(take) for take in takes]])
+                columns = [np.concatenate(grams).view(np.int64), np.repeat(ids, takes), np.repeat(np.array(sizes, np.int64), takes), places]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "rep", "n", "place"])
 
     return run
 
@@ -162,17 +163,18 @@ def near_duplicates(
     not its square. Pairs are confirmed on full sets. Then buckets that still hold several
     components get one round of two centres drawn by hash, paired with the members outside the centre's component.
 
-    Members of buckets that then still hold several components are split by content: two sets with the
-    wanted similarity share one of their rarest shingles (prefix filter: ``n - ceil(percent * n / 100) + 1`` of n
-    shingles, in one order for all, by counts in hash cells), usually many. Groups of a prefix shingle go through
-    the same two rounds, with four drawn centres. Pairs whose set sizes rule the similarity out are left out throughout. So the
-    rounds are four, whatever the buckets hold, and pairs grow with the members of the groups, not their square.
+    Members of buckets that then still hold several components are searched exactly, split by content: two sets
+    with the wanted similarity share one of their rarest shingles (prefix filter: ``n - ceil(percent * n / 100) + 1`` of n
+    shingles, in one order for all, by counts in hash cells). Groups of a prefix shingle go through
+    the same two rounds. Then the untested pairs across components that could still be linked are compared: where the
+    group's shingle is the first that two sets share, all they share follows it in both (positional filter), so texts that have only a common
+    template behind their own shingles make no pair. Shingles that the same texts hold count as one group. So the rounds are five
+    at most, whatever the buckets hold.
 
     Misses: two linked documents meet in no bucket with probability (1 - J**4)**32, at most
-    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``). Beyond that a link can be missed only if in every bucket and every prefix
-    group that the two share there are more than five other texts, neither end is drawn in any, and no chain of other links joins
-    them: that takes crowds of texts just below the limit that share their rarest shingles too. To compare all
-    pairs of such a crowd would be quadratic in it.
+    6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``); a link between members of one bucket is never missed. In a crowd of texts
+    that share their rarest shingles, whose similarity lies just below the limit, the pairs compared can be quadratic in the crowd:
+    no bound on shared shingles rules them out.
 
     Nulls and edge cases: null or blank text has no shingle and is linked with nothing;
     rows that share an id count as one document; a row with null id takes no part, with null
@@ -221,18 +223,18 @@ def near_duplicates(
         found_parts = connected_components(linked)
 
     def named(groups):
-        parts = groups.select("bucket", "rep", "n")
+        parts = groups.drop("component")
         if found_parts is None:
             return parts.withColumn("component", F.col("rep"))
-        return sized(parts.join(sized(found_parts), F.col("rep") == F.col("node"), "left")).select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        return sized(parts.join(sized(found_parts), F.col("rep") == F.col("node"), "left")).select(*parts.columns, F.coalesce("component", "rep").alias("component"))
 
     near_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
-    def search(groups, drawn_centres=2):
+    def search(groups):
         """Stars, then drawn centres."""
         for round_ in range(2):
             now = named(groups)
-            drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(drawn_centres)] if round_ else [F.col("rep")]
+            drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
             drawn = [F.min(F.struct(h.alias("h"), "rep", "component", "n")).alias(f"x{k}") for k, h in enumerate(drawn)]
             centres = now.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
             centres = sized(centres).where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
@@ -253,12 +255,26 @@ def near_duplicates(
         weights = np.zeros(GRAM_CELLS, np.int32)
         for part in cells.mapInArrow(_packed_cells, "cell binary, n binary").collect():
             weights[np.frombuffer(part.cell, np.int32)] = np.frombuffer(part.n, np.int32)
-        prefixes = texts_open.mapInArrow(_prefixes(words, percent, spark.sparkContext.broadcast(weights)), "bucket long, rep long, n long")
+        prefixes = texts_open.mapInArrow(_prefixes(words, percent, spark.sparkContext.broadcast(weights)), "bucket long, rep long, n long, place long")
         prefixes = checkpointed(prefixes)
         n_rows = prefixes.count()
-        repeated = prefixes.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
-        grams = sized(checkpointed(prefixes.join(repeated, "bucket")))
-        search(grams, 4)
+        # Shingles of the same texts say the same of their pairs; the first of them in the order stands for all.
+        same = ["members", "low", "high", "d1", "d2"]
+        lists = prefixes.groupBy("bucket").agg(
+            F.count("*").alias("members"), F.min("rep").alias("low"), F.max("rep").alias("high"),
+            F.bit_xor(F.xxhash64("rep")).alias("d1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("d2"), F.sum("place").alias("at"),
+        )
+        firsts = lists.where("low < high").groupBy(*same).agg(F.min(F.struct("at", "bucket")).alias("first")).select("first.bucket")
+        grams = sized(checkpointed(prefixes.join(firsts, "bucket")))
+        search(grams)
+        rest = checkpointed(mixed(grams))
+        left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "place", "component")])
+        right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "place", "component")])
+        # Of two sets whose first common shingle this is, no more can be common than what follows it in either.
+        most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+        may_link = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+        pairs = left.join(right, "bucket").where("rep_a < rep_b AND component_a <> component_b").where(near_size(F.col("n_a"), F.col("n_b")) & may_link)
+        join_up(compare(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))))
     labels = labelled.drop("bands", "n_bytes")
     labels = labels.join(found_parts, labels.rep == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
