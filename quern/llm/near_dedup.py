@@ -160,16 +160,15 @@ def near_duplicates(
     densification). Documents with the same set collapse into a class named by its
     smallest id, so groups of copies cost one row per band. In each bucket of a band all
     classes are paired with one centre only, the smallest class: pairs grow with the bucket,
-    not its square. Pairs are confirmed on full sets. Then buckets that still hold several
-    components get one round of two centres drawn by hash, paired with the members outside the centre's component.
+    not its square. Pairs are confirmed on full sets.
 
     Members of buckets that then still hold several components are searched exactly, split by content: two sets
     with the wanted similarity share one of their rarest shingles (prefix filter: ``n - ceil(percent * n / 100) + 1`` of n
-    shingles, in one order for all, by counts in hash cells). Groups of a prefix shingle go through
-    the same two rounds. Then the untested pairs across components that could still be linked are compared: where the
-    group's shingle is the first that two sets share, all they share follows it in both (positional filter), so texts that have only a common
-    template behind their own shingles make no pair. Shingles that the same texts hold count as one group. So the rounds are five
-    at most, whatever the buckets hold.
+    shingles, in one order for all, by counts in hash cells). In groups of a prefix shingle the untested pairs across components
+    that could still be linked are compared: where the group's shingle is the first that two sets share, all they share
+    follows it in both (positional filter), so texts that have only a common template behind their own shingles make
+    no pair. Shingles that the same texts hold count as one group. Pairs whose set sizes rule the similarity out are left
+    out throughout. So the rounds are two, whatever the buckets hold.
 
     Misses: two linked documents meet in no bucket with probability (1 - J**4)**32, at most
     6e-6 at J = 0.75 (parameters ``bands``, ``band_rows``); a link between members of one bucket is never missed. In a crowd of texts
@@ -230,16 +229,11 @@ def near_duplicates(
 
     near_size = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
-    def search(groups):
-        """Stars, then drawn centres."""
-        for round_ in range(2):
-            now = named(groups)
-            drawn = [F.xxhash64("rep", "bucket", F.lit(round_), F.lit(k)) for k in range(2)] if round_ else [F.col("rep")]
-            drawn = [F.min(F.struct(h.alias("h"), "rep", "component", "n")).alias(f"x{k}") for k, h in enumerate(drawn)]
-            centres = now.groupBy("bucket").agg(*drawn, F.min("component").alias("lo"), F.max("component").alias("hi"))
-            centres = sized(centres).where("lo < hi").select("bucket", F.explode(F.array(*[f"x{k}" for k in range(len(drawn))])).alias("c"))
-            pairs = sized(now.join(centres, "bucket")).where("rep <> c.rep AND component <> c.component").where(near_size(F.col("n"), F.col("c.n")))
-            join_up(compare(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))))
+    def stars(groups):
+        """Pair the members of each group with its smallest one."""
+        centres = groups.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"))
+        pairs = sized(groups.join(sized(centres), "bucket")).where("rep <> c.rep").where(near_size(F.col("n"), F.col("c.n")))
+        join_up(compare(pairs.select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))))
 
     def mixed(groups):
         """The members of groups that hold several components."""
@@ -247,7 +241,7 @@ def near_duplicates(
         several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         return sized(now.join(sized(several), "bucket"))
 
-    search(buckets)
+    stars(buckets)
     open_ = checkpointed(mixed(buckets).select("rep").distinct())
     if not open_.isEmpty():
         texts_open = checkpointed(with_text(pool.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id")))
@@ -266,7 +260,6 @@ def near_duplicates(
         )
         firsts = lists.where("low < high").groupBy(*same).agg(F.min(F.struct("at", "bucket")).alias("first")).select("first.bucket")
         grams = sized(checkpointed(prefixes.join(firsts, "bucket")))
-        search(grams)
         rest = checkpointed(mixed(grams))
         left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "place", "component")])
         right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "place", "component")])
