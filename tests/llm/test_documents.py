@@ -510,6 +510,21 @@ def test_near_duplicates_on_a_common_template(frame):
         assert {r.doc_id: r.component_id for r in near_duplicates(frame(rows)).collect()} == want
 
 
+def test_near_duplicates_in_a_crowd_around_the_limit(frame):
+    """Texts of one base, each with a few words changed: similarities lie on both sides of the limit, and all links count."""
+    import random
+
+    rng, rows = random.Random(31), []
+    for i in range(60):
+        words = [f"b{i % 2}x{k}" for k in range(300)]
+        for k in rng.sample(range(300), rng.choice([3, 5, 6, 7])):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words), "en", "web"))
+    want, _ = components(rows)
+    assert len(set(want.values())) > 10 and len(set(want.values())) < 60
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(rows)).collect()} == want
+
+
 def test_very_long_texts(frame):
     import random
 
