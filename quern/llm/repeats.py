@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 _REM = np.uint64((1 << 40) - 1)
 _NO_ID = (1 << 63) - 1
 GRAM = 26
+_PAD = 0xFF
 
 
 def _zip(array: np.ndarray, level: int = 1) -> bytes:
@@ -273,6 +275,25 @@ def _sorted_prefixes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def _range_minima(values: np.ndarray) -> list[np.ndarray]:
+    """Minima of all runs of 1, 2, 4, ... neighbours."""
+    levels = [values]
+    while 2 << (len(levels) - 1) <= len(values):
+        half = 1 << (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    return levels
+
+
+def _least_in(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Minimum of values[first] to values[last] for every pair, from two overlapping runs."""
+    out = np.empty(len(first), np.int64)
+    level = np.frexp(last - first + 1)[1] - 1
+    for k in np.unique(level):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(levels[k][first[at]], levels[k][last[at] - (1 << int(k)) + 1])
+    return out
+
+
 def lcp_intervals(common: list[int], least: int) -> list[tuple[int, int, int, int]]:
     """Stack-scan of common-prefix lengths: every interval of depth >= least as (depth, depth of its parent, first, last).
 
@@ -293,8 +314,7 @@ def lcp_intervals(common: list[int], least: int) -> list[tuple[int, int, int, in
 class SuffixBucket:
     """The enhanced suffix array of one bucket: suffixes from the anchors on, and the bytes before them read backwards.
 
-    A string that starts ``back`` bytes before its anchor lies under one interval of the suffix tree cut at depth
-    ``least - back`` and under one of the backward tree cut at depth ``back``.
+    Places beyond a row's own string hold ``_PAD``, which no UTF-8 text has.
     """
 
     def __init__(self, rows: np.ndarray, text: np.ndarray, least: int):
@@ -304,54 +324,44 @@ class SuffixBucket:
         after, before = np.arange(least), np.arange(1, self.width)
         padded = np.r_[text, np.zeros(least + 1, np.uint8)]
         tail = padded[np.minimum((begin + far)[:, None] + after, len(padded) - 1)]
-        tail[after[None, :] >= (least - near)[:, None]] = 0
+        tail[after[None, :] >= (least - near)[:, None]] = _PAD
         left = padded[np.maximum((begin + far)[:, None] - before, 0)]
-        left[before[None, :] > far[:, None]] = 0
+        left[before[None, :] > far[:, None]] = _PAD
+        self.far, self.room = far, least - near
         self.order, self.common = _sorted_prefixes(tail)
         self.left_order, self.left_common = _sorted_prefixes(left)
         found = lcp_intervals(self.common.tolist(), GRAM)
         self.depth, self.parent, self.first, self.last = np.array(found, np.int64).reshape(-1, 4).T
 
-    def classes(self):
-        """Yield (back, rows with such a string that others share, group of each): groups are the strings' occurrences."""
-        node, side = np.empty(len(self.rows), np.int64), np.zeros(len(self.rows), np.int64)
-        for back in range(self.width):
-            cut = np.flatnonzero((self.parent < self.least - back) & (self.least - back <= self.depth))
-            node[:] = -1
-            size = self.last[cut] - self.first[cut] + 1
-            at = np.repeat(self.first[cut] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            node[self.order[at]] = np.repeat(cut, size)
-            if back:
-                side[self.left_order] = np.cumsum(self.left_common < back)
-            own = np.flatnonzero((self.rows["near"] <= back) & (back <= self.rows["far"]) & (node >= 0))
-            if len(own):
-                yield back, own, (node[own] << 32) | side[own]
-
-    def maximal(self):
-        """Yield (length, bytes before the anchor, rows) of every maximal repeat: left- and right-diverse within its strings.
-
-        For each interval the rows are scanned by their left contexts; a left interval with enough depth is a repeat
-        whose left extensions differ. It is right-diverse unless all its rows lie in one child interval. A row that stands for
-        several copies is a repeat of its whole string by itself.
+    def maximal(self, most: int = 1 << 18):
+        """Yield all maximal repeats in batches: bytes before the anchor, bytes from it on, first and last member, and the rows that these index.
+
+        The rows of each suffix interval are put in order of their left contexts, for about ``most`` rows of intervals at once. A second
+        stack-scan, over their common left contexts, gives every group of rows with one left extension at which the next ones
+        differ (left-diverse). It is right-diverse unless all its rows lie in one child interval, which then reports them.
+        Every string of ``least`` bytes that several rows hold is part of just one maximal repeat with exactly these rows.
         """
+        if not len(self.depth):
+            return
         rank, place = np.empty(len(self.rows), np.int64), np.empty(len(self.rows), np.int64)
-        rank[self.left_order], place[self.order] = np.arange(len(rank)), np.arange(len(rank))
-        far, room = self.rows["far"].astype(np.int64), self.least - self.rows["near"].astype(np.int64)
-        for alone in np.flatnonzero(self.rows["copies"] > 1):
-            yield int(far[alone] + room[alone]), int(far[alone]), np.array([alone])
-        for d, a, b in zip(self.depth.tolist(), self.first.tolist(), self.last.tolist()):
-            members = self.order[a : b + 1]
-            members = members[np.argsort(rank[members], kind="stable")]
-            left = [0, *(int(self.left_common[rank[x] + 1 : rank[y] + 1].min()) for x, y in zip(members[:-1], members[1:]))]
-            extensions = lcp_intervals(left, 1)
-            if min(left[1:]) == 0:
-                extensions.append((0, 0, 0, len(members) - 1))
-            for back, _, i, j in extensions:
-                group = members[i : j + 1]
-                back, depth = min(back, int(far[group].min())), min(d, int(room[group].min()))
-                diverse = self.common[place[group].min() + 1 : place[group].max() + 1].min() <= d
-                if back + depth >= self.least and diverse:
-                    yield back + depth, back, group
+        rank[self.left_order], place[self.order] = np.arange(len(rank)), np.arange(len(place))
+        left, right = (_range_minima(x.astype(np.uint8)) for x in (self.left_common, self.common))
+        sizes = self.last - self.first + 1
+        for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1):
+            size, depth = sizes[own], self.depth[own]
+            node = np.repeat(np.arange(len(own)), size)
+            rows = self.order[np.repeat(self.first[own] - (np.cumsum(size) - size), size) + np.arange(len(node))]
+            rows = rows[np.lexsort((rank[rows], node))]
+            inner = np.flatnonzero(node[1:] == node[:-1])
+            joint = np.zeros(len(rows), np.int64)  # 0 between intervals, else one more than the common left context
+            joint[inner + 1] = 1 + _least_in(left, rank[rows[inner]] + 1, rank[rows[inner + 1]])
+            back, _, i, j = np.array(lcp_intervals(joint.tolist(), 1), np.int64).reshape(-1, 4).T
+            depth = depth[node[i]]
+            low, high = _least_in(_range_minima(place[rows]), i, j), -_least_in(_range_minima(-place[rows]), i, j)
+            diverse = _least_in(right, low + 1, high) == depth
+            back, depth = np.minimum(back - 1, _least_in(_range_minima(self.far[rows]), i, j)), np.minimum(depth, _least_in(_range_minima(self.room[rows]), i, j))
+            ok = diverse & (back + depth >= self.least)
+            yield back[ok], depth[ok], i[ok], j[ok], rows
 
 
 def _repeats(least: int):
@@ -371,14 +381,17 @@ def _repeats(least: int):
             rank = np.empty(len(rows), np.int64)
             by_id = np.argsort(rows["id"], kind="stable")
             rank[by_id] = np.cumsum(np.r_[0, np.diff(rows["id"][by_id]) != 0])
-            gone = np.zeros((len(rows), width + 2), bool)
-            for back, own, group in SuffixBucket(rows, text, least).classes():
-                order = np.argsort(group, kind="stable")
-                g = group[order]
-                first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                least_id = np.minimum.reduceat(rank[own][order], first)
-                hit = rank[own][order] > np.repeat(least_id, np.diff(np.r_[first, len(g)]))
-                gone[own[order[hit]], width - back] = True
+            change = np.zeros(len(rows) * (width + 2), np.int16)
+            for back, depth, i, j, members in SuffixBucket(rows, text, least).maximal():
+                first_id, size = _least_in(_range_minima(rank[members]), i, j), j - i + 1
+                for g in np.split(np.arange(len(i)), np.flatnonzero(np.diff(np.cumsum(size) >> 20)) + 1):
+                    n = size[g]
+                    own = members[np.repeat(i[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    later = np.flatnonzero(rank[own] > np.repeat(first_id[g], n))
+                    own, group = own[later] * (width + 2), np.repeat(g, n)[later]
+                    np.add.at(change, own + width - back[group], 1)
+                    np.add.at(change, own + width - least + depth[group] + 1, -1)
+            gone = np.cumsum(change.reshape(-1, width + 2), axis=1, dtype=np.int16) > 0
             r, c = np.nonzero(gone[:, 1:] != gone[:, :-1])
             i, a, b = r[::2], c[::2], c[1::2]
             found = np.zeros(len(i), _SPAN)
@@ -401,11 +414,17 @@ def _groups(least: int):
         text = np.concatenate([np.zeros(0, np.uint8), *(_unzip(t, np.uint8) for t in table["bytes"].to_pylist())])
         out = [[], [], [], [], []]
         if len(rows):
-            for number, (length, back, members) in enumerate(SuffixBucket(rows, text, least).maximal()):
-                own = rows[members]
-                starts = own["q0"].astype(np.int64) + own["far"] - back
-                for column, values in zip(out, ([key[0].as_py() << 38 | number] * len(own), [length] * len(own), own["id"].tolist(), starts.tolist(), own["copies"].tolist())):
-                    column += values
+            bucket = SuffixBucket(rows, text, least)
+            alone = np.flatnonzero(rows["copies"] > 1)  # a row that stands for several copies is a repeat of its whole string by itself
+            batches = [(bucket.far[alone], bucket.room[alone], np.arange(len(alone)), np.arange(len(alone)), alone)]
+            number = key[0].as_py() << 38
+            for back, depth, i, j, members in chain(batches, bucket.maximal()):
+                for k in range(len(i)):
+                    own = rows[members[i[k] : j[k] + 1]]
+                    starts = own["q0"].astype(np.int64) + own["far"] - back[k]
+                    for column, values in zip(out, ([number] * len(own), [int(back[k] + depth[k])] * len(own), own["id"].tolist(), starts.tolist(), own["copies"].tolist())):
+                        column += values
+                    number += 1
         return pa.table([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return run
@@ -449,9 +468,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        anchors of its strings. 2. Anchors meet in buckets; those of one document are dropped, at a few bytes each.
     3. Slices send the strings around shared anchors to the anchors' buckets, once for each content and slice; strings at an anchor
        of over ``hot`` documents go by their own hash, so no bucket collects a common passage. 4. Each bucket sorts its suffixes, and the
-       common-prefix intervals with their left extensions are the repeat groups (:class:`SuffixBucket`).
-    5. The covered spans return to the slices. A task holds one slice or one bucket. By default both are 8 MB, beyond 54 GB of text the
-    root of 1300 times its bytes, so that a slice still sends a bucket some hundred anchors at once.
+       common-prefix intervals with diverse left extensions are the maximal repeat groups (:meth:`SuffixBucket.maximal`). In each
+       group all members but those with the smallest id lose the repeat's bytes. 5. The covered spans return to the slices. A task
+    holds one slice or one bucket. By default both are 8 MB, beyond 54 GB of text the root of 1300 times its bytes, so that a slice still sends a bucket some hundred anchors at once.
 
     Nulls and edge cases: null text is empty; a null id counts as larger than every id; rows with one id
     remove nothing from each other; strings are judged on the input; texts shorter than ``least`` keep everything; an empty
