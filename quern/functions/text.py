@@ -91,6 +91,19 @@ def scheme_allowed(c: Column, schemes=("http", "https")) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(c, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin(*schemes), F.lit(False))
 
 
+def url_quote(c: Column) -> Column:
+    """Percent-encoding of all but letters, digits, ``_.-~`` and slashes."""
+    coded = F.url_encode(c)
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        coded = F.replace(coded, F.lit(old), F.lit(new))
+    return coded
+
+
+def utc_text(c: Column | None = None) -> Column:
+    """A time, or now, as ISO text in UTC, in a session whose time zone is UTC."""
+    return F.date_format(F.current_timestamp() if c is None else c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def join_errors(*parts: Column, limit: int = 4000) -> Column:
     """Error texts joined by `` | ``, capped."""
     return F.substring(F.concat_ws(" | ", *[F.nullif(p, F.lit("")) for p in parts]), 1, limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.contracts import forbid_columns, raise_if, require_columns
-from quern.functions.text import clean
+from quern.functions.text import clean, path_part
 
 
 def left_fanout(left: DataFrame, right: DataFrame, key: str, payload: list[str]) -> DataFrame:
@@ -31,9 +31,9 @@ def strict_lookup(left: DataFrame, dim: DataFrame, key: str, values: list[str])
     return joined.select(*left.columns, *[raise_if(F.col("_k").isNull(), f"{key} not found", F.col(v)).alias(v) for v in values])
 
 
-def lookup_or(left: DataFrame, dim: DataFrame, key: str, value: str, default) -> DataFrame:
-    """N:1 lookup with a default; the first value of a repeated key by order."""
-    dim = dim.groupBy(F.col(key).alias("_k")).agg(F.min(value).alias(value))
+def lookup_or(left: DataFrame, dim: DataFrame, key: str, value: str, default, order: str | None = None) -> DataFrame:
+    """N:1 lookup with a default; of a repeated key the first value by ``order``, or the least one."""
+    dim = dim.groupBy(F.col(key).alias("_k")).agg((F.min_by(value, order) if order else F.min(value)).alias(value))
     return left.join(dim, F.col(key) == F.col("_k"), "left").select(*left.columns, F.coalesce(value, F.lit(default)).alias(value))
 
 
@@ -80,6 +80,26 @@ def resolve_first(values: DataFrame, column: str, domains: list[DataFrame], out:
     return values.select(*keep, F.coalesce(*found).alias(out))
 
 
+def inner_fanout(left: DataFrame, right: DataFrame, keys: list[str], ordinal: str, payload: list[str]) -> DataFrame:
+    """Every left row with each of its right rows and their ordinal; left rows without any disappear."""
+    require_columns(left, *keys), require_columns(right, *keys, ordinal, *payload), forbid_columns(left, ordinal, *payload)
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys], ordinal, *payload)
+    return left.join(other, [F.col(k) == F.col(f"_{k}") for k in keys]).select(*left.columns, ordinal, *payload)
+
+
+def require_members(left: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``left`` as it is; a key that ``known`` lacks is an error of the running job."""
+    known = known.select(F.col(key).alias("_k")).distinct()
+    joined = left.join(known, F.col(key) == F.col("_k"), "left")
+    return joined.select(*[raise_if(F.col("_k").isNull(), f"{key} not found", F.col(c)).alias(c) if c == key else F.col(c) for c in left.columns])
+
+
+def label_from_folder(rows: DataFrame, path: str, classes: DataFrame, name: str, label: str) -> DataFrame:
+    """Label of each path by the name of its directory; every directory must be a class."""
+    named = rows.withColumn(name, path_part(F.col(path), 2))
+    return strict_lookup(named, classes, name, [label]).drop(name)
+
+
 def sharing_pairs(rows: DataFrame, key: str, members: str) -> DataFrame:
     """Pairs a < b that share a member, with the count of shared ones: an equi-join on exploded members, never all pairs."""
     m = rows.select(key, F.explode(F.array_distinct(members)).alias("_m"))

@@ -16,22 +16,26 @@ def class_centroids(rows: DataFrame, label: str, vector: str, dim: int) -> DataF
     return unit.groupBy(label).agg(mean_vector("_u", dim).alias("_m")).select(label, normalise(F.col("_m")).alias("centroid"))
 
 
-def zero_shot(rows: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, scale: float = 100.0) -> DataFrame:
-    """Logit, probability and rank of every class for each row: classes are the few, so each row carries all their scores.
+def zero_shot(rows: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, scale: float = 100.0, most_classes: int = 20_000) -> DataFrame:
+    """Logit, probability and rank of every class for each row: scores, softmax and order are made inside the row, without a shuffle.
 
-    The classifier is one literal array of (class, weights), as prompts define it and not the data; rows explode to classes once.
+    The classifier is one literal array of (class, weights). More than ``most_classes`` classes are an error: they are
+    prompts and no data, and each row carries all their scores. Equal logits (to 9 digits) go by class.
     """
-    classes = [{"class": r[label], "w": list(r["centroid"])} for r in centroids.orderBy(label).collect()]
+    classes = [{"class": r[label], "w": list(r["centroid"])} for r in centroids.orderBy(label).limit(most_classes + 1).collect()]
+    if len(classes) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
     kind = dict(centroids.dtypes)[label]
     table = F.from_json(F.lit(json.dumps(classes)), f"array<struct<class:{kind},w:array<double>>>")
     unit = rows.select(key, F.col(label).alias("label"), normalise(F.col(vector).cast("array<double>")).alias("_x"), table.alias("c"))
-    scored = unit.select(key, "label", F.explode(F.transform("c", lambda c: F.struct(c["class"].alias("class"), (scale * dot(F.col("_x"), c["w"])).alias("logit")))).alias("s"))
-    w = Window.partitionBy(key)
-    out = scored.select(key, "label", "s.class", "s.logit")
-    top = F.max("logit").over(w)
-    prob = F.exp(F.col("logit") - top) / F.sum(F.exp(F.col("logit") - F.col("_top"))).over(w)
-    rank = F.row_number().over(w.orderBy(F.desc(F.round("logit", 9)), "class"))
-    return out.withColumn("_top", top).withColumns({"probability": prob, "rank": rank}).drop("_top")
+    logit = lambda c: scale * dot(F.col("_x"), c["w"])
+    scored = unit.select(key, "label", F.transform("c", lambda c: F.struct(logit(c).alias("logit"), c["class"].alias("class"))).alias("_s"))
+    ordered = F.array_sort(F.transform("_s", lambda s: F.struct((-F.round(s["logit"], 9)).alias("o"), s["class"].alias("class"), s["logit"].alias("logit"))))
+    scored = scored.withColumns({"_o": ordered, "_top": F.array_max(F.transform("_s", lambda s: s["logit"]))})
+    scored = scored.withColumn("_mass", F.aggregate("_s", F.lit(0.0), lambda m, s: m + F.exp(s["logit"] - F.col("_top"))))
+    out = scored.select(key, "label", "_top", "_mass", F.posexplode("_o").alias("_at", "s"))
+    probability = F.exp(F.col("s.logit") - F.col("_top")) / F.col("_mass")
+    return out.select(key, "label", "s.class", "s.logit", probability.alias("probability"), (F.col("_at") + 1).alias("rank"))
 
 
 def topk_accuracy(ranked: DataFrame, ks=(1, 5)) -> DataFrame:
@@ -47,16 +51,22 @@ def retrieval(ranks: DataFrame, rank: str = "place") -> DataFrame:
     )
 
 
-def log_sum_exp(value: Column, w) -> Column:
-    top = F.max(value).over(w)
-    return top + F.log(F.sum(F.exp(value)).over(w))
+def multi_label_top1(ranked: DataFrame, labels: str = "labels") -> DataFrame:
+    """Share of rows whose first class is one of their labels."""
+    return ranked.where("rank = 1").agg(F.count("*").alias("n_rows"), F.avg(F.array_contains(labels, F.col("class")).cast("double")).alias("top1"))
+
+
+def log_sum_exp(value: Column, top: Column, w) -> Column:
+    """log of the summed exponentials over a window whose largest value is ``top``, so that none overflows."""
+    return top + F.log(F.sum(F.exp(value - top)).over(w))
 
 
 def contrastive_loss(logits: DataFrame, row: str, column: str, logit: str) -> DataFrame:
-    """Symmetric cross entropy of a square logit table, the diagonal being the matches; logits must stay below 700."""
-    by_row = log_sum_exp(F.col(logit), Window.partitionBy(row)) - F.max(logit).over(Window.partitionBy(row))
-    by_col = log_sum_exp(F.col(logit), Window.partitionBy(column)) - F.max(logit).over(Window.partitionBy(column))
-    both = logits.withColumns({"_r": by_row, "_c": by_col}).where(F.col(row) == F.col(column))
+    """Symmetric cross entropy of a square logit table, the diagonal being the matches."""
+    for c, name in ((row, "_r"), (column, "_c")):
+        w = Window.partitionBy(c)
+        logits = logits.withColumn("_top", F.max(logit).over(w)).withColumn(name, log_sum_exp(F.col(logit), F.col("_top"), w))
+    both = logits.where(F.col(row) == F.col(column))
     return both.agg(F.avg((F.col("_r") + F.col("_c")) / 2 - F.col(logit)).alias("loss"))
 
 
@@ -83,6 +93,11 @@ def step_decay(step: Column, every: int, base: float, gamma: float) -> Column:
     return base * F.pow(F.lit(gamma), F.floor(step / every))
 
 
+def warmup_exponential(step: Column, steps: int, warmup: int, base: float, gamma: float, power: float = 1.0) -> Column:
+    """Linear warm-up, then a decay that reaches ``base * gamma ** power`` at the last step."""
+    return F.when(step < warmup, base * (step + 1) / warmup).otherwise(base * F.pow(F.lit(gamma), (step - warmup) / (steps - warmup) * power))
+
+
 def harmonic_throughput(a: Column, b: Column) -> Column:
     """Pairs a second if both parts run one after the other."""
     return 1 / (1 / a + 1 / b)

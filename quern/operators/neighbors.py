@@ -2,73 +2,188 @@
 
 from __future__ import annotations
 
+import json
+from itertools import chain
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import dot, normalise
+
+#: A table with one row a scope is broadcast up to this many rows of under 100 bytes, and joined by a shuffle beyond.
+SMALL_ROWS = 100_000
+_BLOCK = "scope string, n_blocks int, block int, ids binary, tags string, v binary"
+
+
+def _pack(key, rows):
+    """A block as one row: ids and vectors as bytes, tags as JSON."""
+    vectors = pa.concat_arrays(rows["v"].chunks).flatten().to_numpy(zero_copy_only=False)
+    columns = [[k.as_py()] for k in key] + [[rows["id"].to_numpy().tobytes()], [json.dumps(rows["tag"].to_pylist())], [vectors.tobytes()]]
+    schema = pa.schema([("scope", pa.string()), ("n_blocks", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("tags", pa.string()), ("v", pa.binary())])
+    return pa.table(columns, schema=schema)
+
+
+def _blocks(rows: DataFrame, size: int, scope: str | None = None) -> DataFrame:
+    """Rows (id, tag, v) dealt by a hash of the id into blocks of about ``size``, within each scope if there is one."""
+    rows = rows.where("v IS NOT NULL AND id IS NOT NULL")
+    if scope is None:
+        rows = rows.withColumns({"scope": F.lit(""), "n_blocks": F.lit(max(1, -(-rows.count() // size)))})
+    else:
+        counts = rows.groupBy(F.col("scope").alias("_scope")).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))
+        small = counts.count() <= SMALL_ROWS
+        rows = rows.join(F.broadcast(counts) if small else counts, F.col("scope") == F.col("_scope")).drop("_scope")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    return rows.groupBy("scope", "n_blocks", "block").applyInArrow(_pack, _BLOCK)
+
+
+def _meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every block of ``left`` with every block of ``right`` in its scope, by an equi-join on the block number."""
+    packed = ("ids", "tags", "v")
+    a = left.select("scope", *[F.col(c).alias(f"a_{c}") for c in packed], F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("at"))
+    b = right.select(F.col("scope").alias("_scope"), "block", *[F.col(c).alias(f"b_{c}") for c in packed])
+    met = a.join(b.hint("merge"), (F.col("scope") == F.col("_scope")) & (F.col("at") == F.col("block")))
+    return met.select(*[f"{side}_{c}" for side in "ab" for c in packed])
+
+
+def _sides(batches):
+    """Ids, tags and vectors of both blocks of each meeting."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            out = []
+            for side in "ab":
+                ids = np.frombuffer(row[f"{side}_ids"], np.int64)
+                out += [ids, json.loads(row[f"{side}_tags"]), np.frombuffer(row[f"{side}_v"]).reshape(len(ids), -1)]
+            yield out
 
-def _blocks(rows: DataFrame, size: int, prefix: str, part: str | None) -> tuple[DataFrame, int]:
-    n = max(1, -(-rows.count() // size))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    packed = rows.withColumn("block", block)
-    items = F.collect_list(F.struct("id", "tag", "v"))
-    return packed.groupBy("block").agg(items.alias(prefix)), n
 
+def _shared(a: list, b: list, sets: bool) -> np.ndarray:
+    """Which rows of two blocks share a tag: one value each (null equals null), or lists of values (null has none)."""
+    a, b = (([t or [] for t in side] if sets else [[t] for t in side]) for side in (a, b))
+    names = {t: i for i, t in enumerate({t for tags in chain(a, b) for t in tags})}
+    if not sets:
+        x, y = (np.array([names[t] for (t,) in side]) for side in (a, b))
+        return x[:, None] == y[None]
+    tables = []
+    for side in (a, b):
+        table = np.zeros((len(side), len(names)), np.float32)
+        for row, tags in zip(table, side):
+            row[[names[t] for t in tags]] = 1
+        tables.append(table)
+    return tables[0] @ tables[1].T > 0
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)
+
+
+def _closeness(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Larger is nearer: the cosine, or a distance below zero."""
+    if metric == "cosine":
+        return _unit(x) @ _unit(y).T
+    if metric == "euclidean":
+        return -np.sqrt(_gaps(x, y))
+    if metric == "manhattan":
+        return -np.stack([np.abs(y - r).sum(axis=1) for r in x])
+    if metric == "geodesic":
+        cos = 1 - 2 * _gaps(x, y) / ((1 + (x**2).sum(1))[:, None] * (1 + (y**2).sum(1))[None])
+        return -np.arccos(np.clip(cos, -1 + 1e-7, 1 - 1e-7))
+    raise ValueError(f"unknown metric {metric}")
+
+
+def _nearest(k: int, metric: str, rule: str, sets: bool):
+    schema = pa.schema([("source_id", pa.int64()), ("neighbour_id", pa.int64()), ("value", pa.float64()), ("n_valid", pa.int64())])
 
-def _nearest(k: int, metric: str, rule: str, exclude_self: bool):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = row["a"], row["b"]
-                x, y = np.array([r["v"] for r in a], float), np.array([r["v"] for r in b], float)
-                ids, tags = np.array([r["id"] for r in b]), np.array([r["tag"] for r in b], object)
-                if metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-                    score = x @ y.T
-                elif metric == "euclidean":
-                    score = -np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
-                else:
-                    score = -np.stack([np.abs(y - r).sum(axis=1) for r in x])
-                out = []
-                for i, r in enumerate(a):
-                    ok = np.ones(len(b), bool)
-                    if exclude_self:
-                        ok &= ids != r["id"]
-                    if rule == "other":
-                        ok &= tags != r["tag"]
-                    elif rule == "same":
-                        ok &= tags == r["tag"]
-                    at = np.flatnonzero(ok)
-                    s = np.round(score[i, at], 12)
-                    best = at[np.lexsort((ids[at], -s))[:k]]
-                    out += [(r["id"], int(j), float(abs(score[i, j]) if metric != "cosine" else score[i, j])) for j in best]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int64()), pa.array([int(ids[o[1]]) for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())],
-                    names=["source_id", "neighbour_id", "value"],
-                )
+        for own, own_tags, x, ids, tags, y in _sides(batches):
+            value = _closeness(x, y, metric)
+            ok = own[:, None] != ids[None]
+            if rule != "any":
+                same = _shared(own_tags, tags, sets)
+                ok &= same if rule == "same" else ~same
+            score = np.where(ok, np.round(value, 12), -np.inf)
+            at = len(ids) - min(k, len(ids))
+            r, c = np.nonzero(ok & (score >= np.partition(score, at, axis=1)[:, at, None]))
+            order = np.lexsort((ids[c], -score[r, c], r))
+            r, c = r[order], c[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            n_valid = np.where(place == 0, ok.sum(axis=1)[r], 0)
+            best = place < k
+            r, c, n_valid = r[best], c[best], n_valid[best]
+            columns = [own[r], ids[c], value[r, c] if metric == "cosine" else -value[r, c], n_valid]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def knn(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str = "cosine", rule: str = "any", block_rows: int = 2_000) -> DataFrame:
+def _slim(rows: DataFrame, key: str, vector: str, tag: str, scope: str | None) -> tuple[DataFrame, bool]:
+    sets = dict(rows.dtypes)[tag].startswith("array")
+    tags = F.col(tag).cast("array<string>" if sets else "string").alias("tag")
+    scoped = [] if scope is None else [F.coalesce(F.col(scope).cast("string"), F.lit("\0")).alias("scope")]
+    return rows.select(F.col(key).cast("long").alias("id"), tags, F.col(vector).cast("array<double>").alias("v"), *scoped), sets
+
+
+def _ranked(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str, rule: str, block_rows: int, scope: str | None) -> DataFrame:
+    slim, sets = _slim(rows, key, vector, tag, scope)
+    blocks = _blocks(slim, block_rows, scope)
+    found = _meetings(blocks, blocks).mapInArrow(_nearest(k, metric, rule, sets), "source_id long, neighbour_id long, value double, n_valid long")
+    by = Window.partitionBy("source_id")
+    order = F.desc(F.round("value", 12)) if metric == "cosine" else F.asc(F.round("value", 12))
+    ranked = found.withColumns({"rank": F.row_number().over(by.orderBy(order, "neighbour_id")), "candidate_count": F.sum("n_valid").over(by)})
+    return ranked.where(F.col("rank") <= k).select("source_id", "rank", "neighbour_id", "value", "candidate_count")
+
+
+def knn(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str = "cosine", rule: str = "any", block_rows: int = 2_000, scope: str | None = None) -> DataFrame:
     """The k nearest other rows of each row, exactly: ``rule`` allows any tag, the ``same`` or an ``other`` one.
 
-    Blocks of rows meet blocks of rows by an equi-join on the block number; each meeting is one matrix
-    product that keeps k for each source, and the blocks' answers are ranked once more. Ties (to 12 digits) go to the smaller id.
+    ``tag`` is one value, or an array: ``same`` then asks for a shared value and ``other`` for none. With ``scope`` neighbours have the
+    same value of that column. Blocks of rows, packed as bytes, meet blocks of rows of their scope by an equi-join on the block
+    number; each meeting is one matrix product that keeps k for each source, and the blocks' answers are ranked once more. Ties
+    (to 12 digits) go to the smaller id. Rows without id or vector take no part.
     Returns ``source_id, rank, neighbour_id, value`` (similarity, or distance for the distance metrics).
     """
-    slim = rows.select(F.col(key).cast("long").alias("id"), F.col(tag).cast("string").alias("tag"), F.col(vector).cast("array<double>").alias("v"))
-    left, n = _blocks(slim, block_rows, "a", None)
-    right, _ = _blocks(slim, block_rows, "b", None)
-    left = left.select("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"))
-    met = left.join(right.hint("merge"), F.col("at") == F.col("block")).select("a", "b")
-    found = met.mapInArrow(_nearest(k, metric, rule, True), "source_id long, neighbour_id long, value double")
-    order = F.desc(F.round("value", 12)) if metric == "cosine" else F.asc(F.round("value", 12))
-    w = Window.partitionBy("source_id").orderBy(order, "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("source_id", "rank", "neighbour_id", "value")
+    return _ranked(rows, key, vector, tag, k, metric, rule, block_rows, scope).drop("candidate_count")
+
+
+def knn_in_scope(rows: DataFrame, key: str, vector: str, tag: str, scope: str, k: int, metric: str = "cosine", block_rows: int = 2_000) -> DataFrame:
+    """The k nearest rows of another tag within each scope, and how many candidates there were; rows without any have one row of rank 0.
+
+    Returns ``source_id, rank, neighbour_id, value, candidate_count``.
+    """
+    found = _ranked(rows, key, vector, tag, k, metric, "other", block_rows, scope)
+    sources = rows.select(F.col(key).cast("long").alias("_source")).distinct()
+    joined = sources.join(found, F.col("_source") == F.col("source_id"), "left")
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rank", "candidate_count")]
+    return joined.select(F.col("_source").alias("source_id"), filled[0], "neighbour_id", "value", filled[1])
+
+
+def _places(batches):
+    schema = pa.schema([("id", pa.int64()), ("place", pa.int64())])
+    for own, own_scores, x, ids, _, y in _sides(batches):
+        score, mine = np.round(_closeness(x, y, "cosine"), 12), np.round(np.array(own_scores, float), 12)[:, None]
+        before = (score > mine) | ((score == mine) & (ids[None] < own[:, None]))
+        place = (before & (own[:, None] != ids[None])).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(place)], schema=schema)
+
+
+def paired_places(pairs: DataFrame, key: str, first: str, second: str, block_rows: int = 2_000) -> DataFrame:
+    """0-based place of each pair's second vector among all second ones by cosine with its first, and the other way round.
+
+    Blocks meet as in :func:`knn`, and each meeting only counts how many are nearer than the pair's own. Equal ones count if their
+    id is smaller. Returns ``id, place, reverse_place``.
+    """
+    x, y = (normalise(F.col(c).cast("array<double>")) for c in (first, second))
+    both = pairs.select(F.col(key).cast("long").alias("id"), x.alias("x"), y.alias("y")).withColumn("tag", dot(F.col("x"), F.col("y")))
+    out = []
+    for name, ask, answer in (("place", "x", "y"), ("reverse_place", "y", "x")):
+        met = _meetings(*[_blocks(both.select("id", "tag", F.col(c).alias("v")), block_rows) for c in (ask, answer)])
+        out.append(met.mapInArrow(_places, "id long, place long").groupBy("id").agg(F.sum("place").alias(name)))
+    return out[0].join(out[1], "id")
 
 
 def wide_neighbours(found: DataFrame, k: int, threshold: float, metric: str = "cosine") -> DataFrame:
@@ -82,55 +197,55 @@ def wide_neighbours(found: DataFrame, k: int, threshold: float, metric: str = "c
 
 def pairs_within(rows: DataFrame, key: str, category: str, vector: str) -> DataFrame:
     """Unordered pairs of each category with their cosine: the pair table itself is the result asked for."""
-    from quern.functions.vectors import dot, normalise
-
     a = rows.select(F.col(category), F.col(key).alias("a"), normalise(F.col(vector).cast("array<double>")).alias("_x"))
     b = rows.select(F.col(category).alias("_c"), F.col(key).alias("b"), normalise(F.col(vector).cast("array<double>")).alias("_y"))
     return a.join(b, (F.col(category) == F.col("_c")) & (F.col("a") < F.col("b"))).select(category, "a", "b", dot(F.col("_x"), F.col("_y")).alias("cosine"))
 
 
-def triplets(rows: DataFrame, key: str, vector: str, tag: str, block_rows: int = 2_000) -> DataFrame:
-    """Best positive (same tag) and hardest negative (other tag) of each row, with a status when one lacks."""
+def triplets(rows: DataFrame, key: str, vector: str, tag: str, block_rows: int = 2_000, scope: str | None = None) -> DataFrame:
+    """Best positive (same tag) and hardest negative (other tag) of each row, with a status when one lacks.
+
+    ``tag`` may be an array of labels: a positive shares one, a negative shares none. ``scope`` restricts negatives to rows
+    with the anchor's value of that column, such as its parent class.
+    """
     positive = knn(rows, key, vector, tag, 1, rule="same", block_rows=block_rows).select(F.col("source_id").alias("_p"), F.col("neighbour_id").alias("positive_id"), F.col("value").alias("positive_value"))
-    negative = knn(rows, key, vector, tag, 1, rule="other", block_rows=block_rows).select(F.col("source_id").alias("_n"), F.col("neighbour_id").alias("negative_id"), F.col("value").alias("negative_value"))
+    negative = knn(rows, key, vector, tag, 1, rule="other", block_rows=block_rows, scope=scope)
+    negative = negative.select(F.col("source_id").alias("_n"), F.col("neighbour_id").alias("negative_id"), F.col("value").alias("negative_value"))
     anchors = rows.select(F.col(key).alias("anchor_id"), F.col(tag).alias("label"))
     found = anchors.join(positive, F.col("anchor_id") == F.col("_p"), "left").join(negative, F.col("anchor_id") == F.col("_n"), "left")
     status = F.when(F.col("positive_id").isNull(), "no_positive").when(F.col("negative_id").isNull(), "no_hard_negative").otherwise("ok")
     return found.select("anchor_id", "label", "positive_id", "positive_value", "negative_id", "negative_value", status.alias("status"))
 
 
-def _pair_sums(tau: float):
+def _pair_sums(tau: float, metric: str, sets: bool):
+    names = ("source_id", "mass", "positive_sum", "n_positive", "negative_sum", "n_negative")
+
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = row["a"], row["b"]
-                x, y = (np.array([r["v"] for r in side], float) for side in (a, b))
-                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-                sim = x @ y.T
-                ids, tags = np.array([r["id"] for r in b]), np.array([r["tag"] for r in b], object)
-                own = np.array([r["id"] for r in a])
-                other = own[:, None] != ids[None]
-                same = other & (np.array([r["tag"] for r in a], object)[:, None] == tags[None])
-                mass = (np.exp((sim - 1) / tau) * other).sum(axis=1)
-                columns = [pa.array(own, pa.int64()), pa.array(mass), pa.array((sim * same).sum(axis=1)), pa.array(same.sum(axis=1), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["source_id", "mass", "positive_sum", "n_positive"])
+        for own, own_tags, x, ids, tags, y in _sides(batches):
+            near = _closeness(x, y, metric)
+            other = own[:, None] != ids[None]
+            same = _shared(own_tags, tags, sets)
+            mass = (np.exp((near - (metric == "cosine")) / tau) * other).sum(axis=1)
+            columns = [own, mass]
+            for kind in (same & other, ~same & other):
+                columns += [(near * kind).sum(axis=1), kind.sum(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
 
-def contrastive_sums(rows: DataFrame, key: str, vector: str, tag: str, tau: float, block_rows: int = 2_000) -> DataFrame:
-    """For every row the log of the summed exp(cosine / tau) over all others, and the sum and count of its same-tag cosines.
+def contrastive_sums(rows: DataFrame, key: str, vector: str, tag: str, tau: float, block_rows: int = 2_000, metric: str = "cosine") -> DataFrame:
+    """For every row the log of the summed exp(closeness / tau) over all others, and sum and count of its same-tag and other-tag closeness.
 
-    Blocks meet blocks as in :func:`knn`; each meeting gives one partial sum a row, merged by an aggregate.
+    Closeness is the cosine, or a distance below zero (``euclidean``, ``manhattan``, ``geodesic``). Blocks meet blocks as in
+    :func:`knn`; each meeting gives one partial sum a row, merged by an aggregate.
     """
-    slim = rows.select(F.col(key).cast("long").alias("id"), F.col(tag).cast("string").alias("tag"), F.col(vector).cast("array<double>").alias("v"))
-    left, n = _blocks(slim, block_rows, "a", None)
-    right, _ = _blocks(slim, block_rows, "b", None)
-    left = left.select("a", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"))
-    met = left.join(right.hint("merge"), F.col("at") == F.col("block")).select("a", "b")
-    parts = met.mapInArrow(_pair_sums(tau), "source_id long, mass double, positive_sum double, n_positive long")
-    sums = parts.groupBy("source_id").agg(F.sum("mass").alias("m"), F.sum("positive_sum").alias("positive_sum"), F.sum("n_positive").alias("n_positive"))
-    return sums.select("source_id", (F.log("m") + 1 / tau).alias("log_mass"), "positive_sum", "n_positive")
+    slim, sets = _slim(rows, key, vector, tag, None)
+    blocks = _blocks(slim, block_rows)
+    parts = _meetings(blocks, blocks).mapInArrow(_pair_sums(tau, metric, sets), "source_id long, mass double, positive_sum double, n_positive long, negative_sum double, n_negative long")
+    kept = ("positive_sum", "n_positive", "negative_sum", "n_negative")
+    sums = parts.groupBy("source_id").agg(F.sum("mass").alias("m"), *[F.sum(c).alias(c) for c in kept])
+    return sums.select("source_id", (F.log("m") + (1 / tau if metric == "cosine" else 0.0)).alias("log_mass"), *kept)
 
 
 def batch_positives(rows: DataFrame, batch: str, key: str, tag: str, vector: str) -> DataFrame:
@@ -138,8 +253,6 @@ def batch_positives(rows: DataFrame, batch: str, key: str, tag: str, vector: str
 
     An anchor without exactly one positive is an error of the running job.
     """
-    from quern.functions.vectors import dot, normalise
-
     unit = rows.select(batch, F.col(key).alias("a"), F.col(tag).alias("ta"), normalise(F.col(vector).cast("array<double>")).alias("_x"))
     other = unit.select(F.col(batch).alias("_b"), F.col("a").alias("b"), F.col("ta").alias("tb"), F.col("_x").alias("_y"))
     met = unit.join(other, (F.col(batch) == F.col("_b")) & (F.col("a") != F.col("b"))).withColumn("s", dot(F.col("_x"), F.col("_y")))

@@ -22,11 +22,19 @@ def next_state(scan: DataFrame, checked: DataFrame, path: str = "path") -> DataF
     return joined.select(path, F.when(F.col("action") == "reuse", F.col("old_status")).otherwise(F.coalesce("_status", F.lit("pending"))).alias("status"))
 
 
-def sync_decisions(source: DataFrame, target: DataFrame, path: str = "path", overwrite: bool = False, compare: str = "size") -> DataFrame:
-    """copied / existing / overwritten / skipped_conflict for every source path against the target tree."""
-    there = target.select(F.col(path).alias("_p"), F.col("size").alias("_s"), F.col("digest").alias("_d"))
-    same = (F.col("size") == F.col("_s")) if compare == "size" else (F.col("digest") == F.col("_d"))
-    decision = F.when(F.col("_p").isNull(), "copied").when(same, "existing").otherwise("overwritten" if overwrite else "skipped_conflict")
+def sync_decisions(source: DataFrame, target: DataFrame, path: str = "path", policy: str = "skip", compare: str = "size") -> DataFrame:
+    """copied / existing / overwritten / skipped_conflict for every source path against the target tree.
+
+    Files are the same by ``size`` alone, or by size with ``mtime`` or ``digest``. Where they differ, ``skip`` keeps the target, ``overwrite``
+    takes the source, and ``newer`` takes it if its mtime is later.
+    """
+    if policy not in ("skip", "overwrite", "newer") or compare not in ("size", "mtime", "digest"):
+        raise ValueError(f"unknown policy {policy} or comparison {compare}")
+    used = dict.fromkeys(["size", *(["mtime"] if policy == "newer" else []), compare])
+    there = target.select(F.col(path).alias("_p"), *[F.col(c).alias(f"_{c}") for c in used])
+    same = (F.col("size") == F.col("_size")) & (F.col(compare) == F.col(f"_{compare}"))
+    take = {"skip": F.lit(False), "overwrite": F.lit(True), "newer": F.col("mtime") > F.col("_mtime") if policy == "newer" else None}[policy]
+    decision = F.when(F.col("_p").isNull(), "copied").when(same, "existing").when(take, "overwritten").otherwise("skipped_conflict")
     return source.join(there, F.col(path) == F.col("_p"), "left").select(path, "size", decision.alias("decision"))
 
 
@@ -44,6 +52,13 @@ def pending(rows: DataFrame, state: DataFrame, key: str, final: list[str]) -> Da
     return rows.join(state.where(F.col("status").isin(final)).select(key), key, "left_anti")
 
 
+def first_pending(rows: DataFrame, state: DataFrame, key: str, order: str, final: list[str], n: int) -> DataFrame:
+    """All rows of the first ``n`` distinct pending keys, by each key's first place in ``order``."""
+    open_ = pending(rows, state, key, final)
+    first = open_.groupBy(key).agg(F.min(order).alias("_first")).orderBy("_first", key).limit(n)
+    return open_.join(first.select(key), key, "left_semi")
+
+
 def with_file(rows: DataFrame, listing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Join rows to a file listing: present (best extension of ``order``, non-empty), empty or missing."""
     rank = F.coalesce(*[F.when(F.lower(F.col("ext")) == e, F.lit(i)) for i, e in enumerate(order)])

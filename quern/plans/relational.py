@@ -249,6 +249,7 @@ def natural_sort(spark, d):
     from quern.functions.text import natural_key
 
     brands = table(spark, d, "part").select("p_brand").distinct()
+    # One row a brand, whatever the size of the table, so that one task may sort them.
     return brands.withColumn("place", F.dense_rank().over(Window.orderBy(natural_key(F.col("p_brand")))))
 
 

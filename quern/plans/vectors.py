@@ -253,6 +253,88 @@ def knn_overlap_accuracy(spark, d):
     return found.agg(F.round(F.avg(F.arrays_overlap("tags", "others").cast("double")), 6).alias("accuracy"))
 
 
+_PARENT = "CASE WHEN {0} = 0 THEN -1 ELSE {0} // 3 END"
+
+
+def _with_parent(rows):
+    parent = F.when(F.col("label") == 0, -1).otherwise(F.floor(F.col("label") / 3))
+    return rows.withColumn("parent", parent)
+
+
+@query(
+    f"""SELECT e.vec_id AS source_id, CAST(coalesce(r, 0) AS int) AS rank, b AS neighbour_id, round(s, 6) AS value, coalesce(c, 0) AS candidate_count FROM embeddings e LEFT JOIN
+    (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS r, count(*) OVER (PARTITION BY a) AS c FROM {_SIM}
+    WHERE la <> lb AND {_PARENT.format('la')} = {_PARENT.format('lb')} QUALIFY r <= 3) ON a = e.vec_id"""
+)
+def knn_in_parent(spark, d):
+    """Neighbours of another label with the same parent; label 0 has a parent of its own and so no candidates."""
+    found = neighbors.knn_in_scope(_with_parent(_vectors(spark, d)), "vec_id", "v", "label", "parent", 3)
+    return found.withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""WITH t AS (SELECT vec_id, v, {_PARENT.format('label')} AS parent, CASE WHEN vec_id % 97 = 5 THEN [vec_id + 1000] ELSE [CAST(label AS bigint), CAST(label // 2 + 100 AS bigint)] END AS tags FROM {_E}),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_has_any(a.tags, b.tags) AS same, a.parent = b.parent AS near, list_cosine_similarity(a.v, b.v) AS s FROM t a JOIN t b ON a.vec_id <> b.vec_id),
+    p AS (SELECT a, arg_max(b, (round(s, 12), -b)) AS b, arg_max(s, (round(s, 12), -b)) AS s FROM s WHERE same GROUP BY a),
+    n AS (SELECT a, arg_max(b, (round(s, 12), -b)) AS b, arg_max(s, (round(s, 12), -b)) AS s FROM s WHERE NOT same AND near GROUP BY a)
+    SELECT t.vec_id AS anchor_id, p.b AS positive_id, round(p.s, 6) AS positive_value, n.b AS negative_id, round(n.s, 6) AS negative_value,
+    CASE WHEN p.b IS NULL THEN 'no_positive' WHEN n.b IS NULL THEN 'no_hard_negative' ELSE 'ok' END AS status FROM t LEFT JOIN p ON p.a = t.vec_id LEFT JOIN n ON n.a = t.vec_id"""
+)
+def label_set_triplets(spark, d):
+    """Triplets over two labels each and negatives of the same parent; every 97th vector has a label that no other has."""
+    alone = F.col("vec_id") % 97 == 5
+    tags = F.when(alone, F.array(F.col("vec_id") + 1000)).otherwise(F.array(F.col("label").cast("long"), F.floor(F.col("label") / 2) + 100))
+    found = neighbors.triplets(_with_parent(_vectors(spark, d)).withColumn("tags", tags), "vec_id", "v", "tags", scope="parent")
+    return found.drop("label").withColumns({"positive_value": F.round("positive_value", 6), "negative_value": F.round("negative_value", 6)})
+
+
+@query(f"SELECT count(*) AS n_rows, round(avg(CAST(list_contains([label, label // 2 * 2, label // 2 * 2 + 1], class) AS int)), 6) AS top1 FROM {_RANKED} WHERE rank = 1")
+def multi_label_top1(spark, d):
+    """Each vector may be of either label of a pair."""
+    half = F.floor(F.col("label") / 2).cast("int") * 2
+    ranked = _zero_shot(spark, d).withColumn("labels", F.array(F.col("label").cast("int"), half, half + 1)).withColumn("class", F.col("class").cast("int"))
+    return M.multi_label_top1(ranked).withColumn("top1", F.round("top1", 6))
+
+
+_GEO = "acos(least(greatest(1 - 2 * power(list_distance(a.h, b.h), 2) / ((1 + list_inner_product(a.h, a.h)) * (1 + list_inner_product(b.h, b.h))), -1 + 1e-7), 1 - 1e-7))"
+_GEOS = f"(SELECT a.vec_id AS a, a.label = b.label AS same, {_GEO} AS g FROM {_MAP} a JOIN {_MAP} b ON a.vec_id <> b.vec_id)"
+
+
+@query(
+    f"""SELECT round(avg(loss), 5) AS loss, round(sum(ps) / sum(np), 5) AS positive_distance, round(sum(ns) / sum(nn), 5) AS negative_distance FROM (SELECT a, ln(sum(exp(-g / 0.1))) + sum(g) FILTER (WHERE same) / 0.1 / count(*) FILTER (WHERE same) AS loss,
+    sum(g) FILTER (WHERE same) AS ps, count(*) FILTER (WHERE same) AS np, sum(g) FILTER (WHERE NOT same) AS ns, count(*) FILTER (WHERE NOT same) AS nn FROM {_GEOS} GROUP BY a HAVING count(*) FILTER (WHERE same) > 0)"""
+)
+def supcon_geodesic(spark, d):
+    """Supervised contrastive loss on distances of the projected hypersphere, and the mean distances of both kinds of pairs."""
+    rows = _vectors(spark, d).select("vec_id", "label", V.exp_map(F.col("v")).alias("h"))
+    sums = neighbors.contrastive_sums(rows, "vec_id", "h", "label", 0.1, metric="geodesic").where("n_positive > 0")
+    loss = F.col("log_mass") - F.col("positive_sum") / F.col("n_positive") / 0.1
+    means = [F.round(-F.sum(f"{kind}_sum") / F.sum(f"n_{kind}"), 5).alias(f"{kind}_distance") for kind in ("positive", "negative")]
+    return sums.agg(F.round(F.avg(loss), 5).alias("loss"), *means)
+
+
+@query(
+    f"""WITH p AS (SELECT a.vec_id // 2 AS i, a.v AS x, b.v AS y FROM {_E} a JOIN {_E} b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+    s AS (SELECT p.i, q.i AS j, round(list_cosine_similarity(p.x, q.y), 12) AS s FROM p, p q),
+    o AS (SELECT i AS o, s AS own FROM s WHERE i = j),
+    f AS (SELECT i, count(*) FILTER (WHERE i <> j AND (s > own OR (s = own AND j < i))) AS place FROM s JOIN o ON o = i GROUP BY i),
+    g AS (SELECT j, count(*) FILTER (WHERE i <> j AND (s > own OR (s = own AND i < j))) AS place FROM s JOIN o ON o = j GROUP BY j)
+    SELECT i AS id, f.place AS place, g.place AS reverse_place FROM f JOIN g ON i = j"""
+)
+def retrieval_both_ways(spark, d):
+    """Even vectors retrieve the odd vector after them, and are retrieved by it."""
+    rows = _vectors(spark, d)
+    second = rows.select((F.col("vec_id") - 1).alias("_first"), F.col("v").alias("w"))
+    pairs = rows.where("vec_id % 2 = 0").join(second, F.col("vec_id") == F.col("_first")).select(F.floor(F.col("vec_id") / 2).alias("pair"), "v", "w")
+    return neighbors.paired_places(pairs, "pair", "v", "w")
+
+
+@query("SELECT range AS step, round(CASE WHEN range < 100 THEN 0.001 * (range + 1) / 100 ELSE 0.001 * power(0.1, (range - 100) / 900.0 * 2) END, 9) AS rate FROM range(1000)")
+def exponential_schedule(spark, d):
+    step = F.col("id")
+    return spark.range(1000).select(step.alias("step"), F.round(M.warmup_exponential(step, 1000, 100, 1e-3, 0.1, 2.0), 9).alias("rate"))
+
+
 @query()
 def pca_variance(spark, d):
     """Explained variance of the first components; the projection's signs are free."""

@@ -21,11 +21,18 @@ def read_csv(spark: SparkSession, path, columns: list[str], separator: str = ","
 
 
 def read_captions(spark: SparkSession, path, image: str = "filepath", caption: str = "title", separator: str = "\t") -> DataFrame:
-    """The two columns of an image-caption table; the others are not read into the plan."""
-    df = spark.read.options(header=True, sep=separator).csv(path)
+    """The two columns of an image-caption table; quoted fields may hold quotes, separators and line breaks; the others are not read into the plan."""
+    df = spark.read.options(header=True, sep=separator, escape='"', multiLine=True).csv(path)
     return df.select(F.col(image).alias("image"), F.col(caption).alias("caption"))
 
 
+def read_url_list(spark: SparkSession, path) -> DataFrame:
+    """Lines ``caption<TAB>url`` without header, with ``uid``, 16 hex digits from a SHA-256 of the line; lines without a tab are none."""
+    line = F.col("value")
+    parts = F.split(line, "\t")
+    return spark.read.text(path).where(line.contains("\t")).select(F.substring(F.sha2(line, 256), 1, 16).alias("uid"), parts[0].alias("caption"), parts[1].alias("url"))
+
+
 def read_jsonl(spark: SparkSession, path, schema: str, strict: bool = True) -> DataFrame:
     """One object a line, blank lines skipped; with ``strict`` a malformed line is an error of the running job."""
     lines = spark.read.text(path).where(F.trim("value") != "")
@@ -49,6 +56,13 @@ def list_files(spark: SparkSession, root: str, suffixes=("jpg", "jpeg", "png", "
     return listed.where(F.col("ext").isin([s.lower() for s in suffixes]))
 
 
+def labelled_folder(spark: SparkSession, root: str, split: str, **kw) -> DataFrame:
+    """Files of ``root/split/class/...`` with their class and its number in the order of the class names."""
+    files = list_files(spark, f"{root.rstrip('/')}/{split}", **kw).withColumn("class", F.split("path", "/")[0]).where(F.col("path").contains("/"))
+    classes = files.select("class").distinct().agg(F.array_sort(F.collect_set("class")).alias("_all"))
+    return files.crossJoin(F.broadcast(classes)).withColumn("label", F.array_position("_all", F.col("class")) - 1).drop("_all")
+
+
 def tree_listing(spark: SparkSession, root: str, parents: list[str] | None = None, **kw) -> DataFrame:
     """parent/leaf/file trees: directory names as columns, optionally for some parents."""
     parts = F.split("path", "/")

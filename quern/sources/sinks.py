@@ -14,6 +14,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
+def write_captions(df: DataFrame, path: str, ok: str, image: str = "filepath", caption: str = "title") -> None:
+    """The (title, filepath) table of the rows that succeeded, tab-separated with a header."""
+    df.where(ok).select(F.col(caption).alias("title"), F.col(image).alias("filepath")).write.mode("overwrite").options(header=True, sep="\t", escape='"').csv(path)
+
+
 def write_rows_and_counts(rows: DataFrame, counts: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/rows")
     counts.write.mode("overwrite").parquet(f"{path}/counts")
