@@ -94,6 +94,28 @@ def test_repeats_match_brute_force(docs, rows):
         assert Counter(map(tuple, remove_repeats(docs, digest=True, hot=hot, slice_bytes=size).collect())) == want
 
 
+def test_repeats_among_texts_of_few_letters_and_nul_bytes(frame):
+    import random
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(60, 200))) for letters in ["\0a"] * 4 + ["abcdefgh"] * 4 + ["\0"]]
+    texts = ["".join(b[rng.randint(0, 20) : rng.randint(40, 200)] if rng.random() < 0.7 else "\0abc"[: rng.randint(0, 4)] * 5 for b in rng.sample(base, 3)) for _ in range(120)]
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    want = {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        want[i] = "".join(x for x, g in zip(t, gone) if not g).encode()
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    for hot, size in ((500, 8 << 20), (3, 2_000)):
+        assert {r.doc_id: bytes(r.kept) for r in remove_repeats(frame(rows), hot=hot, slice_bytes=size).collect()} == want
+
+
 def test_repeats_give_the_remaining_text(docs):
     kept = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs).where("doc_id IN (0, 60, 73)").collect()}
     assert kept[60] == b"" and kept[73] == b"one two" and len(kept[0]) > 100
