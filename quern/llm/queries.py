@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from quern.llm.audit import FILTERS, filter_audit
+from quern.llm.clusters import ball_tree_clusters
 from quern.llm.common import table
+from quern.llm.debruijn import remove_repeated_windows
 from quern.llm.langid import identify_languages
 from quern.llm.mixing import mixing_plan
 from quern.llm.near_dedup import near_duplicates
@@ -55,6 +60,18 @@ def op10_secret_ledger(spark, sf_dir):
     return report(secret_ledger(table(spark, sf_dir, "documents"))[0])
 
 
+def op11_de_bruijn_windows(spark, sf_dir):
+    return remove_repeated_windows(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op12_ball_tree_clusters(spark, sf_dir):
+    return ball_tree_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_interactions(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_compression_langid": op2_compression_langid,
@@ -66,6 +83,9 @@ QUERIES = {
     "op8_temperature_mix": op8_temperature_mix,
     "op9_rarest_token_urls": op9_rarest_token_urls,
     "op10_secret_ledger": op10_secret_ledger,
+    "op11_de_bruijn_windows": op11_de_bruijn_windows,
+    "op12_ball_tree_clusters": op12_ball_tree_clusters,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 
@@ -161,10 +181,86 @@ def _secrets_sql() -> str:
     """
 
 
+_WINDOWS_SQL = """
+    WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+    marks AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM marks),
+    kept AS (
+        SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text, count(*) AS n
+        FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) p ANTI JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i
+        GROUP BY p.doc_id
+    )
+    SELECT w.doc_id, CAST(len(ws) AS bigint) AS n_words, CAST(len(ws) - coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
+def _clusters_sql(dims: int = 64, clusters: int = 8, rounds: int = 10) -> str:
+    distance = "list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT v.vec_id, v.e, min({{'d': CAST({distance} AS bigint), 'k': k}}) AS m FROM v CROSS JOIN c{k} c GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+                SELECT c.k, coalesce(n.e, c.e) AS e FROM c{k} c LEFT JOIN (
+                    SELECT k, list(q ORDER BY i) AS e FROM (
+                        SELECT k, i, (CAST(sum(x) AS hugeint) - ((CAST(sum(x) AS hugeint) % count(*)) + count(*)) % count(*)) / count(*) AS q
+                        FROM (SELECT m.k AS k, unnest(e) AS x, unnest(range(1, {dims + 1})) AS i FROM a{k}) GROUP BY k, i
+                    ) GROUP BY k
+                ) n ON n.k = c.k)""")
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, [floor(1024 * x::double) FOR x IN embedding] AS e FROM embeddings
+            WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT {clusters})
+        ), {", ".join(steps)}
+        SELECT vec_id, CAST(m.k AS int) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS bigint) AS cluster_inertia, CAST(sum(m.d) OVER () AS bigint) AS inertia,
+               sha256(array_to_string([CAST(x AS bigint) FOR x IN c.e], ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.k = a.m.k
+    """
+
+
+def _audit_sql() -> str:
+    steps = []
+    for order in permutations(range(len(FILTERS))):
+        before = 0
+        for step, f in enumerate(order, 1):
+            steps.append(f"('{''.join(FILTERS[x] for x in order)}', {step}, {1 << f}, {before})")
+            before |= 1 << f
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM t),
+        o AS (SELECT text, min(doc_id) AS lo FROM t GROUP BY text),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 2 * length(w.text) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > lo THEN 16 ELSE 0 END AS mask
+            FROM w JOIN o ON o.text = w.text LEFT JOIN l ON l.doc_id = w.doc_id
+        ), m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, mask),
+        s(filter_order, step, bit, before) AS (VALUES {", ".join(steps)})
+        SELECT part, filter_order, step,
+               CAST(sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END) AS bigint) AS kept,
+               CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS bigint) AS removed,
+               CAST(sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS bigint) AS redundant,
+               CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS bigint) AS unique_fails,
+               CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END) AS bigint) AS good_lost,
+               CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS bigint) AS toxic_lost,
+               CAST(sum(CASE WHEN mask & bit > 0 THEN n * 120 // bit_count(mask) ELSE 0 END) AS bigint) AS shapley
+        FROM m CROSS JOIN s GROUP BY part, filter_order, step
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": _NEAR_SQL,
     "op3_mtree_top_k": _TOP_SQL,
     "op4_repeated_bytes": _REPEATS_SQL,
     "op9_rarest_token_urls": _url_sql(),
     "op10_secret_ledger": _secrets_sql(),
+    "op11_de_bruijn_windows": _WINDOWS_SQL,
+    "op12_ball_tree_clusters": _clusters_sql(),
+    "op13_filter_interactions": _audit_sql(),
 }
