@@ -92,10 +92,11 @@ def interaction_report(flags: DataFrame, filters: tuple[str, ...] = FILTERS) ->
     for order in permutations(range(k)):
         before = 0
         for step, f in enumerate(order, 1):
-            steps.append(F.struct(F.lit("".join(filters[x] for x in order)).alias("filter_order"), F.lit(step).alias("step"), F.lit(1 << f).alias("bit"), F.lit(before).alias("before")))
+            steps.append(f"('{''.join(filters[x] for x in order)}', {step}, {1 << f}, {before})")
             before |= 1 << f
-    rows = parts.select("part", tally.alias("tally"), F.explode(F.array(*steps)).alias("at"))
-    bit, before = F.col("at.bit"), F.col("at.before")
+    steps = F.expr(f"inline(array({', '.join(steps)}))").alias("filter_order", "step", "bit", "before")
+    rows = parts.select("part", tally.alias("tally"), steps)
+    bit, before = F.col("bit"), F.col("before")
     fails, passed = (lambda t: t["mask"].bitwiseAND(bit) != 0), (lambda t: t["mask"].bitwiseAND(before) == 0)
 
     def total(where, value=lambda t: t["n"]) -> Column:
@@ -105,7 +106,7 @@ def interaction_report(flags: DataFrame, filters: tuple[str, ...] = FILTERS) ->
     first_in = lambda t: (t["n"] * F.lit(factorial(k)) / F.bit_count(t["mask"])).cast("long")
     share = lambda t: F.when(F.bit_count(t["mask"]) > 0, first_in(t)).otherwise(F.lit(0).cast("long"))
     return rows.select(
-        "part", "at.filter_order", "at.step",
+        "part", "filter_order", "step",
         total(lambda t: ~fails(t) & passed(t)).alias("kept"),
         total(removed).alias("removed"),
         total(lambda t: fails(t) & ~passed(t)).alias("redundant"),
