@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ def _slices(max_bytes: int):
                 out[np.repeat(place, length) + inside] = data[np.repeat(starts, length) + inside]
                 words = np.bincount(doc, minlength=len(offsets) - 1).astype(np.int64)
                 bounds = np.r_[place, len(out)][np.r_[0, np.cumsum(words)]]
-                ties = b"".join(hashlib.blake2b(out[a:b], digest_size=8).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                ties = b"".join(hashlib.blake2b(out[a:b], digest_size=4).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
                 values = (ids[row : row + len(words)].tobytes(), words.tobytes(), ties, _zip(out, 3))
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], schema=schema)
 
@@ -71,7 +72,7 @@ class Slice:
     """One slice: ids, words and windows of its documents, and the bytes of every word."""
 
     def __init__(self, row: dict):
-        self.ids, self.words, self.ties = (np.frombuffer(row[c], np.int64) for c in ("ids", "words", "ties"))
+        self.ids, self.words, self.ties = (np.frombuffer(row[c], kind) for c, kind in (("ids", np.int64), ("words", np.int64), ("ties", np.int32)))
         self.data = _unzip(row["data"], np.uint8)
         self.ends = np.flatnonzero(self.data == 0x20)
         self.starts = np.r_[0, self.ends[:-1] + 1] if len(self.ends) else self.ends
@@ -220,16 +221,20 @@ def _junctions(key, rows):
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["slice", "bucket", "keys", "flags"])
 
 
-_PATH = pa.schema([("path", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("slice", pa.int64()), ("doc", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
-_PATH_SQL = "path long, d1 long, d2 long, doc_id long, tie long, slice long, doc int, start int, n int"
+_PATH = pa.schema([("path", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("slice", pa.int64()), ("doc", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+_PATH_SQL = "path long, digest long, doc_id long, tie int, slice long, doc int, start int, n int"
 
 
-def _located(own: Slice, number: int, path: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, k: int) -> pa.Table:
-    """Rows of paths: key of the first edge, 128-bit digest of the words read at the source, and where they stand; ``n`` counts edges."""
+def _located(own: Slice, number: int, path: np.ndarray | None, doc: np.ndarray, place: np.ndarray, n: np.ndarray, k: int) -> pa.Table:
+    """Rows of paths: key of the first edge, digest of the words read at the source, and where they stand; ``n`` counts edges.
+
+    Without ``path`` the key is a second digest of the words.
+    """
     raw = own.data.tobytes()
     begin, end = own.starts[place].tolist(), own.ends[place + n + k - 2].tolist()
     digests = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin, end)), np.int64).reshape(-1, 2)
-    values = (path.astype(np.int64), digests[:, 0], digests[:, 1], own.ids[doc], own.ties[doc], np.full(len(doc), number), doc, place - own.first[doc], n)
+    path = digests[:, 1] if path is None else path.astype(np.int64)
+    values = (path, digests[:, 0], own.ids[doc], own.ties[doc], np.full(len(doc), number), doc, place - own.first[doc], n)
     return pa.table([pa.array(np.ascontiguousarray(v), f.type, safe=False) for v, f in zip(values, _PATH)], schema=_PATH)
 
 
@@ -264,8 +269,7 @@ def _windows(k: int):
             doc, start, n = (paths[c].to_numpy().astype(np.int64) for c in ("doc", "start", "n"))
             each = np.repeat(doc, n)
             place = np.repeat(own.first[doc] + start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            table = _located(own, row["slice"], np.zeros(len(each), np.int64), each, place, np.ones(len(each), np.int64), k)
-            out.append(table.set_column(0, "path", table["d1"]))
+            out.append(_located(own, row["slice"], None, each, place, np.ones(len(each), np.int64), k))
         return pa.concat_tables(out)
 
     return run
@@ -299,8 +303,8 @@ def _cut(k: int, digest: bool):
     return run
 
 
-def _compacted(docs: DataFrame, id_col: str, text_col: str, window: int, side_bytes: int | None, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Checkpointed slices, all occurrences of compacted paths, and the first occurrence of each path that has several."""
+def _compacted(docs: DataFrame, id_col: str, text_col: str, window: int, side_bytes: int | None, bits: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, list[str]]]]:
+    """Checkpointed slices; and occurrences of paths, the first occurrence of each path that has several, and the columns that name a path."""
     if window < 2 or not 8 <= bits <= 64:
         raise ValueError("a window has two words or more, a key 8 to 64 bits")
     spark = docs.sparkSession
@@ -318,32 +322,28 @@ def _compacted(docs: DataFrame, id_col: str, text_col: str, window: int, side_by
     junctions = contexts.groupBy("bucket").applyInArrow(_junctions, "slice long, bucket int, keys binary, flags binary")
     paths = checkpointed(of_slice.cogroup(junctions.groupBy("slice")).applyInArrow(_paths(buckets, window, bits), _PATH_SQL))
     first = _first(paths, "path")
-    wrong = first.where("d1 <> e1 OR d2 <> e2").select("path")
-    if not wrong.isEmpty():  # different words under one key: their windows are judged one by one, by digest
-        shown = paths.join(wrong, "path", "left_semi").select("slice", "doc", "start", "n")
-        windows = checkpointed(of_slice.cogroup(shown.groupBy("slice")).applyInArrow(_windows(window), _PATH_SQL))
-        paths = paths.join(wrong, "path", "left_anti").withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
-        first = _first(paths, "kind", "path", "d1", "d2")
-    else:
-        paths, first = paths.withColumn("kind", F.lit(0)), first.withColumn("kind", F.lit(0))
-    return slices, paths, first.select("kind", "path", F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first", "n_found")
-
-
-_WHERE = ("doc_id", "tie", "slice", "doc", "start")
+    wrong = first.where("digest <> other").select("path")
+    if wrong.isEmpty():
+        return slices, [(paths, first, ["path"])]
+    # different words under one key: the windows of such paths are judged one by one, by their digests alone
+    shown = paths.join(wrong, "path", "left_semi").select("slice", "doc", "start", "n")
+    windows = checkpointed(of_slice.cogroup(shown.groupBy("slice")).applyInArrow(_windows(window), _PATH_SQL))
+    right = paths.join(wrong, "path", "left_anti"), first.where("digest = other"), ["path"]
+    return slices, [right, (windows, _first(windows, "path", "digest"), ["path", "digest"])]
 
 
 def _first(paths: DataFrame, *keys: str) -> DataFrame:
     """First occurrence of every path that has several, and the range of its digests."""
-    more = [c for c in ("d1", "d2") if c not in keys]
-    ranges = [f(c).alias(name) for c in more for f, name in ((F.min, c), (F.max, c.replace("d", "e")))]
-    found = paths.groupBy(*keys).agg(*ranges, F.min(F.struct(*_WHERE)).alias("first"), F.count("*").alias("n_found")).where("n_found > 1")
-    return checkpointed(found)
+    ranges = [] if "digest" in keys else [F.min("digest").alias("digest"), F.max("digest").alias("other")]
+    found = paths.groupBy(*keys).agg(*ranges, F.min(F.struct("doc_id", "tie", "slice", "doc", "start")).alias("at"), F.count("*").alias("n_found"))
+    first = F.struct(*[F.col(f"at.{c}") for c in ("slice", "doc", "start")]).alias("first")
+    return checkpointed(found.where("n_found > 1").select(*keys, *[c for c in ("digest", "other") if c not in keys and ranges], first, "n_found"))
 
 
-def _met(paths: DataFrame, first: DataFrame) -> DataFrame:
-    """Occurrences of repeated paths with the first one of their path."""
-    one = paths.alias("p").join(first.alias("f"), (F.col("p.kind") == F.col("f.kind")) & (F.col("p.path") == F.col("f.path")) & (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2")))
-    return one.select("p.*", "first", "n_found", (F.struct(*[F.col(f"p.{c}") for c in _WHERE]) != F.col("first")).alias("later"))
+def _met(paths: DataFrame, first: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Occurrences of repeated paths, and whether each comes later than the first one of its path; only places are shuffled."""
+    own = paths.select(*keys, "slice", "doc", "start", "n", *[c for c in more if c not in keys])
+    return own.join(first.select(*keys, "first", "n_found"), keys).withColumn("later", F.struct("slice", "doc", "start") != F.col("first"))
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, digest: bool = False, side_bytes: int | None = None, bits: int = 64) -> DataFrame:
@@ -353,7 +353,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     packed into slices (checkpointed, dealt by slice once, so that later joins move no text). 2. Edges, the hashes of all
     windows, meet in buckets at a few bytes each; those that occur once are dropped. 3. Each repeated edge's neighbours meet
     in its bucket; it is a junction on a side where they differ or an occurrence begins or ends. 4. Slices cut their walks at
-    junctions into occurrences of compacted paths, each with a 128-bit digest of the words at its source coordinates. 5. All
+    junctions into occurrences of compacted paths, each with a digest of the words at its source coordinates. 5. All
     occurrences of a path but the first lose their words. A pair of different windows under one key is found by the
     digests; the windows of such paths are then judged one by one, so results do not depend on ``bits``, the width of keys.
 
@@ -367,8 +367,8 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Returns ``doc_id, n_words, n_removed`` and ``kept`` (the remaining words, joined by one space), or with ``digest`` its ``kept_sha256``.
     """
-    slices, paths, first = _compacted(docs, id_col, text_col, window, side_bytes, bits)
-    later = _met(paths, first).where("later").select("slice", "doc", "start", "n")
+    slices, found = _compacted(docs, id_col, text_col, window, side_bytes, bits)
+    later = reduce(DataFrame.unionByName, [_met(*x).where("later").select("slice", "doc", "start", "n") for x in found])
     last = "kept_sha256 string" if digest else "kept string"
     return slices.groupBy("slice").cogroup(later.groupBy("slice")).applyInArrow(_cut(window, digest), f"doc_id long, n_words long, n_removed long, {last}")
 
@@ -379,7 +379,8 @@ def compacted_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``start`` counts words, ``n_found`` the occurrences of the path, ``first`` marks the earliest. Paths of one repeat overlap by
     ``window`` - 1 words at junctions. Edge cases are those of :func:`remove_repeated_windows`.
     """
-    _, paths, first = _compacted(docs, id_col, text_col, window, side_bytes, bits)
-    name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("d1", "d2")])
+    _, found = _compacted(docs, id_col, text_col, window, side_bytes, bits)
+    met = reduce(DataFrame.unionByName, [_met(*x, "doc_id", "digest").select("path", "digest", "doc_id", "start", "n", "n_found", "later") for x in found])
+    name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("path", "digest")])
     shown = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))
-    return _met(paths, first).select(name.alias("path"), shown.alias("doc_id"), "start", (F.col("n") + window - 1).alias("n_words"), "n_found", (~F.col("later")).alias("first"))
+    return met.select(name.alias("path"), shown.alias("doc_id"), "start", (F.col("n") + window - 1).alias("n_words"), "n_found", (~F.col("later")).alias("first"))

@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def in_order(rows):
     """Documents as (id, words) in the order that decides which window is first."""
     docs = [(r[0], WORD.findall(r[1] or "")) for r in rows]
-    tie = lambda ws: int.from_bytes(hashlib.blake2b("".join(f"{w} " for w in ws).encode(), digest_size=8).digest(), "little", signed=True)
+    tie = lambda ws: int.from_bytes(hashlib.blake2b("".join(f"{w} " for w in ws).encode(), digest_size=4).digest(), "little", signed=True)
     return sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, tie(d[1])))
 
 
