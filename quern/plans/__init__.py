@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("relational", "trees", "vectors", "states", "exchange")
+TOPICS = ("relational", "trees", "vectors", "states", "exchange", "loading")
 
 
 def load() -> tuple[dict, dict]:
