@@ -91,7 +91,7 @@ def secret_ledger(
     scans only what has changed since.
 
     Nulls and edge cases: null text is scanned as the empty one; a null path is a path; repeated rows
-    share a blob and its findings; an empty table gives empty results; only the named columns are read.
+    share a blob and its findings; a pair that the ledger holds twice (two runs at once, a retried append) counts once; an empty table gives empty results; only the named columns are read.
 
     Returns (``doc_id, blob, spans`` for every row, after ``version`` if named; the ledger with the new rows).
     """
@@ -103,7 +103,7 @@ def secret_ledger(
     versions = docs.select(F.col(id_col).cast("long").alias("doc_id"), *version, text.alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = checkpointed(versions.drop("text"))
     old = (ledger if ledger is not None else empty_ledger(spark)).where(F.col("rule_version") == rule_version)
-    old = checkpointed(old.select("blob", "spans")) if ledger is not None else old.select("blob", "spans")
+    old = checkpointed(old.groupBy("blob").agg(F.max("spans").alias("spans"))) if ledger is not None else old.select("blob", "spans")
     key = F.xxhash64(*[c for c in paths.columns if c != "blob"])
     counted = paths.groupBy("blob").agg(F.min(key).alias("pick"), F.count("*").alias("n"))
     known = old.select("blob", F.lit(True).alias("known")) if ledger is not None else None

@@ -216,7 +216,7 @@ def _search(k: int, page: int, norm2: float):
 
 
 def exact_top_k(
-    vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, block_rows: int = 4_000, query_rows: int = 500, page: int = 64, max_cells: int = 256, sample_rows: int = 4_096, counts: bool = False
+    vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, block_rows: int = 4_000, query_rows: int = 500, page: int = 64, max_cells: int = 256, sample_rows: int = 4_096, counts: bool = False, meetings: list | None = None
 ) -> DataFrame:
     """The ``k`` highest integer inner products of each query over all other rows, ties to the smaller id.
 
@@ -233,6 +233,8 @@ def exact_top_k(
     never of a query with their id; an empty table gives an empty result; only the two named columns are read. If the square of a scaled vector's length
     reaches 2**62, scores might not fit a long: a ValueError.
 
+    ``meetings`` collects how many (block, pack) pairs each of the two searches has.
+
     Returns ``query_id, rank, vec_id, score``; with ``counts`` also ``n_compared``, the stored vectors a query's score was computed for.
     """
 
@@ -246,11 +248,12 @@ def exact_top_k(
 
     base = clean(vectors)
     asked = base.where(F.col("vec_id") % 100 == 0) if queries is None else clean(queries)
-    n, top = base.agg(F.count("*"), F.max("norm")).first()
-    n_queries, top_query = asked.agg(F.count("*"), F.max("norm")).first()
+    longest = F.max(F.when(F.col("norm") < 2.0**62, F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)))
+    n, top, norm2 = base.agg(F.count("*"), F.max("norm"), longest).first()
+    (top_query,) = (top,) if queries is None else asked.agg(F.max("norm")).first()
     if max(top or 0.0, top_query or 0.0) >= 2.0**62:
         raise ValueError("scores of these vectors may not fit a long")
-    norm2 = float(base.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))).first()[0] or 0)
+    norm2 = float(norm2 or 0)
     pivots: dict[int, np.ndarray] = {}
     n_cells = min(max_cells, -(-n // block_rows))
     if n_cells > 1:
@@ -269,14 +272,21 @@ def exact_top_k(
     packed = "dim int, cell int, block int, ids binary, vectors binary"
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), blocks).cast("int")
     trees = checkpointed(stored.select("dim", "cell", block.alias("block"), "vec_id", "v").groupBy("dim", "cell", "block").applyInArrow(_pack, packed))
-    parts = max(1, -(-n_queries // query_rows))
-
-    # A meeting is little data and much work, so meetings are dealt out evenly whatever their size in bytes.
-    tasks = min(20_000, max(1, parts * sum(-(-r.n // block_rows) for r in sizes)))
+    n_blocks = {(r.dim, r.cell): -(-r.n // block_rows) for r in sizes}
 
     def meet(rows):
-        """Search packs of ``rows`` (dim, cell, vec_id, v, limit) in all blocks of their cells."""
-        pack = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts)).cast("int")
+        """Search ``rows`` (dim, cell, vec_id, v, limit), checkpointed, in all blocks of their cells.
+
+        A cell has a pack for each ``query_rows`` of its own queries, so a block is sent only to as many packs as its cell needs.
+        """
+        of_cell = {(r.dim, r.cell): -(-r.n // query_rows) for r in rows.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
+        # A meeting is little data and much work, so meetings are dealt out evenly whatever their size in bytes.
+        n_meetings = sum(n * n_blocks.get(name, 0) for name, n in of_cell.items())
+        tasks = min(20_000, max(1, n_meetings))
+        if meetings is not None:
+            meetings.append(n_meetings)
+        parts = F.coalesce(*[F.when((F.col("dim") == d) & (F.col("cell") == c), F.lit(n)) for (d, c), n in of_cell.items() if n > 1], F.lit(1))
+        pack = F.pmod(F.xxhash64("vec_id", F.lit(5)), parts).cast("int")
         packs = rows.select("dim", "cell", pack.alias("block"), "vec_id", "v", "limit").groupBy("dim", "cell", "block").applyInArrow(_pack, packed + ", limits binary")
         packs = packs.select("dim", "cell", F.col("block").alias("pack"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("limits").alias("q_limits"))
         met = trees.join(packs.hint("merge"), ["dim", "cell"]).repartition(tasks, "dim", "cell", "block", "pack")
@@ -292,7 +302,7 @@ def exact_top_k(
     if n_cells > 1:
         limit = best(found).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("limit"))
         again = home.drop("limit").join(limit, "vec_id", "left").select("dim", "cell", "vec_id", "v", F.coalesce("limit", F.lit(float("nan"))).alias("limit"))
-        routed = again.mapInArrow(_route(cells, pivots, norm2), "dim int, cell int, vec_id long, v array<long>, limit double")
+        routed = checkpointed(again.mapInArrow(_route(cells, pivots, norm2), "dim int, cell int, vec_id long, v array<long>, limit double"))
         found = found.unionByName(meet(routed))
         found = checkpointed(found) if counts else found
     out = best(found).select("query_id", "rank", "vec_id", "score")

@@ -177,6 +177,8 @@ def test_secret_ledger_scans_only_what_it_has_not_seen(docs, spark):
     marked = ledger.withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind"), F.lit(1).alias("end"))))
     again, full = secret_ledger(docs, marked)
     assert full.count() == ledger.count() and again.where("size(spans) <> 1").isEmpty()
+    twice, _ = secret_ledger(docs, marked.unionByName(marked))
+    assert sorted(map(str, twice.collect())) == sorted(map(str, again.collect()))
     fresh, both = secret_ledger(docs, marked, rule_version="other")
     assert both.count() == 2 * ledger.count() and sorted(map(str, fresh.collect())) == sorted(map(str, first.collect()))
 

@@ -50,6 +50,22 @@ def test_top_k_prunes_cells_and_pages(spark):
     assert compared[len(compared) // 2] < 3000 / 4 and sum(compared) < 30 * 3000 / 2, compared
 
 
+def test_a_block_meets_only_the_packs_of_its_cell(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(8, 6)) * 20
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(size=6) * 0.1]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    meetings = []
+    got = exact_top_k(df, queries=df, block_rows=100, query_rows=50, page=16, meetings=meetings)
+    usable = np.floor(1024 * np.array([v for _, v in rows], np.float32).astype(float)).astype(np.int64)
+    scores = usable @ usable.T
+    np.fill_diagonal(scores, -(1 << 60))
+    want = {(q, r + 1, int(i), int(scores[q, i])) for q in range(1600) for r, i in enumerate(np.lexsort((np.arange(1600), -scores[q]))[:10])}
+    assert {tuple(r) for r in got.collect()} == want
+    # Alone, 32 packs would meet some 16 blocks; here each cell has as many packs as its queries fill.
+    assert meetings[0] <= 2 * (1600 / 50) * (1600 / 100) / 8 and sum(meetings) < (1600 / 50) * (1600 / 100), meetings
+
+
 def test_top_k_refuses_scores_beyond_a_long(spark):
     import pytest
 
