@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.contracts import checkpointed, shared_folder
 from quern.session import table
 from quern.sources import readers, shards, sinks
-from quern.streaming import lines
+from quern.streaming import incremental, lines, status
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -78,3 +78,40 @@ def resumed_lines(spark, d):
         stream = lines.stream_jsonl(spark, folder, "doc_id long, source string, n_chars long", suffix=".json", split_bytes=1 << 14)
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("doc_id", "source", "n_chars")
+
+
+_LADDER = """a AS (SELECT user_id, arg_min(value > 40, event_id) AS ok, min(event_id) AS at FROM events WHERE event_type = 'view' GROUP BY user_id),
+    b AS (SELECT e.user_id, arg_min(value > 40, event_id) AS ok, min(event_id) AS at FROM events e JOIN a ON a.user_id = e.user_id WHERE event_type = 'click' AND NOT a.ok AND event_id > a.at GROUP BY e.user_id),
+    c AS (SELECT e.user_id, arg_min(value > 40, event_id) AS ok FROM events e JOIN b ON b.user_id = e.user_id WHERE event_type = 'purchase' AND NOT b.ok AND event_id > b.at GROUP BY e.user_id)"""
+
+
+@query(
+    f"""WITH {_LADDER} SELECT CAST(u.user_id AS varchar) AS key, CASE WHEN a.ok THEN 'view' WHEN b.ok THEN 'click' WHEN c.ok THEN 'purchase' WHEN NOT c.ok THEN 'failed' ELSE 'pending' END AS status,
+    CASE WHEN coalesce(a.ok, true) OR coalesce(b.ok, false) OR coalesce(c.ok, false) THEN '' ELSE 'view: failed' || CASE WHEN NOT b.ok THEN ' | click: failed' ELSE '' END || CASE WHEN NOT c.ok THEN ' | purchase: failed' ELSE '' END END AS error
+    FROM (SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click', 'purchase')) u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)"""
+)
+def status_machine(spark, d):
+    """Attempts at three origins as two streams of one state, the second going on where the first ended."""
+    folder, out, state = (shared_folder(spark) for _ in range(3))
+    spark.conf.set(*next(iter(status.CONF.items())))
+    events = table(spark, d, "events").where("event_type IN ('view', 'click', 'purchase')")
+    half = events.agg(F.avg("event_id")).first()[0] or 0
+    rows = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.lit("attempt").alias("kind"), F.col("event_type").alias("origin"), F.col("ts").alias("at"), (F.col("value") > 40).alias("ok"), F.lit(True).alias("final"), F.lit(None).cast("string").alias("error"))
+    for part in (rows.where(F.col("seq") <= half), rows.where(F.col("seq") > half)):
+        part.write.mode("append").parquet(folder)
+        stream = status.fetch_status(spark.readStream.schema(rows.schema).parquet(folder), ["view", "click", "purchase"], delay="3650 days")
+        batch = lambda found, epoch: found.write.mode("overwrite").parquet(f"{out}/part={state[-6:]}-{epoch}")
+        stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{out}/*")
+    return found.groupBy("key").agg(F.max(F.struct("seq", "status", "error")).alias("m")).select("key", "m.status", "m.error")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def upserted_latest(spark, d):
+    """The latest event of each user, upserted from a stream of four files into 16 buckets."""
+    folder, out, state = (shared_folder(spark) for _ in range(3))
+    events = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    events.repartition(4, "event_id").write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    incremental.upsert_latest(stream, "user_id", "event_id", out, state, buckets=16)
+    return incremental.read_upserted(spark, out)

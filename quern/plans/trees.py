@@ -192,8 +192,8 @@ _SPLIT = """(WITH c AS (SELECT doc_id, coalesce('=' || lang, '') || chr(0) || co
 
 
 @query(f"SELECT * FROM {_SPLIT}")
-def greedy_stratified_split(spark, d):
-    return P.greedy_stratified(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id", ["lang", "source"])
+def systematic_stratified_split(spark, d):
+    return P.systematic_stratified(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id", ["lang", "source"])
 
 
 @query(
@@ -206,4 +206,11 @@ def greedy_stratified_split(spark, d):
     b1 + CASE WHEN (r0 >= r1)::int < rest THEN 1 ELSE 0 END AS validation_target, b1 + CASE WHEN (r0 >= r1)::int + 1 < rest THEN 1 ELSE 0 END AS test_target FROM b"""
 )
 def split_summary_rollup(spark, d):
-    return P.split_summary(greedy_stratified_split(spark, d), ["lang", "source"])
+    return P.split_summary(systematic_stratified_split(spark, d), ["lang", "source"])
+
+
+@query()
+def greedy_stratified_split(spark, d):
+    """Orders as whole groups, stratified by the shipping modes of their lines; the last 5,000 orders one after another."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipmode")
+    return P.greedy_stratified(lines, "l_orderkey", ["l_shipmode"], last=5_000).distinct()

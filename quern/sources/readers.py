@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources.shards import stream_shards
+
 
 def read_csv(spark: SparkSession, path, columns: list[str], separator: str = ",") -> DataFrame:
     """Delimited text with a header, all strings, blank for missing; quoted newlines and a byte-order mark are read as such."""
@@ -94,37 +94,12 @@ def weighted_shards(spark: SparkSession, pattern: str, weights: list[float] | No
     return spark.createDataFrame(rows, "shard string, weight double")
 
 
-def _samples(batches):
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            rows, current, parts = [], None, {}
-            try:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for member in tar:
-                        name = member.name.rsplit("/", 1)
-                        prefix, _, suffix = name[-1].partition(".")
-                        prefix, suffix = "/".join([*name[:-1], prefix]), suffix.lower()
-                        if not member.isfile() or not name[-1].partition(".")[0]:
-                            continue
-                        if current is not None and (prefix != current or suffix in parts):
-                            rows.append((path, current, parts))
-                            parts = {}
-                        current = prefix
-                        parts[suffix] = tar.extractfile(member).read()
-            except tarfile.TarError:
-                pass
-            if current is not None and parts:
-                rows.append((path, current, parts))
-            yield pd.DataFrame(rows, columns=["shard", "key", "parts"])
-
-
 def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Samples of tar shards: consecutive members of one name are one sample of suffix -> bytes.
+    """Samples of tar shards, ``shard, key, parts``; those before the break of a broken archive.
 
-    A repeated suffix starts a new sample; a broken archive gives the samples before the break. A shard is one task's unit.
+    :func:`quern.sources.shards.stream_shards` is the source; it also gives the errors.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(_samples, "shard string, key string, parts map<string,binary>")
+    return stream_shards(spark, paths).where("error IS NULL").select("shard", "key", "parts")
 
 
 def image_text(samples: DataFrame) -> DataFrame:

@@ -41,12 +41,40 @@ def signature(**inputs) -> str:
 def cached_table(spark: SparkSession, root: str, build, **inputs) -> DataFrame:
     """The table of these inputs: read if it was written whole before (``_SUCCESS`` is there), else built and written."""
     path = f"{root}/{signature(**inputs)}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder.suffix("/_SUCCESS")):
+    if not marked(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def marked(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    file, store = _file(spark, path)
+    return store.exists(file)
+
+
+def mark(spark: SparkSession, path: str, text: str = "") -> None:
+    """A small file, replaced if it is there."""
+    file, store = _file(spark, path)
+    stream = store.create(file, True)
+    stream.writeBytes(text)
+    stream.close()
+
+
+def guard(spark: SparkSession, path: str, **inputs) -> None:
+    """Keep the signature of the inputs at ``path``; where another one is kept, it is an error to go on."""
+    own = signature(**inputs)
+    if not marked(spark, path):
+        return mark(spark, path, own)
+    kept = spark.read.text(path).first()
+    if kept is None or kept[0] != own:
+        raise ValueError(f"inputs differ from those that {path} was begun with")
+
+
 def fingerprint(df: DataFrame, order: list[str] | None = None) -> str:
     """SHA-256 over the JSON records in the order of ``order`` (unique; by default of all columns), by a tree of digests.
 

@@ -104,7 +104,7 @@ def test_greedy_pairs_never_return_a_part(spark):
 def test_stratified_split_keeps_groups_and_nears_targets(spark):
     rng = random.Random(4)
     rows = [(g, rng.choice("abcd")) for g in range(300) for _ in range(rng.randint(1, 3))]
-    got = splits.greedy_stratified(spark.createDataFrame(rows, "g long, c string"), "g", ["c"]).collect()
+    got = splits.systematic_stratified(spark.createDataFrame(rows, "g long, c string"), "g", ["c"]).collect()
     by = {}
     for r in got:
         by.setdefault(r.g, set()).add(r.split)
@@ -323,7 +323,7 @@ def test_numbers_in_groups(spark):
 
 def test_every_class_is_split_eight_to_one_to_one(spark):
     rows = [(i, "ab"[i % 3 == 0]) for i in range(900)] + [(1000 + i, f"rare{i}") for i in range(40)]
-    got = splits.greedy_stratified(spark.createDataFrame(rows, "g long, c string"), "g", ["c"]).collect()
+    got = splits.systematic_stratified(spark.createDataFrame(rows, "g long, c string"), "g", ["c"]).collect()
     for c, n in (("a", 600), ("b", 300)):
         own = [r.split for r in got if r.c == c]
         assert len(own) == n and abs(own.count("train") - 0.8 * n) <= 1 and abs(own.count("validation") - 0.1 * n) <= 1
