@@ -126,12 +126,8 @@ def _edges(buckets: int, k: int, bits: int):
     return run
 
 
-def _bits(flags: np.ndarray) -> bytes:
-    return _zip(np.packbits(flags))
-
-
 def _repeated(key, rows):
-    """For every slice which of its edges of this bucket, in their order, occur twice or more in the corpus: a bit each."""
+    """For every slice its edges of this bucket that occur twice or more in the corpus."""
     slices, keys, counts, owner = rows["slice"].to_pylist(), [], [], []
     for i, raw in enumerate(zip(rows["single"].to_pylist(), rows["multi"].to_pylist())):
         for n, part in enumerate(raw, 1):
@@ -141,24 +137,27 @@ def _repeated(key, rows):
     order = np.argsort(keys, kind="stable")
     keys, counts, owner = keys[order], counts[order], owner[order]
     new = np.r_[True, keys[1:] != keys[:-1]]
-    often = (counts > 1) | ~new
+    often = counts > 1
     often[:-1] |= ~new[1:]
-    order = np.argsort(owner, kind="stable")  # the keys of a slice stay in order
-    often, cuts = often[order], np.searchsorted(owner[order], np.arange(len(slices) + 1))
-    own = [i for i in range(len(slices)) if often[cuts[i] : cuts[i + 1]].any()]
-    columns = [[slices[i] for i in own], [key[0].as_py()] * len(own), [_bits(often[cuts[i] : cuts[i + 1]]) for i in own]]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["slice", "bucket", "bits"])
-
-
-def _edges_of(own: Slice, rows: pa.Table, buckets: int, k: int, bits: int) -> tuple[np.ndarray, dict[int, bytes]]:
-    """A slice's repeated edges in order, by the bits that came back for its own edges; and the bits by bucket."""
-    found = [keys for keys, _, _ in own.windows(buckets, k, bits)]
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    marks, often = dict(zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist())), np.zeros(len(keys), bool)
-    for bucket, a, b in _by_bucket(keys, buckets):
-        if bucket in marks:
-            often[a:b] = np.unpackbits(_unzip(marks[bucket], np.uint8), count=b - a)
-    return keys[often], marks
+    often |= ~new
+    keys, owner = keys[often], owner[often]
+    order = np.lexsort((keys, owner))
+    keys, cuts = keys[order], np.searchsorted(owner[order], np.arange(len(slices) + 1))
+    own = np.flatnonzero(np.diff(cuts))
+    columns = [[slices[i] for i in own], [key[0].as_py()] * len(own), [_zip_sorted(np.unique(keys[cuts[i] : cuts[i + 1]])) for i in own]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["slice", "bucket", "keys"])
+
+
+def _gathered(rows: pa.Table, *columns: str) -> list[np.ndarray]:
+    """A slice's edges from all buckets in order, and what came along with them."""
+    keys, more = [np.zeros(0, np.uint64)], [[np.zeros(0, np.uint8)] for _ in columns]
+    for bucket, raw, *along in zip(*(rows[c].to_pylist() for c in ("bucket", "keys", *columns))):
+        keys.append(_unzip_sorted(raw) | (np.uint64(bucket) << np.uint64(40)))
+        for have, x in zip(more, along):
+            have.append(_unzip(x, np.uint8))
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return [keys[order], *(np.concatenate(have)[order] for have in more)]
 
 
 def _walks(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,12 +170,12 @@ def _walks(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, repeated: np.nd
 
 def _contexts(buckets: int, k: int, bits: int):
     """For every bucket the slice's repeated edges with the edge before and the edge after them."""
-    schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("bits", pa.binary()), ("keys", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(_, slices, repeated):
-        out = [[], [], [], [], [], []]
+        out = [[], [], [], [], []]
         for row in slices.to_pylist() if len(repeated) else ():
-            edges, marks = _edges_of(Slice(row), repeated, buckets, k, bits)
+            (edges,) = _gathered(repeated)
             sides = [np.zeros(len(edges), np.uint32), np.zeros(len(edges), np.uint32)]
             seen = np.zeros(len(edges), bool)
             for keys, doc, place in Slice(row).windows(buckets, k, bits):
@@ -194,7 +193,7 @@ def _contexts(buckets: int, k: int, bits: int):
                     side[to] = np.where(seen[to] & (side[to] != now), _SEVERAL, now)
                 seen[to] = True
             for bucket, a, b in _by_bucket(edges, buckets):
-                for column, value in zip(out, (bucket, row["slice"], marks[bucket], _zip_sorted(edges[a:b] & _REM), _zip(sides[0][a:b]), _zip(sides[1][a:b]))):
+                for column, value in zip(out, (bucket, row["slice"], _zip_sorted(edges[a:b] & _REM), _zip(sides[0][a:b]), _zip(sides[1][a:b]))):
                     column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
@@ -202,7 +201,7 @@ def _contexts(buckets: int, k: int, bits: int):
 
 
 def _junctions(key, rows):
-    """For every slice a flag for each of its repeated edges of this bucket, where a path has to end before or after it."""
+    """For every slice its repeated edges of this bucket, flagged where a path has to end before or after them."""
     slices, keys, left, right, owner = rows["slice"].to_pylist(), [], [], [], []
     for i, raw in enumerate(zip(*(rows[c].to_pylist() for c in ("keys", "left", "right")))):
         keys.append(_unzip_sorted(raw[0])), left.append(_unzip(raw[1], np.uint32)), right.append(_unzip(raw[2], np.uint32))
@@ -215,11 +214,11 @@ def _junctions(key, rows):
     for side, flag in ((left[order], _LEFT), (right[order], _RIGHT)):
         low, high = np.minimum.reduceat(side, first), np.maximum.reduceat(side, first)
         flags |= np.repeat(np.where((low != high) | (low <= _SEVERAL), flag, np.uint8(0)), np.diff(np.r_[first, len(keys)]))
-    order = np.argsort(owner, kind="stable")
-    flags, cuts = flags[order], np.searchsorted(owner[order], np.arange(len(slices) + 1))
+    order = np.lexsort((keys, owner))
+    keys, flags, cuts = keys[order], flags[order], np.searchsorted(owner[order], np.arange(len(slices) + 1))
     spans = [slice(cuts[i], cuts[i + 1]) for i in range(len(slices))]
-    columns = [slices, [key[0].as_py()] * len(slices), rows["bits"].to_pylist(), [_zip(flags[x]) for x in spans]]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["slice", "bucket", "bits", "flags"])
+    columns = [slices, [key[0].as_py()] * len(slices), [_zip_sorted(keys[x]) for x in spans], [_zip(flags[x]) for x in spans]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["slice", "bucket", "keys", "flags"])
 
 
 _PATH = pa.schema([("path", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int32()), ("slice", pa.int64()), ("doc", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
@@ -245,10 +244,8 @@ def _paths(buckets: int, k: int, bits: int):
     def run(_, slices, junctions):
         out = [_PATH.empty_table()]
         for row in slices.to_pylist() if len(junctions) else ():
+            edges, flags = _gathered(junctions, "flags")
             own = Slice(row)
-            edges, _ = _edges_of(own, junctions, buckets, k, bits)
-            came = sorted(zip(junctions["bucket"].to_pylist(), junctions["flags"].to_pylist()))
-            flags = np.concatenate([_unzip(raw, np.uint8) for _, raw in came])
             for keys, doc, place in own.windows(buckets, k, bits):
                 at, follows = _walks(keys, doc, place, edges)
                 flag = flags[np.searchsorted(edges, keys[at])] if len(at) else np.zeros(0, np.uint8)
@@ -317,12 +314,12 @@ def _compacted(docs: DataFrame, id_col: str, text_col: str, window: int, side_by
     buckets = max(16, -(-total // side))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (128 << 20)))
     slices = rows.mapInArrow(_slices(side), "ids binary, words binary, ties binary, data binary").withColumn("slice", F.monotonically_increasing_id())
-    slices = checkpointed(slices.repartition(parts, "slice"))
+    slices = _dealt(slices, parts)
     listed = slices.mapInArrow(_edges(buckets, window, bits), "bucket int, slice long, single binary, multi binary")
-    repeated = listed.groupBy("bucket").applyInArrow(_repeated, "slice long, bucket int, bits binary")
+    repeated = listed.groupBy("bucket").applyInArrow(_repeated, "slice long, bucket int, keys binary")
     of_slice = slices.groupBy("slice")
-    contexts = of_slice.cogroup(repeated.groupBy("slice")).applyInArrow(_contexts(buckets, window, bits), "bucket int, slice long, bits binary, keys binary, left binary, right binary")
-    junctions = contexts.groupBy("bucket").applyInArrow(_junctions, "slice long, bucket int, bits binary, flags binary")
+    contexts = of_slice.cogroup(repeated.groupBy("slice")).applyInArrow(_contexts(buckets, window, bits), "bucket int, slice long, keys binary, left binary, right binary")
+    junctions = contexts.groupBy("bucket").applyInArrow(_junctions, "slice long, bucket int, keys binary, flags binary")
     paths = checkpointed(of_slice.cogroup(junctions.groupBy("slice")).applyInArrow(_paths(buckets, window, bits), _PATH_SQL))
     first = _first(paths, "path")
     wrong = first.where("digest <> other").select("path")
@@ -335,6 +332,20 @@ def _compacted(docs: DataFrame, id_col: str, text_col: str, window: int, side_by
     return slices, [right, (windows, _first(windows, "path", "digest"), ["path", "digest"])]
 
 
+def _dealt(slices: DataFrame, parts: int) -> DataFrame:
+    """Slices dealt by number and checkpointed, so that cogroups by slice find them in place and shuffle only what they meet.
+
+    A checkpoint keeps the partitioning of a plan that adaptive execution does not change, so that is off for this one step.
+    """
+    conf, name = slices.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpointed(slices.repartition(parts, "slice"))
+    finally:
+        conf.set(name, before)
+
+
 def _first(paths: DataFrame, *keys: str) -> DataFrame:
     """First occurrence of every path that has several, and the range of its digests."""
     ranges = [] if "digest" in keys else [F.min("digest").alias("digest"), F.max("digest").alias("other")]
@@ -354,7 +365,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Earlier is a smaller id, or the same document and an earlier start; windows are judged on the input. 1. Documents are
     packed into slices (checkpointed, dealt by slice once, so that later joins move no text). 2. Edges, the hashes of all
-    windows, meet in buckets at a few bytes each; a bit comes back for each, and those that occur once are dropped. 3. Each repeated edge's neighbours meet
+    windows, meet in buckets at a few bytes each; those that occur once are dropped. 3. Each repeated edge's neighbours meet
     in its bucket; it is a junction on a side where they differ or an occurrence begins or ends. 4. Slices cut their walks at
     junctions into occurrences of compacted paths, each with a digest of the words at its source coordinates. 5. All
     occurrences of a path but the first lose their words. A pair of different windows under one key is found by the
