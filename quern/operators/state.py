@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.windows import longest_run  # noqa: F401  a fold over an ordered state
+
 
 def incremental_scan(seen: DataFrame, state: DataFrame, path: str = "path", size: str = "size", mtime: str = "mtime", force: bool = False) -> DataFrame:
     """What a scan does with each path: ``reuse`` if size and time are as stored, ``recompute`` if they changed, ``new``, ``removed``."""
@@ -66,13 +68,3 @@ def with_file(rows: DataFrame, listing: DataFrame, keys: list[str], order: list[
     joined = rows.join(files, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
     status = F.when(F.col("file").isNotNull(), "present").when(F.col("_n").isNotNull(), "empty").otherwise("missing")
     return joined.select(*rows.columns, "file", status.alias("file_status"))
-
-
-def longest_run(rows: DataFrame, part: str, order: str, bad: str) -> DataFrame:
-    """Longest run of consecutive bad steps of each part."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(part).orderBy(order)
-    runs = rows.withColumn("_g", F.sum((~F.col(bad)).cast("int")).over(w)).where(F.col(bad)).groupBy(part, "_g").agg(F.count("*").alias("_n"))
-    longest = runs.groupBy(F.col(part).alias("_p")).agg(F.max("_n").alias("_n"))
-    return rows.select(part).distinct().join(longest, F.col(part) == F.col("_p"), "left").select(part, F.coalesce("_n", F.lit(0)).alias("longest_run"))

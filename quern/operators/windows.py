@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.contracts import checkpointed
+
 
 def bottom_k(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
     """The k first rows of each group; the limit works map-side before the shuffle."""
@@ -64,16 +66,48 @@ def round_robin(rows: DataFrame, group: str, key: list, n: int) -> DataFrame:
     return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", group, *key).limit(n)
 
 
+def in_ranges(rows: DataFrame, part: str, order: str) -> DataFrame:
+    """Rows dealt by ranges of (part, order), ``_range`` being the number of each: a hot part is many ranges, and ranges follow its order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(rows.repartitionByRange(parts, part, order).withColumn("_range", F.spark_partition_id()))
+
+
 def contiguous_runs(rows: DataFrame, part: str, order: str, key: str) -> DataFrame:
-    """Runs of one key in the order of each part: first and last place and length."""
-    w = Window.partitionBy(part).orderBy(order)
-    change = F.coalesce((F.lag(key).over(w) != F.col(key)).cast("int"), F.lit(1))
-    runs = rows.select(part, order, key, change.alias("_c")).withColumn("run", F.sum("_c").over(w))
-    return runs.groupBy(part, "run", key).agg(F.min(order).alias("first_at"), F.max(order).alias("last_at"), F.count("*").alias("n_rows"))
+    """Runs of one key in the order of each part: first and last place and length; a null key is a run of its own.
+
+    Runs are found within ranges. A range's summary for a part is its number of runs and its first and last key; the summaries, one for
+    each range and part, tell which runs go on across a border and how many came before. So no task holds a part.
+    """
+    own = Window.partitionBy("_range", part).orderBy(order)
+    dealt = in_ranges(rows.select(part, order, key), part, order)
+    change = F.coalesce((F.lag(key).over(own) != F.col(key)).cast("int"), F.lit(1))
+    local = dealt.withColumn("_c", change).withColumn("_run", F.sum("_c").over(own))
+    local = local.groupBy("_range", part, "_run", key).agg(F.min(order).alias("_first"), F.max(order).alias("_last"), F.count("*").alias("_n"))
+    borders = local.groupBy("_range", part).agg(F.max("_run").alias("_runs"), F.min_by(key, "_run").alias("_begin"), F.max_by(key, "_run").alias("_end"))
+    ranges = Window.partitionBy(part).orderBy("_range")
+    borders = borders.withColumn("_on", F.coalesce((F.lag("_end").over(ranges) == F.col("_begin")).cast("int"), F.lit(0)))
+    before = F.sum("_runs").over(ranges) - F.col("_runs") - F.sum("_on").over(ranges)
+    borders = borders.select(F.col("_range").alias("_r"), F.col(part).alias("_p"), before.alias("_before"))
+    met = local.join(borders, (F.col("_range") == F.col("_r")) & F.col(part).eqNullSafe(F.col("_p")))
+    runs = met.withColumn("run", F.col("_before") + F.col("_run")).groupBy(part, "run", key)
+    return runs.agg(F.min("_first").alias("first_at"), F.max("_last").alias("last_at"), F.sum("_n").alias("n_rows"))
 
 
 def last_flag(rows: DataFrame, part: str, order: str) -> DataFrame:
-    return rows.withColumn("is_last", F.lead(order).over(Window.partitionBy(part).orderBy(order)).isNull())
+    """Whether a row is the last of its part: the last of the part in its range, if no later range has the part."""
+    dealt = in_ranges(rows, part, order)
+    borders = dealt.select(F.col("_range").alias("_r"), F.col(part).alias("_p")).distinct()
+    borders = borders.withColumn("_final", F.lead("_r").over(Window.partitionBy("_p").orderBy("_r")).isNull())
+    local = dealt.withColumn("_local", F.lead(order).over(Window.partitionBy("_range", part).orderBy(order)).isNull())
+    met = local.join(borders, (F.col("_range") == F.col("_r")) & F.col(part).eqNullSafe(F.col("_p")))
+    return met.select(*rows.columns, (F.col("_local") & F.col("_final")).alias("is_last"))
+
+
+def longest_run(rows: DataFrame, part: str, order: str, bad: str) -> DataFrame:
+    """Longest run of consecutive bad steps of each part; a null step neither counts nor ends a run."""
+    runs = contiguous_runs(rows.where(F.col(bad).isNotNull()), part, order, bad)
+    longest = runs.groupBy(F.col(part).alias("_p")).agg(F.max(F.when(F.col(bad), F.col("n_rows"))).alias("_n"))
+    return rows.select(part).distinct().join(longest, F.col(part) == F.col("_p"), "left").select(part, F.coalesce("_n", F.lit(0)).alias("longest_run"))
 
 
 def shard_of(row_number: Column, shards: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.contracts import checkpointed, shared_folder
+from quern.operators import splits, windows
 from quern.session import table
 from quern.sources import readers, shards, sinks
 from quern.streaming import incremental, lines, status
@@ -115,3 +116,38 @@ def upserted_latest(spark, d):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     incremental.upsert_latest(stream, "user_id", "event_id", out, state, buckets=16)
     return incremental.read_upserted(spark, out)
+
+
+@query(
+    """SELECT 'all' AS part, CAST(run AS bigint) AS run, event_type, min(event_id) AS first_at, max(event_id) AS last_at, count(*) AS n_rows
+    FROM (SELECT *, sum(c) OVER (ORDER BY event_id) AS run FROM (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS c FROM events))
+    GROUP BY run, event_type"""
+)
+def runs_of_one_part(spark, d):
+    """Runs of event types over all events, which are one part."""
+    events = table(spark, d, "events").select(F.lit("all").alias("part"), "event_id", "event_type")
+    return windows.contiguous_runs(events, "part", "event_id", "event_type")
+
+
+@query(
+    """SELECT 'all' AS part, coalesce(max(n), 0) AS longest_run FROM (SELECT count(*) AS n FROM (SELECT event_type <> 'view' AS bad,
+    sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS g FROM events) WHERE bad GROUP BY g)"""
+)
+def longest_run_of_one_part(spark, d):
+    events = table(spark, d, "events").select(F.lit("all").alias("part"), "event_id", (F.col("event_type") != "view").alias("bad"))
+    return windows.longest_run(events, "part", "event_id", "bad")
+
+
+@query("SELECT event_id, event_id = (SELECT max(event_id) FROM events) AS is_last FROM events")
+def last_of_one_part(spark, d):
+    events = table(spark, d, "events").select(F.lit("all").alias("part"), "event_id")
+    return windows.last_flag(events, "part", "event_id").select("event_id", "is_last")
+
+
+@query(
+    """WITH r AS (SELECT page_id, row_number() OVER (ORDER BY sha256('5:' || page_id)) AS i, count(*) OVER () AS n FROM pages)
+    SELECT page_id, i <= greatest(1, least(n - 1, CAST(round_even(n * 0.13, 0) AS bigint))) AS held_out FROM r"""
+)
+def row_holdout_split(spark, d):
+    """Pages held out by row: 13 % with the smallest digests."""
+    return splits.row_holdout(table(spark, d, "pages").select("page_id"), "page_id", 0.13, seed=5)
