@@ -100,12 +100,44 @@ def label_from_folder(rows: DataFrame, path: str, classes: DataFrame, name: str,
     return strict_lookup(named, classes, name, [label]).drop(name)
 
 
-def sharing_pairs(rows: DataFrame, key: str, members: str) -> DataFrame:
-    """Pairs a < b that share a member, with the count of shared ones: an equi-join on exploded members, never all pairs."""
-    m = rows.select(key, F.explode(F.array_distinct(members)).alias("_m"))
-    other = m.select(F.col(key).alias("_b"), F.col("_m").alias("_n"))
-    pairs = m.join(other, (F.col("_m") == F.col("_n")) & (F.col(key) < F.col("_b")))
-    return pairs.groupBy(F.col(key).alias("a"), F.col("_b").alias("b")).agg(F.count("*").alias("n_shared"))
+def in_cells(members: DataFrame, key: str, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of ``members(key, _m)`` on ``_m, _i, _j``, in which no cell has much over ``cell_rows`` rows a side.
+
+    A member of more rows is cut by a hash of the key into n parts, and its pairs into the n (n + 1) / 2 cells (i <= j) of a grid: a
+    row of part c is the left one in the cells (c, j) and the right one in (i, c). A light member has one cell.
+    """
+    sizes = members.groupBy(F.col("_m").alias("_n")).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_parts"))
+    cut = members.join(sizes, F.col("_m") == F.col("_n")).withColumn("_c", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+    left = cut.select(key, "_m", F.col("_c").alias("_i"), F.explode(F.sequence(F.col("_c"), F.col("_parts") - 1)).alias("_j"))
+    right = cut.select(F.col(key).alias("_b"), F.col("_m").alias("_n"), F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("_k"), F.col("_c").alias("_l"))
+    return left, right
+
+
+def sharing_pairs(rows: DataFrame, key: str, members: str, least: int = 1, cell_rows: int = 2_000) -> DataFrame:
+    """Pairs a < b of rows that share ``least`` members or more, with the count of shared ones.
+
+    Exploded members meet by an equi-join, a heavy one cut into cells (:func:`in_cells`), so that no task holds one. With ``least`` over 1
+    only the rarest members of each set meet, all but its ``least`` - 1 most frequent: two sets with so many in common share one of those. Then
+    pairs are counted on their whole sets, and a member of very many rows makes no pairs where it is among the frequent ones.
+
+    Nulls: a null set or key takes part in nothing; null members and repeated ones within a set count once at most; keys are unique.
+    """
+    sets = rows.where(F.col(key).isNotNull()).select(key, F.array_distinct(F.filter(members, lambda x: x.isNotNull())).alias("_set"))
+    each = sets.select(key, F.explode("_set").alias("_m"))
+    if least > 1:
+        sizes = each.groupBy(F.col("_m").alias("_n")).agg(F.count("*").alias("_f"))
+        ranked = each.join(sizes, F.col("_m") == F.col("_n")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_f", "_m"))).alias("_r"))
+        rare = F.when(F.size("_r") >= least, F.slice("_r", F.lit(1), F.size("_r") - (least - 1)))
+        each = ranked.select(key, F.explode(rare).alias("_x")).select(key, F.col("_x._m").alias("_m"))
+    left, right = in_cells(each, key, cell_rows)
+    met = left.join(right, (F.col("_m") == F.col("_n")) & (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l")))
+    met = met.where((F.col("_i") < F.col("_j")) & (F.col(key) != F.col("_b")) | (F.col(key) < F.col("_b")))
+    pairs = met.groupBy(F.least(key, "_b").alias("a"), F.greatest(key, "_b").alias("b")).agg(F.count("*").alias("n_shared"))
+    if least == 1:
+        return pairs
+    one, two = sets.select(F.col(key).alias("a"), F.col("_set").alias("_s")), sets.select(F.col(key).alias("b"), F.col("_set").alias("_t"))
+    counted = pairs.drop("n_shared").join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("_s", "_t")).cast("long").alias("n_shared"))
+    return counted.where(F.col("n_shared") >= least)
 
 
 def with_templates(classes: DataFrame, name: str, templates: list[str]) -> DataFrame:

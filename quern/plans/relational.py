@@ -178,6 +178,17 @@ def set_overlap_pairs(spark, d):
     return J.sharing_pairs(sets, "o_custkey", "dates")
 
 
+@query(
+    """SELECT a.o_custkey AS a, b.o_custkey AS b, count(*) AS n_shared FROM (SELECT DISTINCT o_custkey, o_orderpriority || o_orderstatus AS tag FROM orders ) a
+    JOIN (SELECT DISTINCT o_custkey, o_orderpriority || o_orderstatus AS tag FROM orders ) b ON a.tag = b.tag AND a.o_custkey < b.o_custkey GROUP BY ALL HAVING count(*) >= 8"""
+)
+def heavy_overlap_pairs(spark, d):
+    """Customers with eight or more kinds of orders in common; every kind is held by many of them."""
+    tags = F.collect_set(F.concat("o_orderpriority", "o_orderstatus")).alias("tags")
+    sets = table(spark, d, "orders").groupBy("o_custkey").agg(tags)
+    return J.sharing_pairs(sets, "o_custkey", "tags", least=8)
+
+
 @query("SELECT n_nationkey, i AS template_no, replace(t, '{}', n_name) AS prompt FROM nation, (SELECT unnest([0, 1]) AS i, unnest(['a photo of {}.', 'a drawing of {}.']) AS t)")
 def class_prompts(spark, d):
     return J.with_templates(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", ["a photo of {}.", "a drawing of {}."]).drop("n_name")
