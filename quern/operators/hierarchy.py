@@ -1,10 +1,13 @@
-"""Class trees: JSON documents flattened by a recursive query, and the label sets that follow from them."""
+"""Class trees: JSON documents flattened by a recursive query, node tables by pointer doubling, and the label sets that follow from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.contracts import checkpointed, shared_folder
+from quern.operators.windows import in_ranges
+
 _FLATTEN = """
 WITH RECURSIVE walk(node, label, text, parent_label, top_label, top_text, path, depth) AS (
     SELECT root, root:{label}::string, root:{text}::string, CAST(NULL AS string), CAST(NULL AS string), CAST(NULL AS string), array(0), 0
@@ -32,6 +35,86 @@ def flatten_tree(documents: DataFrame, column: str, label: str = "LabelName", te
     return documents.sparkSession.sql(sql, roots=roots)
 
 
+def _doubled(state: DataFrame, n: int, step) -> DataFrame:
+    """Pointers ``up`` of (id, up, ...) doubled until all have left their root: log2 of the depth rounds. ``step`` makes a round's next state."""
+    spark = state.sparkSession
+    for _ in range(n.bit_length() + 1):
+        if state.where("up IS NOT NULL").isEmpty():
+            return state
+        # A table, as the optimizer's constraints of a checkpointed plan double with each round.
+        path = shared_folder(spark)
+        step(state).write.parquet(path)
+        state = spark.read.parquet(path)
+    raise ValueError("the node table has a cycle")
+
+
+def _grow(state: DataFrame) -> DataFrame:
+    """Each node's ``size`` goes to the node 2^i levels above it, and its pointer jumps as far again."""
+    open_ = state.where("up IS NOT NULL")
+    sizes = state.select("id", "size").unionByName(open_.select(F.col("up").alias("id"), "size")).groupBy("id").agg(F.sum("size").alias("size"))
+    above = state.where("up IS NOT NULL").select(F.col("id").alias("_i"), F.col("up").alias("_u"))
+    jumps = open_.join(above, F.col("up") == F.col("_i")).select(F.col("id").alias("_j"), F.col("_u"))
+    return sizes.join(jumps, F.col("id") == F.col("_j"), "left").select("id", F.col("_u").alias("up"), "size")
+
+
+def _climb(state: DataFrame) -> DataFrame:
+    """Sums of ``weight`` and ``depth`` over twice as many ancestors, and the highest one below the root among them."""
+    above = state.select(F.col("id").alias("_i"), F.col("up").alias("_u"), F.col("weight").alias("_w"), F.col("depth").alias("_d"), F.col("top").alias("_t"))
+    met = state.where("up IS NOT NULL").join(above, F.col("up") == F.col("_i"))
+    top = F.when(F.col("_d") == 0, F.col("top")).otherwise(F.col("_t"))
+    met = met.select("id", F.col("_u").alias("up"), (F.col("weight") + F.col("_w")).alias("weight"), (F.col("depth") + F.col("_d")).alias("depth"), top.alias("top"))
+    return state.where("up IS NULL").unionByName(met)
+
+
+def walk_nodes(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame:
+    """Depth, place and size of every node of a table of nodes with their parents, whatever the depth or width of the trees.
+
+    Siblings, and the roots, stand in the order of ``order``, then ``key``. Pointer doubling gives subtree sizes, then
+    sums along the way to the root: a node's place in pre-order is the sum of one, and the sizes of earlier siblings, over it and its ancestors.
+    Each round is a few equi-joins and an aggregate; rounds grow with the logarithm of the depth. Earlier siblings are summed within ranges of
+    (parent, order) with a summary for each, so no task holds all children of a node.
+
+    A parent that is null or no node makes a root; rows without key take no part and repeated rows count once; a key with two parents or
+    orders and a cycle are a ValueError; an empty table gives an empty result.
+
+    Returns ``id, parent_id, depth`` (0 for a root), ``top_id`` (the ancestor of depth 1 or the node itself; null for a root),
+    ``path`` (place in pre-order from 0), ``subtree_size`` (itself included) and ``is_leaf``.
+    """
+    rows = nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(parent).alias("named"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("place")).distinct()
+    known = rows.select(F.col("id").alias("_k")).distinct()
+    rows = checkpointed(rows.join(known, F.col("named") == F.col("_k"), "left").select("id", F.col("_k").alias("up"), "place"))
+    n, n_ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    if n > n_ids:
+        raise ValueError("a node has two parents or orders")
+    sizes = _doubled(rows.select("id", "up", F.lit(1).cast("long").alias("size")), n, _grow)
+    sized = rows.join(sizes.select(F.col("id").alias("_s"), "size"), F.col("id") == F.col("_s")).drop("_s")
+
+    dealt = in_ranges(sized, "up", "place")
+    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    borders = dealt.groupBy(F.col("_range").alias("_r"), F.col("up").alias("_p")).agg(F.sum("size").alias("size"))
+    borders = borders.withColumn("_before", earlier(Window.partitionBy("_p").orderBy("_r"))).drop("size")
+    local = dealt.withColumn("_local", earlier(Window.partitionBy("_range", "up").orderBy("place")))
+    met = local.join(borders, (F.col("_range") == F.col("_r")) & F.col("up").eqNullSafe(F.col("_p")))
+    below = F.col("up").isNotNull().cast("long")
+    facts = checkpointed(met.select("id", "up", "size", (F.col("_local") + F.col("_before") + below).alias("weight")))
+    walked = _doubled(facts.select("id", "up", "weight", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("depth"), F.col("id").alias("top")), n, _climb)
+    joined = facts.select(F.col("id").alias("_f"), F.col("up").alias("parent_id"), F.col("size").alias("subtree_size")).join(walked, F.col("_f") == F.col("id"))
+    top = F.when(F.col("depth") > 0, F.col("top")).alias("top_id")
+    return joined.select("id", "parent_id", "depth", top, F.col("weight").alias("path"), "subtree_size", (F.col("subtree_size") == 1).alias("is_leaf"))
+
+
+def class_nodes(nodes: DataFrame, key: str, parent: str, order: str, label: str, text: str) -> DataFrame:
+    """A table of class nodes in the columns of :func:`flatten_tree`, for the functions below; ``path`` is the place in pre-order.
+
+    A label may stand at several nodes, as it may in a document.
+    """
+    names = nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).alias("label"), F.col(text).alias("text")).dropDuplicates(["_k"])
+    named = lambda side: names.select(F.col("_k").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("label", "text")])
+    met = walk_nodes(nodes, key, parent, order).join(names, F.col("id") == F.col("_k"))
+    met = met.join(named("parent"), F.col("parent_id") == F.col("_parent"), "left").join(named("top"), F.col("top_id") == F.col("_top"), "left")
+    return met.select("label", "text", "parent_label", "top_label", "top_text", "path", "depth", "is_leaf")
+
+
 def tree_labels(nodes: DataFrame, prefix: str = "/m/") -> DataFrame:
     return nodes.where(F.col("label").startswith(prefix)).select("label").distinct()
 

@@ -60,7 +60,20 @@ def json_array_round_trip(spark, d):
 
 
 def _tree(spark, d):
-    """region -> nation -> segments of its customers, as one class-tree document."""
+    """root -> region -> nation -> segments of its customers, as a table of nodes."""
+    segment = table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    parts = [
+        spark.range(1).select(F.lit("root"), F.lit(None).cast("string"), F.lit("Extracted_Root"), F.lit("root")),
+        table(spark, d, "region").select(F.concat(F.lit("r_"), "r_regionkey"), F.lit("root"), F.concat(F.lit("/m/r_"), "r_regionkey"), "r_name"),
+        table(spark, d, "nation").select(F.concat(F.lit("n_"), "n_nationkey"), F.concat(F.lit("r_"), "n_regionkey"), F.concat(F.lit("/m/n_"), "n_nationkey"), "n_name"),
+        segment.select(F.concat_ws("/", F.lit("s"), "c_nationkey", "c_mktsegment"), F.concat(F.lit("n_"), "c_nationkey"), F.concat(F.lit("/m/s_"), "c_mktsegment"), "c_mktsegment"),
+    ]
+    parts = [p.toDF("node", "parent", "name", "text") for p in parts]
+    return H.class_nodes(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "node", "parent", "node", "name", "text")
+
+
+def _tree_document(spark, d):
+    """The same tree as one class-tree document."""
     segment = table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
     leaf = F.struct(F.concat(F.lit("/m/s_"), "c_mktsegment").alias("LabelName"), F.col("c_mktsegment").alias("TextName"))
     segments = segment.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
@@ -96,7 +109,7 @@ def tree_top_ancestor(spark, d):
 
 @query(f"SELECT depth, count(*) AS n_nodes, count(DISTINCT label) AS n_labels, count(DISTINCT parent) AS n_parents FROM {_NODES} GROUP BY depth")
 def tree_levels(spark, d):
-    nodes = _tree(spark, d).where("depth > 0")
+    nodes = _tree_document(spark, d).where("depth > 0")
     return nodes.groupBy("depth").agg(F.count("*").alias("n_nodes"), F.count_distinct("label").alias("n_labels"), F.count_distinct("parent_label").alias("n_parents"))
 
 
@@ -110,6 +123,25 @@ def tree_top_groups(spark, d):
     return H.top_groups(_tree(spark, d)).select("top_label", "n_children")
 
 
+@query(
+    """WITH n AS (SELECT 'r' || r_regionkey AS id, NULL AS top_id, 0 AS depth, r_regionkey AS r, -1 AS n, -1 AS c, -1 AS o FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey, 1, n_regionkey, n_nationkey, -1, -1 FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || n_nationkey, 2, n_regionkey, n_nationkey, c_custkey, -1 FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 'o' || o_orderkey, 'n' || n_nationkey, 3, n_regionkey, n_nationkey, c_custkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+    SELECT id, top_id, depth, row_number() OVER (ORDER BY r, n, c, o) - 1 AS path,
+    CASE depth WHEN 0 THEN count(*) OVER (PARTITION BY r) WHEN 1 THEN count(*) OVER (PARTITION BY r, n) WHEN 2 THEN count(*) OVER (PARTITION BY r, n, c) ELSE 1 END AS subtree_size FROM n"""
+)
+def tree_preorder(spark, d):
+    """Regions, nations, customers and orders as one forest."""
+    levels = (("region", "r", "r_regionkey", None, None), ("nation", "n", "n_nationkey", "r", "n_regionkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("orders", "o", "o_orderkey", "c", "o_custkey"))
+    nodes = None
+    for name, mark, key, up, parent in levels:
+        above = F.lit(None).cast("string") if up is None else F.concat(F.lit(up), F.col(parent))
+        level = table(spark, d, name).select(F.concat(F.lit(mark), key).alias("node"), above.alias("parent"), F.col(key).cast("long").alias("order"))
+        nodes = level if nodes is None else nodes.unionByName(level)
+    return H.walk_nodes(nodes, "node", "parent", "order").select("id", "top_id", "depth", "path", "subtree_size")
+
+
 @query(
     """SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY
     sha256(concat_ws(chr(0), '7', trim(source), CAST(doc_id AS varchar), CAST(doc_id + 2 AS varchar))), doc_id) AS rank FROM documents) WHERE rank <= 5"""
