@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 from itertools import chain
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.contracts import checkpointed
 from quern.functions.vectors import dot, normalise
+from quern.operators import cells
 
 #: A table with one row a scope is broadcast up to this many rows of under 100 bytes, and joined by a shuffle beyond.
 SMALL_ROWS = 100_000
@@ -108,7 +111,16 @@ def _nearest(k: int, metric: str, rule: str, sets: bool):
                 ok &= same if rule == "same" else ~same
             score = np.where(ok, np.round(value, 12), -np.inf)
             at = len(ids) - min(k, len(ids))
-            r, c = np.nonzero(ok & (score >= np.partition(score, at, axis=1)[:, at, None]))
+            edge = np.partition(score, at, axis=1)[:, at, None]
+            if metric == "euclidean":
+                # A matrix product cancels digits of small distances: rows about as near as the k-th are measured again by differences.
+                edge = np.where(np.isinf(edge), edge, -np.sqrt(edge**2 + 1e-9 * max((x**2).sum(1).max(), (y**2).sum(1).max())))
+            r, c = np.nonzero(ok & (score >= edge))
+            if metric == "euclidean":
+                for i in range(0, len(r), 65_536):
+                    part = r[i : i + 65_536], c[i : i + 65_536]
+                    value[part] = -np.sqrt(((x[part[0]] - y[part[1]]) ** 2).sum(axis=1))
+                score = np.round(value, 12)
             order = np.lexsort((ids[c], -score[r, c], r))
             r, c = r[order], c[order]
             place = np.arange(len(r)) - np.searchsorted(r, r)
@@ -125,28 +137,86 @@ def _slim(rows: DataFrame, key: str, vector: str, tag: str, scope: str | None) -
     sets = dict(rows.dtypes)[tag].startswith("array")
     tags = F.col(tag).cast("array<string>" if sets else "string").alias("tag")
     scoped = [] if scope is None else [F.coalesce(F.col(scope).cast("string"), F.lit("\0")).alias("scope")]
-    return rows.select(F.col(key).cast("long").alias("id"), tags, F.col(vector).cast("array<double>").alias("v"), *scoped), sets
+    slim = rows.select(F.col(key).cast("long").alias("id"), tags, F.col(vector).cast("array<double>").alias("v"), *scoped)
+    return slim.where("id IS NOT NULL AND v IS NOT NULL").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))), sets
+
+
+def _best(found: DataFrame, k: int, metric: str, counted: bool) -> DataFrame:
+    by = Window.partitionBy("source_id")
+    order = F.desc(F.round("value", 12)) if metric == "cosine" else F.asc(F.round("value", 12))
+    count = {"candidate_count": F.sum("n_valid").over(by)} if counted else {}
+    ranked = found.withColumns({"rank": F.row_number().over(by.orderBy(order, "neighbour_id")), **count})
+    return ranked.where(F.col("rank") <= k).select("source_id", "rank", "neighbour_id", "value", *count)
+
+
+_FOUND = "source_id long, neighbour_id long, value double, n_valid long"
 
 
 def _ranked(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str, rule: str, block_rows: int, scope: str | None) -> DataFrame:
+    """Every block meets every block of its scope; ``candidate_count`` is how many rows a source could choose from."""
     slim, sets = _slim(rows, key, vector, tag, scope)
     blocks = _blocks(slim, block_rows, scope)
-    found = _meetings(blocks, blocks).mapInArrow(_nearest(k, metric, rule, sets), "source_id long, neighbour_id long, value double, n_valid long")
-    by = Window.partitionBy("source_id")
-    order = F.desc(F.round("value", 12)) if metric == "cosine" else F.asc(F.round("value", 12))
-    ranked = found.withColumns({"rank": F.row_number().over(by.orderBy(order, "neighbour_id")), "candidate_count": F.sum("n_valid").over(by)})
-    return ranked.where(F.col("rank") <= k).select("source_id", "rank", "neighbour_id", "value", "candidate_count")
+    return _best(_meetings(blocks, blocks).mapInArrow(_nearest(k, metric, rule, sets), _FOUND), k, metric, True)
+
 
+def _cell_packs(rows: DataFrame, sizes: dict[int, int], stored: dict[int, int], block_rows: int) -> DataFrame:
+    """Rows (cell, id, tag, v) packed by a hash of the id, each cell by its own number of rows, for as many blocks as ``stored`` says.
+
+    The table of cells is small: cells grow with the root of the number of blocks.
+    """
+    table = rows.sparkSession.createDataFrame([(c, -(-n // block_rows), stored[c]) for c, n in sizes.items()], "_c int, _packs int, n_blocks int")
+    met = rows.join(F.broadcast(table), F.col("cell") == F.col("_c"))
+    packed = met.select(F.col("cell").cast("string").alias("scope"), "n_blocks", F.pmod(F.xxhash64("id"), F.col("_packs")).cast("int").alias("block"), "id", "tag", "v")
+    return packed.groupBy("scope", "n_blocks", "block").applyInArrow(_pack, _BLOCK)
 
-def knn(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str = "cosine", rule: str = "any", block_rows: int = 2_000, scope: str | None = None) -> DataFrame:
+
+def _pruned(slim: DataFrame, n: int, k: int, metric: str, rule: str, sets: bool, block_rows: int, meetings: list | None) -> DataFrame:
+    """As :func:`_ranked` without a scope, but rows meet only the cells whose bound reaches their k-th answer.
+
+    Rounds visit 1, 3, 12, 48, ... further cells of a row's order; a row goes on only to cells that may still hold an equal or nearer one.
+    """
+    n_blocks = -(-n // block_rows)
+    pivots = cells.fit(slim, min(n_blocks, max(64, 4 * isqrt(n_blocks))), metric)
+    dealt = checkpointed(cells.dealt(slim, pivots, metric))
+    summary = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("size").alias("size")).collect()
+    radius, sizes, largest = {r.cell: r.radius for r in summary}, {r.cell: r.n for r in summary}, max(r.size for r in summary) or 1.0
+    in_cell = {c: -(-m // block_rows) for c, m in sizes.items()}
+    stored = checkpointed(_cell_packs(dealt, sizes, in_cell, block_rows))
+    best, first, beyond = None, 0, 1
+    while first < len(radius):
+        if best is None:
+            asked = dealt.withColumn("worst", F.lit(None).cast("double"))
+        else:
+            kth = best.where(F.col("rank") == k).select(F.col("source_id").alias("_s"), F.col("value").alias("worst"))
+            asked = dealt.join(kth, F.col("id") == F.col("_s"), "left")
+        routed = checkpointed(cells.routed(asked, pivots, radius, largest, metric, first, beyond))
+        going = {r.cell: r.n for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        if not going:
+            break
+        if meetings is not None:
+            meetings.append(sum(-(-m // block_rows) * in_cell[c] for c, m in going.items()))
+        met = _meetings(_cell_packs(routed, going, in_cell, block_rows), stored).mapInArrow(_nearest(k, metric, rule, sets), _FOUND).drop("n_valid")
+        best = checkpointed(_best(met if best is None else best.drop("rank").unionByName(met), k, metric, False))
+        first, beyond = beyond, beyond * 4
+    return best
+
+
+def knn(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str = "cosine", rule: str = "any", block_rows: int = 2_000, scope: str | None = None, meetings: list | None = None) -> DataFrame:
     """The k nearest other rows of each row, exactly: ``rule`` allows any tag, the ``same`` or an ``other`` one.
 
     ``tag`` is one value, or an array: ``same`` then asks for a shared value and ``other`` for none. With ``scope`` neighbours have the
     same value of that column. Blocks of rows, packed as bytes, meet blocks of rows of their scope by an equi-join on the block
-    number; each meeting is one matrix product that keeps k for each source, and the blocks' answers are ranked once more. Ties
-    (to 12 digits) go to the smaller id. Rows without id or vector take no part.
+    number; each meeting is one matrix product that keeps k for each source, and the blocks' answers are ranked once more. Without a scope,
+    and with more than one block, blocks lie in cells around pivots and rows meet only the cells that the triangle inequality leaves
+    (:mod:`quern.operators.cells`; pivots come from a sample, every row is dealt to its nearest); ``meetings`` collects how many pairs of blocks
+    each round has. Ties (to 12 digits) go to the smaller id. Rows without id or vector, or with a null or non-finite component, take no part.
     Returns ``source_id, rank, neighbour_id, value`` (similarity, or distance for the distance metrics).
     """
+    if scope is None and metric in cells.PRUNED:
+        slim, sets = _slim(rows, key, vector, tag, None)
+        n = slim.count()
+        if n > block_rows:
+            return _pruned(slim, n, k, metric, rule, sets, block_rows, meetings)
     return _ranked(rows, key, vector, tag, k, metric, rule, block_rows, scope).drop("candidate_count")
 
 
