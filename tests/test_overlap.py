@@ -28,3 +28,13 @@ def test_a_hot_member_is_cut_into_even_cells(spark):
         assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
     hot = left.where("_m = 'hot'")
     assert hot.select("_i", "_j").distinct().count() == 15 * 16 // 2 and hot.select("i").distinct().count() == 3000
+
+
+def test_pairs_are_not_shuffled(spark):
+    """300 rows of two sets make 44,850 pairs; before, every shared member of every pair went through an exchange."""
+    df = spark.range(300).select(F.col("id").alias("i"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: x + F.col("id") % 2).alias("tags"))
+    got = joins.sharing_pairs(df, "i", "tags", 2, 40)
+    assert {tuple(r) for r in got.collect()} == {(a, b, 6 if (a - b) % 2 == 0 else 5) for a, b in combinations(range(300), 2)}
+    assert got.count() == 300 * 299 // 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0] and plan.lstrip().startswith("MapInArrow")
