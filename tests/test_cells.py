@@ -36,3 +36,28 @@ def test_pruned_search_of_less_than_k_and_of_one_point(spark):
     few = spark.createDataFrame([(i, [float(i), 1.0], str(i % 3)) for i in range(9)], "i long, v array<double>, t string")
     assert neighbors.knn(few, "i", "v", "t", 5, rule="same", block_rows=2).count() == 9 * 2
     assert neighbors.knn(few.limit(0), "i", "v", "t", 5, block_rows=2).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_vectors_without_clusters_meet_in_a_fixed_number_of_stripes(spark, metric):
+    """Each block is sent 16 times, however many there are; before, rows went to nearly every cell and blocks to every block."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)], f"t{i % 3}") for i in range(600)]
+    rows += [(600 + i, rows[7][1], "t1") for i in range(30)]
+    df = spark.createDataFrame(rows, "i long, v array<double>, t string")
+    meetings = []
+    for rule in ("any", "other", "same"):
+        got = neighbors.knn(df, "i", "v", "t", 4, metric=metric, rule=rule, block_rows=20, meetings=meetings)
+        want = {}
+        for a, v, t in rows:
+            near = []
+            for b, w, u in rows:
+                if a != b and (rule == "any" or (t == u) == (rule == "same")):
+                    if metric == "cosine":
+                        near.append((-round(sum(x * y for x, y in zip(v, w)) / (sum(x * x for x in v) * sum(x * x for x in w)) ** 0.5, 11), b))
+                    else:
+                        p = 2 if metric == "euclidean" else 1
+                        near.append((round(sum(abs(x - y) ** p for x, y in zip(v, w)) ** (1 / p), 11), b))
+            want.update({(a, r + 1): b for r, (_, b) in enumerate(sorted(near)[:4])})
+        assert {(r.source_id, r.rank): r.neighbour_id for r in got.collect()} == want
+    assert not meetings and neighbors.MOST_STRIPES == 16
