@@ -336,3 +336,24 @@ def test_image_batches_use_nearly_everything(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"c{i % 11}", f"img{i % 397}") for i in range(3000)]
     got = sampling.distinct_image_batches(spark.createDataFrame(rows, "id long, c string, im string"), "c", "id", "im", 2).collect()
     assert len({r.item for r in got}) == len(got) >= 0.7 * len(rows)
+
+
+def test_donors_meet_images_by_place(spark):
+    """Images shared by leaves, repeated ones and leaves without another image, against a plain search; no row carries a leaf's images."""
+    import hashlib
+
+    rows = [("p", f, i) for f, images in {"a": [1, 2, 2, 3], "b": [3], "c": [3, 3], "d": [2, 5, 9]}.items() for i in images] + [("q", "a", 1), ("r", "a", 1), ("r", "b", 1), ("p", "d", None)]
+    got = sampling.donors(spark.createDataFrame(rows, "p string, f string, im long"), "p", "f", "im")
+    want = {}
+    for p, f, i in rows:
+        leaves = sorted({g for q, g, _ in rows if q == p})
+        start = int(hashlib.sha256(f"0:{p}:{f}:{i}".encode()).hexdigest()[:16], 16)
+        for step in range(1, len(leaves)):
+            leaf = leaves[(leaves.index(f) + step) % len(leaves)]
+            images = sorted(x for q, g, x in rows if (q, g) == (p, leaf) and x is not None)
+            turned = [x for x in images[start % len(images) :] + images[: start % len(images)] if x != i]
+            if i is not None and turned:
+                want[p, f, i] = (leaf, turned[0])
+                break
+    assert {(r.p, r.f, r.im): (r.donor_leaf, r.donor) for r in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
