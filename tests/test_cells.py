@@ -61,3 +61,19 @@ def test_vectors_without_clusters_meet_in_a_fixed_number_of_stripes(spark, metri
             want.update({(a, r + 1): b for r, (_, b) in enumerate(sorted(near)[:4])})
         assert {(r.source_id, r.rank): r.neighbour_id for r in got.collect()} == want
     assert not meetings and neighbors.MOST_STRIPES == 16
+
+
+def test_pairs_within_meet_in_blocks(spark):
+    """Pairs come from meetings of blocks; before, every pair's two vectors went through a row-wise join."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], "abc"[i % 3] if i % 11 else None) for i in range(120)] + [(200, None, "a"), (201, [1.0, None, 1.0, 1.0], "a"), (202, [1.0, 2.0], "a"), (203, [0.0] * 4, "b")]
+    got = neighbors.pairs_within(spark.createDataFrame(rows, "i long, v array<double>, t string"), "i", "t", "v", block_rows=7)
+    want = {}
+    for a, v, t in rows:
+        for b, w, u in rows:
+            if a < b and t == u and t is not None:
+                bad = v is None or w is None or None in v or None in w or len(v) != len(w)
+                sizes = 0 if bad else (sum(x * x for x in v) * sum(x * x for x in w)) ** 0.5
+                want[t, a, b] = None if bad else round(sum(x * y for x, y in zip(v, w)) / (sizes or 1), 9)
+    assert {(r.t, r.a, r.b): None if r.cosine is None else round(r.cosine, 9) for r in got.collect()} == want
+    assert "Join" in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1] and "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
