@@ -5,6 +5,7 @@ A shard is never held: its headers are walked, contents are read member by membe
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import io
 import json
@@ -27,6 +28,10 @@ _ARROW = pa.schema([("place", pa.int64()), ("shard", pa.string()), ("node", pa.i
 _NAME = re.compile(r"((?:.*/)?[^./][^./]*)\.([^/]*)")
 
 
+#: Bytes between two entries of a shard's index.
+INDEX_BYTES = 1 << 16
+
+
 @dataclass
 class ShardRange(InputPartition):
     """The samples of one shard whose first header lies in [first, last)."""
@@ -80,10 +85,26 @@ class ShardReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+def _index_of(shard: str) -> str:
+    """A shard's index lies in a folder beside the shards' own, which holds nothing but shards."""
+    folder, _, name = shard.rpartition("/")
+    return f"{folder}.index/{name}"
+
+
+def _nearest_start(shard: str, first: int) -> int:
+    """The last indexed sample that begins at or before ``first``; 0 for shards without an index of their size, such as foreign ones."""
+    try:
+        with stores.input_file(_index_of(shard)) as file:
+            size, *starts = json.loads(file.read())
+        return starts[max(0, bisect.bisect_right(starts, first) - 1)] if starts and size == stores.file_size(shard) else 0
+    except (OSError, ValueError):
+        return 0
+
+
 def samples(shard: str, first: int = 0, last: int = 1 << 62, most: int = 1 << 30):
     """Yield (first header's byte, key, suffix -> bytes, error) for the samples of a shard that begin in [first, last).
 
-    Consecutive members of one name are a sample; a repeated suffix (in lower case) begins a new one. A part above ``most`` bytes makes
+    Headers are walked from the last indexed sample before ``first`` (:func:`write_shards` leaves an index), or from the beginning. Consecutive members of one name are a sample; a repeated suffix (in lower case) begins a new one. A part above ``most`` bytes makes
     its sample an error row. Where the archive breaks, what was read before comes first, then an error row with the place.
     """
     key, begun, parts, error = None, 0, {}, None
@@ -95,6 +116,8 @@ def samples(shard: str, first: int = 0, last: int = 1 << 62, most: int = 1 << 30
     try:
         with stores.input_file(shard) as file:
             try:
+                if first:
+                    file.seek(_nearest_start(shard, first))
                 with tarfile.open(fileobj=file, mode="r:") as tar:
                     for member in tar:
                         tar.members = []  # the archive keeps no list of what was seen
@@ -147,7 +170,7 @@ def stream_shards(spark: SparkSession, paths: list[str], seed: int | None = None
 
     With ``seed`` the shards are permuted for every epoch; shard i of the order goes to node i mod ``nodes`` and there to
     worker i div ``nodes`` mod ``workers``, and only those of ``node`` are read if it is given. A shard is one partition of the read, with
-    ``range_bytes`` one for each such range, whose task walks the headers before its range and reads only its own samples.
+    ``range_bytes`` one for each such range, whose task walks the headers before its range (from the last indexed sample, where there is an index) and reads only its own samples.
     A task holds one sample and one batch of 16 MB. A broken archive, a missing file or a part above ``most_bytes`` gives a row with
     ``error`` and null ``parts``; nothing is lost silently. Shards are opened by Arrow's file systems (local, hdfs, s3, gs).
     """
@@ -192,18 +215,22 @@ def write_shards(rows: DataFrame, folder: str, shard: str, key: str, parts: dict
     """Write tar shards ``folder/<shard>.tar`` with the members ``<key>.<suffix>`` of every row, ``parts`` naming a column for each suffix.
 
     Rows are dealt and sorted by shard and key and streamed into their archives; a file gets its name once it is whole, so a task that runs
-    again leaves the same file. Null cells have no member. Returns ``shard, n_samples``, the size table of the shards; the write
+    again leaves the same file. The folder ``<folder>.index`` holds for each shard the begin of a sample every 64 KB, so that a range is found without walking the shard. Null cells have no member. Returns ``shard, n_samples``, the size table of the shards; the write
     happens when it is read, so write or checkpoint it once.
     """
     cells = [F.col(c).cast("binary").alias(f"_{i}") for i, c in enumerate(parts.values())]
     dealt = rows.select(F.col(shard).cast("string").alias("_shard"), F.col(key).cast("string").alias("_key"), *cells).repartition("_shard").sortWithinPartitions("_shard", "_key")
 
     def run(batches):
-        name, count, tar, sink = None, 0, None, None
+        name, count, tar, sink, starts = None, 0, None, None, []
 
         def close():
             tar.close(), sink.close()
             store, inner = stores.opened(f"{folder}/{name}.tar")
+            place = _index_of(inner)
+            store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(place) as index:
+                index.write(json.dumps([store.get_file_info(f"{inner}.part").size, *starts]).encode())
             store.move(f"{inner}.part", inner)
             return pa.RecordBatch.from_pydict({"shard": [f"{name}.tar"], "n_samples": pa.array([count], pa.int64())})
 
@@ -216,7 +243,10 @@ def write_shards(rows: DataFrame, folder: str, shard: str, key: str, parts: dict
                     store, inner = stores.opened(f"{folder}/{name}.tar")
                     store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                     sink = store.open_output_stream(f"{inner}.part")
-                    tar = tarfile.open(fileobj=sink, mode="w|")
+                    tar, starts = tarfile.open(fileobj=sink, mode="w|"), []
+                if not starts or tar.offset >= starts[-1] + INDEX_BYTES:
+                    starts.append(tar.offset)
+                tar.members = []  # the archive keeps no list of what was written
                 count += 1
                 for i, suffix in enumerate(parts):
                     if (content := row[f"_{i}"]) is not None:

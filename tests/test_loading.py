@@ -141,3 +141,23 @@ def test_line_stream_guards_what_was_read(spark, tmp_path):
     path.write_text('{"i": 3}\n{"i": 4}\n{"i": 5}\n')
     with pytest.raises(Exception, match="changed before byte 18"):
         run(lines.stream_jsonl(spark, str(path), "i long"), f"{tmp_path}/out", f"{tmp_path}/state")
+
+
+def test_a_range_is_found_by_the_index(spark, tmp_path, monkeypatch):
+    """A range's task walked all headers before it, so that reading a shard by ranges took the square of its samples."""
+    rows = spark.range(400).select(F.lit("s").alias("shard"), F.col("id").alias("key"), F.repeat(F.lit("x"), (F.col("id") % 7 * 500).cast("int")).alias("text"))
+    shards.write_shards(rows, str(tmp_path), "shard", "key", {"txt": "text"}).collect()
+    path = f"{tmp_path}/s.tar"
+    size, walked, read = os.path.getsize(path), [], []
+    tarinfo = tarfile.TarFile.next
+    monkeypatch.setattr(tarfile.TarFile, "next", lambda self: walked.append(1) or tarinfo(self))
+    whole = list(shards.samples(path))
+    all_headers = len(walked)
+    walked.clear()
+    for first in range(0, size, 1 << 16):
+        read += shards.samples(path, first, first + (1 << 16))
+    assert read == whole and len(whole) == 400
+    assert len(walked) < 4 * all_headers
+    os.remove(f"{tmp_path}.index/s.tar")
+    walked.clear()
+    assert list(shards.samples(path, 1 << 16, 1 << 17)) == [s for s in whole if 1 << 16 <= s[0] < 1 << 17]
