@@ -35,11 +35,16 @@ def _pack(key, rows):
     return pa.table(columns, schema=schema)
 
 
+def _parts(n: int, size: int) -> int:
+    """One block for up to ``size`` rows, else as many as there are stripes at least: how often a row is sent does not grow with the rows then."""
+    return 1 if n <= size else max(MOST_STRIPES, -(-n // size))
+
+
 def _blocks(rows: DataFrame, size: int, scope: str | None = None, number: int | None = None) -> DataFrame:
-    """Rows (id, tag, v) dealt by a hash of the id into blocks of about ``size``, within each scope if there is one."""
+    """Rows (id, tag, v) dealt by a hash of the id into blocks of about ``size`` (without a scope, into as many as :func:`_parts` says), within each scope if there is one."""
     rows = rows.where("v IS NOT NULL AND id IS NOT NULL")
     if scope is None:
-        rows = rows.withColumns({"scope": F.lit(""), "n_blocks": F.lit(number or max(1, -(-rows.count() // size)))})
+        rows = rows.withColumns({"scope": F.lit(""), "n_blocks": F.lit(number or _parts(rows.count(), size))})
     else:
         counts = rows.groupBy(F.col("scope").alias("_scope")).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))
         small = counts.count() <= SMALL_ROWS
@@ -48,25 +53,26 @@ def _blocks(rows: DataFrame, size: int, scope: str | None = None, number: int |
     return rows.groupBy("scope", "n_blocks", "block").applyInArrow(_pack, _BLOCK)
 
 
-def _stripes(n_blocks):
+def _stripes(n_blocks, least: int):
     """How many stripes ``n_blocks`` blocks of a scope form: a fixed number, until a stripe would hold more than MOST_BLOCKS."""
-    return F.greatest(F.least(n_blocks, F.lit(MOST_STRIPES)), F.ceil(n_blocks / MOST_BLOCKS).cast("int"))
+    return F.greatest(F.least(n_blocks, F.lit(least)), F.ceil(n_blocks / MOST_BLOCKS).cast("int"))
 
 
-def _meetings(left: DataFrame, right: DataFrame, run, schema: str, numbers: DataFrame | None = None) -> DataFrame:
+def _meetings(left: DataFrame, right: DataFrame, run, schema: str, numbers: DataFrame | None = None, least: int = MOST_STRIPES) -> DataFrame:
     """``run(ids, tags, vectors, other ids, other tags, other vectors)`` for stripes of blocks of ``left`` and ``right`` that share a scope.
 
     Blocks form stripes by their number, and every stripe of ``left`` meets every one of ``right`` of its scope in one cogroup. So a block is
     sent once for each stripe and not for each block, which grows with the rows, and a task holds two stripes at a time, of MOST_BLOCKS blocks each at most.
-    Where the sides have different numbers of blocks, ``numbers`` (``_scope, n_left, n_right``, a small table) says them.
+    Where the sides have different numbers of blocks, ``numbers`` (``_scope, n_left, n_right``, a small table) says them. ``least`` stripes are formed at least, if
+    there are as many blocks: with scopes one is enough, as these meet side by side.
     """
 
     def sent(side, name, own, other, mine, its):
         if numbers is not None:
             side = side.join(F.broadcast(numbers), F.col("scope") == F.col("_scope"))
-        stripe = (F.col("block") % _stripes(F.col(mine))).alias(own)
+        stripe = (F.col("block") % _stripes(F.col(mine), least)).alias(own)
         named = [F.col(c).alias(f"{name}_{c}") for c in ("scope", "ids", "tags", "v")]
-        moved = side.select(*named, stripe, F.explode(F.sequence(F.lit(0), _stripes(F.col(its)) - 1)).alias(other))
+        moved = side.select(*named, stripe, F.explode(F.sequence(F.lit(0), _stripes(F.col(its), least) - 1)).alias(other))
         return moved.groupBy(f"{name}_scope", f"{name}_i", f"{name}_j")
 
     def held(table, name):
@@ -255,11 +261,17 @@ def _best(found: DataFrame, k: int, metric: str, counted: bool) -> DataFrame:
 _FOUND = "source_id long, neighbour_id long, value double, n_valid long"
 
 
-def _ranked(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str, rule: str, block_rows: int, scope: str | None) -> DataFrame:
-    """Every block meets every block of its scope; ``candidate_count`` is how many rows a source could choose from."""
+def _ranked(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str, rule: str, block_rows: int, scope: str | None, counted: bool) -> DataFrame:
+    """Every block meets every block of its scope; ``candidate_count``, where it is ``counted``, is how many rows a source could choose from.
+
+    With the rule ``same`` and one tag a row, the rows of a tag are a scope.
+    """
+    if scope is None and rule == "same" and not dict(rows.dtypes)[tag].startswith("array"):
+        scope, rule = tag, "any"
     slim, sets = _slim(rows, key, vector, tag, scope)
     blocks = checkpointed(_blocks(slim, block_rows, scope))
-    return _best(_meetings(blocks, blocks, _nearest(k, metric, rule, sets), _FOUND), k, metric, True)
+    met = _meetings(blocks, blocks, _nearest(k, metric, rule, sets, counted), _FOUND, least=MOST_STRIPES if scope is None else 1)
+    return _best(met if counted else met.drop("n_valid"), k, metric, counted)
 
 
 def _cell_packs(rows: DataFrame, packs: dict[int, int]) -> DataFrame:
@@ -322,7 +334,7 @@ def _pruned(slim: DataFrame, n: int, k: int, metric: str, rule: str, sets: bool,
             meetings.append(sum(-(-m // block_rows) * in_cell[c] for c, m in going.items()))
         packs = {c: -(-m // block_rows) for c, m in going.items()}
         numbers = slim.sparkSession.createDataFrame([(str(c), m, in_cell[c]) for c, m in packs.items()], "_scope string, n_left int, n_right int")
-        met = _meetings(_cell_packs(routed, packs), stored, _nearest(k, metric, rule, sets, False), _FOUND, numbers).drop("n_valid")
+        met = _meetings(_cell_packs(routed, packs), stored, _nearest(k, metric, rule, sets, False), _FOUND, numbers, 1).drop("n_valid")
         best = checkpointed(_best(met if best is None else best.drop("rank").unionByName(met), k, metric, False))
         first, beyond = beyond, beyond * 4
     return best
@@ -346,7 +358,7 @@ def knn(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str =
         found = _pruned(slim, n, k, metric, rule, sets, block_rows, meetings) if n > block_rows else None
         if found is not None:
             return found
-    return _ranked(rows, key, vector, tag, k, metric, rule, block_rows, scope).drop("candidate_count")
+    return _ranked(rows, key, vector, tag, k, metric, rule, block_rows, scope, False)
 
 
 def knn_in_scope(rows: DataFrame, key: str, vector: str, tag: str, scope: str, k: int, metric: str = "cosine", block_rows: int = 2_000) -> DataFrame:
@@ -354,7 +366,7 @@ def knn_in_scope(rows: DataFrame, key: str, vector: str, tag: str, scope: str, k
 
     Returns ``source_id, rank, neighbour_id, value, candidate_count``.
     """
-    found = _ranked(rows, key, vector, tag, k, metric, "other", block_rows, scope)
+    found = _ranked(rows, key, vector, tag, k, metric, "other", block_rows, scope, True)
     sources = rows.select(F.col(key).cast("long").alias("_source")).distinct()
     joined = sources.join(found, F.col("_source") == F.col("source_id"), "left")
     filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rank", "candidate_count")]
@@ -379,7 +391,7 @@ def paired_places(pairs: DataFrame, key: str, first: str, second: str, block_row
     """
     x, y = (normalise(F.col(c).cast("array<double>")) for c in (first, second))
     both = pairs.select(F.col(key).cast("long").alias("id"), x.alias("x"), y.alias("y")).withColumn("tag", dot(F.col("x"), F.col("y")))
-    out, number = [], max(1, -(-both.count() // block_rows))
+    out, number = [], _parts(both.count(), block_rows)
     for name, ask, answer in (("place", "x", "y"), ("reverse_place", "y", "x")):
         met = _meetings(*[_blocks(both.select("id", "tag", F.col(c).alias("v")), block_rows, number=number) for c in (ask, answer)], _places, "id long, place long")
         out.append(met.groupBy("id").agg(F.sum("place").alias(name)))

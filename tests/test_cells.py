@@ -77,3 +77,25 @@ def test_pairs_within_meet_in_blocks(spark):
                 want[t, a, b] = None if bad else round(sum(x * y for x, y in zip(v, w)) / (sizes or 1), 9)
     assert {(r.t, r.a, r.b): None if r.cosine is None else round(r.cosine, 9) for r in got.collect()} == want
     assert "Join" in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1] and "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_row_is_sent_as_often_however_many_rows_there_are(spark, monkeypatch):
+    """Beyond one block, a row went to as many stripes as there were blocks, up to 16; and all rows met, where only those of its tag could be answers."""
+    sent = []
+    meetings = neighbors._meetings
+
+    def counted(left, right, run, schema, numbers=None, least=neighbors.MOST_STRIPES):
+        stripes = left.select("scope", "n_blocks", neighbors._stripes(left["n_blocks"], least).alias("n")).distinct().collect()
+        sent.append({r.scope: r.n for r in stripes})
+        return meetings(left, right, run, schema, numbers, least)
+
+    monkeypatch.setattr(neighbors, "_meetings", counted)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)], f"t{i % 3}" if i % 5 else None) for i in range(200)]
+    for n in (60, 200):
+        df = spark.createDataFrame(rows[:n], "i long, v array<double>, t string")
+        for rule in ("other", "same"):
+            got = {(r.source_id, r.rank): r.neighbour_id for r in neighbors.knn(df, "i", "v", "t", 2, rule=rule, block_rows=20).collect()}
+            want = {(r.source_id, r.rank): r.neighbour_id for r in neighbors.knn(df, "i", "v", "t", 2, rule=rule, block_rows=1_000).collect()}
+            assert got == want and len(got) == 2 * n
+    assert [s for s in sent if "" in s] == [{"": 16}, {"": 1}] * 2 and [s for s in sent if "" not in s] == [dict.fromkeys(("t0", "t1", "t2", "\0"), 1)] * 4
