@@ -24,10 +24,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(total(F.transform(v, lambda x: x * x)))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row; within the function of a transform it would be computed for each component."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return once(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -44,10 +48,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def exp_map(v: Column, c: float = 1.0, most: float = 1.0) -> Column:
     """Exponential map at the origin of the projected hypersphere of curvature ``c``, norms clipped to ``most``."""
-    n = norm(v)
-    r = F.least(n, F.lit(most))
-    scale = F.when(n > 0, r / n * F.tan(F.sqrt(F.lit(c)) * r) / (F.sqrt(F.lit(c)) * r)).otherwise(F.lit(1.0))
-    return F.transform(v, lambda x: x * scale)
+    def scale(n):
+        r = F.least(n, F.lit(most))
+        return F.when(n > 0, r / n * F.tan(F.sqrt(F.lit(c)) * r) / (F.sqrt(F.lit(c)) * r)).otherwise(F.lit(1.0))
+
+    return once(norm(v), lambda n: once(scale(n), lambda s: F.transform(v, lambda x: x * s)))
 
 
 def geodesic(x: Column, y: Column, c: float = 1.0, eps: float = 1e-7) -> Column:

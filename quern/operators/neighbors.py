@@ -58,13 +58,13 @@ def _stripes(n_blocks, least: int):
     return F.greatest(F.least(n_blocks, F.lit(least)), F.ceil(n_blocks / MOST_BLOCKS).cast("int"))
 
 
-def _meetings(left: DataFrame, right: DataFrame, run, schema: str, numbers: DataFrame | None = None, least: int = MOST_STRIPES) -> DataFrame:
+def _meetings(left: DataFrame, right: DataFrame, run, schema: str, numbers: DataFrame | None = None, least: int = MOST_STRIPES, once: bool = False) -> DataFrame:
     """``run(ids, tags, vectors, other ids, other tags, other vectors)`` for stripes of blocks of ``left`` and ``right`` that share a scope.
 
     Blocks form stripes by their number, and every stripe of ``left`` meets every one of ``right`` of its scope in one cogroup. So a block is
     sent once for each stripe and not for each block, which grows with the rows, and a task holds two stripes at a time, of MOST_BLOCKS blocks each at most.
     Where the sides have different numbers of blocks, ``numbers`` (``_scope, n_left, n_right``, a small table) says them. ``least`` stripes are formed at least, if
-    there are as many blocks: with scopes one is enough, as these meet side by side.
+    there are as many blocks: with scopes one is enough, as these meet side by side. With ``once`` two stripes of one table meet once and not both ways; ``run`` gives the rows of both then.
     """
 
     def sent(side, name, own, other, mine, its):
@@ -73,6 +73,7 @@ def _meetings(left: DataFrame, right: DataFrame, run, schema: str, numbers: Data
         stripe = (F.col("block") % _stripes(F.col(mine), least)).alias(own)
         named = [F.col(c).alias(f"{name}_{c}") for c in ("scope", "ids", "tags", "v")]
         moved = side.select(*named, stripe, F.explode(F.sequence(F.lit(0), _stripes(F.col(its), least) - 1)).alias(other))
+        moved = moved.where(F.col(f"{name}_i") <= F.col(f"{name}_j")) if once else moved
         return moved.groupBy(f"{name}_scope", f"{name}_i", f"{name}_j")
 
     def held(table, name):
@@ -484,19 +485,28 @@ def _pair_sums(tau: float, metric: str, sets: bool):
         if metric == "cosine":
             x, y = _unit(x), _unit(y)
         common, shared = bool(len(np.intersect1d(own, ids))), _sharing(own_tags, tags, sets)
-        out = []
-        for rows in _slices(len(own), len(ids)):
+        # rows of one id lie in one stripe, so ids in common mean a stripe with itself, where each pair comes both ways
+        out, back = [], np.zeros((5, len(ids)))
+        for rows in _slices(len(own), len(ids), 1 << 20):
             near = x[rows] @ y.T if metric == "cosine" else _closeness(x[rows], y, metric)
-            mass = np.exp((near - (metric == "cosine")) / tau)
+            mass = (near - (metric == "cosine")) / tau
+            np.exp(mass, out=mass)
             same = shared(rows)
-            n_all, n_same = np.full(len(near), len(ids)), same.sum(axis=1)
+            other = ~same
             if common:
                 itself = own[rows][:, None] == ids[None]
-                mass[itself], near[itself] = 0.0, 0.0
-                n_all, n_same = n_all - itself.sum(axis=1), n_same - (itself & same).sum(axis=1)
-            positive = np.einsum("ij,ij->i", near, same.astype(float))
-            out.append((own[rows], mass.sum(axis=1), positive, n_same, near.sum(axis=1) - positive, n_all - n_same))
-        return [np.concatenate(c) for c in zip(*out)]
+                mass[itself], near[itself], same[itself], other[itself] = 0.0, 0.0, False, False
+            positive = near * same
+            near -= positive
+            parts = (mass, positive, same, near, other)
+            out.append((own[rows], *[p.sum(axis=1) for p in parts]))
+            if not common:
+                back += [p.sum(axis=0) for p in parts]
+        found = [np.concatenate(c) for c in zip(*out)]
+        if common:
+            return found
+        back = [ids, back[0], back[1], back[2].astype(np.int64), back[3], back[4].astype(np.int64)]
+        return [np.concatenate(c) for c in zip(found, back)]
 
     return run
 
@@ -505,11 +515,11 @@ def contrastive_sums(rows: DataFrame, key: str, vector: str, tag: str, tau: floa
     """For every row the log of the summed exp(closeness / tau) over all others, and sum and count of its same-tag and other-tag closeness.
 
     Closeness is the cosine, or a distance below zero (``euclidean``, ``manhattan``, ``geodesic``). Blocks meet blocks as in
-    :func:`knn`; each meeting gives one partial sum a row, merged by an aggregate.
+    :func:`knn`, two stripes once; each meeting gives one partial sum a row of either side, merged by an aggregate.
     """
     slim, sets = _slim(rows, key, vector, tag, None)
     blocks = checkpointed(_blocks(slim, block_rows))
-    parts = _meetings(blocks, blocks, _pair_sums(tau, metric, sets), _SUMS)
+    parts = _meetings(blocks, blocks, _pair_sums(tau, metric, sets), _SUMS, once=True)
     kept = ("positive_sum", "n_positive", "negative_sum", "n_negative")
     sums = parts.groupBy("source_id").agg(F.sum("mass").alias("m"), *[F.sum(c).alias(c) for c in kept])
     return sums.select("source_id", (F.log("m") + (1 / tau if metric == "cosine" else 0.0)).alias("log_mass"), *kept)

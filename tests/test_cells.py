@@ -99,3 +99,32 @@ def test_a_row_is_sent_as_often_however_many_rows_there_are(spark, monkeypatch):
             want = {(r.source_id, r.rank): r.neighbour_id for r in neighbors.knn(df, "i", "v", "t", 2, rule=rule, block_rows=1_000).collect()}
             assert got == want and len(got) == 2 * n
     assert [s for s in sent if "" in s] == [{"": 16}, {"": 1}] * 2 and [s for s in sent if "" not in s] == [dict.fromkeys(("t0", "t1", "t2", "\0"), 1)] * 4
+
+
+@pytest.mark.parametrize("metric", ["cosine", "geodesic"])
+def test_pair_sums_meet_once(spark, metric):
+    """Two stripes met both ways, so that each pair was measured twice and a block went out twice as often."""
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)], f"t{i % 3}") for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, v array<double>, t string")
+    got, want = ({r.source_id: r for r in neighbors.contrastive_sums(df, "i", "v", "t", 0.1, block_rows=size, metric=metric).collect()} for size in (7, 1_000))
+    near = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for i, v, t in rows:
+        assert got[i].n_positive == want[i].n_positive == 29 and got[i].n_negative == want[i].n_negative == 60
+        assert all(abs(got[i][c] - want[i][c]) < 1e-9 for c in ("log_mass", "positive_sum", "negative_sum"))
+        if metric == "cosine":
+            assert abs(got[i].positive_sum - sum(near(v, w) for j, w, u in rows if u == t and j != i)) < 1e-9
+    blocks = neighbors._blocks(neighbors._slim(df, "i", "v", "t", None)[0], 7)
+    met = neighbors._meetings(blocks, blocks, lambda own, _, x, ids, *rest: [[int(own[0])], [int(ids[0])]], "a long, b long", once=True)
+    assert met.count() == 16 * 17 // 2
+
+
+def test_a_norm_is_computed_once_a_row(spark):
+    """It stood within the function of the transform, so that each component had its own norm and time grew with the square of the length."""
+    from quern.functions import vectors as V
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    for f, want in ((V.normalise, [[0.6, 0.8], [0.0, 0.0], None]), (V.exp_map, None)):
+        got = df.select(f(df["v"]).alias("u"))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 1
+        assert want is None or [r.u for r in got.collect()] == want
