@@ -9,12 +9,17 @@ import bisect
 import hashlib
 import io
 import json
+import os
 import re
+import shutil
 import tarfile
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -179,10 +184,10 @@ def stream_shards(spark: SparkSession, paths: list[str], seed: int | None = None
     return spark.read.format("quern_shards").options(**{k: json.dumps(v) for k, v in given.items()}).load()
 
 
-def load_batches(spark: SparkSession, paths: list[str], batch: int, seed: int = 0, epoch: int = 0, nodes: int = 1, workers: int = 1, train: bool = True, cap: int | None = None, **options) -> DataFrame:
+def load_batches(spark: SparkSession, paths: list[str], batch: int, seed: int = 0, epoch: int = 0, nodes: int = 1, workers: int = 1, train: bool = True, cap: int | None = None, range_bytes: int = 1 << 26, **options) -> DataFrame:
     """The loader chain: shards, shuffle, split by node and worker, samples, shuffle, select, rename, batch, epoch cap.
 
-    Samples without text or image and those in error are left out (:func:`stream_shards` shows them). For training, samples of a
+    Shards are read by ranges of ``range_bytes``, so that a large one is many tasks. Samples without text or image and those in error are left out (:func:`stream_shards` shows them). For training, samples of a
     worker are shuffled by a digest of seed, epoch, pass, shard name and key, short batches go, and with ``cap`` every worker has just
     that many batches: a worker with fewer goes through its samples again in new orders, as many passes as it takes; one
     without a full batch has none. Otherwise shards and samples keep their order and the last batch may be short.
@@ -191,7 +196,7 @@ def load_batches(spark: SparkSession, paths: list[str], batch: int, seed: int =
 
     Returns ``node, worker, batch, item, shard, key, image, text``.
     """
-    raw = stream_shards(spark, paths, seed if train else None, epoch, nodes, workers=workers, **options).where("error IS NULL")
+    raw = stream_shards(spark, paths, seed if train else None, epoch, nodes, workers=workers, range_bytes=range_bytes, **options).where("error IS NULL")
     image = F.coalesce(*[F.col("parts")[s] for s in ("jpg", "png", "jpeg", "webp")])
     rows = raw.select("node", "worker", "place", "offset", F.substring_index("shard", "/", -1).alias("shard"), "key", image.alias("image"), F.decode(F.col("parts")["txt"], "utf-8").alias("text"))
     rows = rows.where("image IS NOT NULL AND text IS NOT NULL").withColumn("slot", F.concat_ws(":", "node", "worker"))
@@ -199,7 +204,7 @@ def load_batches(spark: SparkSession, paths: list[str], batch: int, seed: int =
     if train and cap:
         full = rows.groupBy(F.col("slot").alias("s")).agg(F.floor(F.count("*") / batch).alias("n")).where("n > 0")
         turns = full.select("s", F.sequence(F.lit(0), (F.ceil(F.lit(cap) / F.col("n")) - 1).cast("int")).alias("turns"))
-        rows = rows.drop("turn").join(turns, F.col("slot") == F.col("s")).withColumn("turn", F.explode("turns")).drop("s", "turns")
+        rows = rows.drop("turn").join(F.broadcast(turns), F.col("slot") == F.col("s")).withColumn("turn", F.explode("turns")).drop("s", "turns")
     name = F.concat_ws(":", "slot", "turn")
     mixed = digest(F.lit(seed), F.lit(epoch), F.col("turn"), F.col("shard"), F.col("key"), separator=":")
     kept = F.concat(F.lpad(F.hex("place"), 8, "0"), F.lpad(F.hex("offset"), 16, "0"))
@@ -214,41 +219,64 @@ def load_batches(spark: SparkSession, paths: list[str], batch: int, seed: int =
 def write_shards(rows: DataFrame, folder: str, shard: str, key: str, parts: dict[str, str]) -> DataFrame:
     """Write tar shards ``folder/<shard>.tar`` with the members ``<key>.<suffix>`` of every row, ``parts`` naming a column for each suffix.
 
-    Rows are dealt and sorted by shard and key and streamed into their archives; a file gets its name once it is whole, so a task that runs
-    again leaves the same file. The folder ``<folder>.index`` holds for each shard the begin of a sample every 64 KB, so that a range is found without walking the shard. Null cells have no member. Returns ``shard, n_samples``, the size table of the shards; the write
-    happens when it is read, so write or checkpoint it once.
+    Rows are dealt by ranges of shard and key, so that a large shard is many tasks, each of which streams its rows into a segment in a folder beside the shards. The
+    sizes of a shard's segments give each its place in the archive, and tasks of their own put them there side by side; on stores whose files
+    cannot be written in place, one task a shard appends them. A file gets its name once it is whole, and a task that runs again leaves the same file. The folder
+    ``<folder>.index`` holds for each shard the begin of a sample every 64 KB, so that a range is found without walking the shard. Null cells have
+    no member. Returns ``shard, n_samples``, the size table of the shards; the write happens when it is read, so write or checkpoint it once.
     """
-    cells = [F.col(c).cast("binary").alias(f"_{i}") for i, c in enumerate(parts.values())]
-    dealt = rows.select(F.col(shard).cast("string").alias("_shard"), F.col(key).cast("string").alias("_key"), *cells).repartition("_shard").sortWithinPartitions("_shard", "_key")
+    columns = list(dict.fromkeys(parts.values()))
+    members = [(suffix, columns.index(c)) for suffix, c in parts.items()]
+    cells = [F.col(c).cast("binary").alias(f"_{i}") for i, c in enumerate(columns)]
+    dealt = rows.select(F.col(shard).cast("string").alias("_shard"), F.col(key).cast("string").alias("_key"), *cells)
+    segments = dealt.repartitionByRange("_shard", "_key").sortWithinPartitions("_shard", "_key").mapInArrow(_segments(folder, members), _SEGMENT)
+    own = Window.partitionBy("shard")
+    place = F.coalesce(F.sum("size").over(own.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = segments.withColumns({"place": place, "whole": F.sum("size").over(own)})
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with a number given, adaptive execution leaves one task's rows apart, few as they are
+    in_place = stores.writes_in_place(folder)
+    put = placed.repartition(n, "shard", "segment").mapInArrow(_put(folder), f"{_SEGMENT}, place long, whole long") if in_place else placed
+    return put.repartition(n, "shard").groupBy("shard").applyInArrow(_finish(folder, in_place), "shard string, n_samples long")
+
+
+_SEGMENT = "shard string, segment int, size long, n_samples long, starts array<long>"
+_ARROW_SEGMENT = pa.schema([("shard", pa.string()), ("segment", pa.int32()), ("size", pa.int64()), ("n_samples", pa.int64()), ("starts", pa.list_(pa.int64()))])
+
+
+def _segment_path(folder: str, name: str, segment: int | None = None) -> str:
+    held = f"{folder}.segments/{hashlib.sha256(str(name).encode()).hexdigest()}"
+    return held if segment is None else f"{held}/{segment}"
+
+
+def _segments(folder: str, members: list[tuple[str, int]]):
+    """Write one segment, members without an end of the archive, for each shard among a task's sorted rows; its number is the task's."""
 
     def run(batches):
-        name, count, tar, sink, starts = None, 0, None, None, []
+        tar = None
 
         def close():
-            tar.close(), sink.close()
-            store, inner = stores.opened(f"{folder}/{name}.tar")
-            place = _index_of(inner)
-            store.create_dir(place.rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(place) as index:
-                index.write(json.dumps([store.get_file_info(f"{inner}.part").size, *starts]).encode())
-            store.move(f"{inner}.part", inner)
-            return pa.RecordBatch.from_pydict({"shard": [f"{name}.tar"], "n_samples": pa.array([count], pa.int64())})
+            sink.close()
+            store.move(unnamed, inner)
+            row = {"shard": name, "segment": number, "size": tar.offset, "n_samples": count, "starts": starts}
+            return pa.RecordBatch.from_pylist([row], schema=_ARROW_SEGMENT)
 
+        number = TaskContext.get().partitionId()
         for batch in batches:
             for row in batch.to_pylist():
-                if row["_shard"] != name:
+                if tar is None or row["_shard"] != name:
                     if tar is not None:
                         yield close()
-                    name, count = row["_shard"], 0
-                    store, inner = stores.opened(f"{folder}/{name}.tar")
+                    name, count, starts = row["_shard"], 0, []
+                    store, inner = stores.opened(_segment_path(folder, name, number))
+                    unnamed = f"{inner}.{uuid.uuid4().hex}"
                     store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                    sink = store.open_output_stream(f"{inner}.part")
-                    tar, starts = tarfile.open(fileobj=sink, mode="w|"), []
+                    sink = store.open_output_stream(unnamed, buffer_size=1 << 20)
+                    tar = tarfile.TarFile(fileobj=sink, mode="w")
                 if not starts or tar.offset >= starts[-1] + INDEX_BYTES:
                     starts.append(tar.offset)
                 tar.members = []  # the archive keeps no list of what was written
                 count += 1
-                for i, suffix in enumerate(parts):
+                for suffix, i in members:
                     if (content := row[f"_{i}"]) is not None:
                         member = tarfile.TarInfo(f"{row['_key']}.{suffix}")
                         member.size = len(content)
@@ -256,4 +284,53 @@ def write_shards(rows: DataFrame, folder: str, shard: str, key: str, parts: dict
         if tar is not None:
             yield close()
 
-    return dealt.mapInArrow(run, "shard string, n_samples long")
+    return run
+
+
+def _put(folder: str):
+    """Copy segments to their places in the archives."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.select(["shard", "segment", "place"]).to_pylist():
+                store, inner = stores.opened(f"{folder}/{row['shard']}.tar")
+                store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with open(os.open(f"{inner}.part", os.O_CREAT | os.O_WRONLY, 0o666), "wb") as out, stores.input_file(_segment_path(folder, row["shard"], row["segment"])) as segment:
+                    out.seek(row["place"])
+                    shutil.copyfileobj(segment, out, 1 << 20)
+            yield batch
+
+    return run
+
+
+def _finish(folder: str, in_place: bool):
+    """End a shard's archive, which is made of its segments here if they are not in place, write its index, give it its name and drop its segments."""
+
+    def run(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+        name, whole = rows[0]["shard"], rows[0]["whole"]
+        size = -(-(whole + 2 * tarfile.BLOCKSIZE) // tarfile.RECORDSIZE) * tarfile.RECORDSIZE
+        store, inner = stores.opened(f"{folder}/{name}.tar")
+        held = stores.opened(_segment_path(folder, name))[1]
+        if store.get_file_info(held).type != fs.FileType.NotFound:  # else this task ran before, to its end
+            if in_place:
+                if os.path.exists(f"{inner}.part"):
+                    os.truncate(f"{inner}.part", whole)
+                    os.truncate(f"{inner}.part", size)
+            else:
+                store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{inner}.part") as out:
+                    for row in rows:
+                        with stores.input_file(_segment_path(folder, name, row["segment"])) as segment:
+                            shutil.copyfileobj(segment, out, 1 << 20)
+                    out.write(bytes(size - whole))
+            place = _index_of(inner)
+            store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(place) as index:
+                index.write(json.dumps([size, *(r["place"] + s for r in rows for s in r["starts"])]).encode())
+            if store.get_file_info(f"{inner}.part").type != fs.FileType.NotFound:
+                store.move(f"{inner}.part", inner)
+            store.delete_dir(held)
+        return pa.table({"shard": [f"{name}.tar"], "n_samples": pa.array([sum(r["n_samples"] for r in rows)], pa.int64())})
+
+    return run

@@ -15,6 +15,11 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def writes_in_place(path: str) -> bool:
+    """Whether tasks can write parts of one file side by side: on local and mounted paths."""
+    return isinstance(opened(path)[0], fs.LocalFileSystem)
+
+
 def input_file(path: str):
     """A seekable stream that reads 64 KB ahead."""
     store, inner = opened(path)

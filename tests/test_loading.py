@@ -161,3 +161,35 @@ def test_a_range_is_found_by_the_index(spark, tmp_path, monkeypatch):
     os.remove(f"{tmp_path}.index/s.tar")
     walked.clear()
     assert list(shards.samples(path, 1 << 16, 1 << 17)) == [s for s in whole if 1 << 16 <= s[0] < 1 << 17]
+
+
+@pytest.mark.parametrize("in_place", [True, False])
+def test_a_shard_is_written_by_many_tasks(spark, tmp_path, monkeypatch, in_place):
+    """One task wrote a shard, so what it read grew with the shard."""
+    rows = spark.range(0, 600, 1, 5).select(F.concat(F.lit("s"), (F.col("id") >= 20).cast("int")).alias("shard"), F.col("id").alias("key"), F.repeat(F.lit("xé"), (F.col("id") % 7 * 300).cast("int")).alias("text"))
+    seen = []
+    segments = shards._segments
+    monkeypatch.setattr(shards, "_segments", lambda folder, members: seen.append(members) or segments(folder, members))
+    monkeypatch.setattr(shards.stores, "writes_in_place", lambda path: in_place)
+    out = f"{tmp_path}/out"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        written = shards.write_shards(rows, out, "shard", "key", {"jpg": "text", "txt": "text"})
+        assert {r.shard: r.n_samples for r in written.collect()} == {"s0.tar": 20, "s1.tar": 580}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert seen == [[("jpg", 0), ("txt", 0)]]  # a column is sent once
+    assert sorted(os.listdir(out)) == ["s0.tar", "s1.tar"] and not os.listdir(f"{out}.segments")
+    want = {r.key: r.text.encode() for r in rows.collect()}
+    with tarfile.open(f"{out}/s1.tar") as tar:
+        names = tar.getnames()
+    assert names == [f"{k}.{p}" for k in sorted(map(str, range(20, 600))) for p in ("jpg", "txt")]
+    size, *starts = json.load(open(f"{out}.index/s1.tar"))
+    begins = [s[0] for s in shards.samples(f"{out}/s1.tar")]
+    assert size == os.path.getsize(f"{out}/s1.tar") and set(starts) <= set(begins) and starts == sorted(starts)
+    got = shards.stream_shards(spark, [f"{out}/s{i}.tar" for i in (0, 1)], range_bytes=1 << 16).collect()
+    assert not any(r.error for r in got) and len(got) == 600
+    assert all(bytes(r.parts["jpg"]) == bytes(r.parts["txt"]) == want[int(r.key)] for r in got)
+    dealt = rows.select(F.col("shard").alias("_shard"), F.col("key").cast("string").alias("_key"), F.col("text").cast("binary").alias("_0"))
+    made = dealt.repartitionByRange(4, "_shard", "_key").sortWithinPartitions("_shard", "_key").mapInArrow(segments(f"{tmp_path}/two", [("txt", 0)]), shards._SEGMENT)
+    assert made.where("shard = 's1'").count() >= 3
