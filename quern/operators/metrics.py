@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import dot, mean_vector, normalise
+from quern.functions.vectors import mean_vector, normalise
 
 
 def class_centroids(rows: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
@@ -17,25 +17,48 @@ def class_centroids(rows: DataFrame, label: str, vector: str, dim: int) -> DataF
 
 
 def zero_shot(rows: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, scale: float = 100.0, most_classes: int = 20_000) -> DataFrame:
-    """Logit, probability and rank of every class for each row: scores, softmax and order are made inside the row, without a shuffle.
+    """Logit, probability and rank of every class for each row: scores, softmax and order are made where the rows are, without a shuffle.
 
-    The classifier is one literal array of (class, weights). More than ``most_classes`` classes are an error: they are
-    prompts and no data, and each row carries all their scores. Equal logits (to 9 digits) go by class.
+    The classifier is one matrix in the task's closure. More than ``most_classes`` classes are an error: they are
+    prompts and no data, and each row carries all their scores. Equal logits (to 9 digits) go by class. A vector
+    or class with a null (component) has null logits and probabilities, which come last and leave the others' as they are.
     """
-    classes = [{"class": r[label], "w": list(r["centroid"])} for r in centroids.orderBy(label).limit(most_classes + 1).collect()]
-    if len(classes) > most_classes:
+    table = centroids.select(F.col(label).alias("class"), "centroid").orderBy("class").limit(most_classes + 1).toArrow()
+    if table.num_rows > most_classes:
         raise ValueError(f"more than {most_classes} classes")
-    kind = dict(centroids.dtypes)[label]
-    table = F.from_json(F.lit(json.dumps(classes)), f"array<struct<class:{kind},w:array<double>>>")
-    unit = rows.select(key, F.col(label).alias("label"), normalise(F.col(vector).cast("array<double>")).alias("_x"), table.alias("c"))
-    logit = lambda c: scale * dot(F.col("_x"), c["w"])
-    scored = unit.select(key, "label", F.transform("c", lambda c: F.struct(logit(c).alias("logit"), c["class"].alias("class"))).alias("_s"))
-    ordered = F.array_sort(F.transform("_s", lambda s: F.struct((-F.round(s["logit"], 9)).alias("o"), s["class"].alias("class"), s["logit"].alias("logit"))))
-    scored = scored.withColumns({"_o": ordered, "_top": F.array_max(F.transform("_s", lambda s: s["logit"]))})
-    scored = scored.withColumn("_mass", F.aggregate("_s", F.lit(0.0), lambda m, s: m + F.exp(s["logit"] - F.col("_top"))))
-    out = scored.select(key, "label", "_top", "_mass", F.posexplode("_o").alias("_at", "s"))
-    probability = F.exp(F.col("s.logit") - F.col("_top")) / F.col("_mass")
-    return out.select(key, "label", "s.class", "s.logit", probability.alias("probability"), (F.col("_at") + 1).alias("rank"))
+    classes, weights = table["class"].combine_chunks(), [w if w is not None and None not in w else None for w in table["centroid"].to_pylist()]
+    kinds = dict(rows.dtypes)
+    unit = rows.select(key, F.col(label).alias("label"), normalise(F.col(vector).cast("array<double>")).alias("_x"))
+    schema = f"`{key}` {kinds[key]}, label {kinds[label]}, class {dict(centroids.dtypes)[label]}, logit double, probability double, rank int"
+    return unit.mapInArrow(_scored(classes, weights, scale), schema)
+
+
+def _scored(classes: pa.Array, weights: list, scale: float):
+    """Rows of every class for each vector, by one matrix product a part of a batch; a null or a null component leaves its logits null."""
+    n, dim = len(classes), max([len(w) for w in weights if w is not None], default=0)
+    known = np.array([w is not None and len(w) == dim for w in weights], bool)
+    table = np.array([w if k else [0.0] * dim for w, k in zip(weights, known)], float).reshape(n, dim)
+
+    def run(batches):
+        step = max(1, 1_000_000 // max(n, 1))
+        for batch in batches if n else ():
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                given = part.column("_x").to_pylist()
+                whole = np.array([v is not None and len(v) == dim and None not in v for v in given], bool)
+                x = np.array([v if w else [0.0] * dim for v, w in zip(given, whole)], float).reshape(len(given), dim)
+                logit, void = scale * (x @ table.T), ~(whole[:, None] & known[None])
+                first = np.where(void, np.inf, -np.round(logit, 9))
+                order = np.argsort(first, axis=1, kind="stable")
+                logit, void = np.take_along_axis(logit, order, axis=1), np.take_along_axis(void, order, axis=1)
+                mass = np.exp(logit - np.where(void, -np.inf, logit).max(axis=1, keepdims=True), where=~void, out=np.zeros_like(logit))
+                with np.errstate(invalid="ignore"):
+                    probability = mass / mass.sum(axis=1, keepdims=True)
+                of, hidden = np.repeat(np.arange(len(given)), n), void.reshape(-1)
+                columns = [part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), classes.take(pa.array(order.reshape(-1))), pa.array(logit.reshape(-1), mask=hidden)]
+                columns += [pa.array(probability.reshape(-1), mask=hidden), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(given)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:2], "class", "logit", "probability", "rank"])
+
+    return run
 
 
 def topk_accuracy(ranked: DataFrame, ks=(1, 5)) -> DataFrame:

@@ -128,3 +128,31 @@ def test_a_norm_is_computed_once_a_row(spark):
         got = df.select(f(df["v"]).alias("u"))
         assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 1
         assert want is None or [r.u for r in got.collect()] == want
+
+
+def test_zero_shot_is_one_product_a_batch(spark):
+    """The classifier was read from JSON for each row, and each component of a row's scores had norms of its own."""
+    from quern.operators import metrics
+
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)], "abc"[i % 3]) for i in range(40)] + [(50, None, "a"), (51, [1.0, None, 0.0, 0.0, 0.0], "b"), (52, [0.0] * 5, "c")]
+    df = spark.createDataFrame(rows, "i long, v array<double>, t string")
+    got = metrics.zero_shot(df, metrics.class_centroids(df.where("i < 40"), "t", "v", 5), "i", "v", "t")
+    assert "from_json" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.i, []).append(r)
+    assert {len(x) for x in found.values()} == {3} and len(found) == 43
+    centre = {r.t: r.centroid for r in metrics.class_centroids(df.where("i < 40"), "t", "v", 5).collect()}
+    for i, v, t in rows:
+        ranked = sorted(found[i], key=lambda r: r["rank"])
+        assert [r["rank"] for r in ranked] == [1, 2, 3] and all(r.label == t for r in ranked)
+        if i in (50, 51):
+            assert [r["class"] for r in ranked] == ["a", "b", "c"] and all(r.logit is None and r.probability is None for r in ranked)
+            continue
+        size = sum(x * x for x in v) ** 0.5 or 1.0
+        logits = {c: 100 * sum(x * y for x, y in zip(v, w)) / size for c, w in centre.items()}
+        want = sorted(logits, key=lambda c: (-round(logits[c], 9), c))
+        assert [r["class"] for r in ranked] == want and all(abs(r.logit - logits[r["class"]]) < 1e-9 for r in ranked)
+        mass = {c: 2.718281828459045 ** (x - max(logits.values())) for c, x in logits.items()}
+        assert all(abs(r.probability - mass[r["class"]] / sum(mass.values())) < 1e-9 for r in ranked)
