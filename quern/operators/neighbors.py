@@ -21,6 +21,8 @@ SMALL_ROWS = 100_000
 PRUNED_SHARE = 0.25
 #: Stripes that meet in a search of all rows, and the blocks that one may hold.
 MOST_STRIPES, MOST_BLOCKS = 16, 25
+#: Entries of a matrix that pass the edges and wait to be measured again, at least and at most.
+HITS = 1 << 16, 1 << 20
 _TYPES = {"long": pa.int64(), "double": pa.float64()}
 _BLOCK = "scope string, n_blocks int, block int, ids binary, tags string, v binary"
 
@@ -58,14 +60,16 @@ def _stripes(n_blocks, least: int):
     return F.greatest(F.least(n_blocks, F.lit(least)), F.ceil(n_blocks / MOST_BLOCKS).cast("int"))
 
 
-def _meetings(left: DataFrame, right: DataFrame, run, schema: str, numbers: DataFrame | None = None, least: int = MOST_STRIPES, once: bool = False) -> DataFrame:
+def _meetings(left: DataFrame, right: DataFrame, run, schema: str, numbers: DataFrame | None = None, least: int = MOST_STRIPES, once: bool | None = None) -> DataFrame:
     """``run(ids, tags, vectors, other ids, other tags, other vectors)`` for stripes of blocks of ``left`` and ``right`` that share a scope.
 
     Blocks form stripes by their number, and every stripe of ``left`` meets every one of ``right`` of its scope in one cogroup. So a block is
     sent once for each stripe and not for each block, which grows with the rows, and a task holds two stripes at a time, of MOST_BLOCKS blocks each at most.
     Where the sides have different numbers of blocks, ``numbers`` (``_scope, n_left, n_right``, a small table) says them. ``least`` stripes are formed at least, if
-    there are as many blocks: with scopes one is enough, as these meet side by side. With ``once`` two stripes of one table meet once and not both ways; ``run`` gives the rows of both then.
+    there are as many blocks: with scopes one is enough, as these meet side by side. With ``once``, which holds where ``left`` is ``right`` too,
+    two stripes of one table meet once and not both ways; ``run`` gives the rows of both then.
     """
+    once = left is right if once is None else once
 
     def sent(side, name, own, other, mine, its):
         if numbers is not None:
@@ -99,12 +103,12 @@ def _slices(n: int, other: int, cells: int = 1 << 22):
 
 
 def _sharing(a: list, b: list, sets: bool):
-    """A function from a slice of ``a`` to which of its rows share a tag with those of ``b``: one value each (null equals null), or lists of values (null has none)."""
+    """A function from slices of ``a`` and ``b`` to which of their rows share a tag: one value each (null equals null), or lists of values (null has none)."""
     a, b = (([t or [] for t in side] if sets else [[t] for t in side]) for side in (a, b))
     if not sets:
         names = {t: i for i, t in enumerate({t for tags in chain(a, b) for t in tags})}
         x, y = (np.array([names[t] for (t,) in side], np.int32) for side in (a, b))
-        return lambda rows: x[rows][:, None] == y[None]
+        return lambda rows, others=slice(None): x[rows][:, None] == y[others][None]
     names = {t: i for i, t in enumerate({t for tags in a for t in tags} & {t for tags in b for t in tags})}
     tables = []
     for side in (a, b):
@@ -112,7 +116,7 @@ def _sharing(a: list, b: list, sets: bool):
         for row, tags in zip(table, side):
             row[[names[t] for t in tags if t in names]] = 1
         tables.append(table)
-    return lambda rows: tables[0][rows] @ tables[1].T > 0
+    return lambda rows, others=slice(None): tables[0][rows] @ tables[1][others].T > 0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -149,31 +153,35 @@ def _closeness(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def _rough(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, float, str]:
-    """Both sides in single precision where their scale allows it, and how far two values of :func:`_order` may be off together."""
+def _rough(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """Both sides in single precision where their scale allows it, and how far two values of :func:`_order` may be off together.
+
+    For the euclidean distance both have two components more, so that one product gives its negative square.
+    """
     if metric == "geodesic":
-        return x, y, 4e-12, "geodesic"
+        return x, y, 4e-12
     if metric == "manhattan":
         scale = np.abs(x).sum(axis=1).max() + np.abs(y).sum(axis=1).max()
         ties = 4e-12
     elif metric == "cosine":
         scale, ties = 1.0, 4e-12
     else:
-        scale = (np.sqrt((x**2).sum(1).max()) + np.sqrt((y**2).sum(1).max())) ** 2
+        squares, others = ((v**2).sum(axis=1, keepdims=True) for v in (x, y))
+        scale = (np.sqrt(squares.max()) + np.sqrt(others.max())) ** 2
         ties = 8e-12 * np.sqrt(scale)
     single = 1e-20 < scale < 1e20
     slack = 4 * (x.shape[1] + 16) * (1.2e-7 if single else 4e-16) * scale + ties
     kind = np.float32 if single else np.float64
-    return x.astype(kind), y.astype(kind), float(slack), metric
+    if metric == "euclidean":
+        x, y = np.hstack([2 * x, -squares, np.ones_like(squares)]), np.hstack([y, np.ones_like(others), -others])
+    return x.astype(kind), y.astype(kind), float(slack)
 
 
-def _order(x: np.ndarray, y: np.ndarray, squares: np.ndarray | None, metric: str) -> np.ndarray:
-    """Larger is nearer, for one row of ``x``: for the euclidean distance its negative square without the row's own part."""
-    if metric == "cosine":
-        return x @ y.T
-    if metric == "euclidean":
-        return 2 * (x @ y.T) - squares
-    return _closeness(x, y, metric)
+def _order(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Larger is nearer, for rows of both sides as :func:`_rough` gives them."""
+    if metric == "manhattan" and len(x) > len(y):  # a call for each row of the smaller side
+        return np.ascontiguousarray(_closeness(y, x, metric).T)
+    return x @ y.T if metric in ("cosine", "euclidean") else _closeness(x, y, metric)
 
 
 def _exact(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -190,54 +198,111 @@ def _exact(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray, metric: s
     return out
 
 
-def _leading(near: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the cells that may be among the k largest of their row: first against a part of the columns, then among what is left."""
-    wide, n = max(2_048, 16 * k), near.shape[1]
-    if k >= n:
-        return np.nonzero(near > -np.inf)
-    part = near[:, :wide] if n > 2 * wide else near
-    edge = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - slack
-    at = np.flatnonzero(near >= np.maximum(edge, np.finfo(near.dtype).min)[:, None])
-    r, c = at // n, at % n
-    value = near[r, c]
-    order = np.lexsort((-value, r))
-    place = np.arange(len(r)) - np.searchsorted(r, r)
-    kth = np.full(len(near), -np.inf)
-    last = place == k - 1
-    kth[r[last]] = value[order][last]
-    kept = value >= kth[r] - slack
-    return r[kept], c[kept]
-
-
-def _nearest(k: int, metric: str, rule: str, sets: bool, counted: bool = True):
+def _edge(near: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """For each row a value below which a column is not among its k largest, from a part of the columns."""
+    n = near.shape[1]
+    kth = np.partition(near, n - k, axis=1)[:, n - k] if k <= n else np.full(len(near), -np.inf, near.dtype)
+    return np.maximum(np.nextafter(kth - slack, -np.inf, dtype=near.dtype), np.finfo(near.dtype).min)
+
+
+def _places_in(r: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its row; rows are sorted."""
+    return np.arange(len(r)) - np.searchsorted(r, r)
+
+
+class _Best:
+    """The k nearest columns of each row so far, measured exactly, and the rough value (``edge``) below which another one is out."""
+
+    def __init__(self, x, y, ids, k, metric, slack, edge):
+        self.x, self.y, self.ids, self.k, self.metric, self.slack, self.edge = x, y, ids, k, metric, slack, edge
+        self.held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, edge.dtype), np.empty(0)]
+        self.hits, self.waiting, self.most = [], 0, min(max(HITS[0], 4 * k * len(x)), HITS[1])
+
+    def add(self, r: np.ndarray, c: np.ndarray, rough: np.ndarray) -> None:
+        self.hits.append((r, c, rough))
+        self.waiting += len(r)
+        if self.waiting > self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        """Measures those hits again that rounding leaves open, and keeps k a row with those held."""
+        if not self.waiting:
+            return
+        r, c, rough = (np.concatenate(part) for part in zip(*self.hits))
+        self.hits, self.waiting = [], 0
+        every, values = np.concatenate([self.held[0], r]), np.concatenate([self.held[2], rough])
+        order = np.lexsort((-values, every))
+        last = order[_places_in(every[order]) == self.k - 1]
+        kth = np.full(len(self.x), -np.inf)
+        kth[every[last]] = values[last]
+        open_ = rough >= kth[r] - self.slack
+        r, c, rough = r[open_], c[open_], rough[open_]
+        value = rough if self.metric == "geodesic" else _exact(self.x, self.y, r, c, self.metric)
+        found = [np.concatenate(pair) for pair in zip(self.held, (r, c, rough, value))]
+        order = np.lexsort((self.ids[found[1]], -np.round(found[3], 12), found[0]))
+        order = order[_places_in(found[0][order]) < self.k]
+        self.held = [part[order] for part in found]
+        begins = np.flatnonzero(_places_in(self.held[0]) == 0)
+        lowest = np.minimum.reduceat(self.held[2], begins)
+        full = np.diff(begins, append=len(order)) == self.k
+        rows = self.held[0][begins[full]]
+        self.edge[rows] = np.maximum(self.edge[rows], np.nextafter(lowest[full] - self.slack, -np.inf, dtype=self.edge.dtype))
+
+    def rows(self, own: np.ndarray, n_valid: np.ndarray) -> tuple:
+        self.settle()
+        r, c, _, value = self.held
+        return own[r], self.ids[c], value if self.metric == "cosine" else -value, np.where(_places_in(r) == 0, n_valid[r], 0)
+
+
+def _nearest(k: int, metric: str, rule: str, sets: bool, counted: bool = True, both: bool = False):
+    """With ``both``, the nearest of either side are found from one matrix; sides with ids in common are a stripe with itself, whose rows are all on the left.
+
+    The matrix is made in tiles that stay in the cache. What passes the edge of its row or column is collected.
+    """
+
     def run(own, own_tags, x, ids, tags, y):
         if metric == "cosine":
             x, y = _unit(x), _unit(y)
-        rough_x, rough_y, slack, _ = _rough(x, y, metric)
-        squares = (rough_y**2).sum(axis=1) if metric == "euclidean" else None
-        place_of = {int(v): i for i, v in enumerate(ids)} if len(np.intersect1d(own, ids)) else {}
-        unique = len(place_of) == len(ids)
+        rough_x, rough_y, slack = _rough(x, y, metric)
+        common = bool(len(np.intersect1d(own, ids)))
         shared = _sharing(own_tags, tags, sets) if rule != "any" else None
-        out = []
-        for rows in _slices(len(own), len(ids)):
-            near = _order(rough_x[rows], rough_y, squares, metric)
-            if place_of and unique:
-                itself = [(i, place_of[v]) for i, v in enumerate(own[rows].tolist()) if v in place_of]
-                if itself:
-                    near[tuple(np.array(itself).T)] = -np.inf
-            elif place_of:
-                near[own[rows][:, None] == ids[None]] = -np.inf
+
+        def tile(rows, others):
+            near = _order(rough_x[rows], rough_y[others], metric)
+            if common:
+                np.copyto(near, -np.inf, where=own[rows][:, None] == ids[others][None])
             if shared:
-                same = shared(rows)
-                near[~same if rule == "same" else same] = -np.inf
-            n_valid = (near > -np.inf).sum(axis=1) if counted else np.zeros(len(near), np.int64)
-            r, c = _leading(near, k, slack)
-            value = near[r, c] if metric == "geodesic" else _exact(x[rows], y, r, c, metric)
-            order = np.lexsort((ids[c], -np.round(value, 12), r))
-            r, c, value = r[order], c[order], value[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            best = place < k
-            out.append((own[rows][r[best]], ids[c[best]], (value if metric == "cosine" else -value)[best], np.where(place == 0, n_valid[r], 0)[best]))
+                same = shared(rows, others)
+                np.copyto(near, -np.inf, where=~same if rule == "same" else same)
+            return near
+
+        part = slice(0, max(1_024, 16 * k))
+        columns, out = list(_slices(len(ids), 2_048, 1 << 19)), []
+        back = n_back = None
+        if both and not common:
+            edges = [_edge(np.ascontiguousarray(tile(part, others).T), k, slack) for others in columns]
+            back, n_back = _Best(y, x, own, k, metric, slack, np.concatenate(edges)), np.zeros(len(ids), np.int64)
+        for rows in _slices(len(own), 2_048):
+            best = _Best(x[rows], y, ids, k, metric, slack, _edge(tile(rows, part), k, slack))
+            n_valid = np.zeros(len(best.x), np.int64)
+            for others in columns:
+                near = tile(rows, others)
+                width = near.shape[1]
+                if counted:
+                    valid = near > -np.inf
+                    n_valid += valid.sum(axis=1)
+                at = np.flatnonzero(near >= best.edge[:, None])
+                best.add(at // width, at % width + others.start, near.ravel()[at])
+                if back:
+                    at = np.flatnonzero(near >= back.edge[others][None])
+                    back.add(at % width + others.start, at // width + rows.start, near.ravel()[at])
+                    if counted:
+                        n_back[others] += valid.sum(axis=0)
+            out.append(best.rows(own[rows], n_valid))
+            if back:
+                back.settle()
+        if back:
+            out.append(back.rows(ids, n_back))
         return [np.concatenate(c) for c in zip(*out)]
 
     return run
@@ -271,7 +336,7 @@ def _ranked(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: st
         scope, rule = tag, "any"
     slim, sets = _slim(rows, key, vector, tag, scope)
     blocks = checkpointed(_blocks(slim, block_rows, scope))
-    met = _meetings(blocks, blocks, _nearest(k, metric, rule, sets, counted), _FOUND, least=MOST_STRIPES if scope is None else 1)
+    met = _meetings(blocks, blocks, _nearest(k, metric, rule, sets, counted, True), _FOUND, least=MOST_STRIPES if scope is None else 1)
     return _best(met if counted else met.drop("n_valid"), k, metric, counted)
 
 
