@@ -327,17 +327,30 @@ def _best(found: DataFrame, k: int, metric: str, counted: bool) -> DataFrame:
 _FOUND = "source_id long, neighbour_id long, value double, n_valid long"
 
 
+def _by_tag(rows: DataFrame, tag: str) -> DataFrame | None:
+    """Rows once for each different value of the array ``tag``, as ``_tag``; None where these meet in more pairs than all rows do."""
+    each = rows.withColumn("_tag", F.explode(F.array_distinct(tag)))
+    pairs = each.groupBy("_tag").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    return each if pairs <= float(rows.count()) ** 2 else None
+
+
 def _ranked(rows: DataFrame, key: str, vector: str, tag: str, k: int, metric: str, rule: str, block_rows: int, scope: str | None, counted: bool) -> DataFrame:
     """Every block meets every block of its scope; ``candidate_count``, where it is ``counted``, is how many rows a source could choose from.
 
-    With the rule ``same`` and one tag a row, the rows of a tag are a scope.
+    With the rule ``same`` the rows of a tag are a scope; rows with several tags are in several, and a pair that shares more than one counts once.
     """
-    if scope is None and rule == "same" and not dict(rows.dtypes)[tag].startswith("array"):
-        scope, rule = tag, "any"
+    twice = False
+    if scope is None and rule == "same":
+        if not dict(rows.dtypes)[tag].startswith("array"):
+            scope, rule = tag, "any"
+        elif not counted and (each := _by_tag(rows, tag)) is not None:
+            rows, scope, rule, twice = each, "_tag", "any", True
     slim, sets = _slim(rows, key, vector, tag, scope)
     blocks = checkpointed(_blocks(slim, block_rows, scope))
     met = _meetings(blocks, blocks, _nearest(k, metric, rule, sets, counted, True), _FOUND, least=MOST_STRIPES if scope is None else 1)
-    return _best(met if counted else met.drop("n_valid"), k, metric, counted)
+    if twice:
+        met = met.groupBy("source_id", "neighbour_id").agg(F.min("value").alias("value"))
+    return _best(met if counted or twice else met.drop("n_valid"), k, metric, counted)
 
 
 def _cell_packs(rows: DataFrame, packs: dict[int, int]) -> DataFrame:
