@@ -80,6 +80,16 @@ def test_pairs_within_meet_in_blocks(spark):
     assert "Join" in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1] and "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_within_leave_in_order_of_cosine(spark):
+    """Equal rounded cosines stand together, so files are small; before, pairs left in the order of their ids."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], "t") for i in range(60)]
+    got = neighbors.pairs_within(spark.createDataFrame(rows, "i long, v array<double>, t string"), "i", "t", "v").collect()
+    assert len({(r.a, r.b) for r in got}) == len(got) == 60 * 59 // 2 and all(r.a < r.b for r in got)
+    assert [r.cosine for r in got] == sorted(r.cosine for r in got)
+
+
+
 def test_a_row_is_sent_as_often_however_many_rows_there_are(spark, monkeypatch):
     """Beyond one block, a row went to as many stripes as there were blocks, up to 16; and all rows met, where only those of its tag could be answers."""
     sent = []
