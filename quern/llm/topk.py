op3_mtree_top_k: a block's tree is searched once for a whole pack of queries

Symptom: op3 spent most of its CPU in Python: each query walked a block's tree by itself, with several small array calls for each page and a loop over each vector.
Evidence: own run over the large input (51,282 vectors, 513 queries, 6 threads): Python 78.5 s, task JVM 23.3 s, GC 1.4 s, 60.9 MB shuffled; one block of 4,000 against 500 queries took 4.7 s on one core.
Fix: pages are still opened best-first and cut by radii and parent distances, but once for all queries of the pack that may need them; scores of a page are one product, in doubles where these are exact. Answers below a query's limit no longer leave the search.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 436 -> 238 s, shuffle 0.11 -> 0.11 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.10 GB, longest task 11 -> 4 s, most memory of a task 67 -> 67 MB; at 6 GB of input CPU 14570 -> 2040 s, shuffle 4.32 -> 4.09 GB, spill 0.00 -> 0.00 GB, read 1.02 -> 1.02 GB, longest task 27 -> 35 s, most memory of a task 705 -> 705 MB; with hot keys, at 0.6 GB of input CPU 426 -> 250 s, shuffle 0.09 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.10 GB, longest task 10 -> 3 s, most memory of a task 67 -> 67 MB.

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import checkpointed
 
 
+#: The score of an empty place, below all scores.
+NONE = -(1 << 62)
+
+
 def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((points - centre) ** 2).sum(axis=1), 0.0))
 
@@ -65,48 +69,55 @@ class MTree:
             return np.array_split(rows, math.ceil(len(rows) / max(self.page, math.ceil(len(rows) / self.page))))
         return [rows[owner == k] for k in range(len(pivots)) if (owner == k).any()]
 
-    def search(self, query: np.ndarray, own_id: int, k: int, known: float = math.nan) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id) but for ``own_id``, of scores from ``known`` on, and how many vectors were compared.
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query but for rows of its own id, and how many vectors it was compared with.
 
-        Pages come by smallest possible distance, entries are cut by stored bounds.
+        Pages come by the smallest possible distance that any query still has to them, each once for all queries that may need it; entries are
+        cut by stored bounds. Scores are those from ``known`` on, if it is a number. Returns scores and ids of (query, place), best first; places that
+        stay empty have the score ``NONE``. Lower scores may be among them where products are too large for a double.
         """
-        q2 = float((query.astype(float) ** 2).sum())
-        lifted = np.append(query.astype(float), 0.0)
-        slack = 1e-6 * (1 + math.sqrt(self.norm2 + q2))
-        top: list[tuple[int, int]] = []  # (score, -id), worst first
-        reach = lambda score: math.sqrt(max(0.0, q2 + self.norm2 - 2 * score))
-        limit, compared = (math.inf if math.isnan(known) else reach(known)), 0
-        d_root = float(_distances(self.centre[None], lifted)[0])
-        heap = [(max(0.0, d_root - self.radius), 0, self.root, d_root)]
-        count = 0
+        points = np.column_stack([queries.astype(float), np.zeros(len(queries))])
+        q2 = (points**2).sum(axis=1)
+        # Up to 2**53 all partial sums of a product are whole numbers that a double holds.
+        exact = math.sqrt(self.norm2 * q2.max(initial=0.0)) < 2.0**53
+        slack = 1e-6 * (1 + np.sqrt(self.norm2 + q2))
+        reach = lambda score, at: np.sqrt(np.maximum(q2[at] + self.norm2 - 2 * score, 0.0)) + slack[at]
+        limit = np.where(np.isnan(known), np.inf, reach(np.nan_to_num(known), slice(None)))
+        least = np.where(np.isnan(known), NONE, np.nan_to_num(known)).astype(np.int64) if exact else np.full(len(queries), NONE)
+        scores, ids = np.full((len(queries), k), NONE), np.full((len(queries), k), np.iinfo(np.int64).max)
+        compared = np.zeros(len(queries), np.int64)
+        away = _distances(points, self.centre)
+        low = np.maximum(away - self.radius, 0.0)
+        heap, count = [(low.min(initial=np.inf), 0, self.root, np.arange(len(queries)), away, low)], 0
         while heap:
-            bound, _, number, d_page = heapq.heappop(heap)
-            if bound > limit + slack:
-                break
-            leaf, away, radii, below, points, vectors = self.pages[number]
-            gap = np.abs(d_page - away) - (0 if leaf else radii)
-            open_ = np.flatnonzero(gap <= limit + slack)
-            if not len(open_):
+            _, _, number, asked, d_page, low = heapq.heappop(heap)
+            leaf, away, radii, below, centres, vectors = self.pages[number]
+            near = np.abs(d_page[:, None] - away) - (0 if leaf else radii) <= limit[asked, None]
+            near &= (low <= limit[asked])[:, None]
+            some, entries = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(some):
+                continue
+            asked, near = asked[some], near[np.ix_(some, entries)]
+            if not leaf:
+                d = np.stack([_distances(points[asked], centres[e]) for e in entries], axis=1)
+                low = np.maximum(d - radii[entries], 0.0)
+                near &= low <= limit[asked, None]
+                for j in np.flatnonzero(near.any(axis=0)).tolist():
+                    go, count = near[:, j], count + 1
+                    heapq.heappush(heap, (low[go, j].min(), count, below[entries[j]], asked[go], d[go, j], low[go, j]))
                 continue
-            if leaf:
-                scores = vectors[open_] @ query
-                compared += len(open_)
-                for s, i in zip(scores.tolist(), below[open_].tolist()):
-                    if i != own_id:
-                        if len(top) < k:
-                            heapq.heappush(top, (s, -i))
-                        elif (s, -i) > top[0]:
-                            heapq.heapreplace(top, (s, -i))
-                if len(top) == k:
-                    limit = min(limit, reach(top[0][0]))
-            else:
-                d = _distances(points[open_], lifted)
-                low = np.maximum(d - radii[open_], 0.0)
-                for j, dj, lj in zip(open_.tolist(), d.tolist(), low.tolist()):
-                    if lj <= limit + slack:
-                        count += 1
-                        heapq.heappush(heap, (lj, count, below[j], dj))
-        return sorted(((s, -i) for s, i in top), key=lambda x: (-x[0], x[1])), compared
+            met = (points[asked, :-1] @ centres[entries, :-1].T).astype(np.int64) if exact else queries[asked] @ vectors[entries].T
+            compared[asked] += len(entries)
+            better = near & (met >= least[asked, None]) & (own_ids[asked, None] != below[entries])
+            more = np.flatnonzero(better.any(axis=1))
+            at = asked[more]
+            all_scores = np.hstack([scores[at], np.where(better[more], met[more], NONE)])
+            all_ids = np.hstack([ids[at], np.broadcast_to(below[entries], (len(at), len(entries)))])
+            first = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            scores[at], ids[at] = np.take_along_axis(all_scores, first, axis=1), np.take_along_axis(all_ids, first, axis=1)
+            at = at[scores[at, -1] > NONE]
+            least[at], limit[at] = scores[at, -1], np.minimum(limit[at], reach(scores[at, -1], at))
+        return scores, ids, compared
 
 
 def _lifted(vectors: np.ndarray, norm2: float) -> np.ndarray:
@@ -203,14 +214,14 @@ def _search(k: int, page: int, norm2: float):
                 name = row["dim"], row["cell"], row["block"]
                 if kept[0] != name:
                     kept = name, MTree(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dim"]), norm2, page)
-                out = [[], [], [], []]
-                limits = np.frombuffer(row["q_limits"], np.float64)
-                for q, v, limit in zip(queries.tolist(), np.frombuffer(row["q_vectors"], np.int64).reshape(len(queries), row["dim"]), limits.tolist()):
-                    found, n = kept[1].search(v, q, k, limit)
-                    # A row without vector carries the count of compared vectors.
-                    for score, i_, n_ in [*((s, j, 0) for s, j in found), (None, None, n)]:
-                        out[0].append(q), out[1].append(i_), out[2].append(score), out[3].append(n_)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
+                vectors = np.frombuffer(row["q_vectors"], np.int64).reshape(len(queries), row["dim"])
+                scores, found, compared = kept[1].search(vectors, queries, k, np.frombuffer(row["q_limits"], np.float64))
+                own, _ = full = np.nonzero(scores > NONE)
+                # A row without vector carries the count of compared vectors.
+                none = pa.nulls(len(queries), pa.int64())
+                answers = [queries[own], found[full], scores[full], np.zeros(len(own), np.int64)]
+                out = [pa.concat_arrays([pa.array(x), y if isinstance(y, pa.Array) else pa.array(y)]) for x, y in zip(answers, [queries, none, none, compared])]
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return run
 
