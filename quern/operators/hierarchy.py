tree_preorder: leaves stay out of the doubling rounds and all rows move three times

Symptom: tree_preorder shuffled many times what it reads: every node, leaves included, went through each round of pointer doubling, the check of keys and parents, and both window steps.
Evidence: the profiler (, tables of sf0.1): 59 MB written and 65 read by shuffles, 1849 CPU s/GB; own runs on 6 threads: 6 x sf0.1 (990,030 nodes) 181.7 MB written and read, task JVM 123.2 s, largest task memory 168 MB; 6 x with one customer holding a fifth of the orders 173.7 MB.
Fix: one aggregate by key finds clashes and the inner nodes; only these go through the rounds, with their leaf children as a count. All rows are then dealt by range, and once more by (range, parent), where a head row brings the parent's place, depth and top ancestor, so that no join is needed. Joins carry no hint; Spark broadcasts what is below its own threshold (3 MB in the profiler's run, none before).
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1464 -> 1059 s, shuffle 3.71 -> 0.94 GB, spill 0.00 -> 0.00 GB, read 0.71 -> 0.23 GB, longest task 9 -> 12 s, most memory of a task 268 -> 204 MB; at 6 GB of input CPU 5356 -> 2353 s, shuffle 24.56 -> 6.48 GB, spill 0.00 -> 0.00 GB, read 4.44 -> 1.37 GB, longest task 26 -> 15 s, most memory of a task 872 -> 470 MB; with hot keys, at 1 GB of input CPU 1094 -> 873 s, shuffle 3.53 -> 0.90 GB, spill 0.00 -> 0.00 GB, read 0.80 -> 0.22 GB, longest task 7 -> 8 s, most memory of a task 285 -> 204 MB.

@@ -69,10 +69,12 @@ def _climb(state: DataFrame) -> DataFrame:
 def walk_nodes(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame:
     """Depth, place and size of every node of a table of nodes with their parents, whatever the depth or width of the trees.
 
-    Siblings, and the roots, stand in the order of ``order``, then ``key``. Pointer doubling gives subtree sizes, then
-    sums along the way to the root: a node's place in pre-order is the sum of one, and the sizes of earlier siblings, over it and its ancestors.
-    Each round is a few equi-joins and an aggregate; rounds grow with the logarithm of the depth. Earlier siblings are summed within ranges of
-    (parent, order) with a summary for each, so no task holds all children of a node.
+    Siblings, and the roots, stand in the order of ``order``, then ``key``. Pointer doubling over the inner nodes, those that are some
+    node's parent, gives subtree sizes, then sums along the way to the root: a node's place in pre-order is the sum of one, and the sizes of
+    earlier siblings, over it and its ancestors. Each round is a few equi-joins and an aggregate; rounds grow with the logarithm of the depth.
+    Leaves, mostly the bulk of a tree, take no part in the rounds: they count in their parent's size and take depth and place from it at the end.
+    Siblings are numbered within ranges of (parent, order) with a summary for each, so no task holds all children of a node. All rows move three times: by
+    key, by range and by (range, parent).
 
     A parent that is null or no node makes a root; rows without key take no part and repeated rows count once; a key with two parents or
     orders and a cycle are a ValueError; an empty table gives an empty result.
@@ -80,27 +82,56 @@ def walk_nodes(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame
     Returns ``id, parent_id, depth`` (0 for a root), ``top_id`` (the ancestor of depth 1 or the node itself; null for a root),
     ``path`` (place in pre-order from 0), ``subtree_size`` (itself included) and ``is_leaf``.
     """
-    rows = nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(parent).alias("named"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("place")).distinct()
-    known = rows.select(F.col("id").alias("_k")).distinct()
-    rows = checkpointed(rows.join(known, F.col("named") == F.col("_k"), "left").select("id", F.col("_k").alias("up"), "place"))
-    n, n_ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
-    if n > n_ids:
+    named = F.col(parent)
+    if nodes.schema[key].dataType != nodes.schema[parent].dataType:  # the key's type, unless that would be another value
+        cast = named.try_cast(nodes.schema[key].dataType)
+        named = F.when(cast == named, cast)
+    rows = nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), named.alias("named"), F.col(order).alias("o"))
+    facts = F.struct("named", "o")
+    one = rows.groupBy("id").agg(F.min(facts).alias("low"), F.max(facts).alias("high"))
+    parents = rows.where("named IS NOT NULL").select(F.col("named").alias("_p")).distinct()
+    met = one.join(parents, F.col("id") == F.col("_p"), "full")
+    rows = checkpointed(met.select("id", "low.named", "low.o", "_p", (F.col("low") != F.col("high")).alias("twice")))
+    n_inner, n_unknown, twice = rows.agg(F.count_if(F.col("id").isNotNull() & F.col("_p").isNotNull()), F.count_if(F.col("id").isNull()), F.coalesce(F.bool_or("twice"), F.lit(False))).first()
+    if twice:
         raise ValueError("a node has two parents or orders")
-    sizes = _doubled(rows.select("id", "up", F.lit(1).cast("long").alias("size")), n, _grow)
-    sized = rows.join(sizes.select(F.col("id").alias("_s"), "size"), F.col("id") == F.col("_s")).drop("_s")
-
-    dealt = in_ranges(sized, "up", "place")
-    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    borders = dealt.groupBy(F.col("_range").alias("_r"), F.col("up").alias("_p")).agg(F.sum("size").alias("size"))
-    borders = borders.withColumn("_before", earlier(Window.partitionBy("_p").orderBy("_r"))).drop("size")
-    local = dealt.withColumn("_local", earlier(Window.partitionBy("_range", "up").orderBy("place")))
-    met = local.join(borders, (F.col("_range") == F.col("_r")) & F.col("up").eqNullSafe(F.col("_p")))
-    below = F.col("up").isNotNull().cast("long")
-    facts = checkpointed(met.select("id", "up", "size", (F.col("_local") + F.col("_before") + below).alias("weight")))
-    walked = _doubled(facts.select("id", "up", "weight", F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("depth"), F.col("id").alias("top")), n, _climb)
-    joined = facts.select(F.col("id").alias("_f"), F.col("up").alias("parent_id"), F.col("size").alias("subtree_size")).join(walked, F.col("_f") == F.col("id"))
-    top = F.when(F.col("depth") > 0, F.col("top")).alias("top_id")
-    return joined.select("id", "parent_id", "depth", top, F.col("weight").alias("path"), "subtree_size", (F.col("subtree_size") == 1).alias("is_leaf"))
+    up = F.col("named")
+    unknown = rows.where("id IS NULL").select(F.col("_p").alias("_u"))
+    rows = rows.where("id IS NOT NULL")
+    if n_unknown:
+        rows, up = rows.join(unknown, F.col("named") == F.col("_u"), "left"), F.when(F.col("_u").isNull(), F.col("named"))
+    rows = rows.select(up.alias("up"), F.struct("o", F.col("id").alias("k")).alias("place"), F.col("_p").isNotNull().alias("inner"))
+    dealt = in_ranges(rows, "up", "place")
+
+    # A range is one partition, so that numbers follow (parent, order) in it; the project with the number keeps the sort from being dropped.
+    numbered = dealt.sortWithinPartitions("up", "place").withColumn("_at", F.monotonically_increasing_id())
+    families = checkpointed(numbered.groupBy("_range", "up").agg(F.count("*").alias("n"), F.count_if(~F.col("inner")).alias("leaves"), F.min("_at").alias("_first")))
+    leaves = families.groupBy(F.col("up").alias("_k")).agg(F.sum("leaves").alias("leaves"))
+    inner = numbered.where("inner").select(F.col("place.k").alias("id"), "up", "place", "_range", "_at")
+    inner = checkpointed(inner.join(leaves, F.col("id") == F.col("_k")).select(*inner.columns, (F.col("leaves") + 1).alias("size")))
+    sizes = _doubled(inner.select("id", "up", "size"), n_inner, _grow)
+    sized = checkpointed(inner.drop("size").join(sizes.select(F.col("id").alias("_s"), "size"), F.col("id") == F.col("_s")).drop("_s"))
+
+    earlier = lambda size, w: F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = sized.select("_range", "up", (F.col("size") - 1).alias("n"), F.lit(None).cast("long").alias("_first"))
+    borders = families.select("_range", "up", "n", "_first").unionByName(more).groupBy(F.col("_range").alias("_r"), F.col("up").alias("_u")).agg(F.sum("n").alias("n"), F.min("_first").alias("_first"))
+    borders = checkpointed(borders.select("_r", "_u", "_first", earlier("n", Window.partitionBy("_u").orderBy("_r")).alias("_before")))
+    beside = sized.withColumn("_beside", earlier(F.col("size") - 1, Window.partitionBy("_range", "up").orderBy("_at")))
+    beside = beside.join(borders, (F.col("_range") == F.col("_r")) & F.col("up").eqNullSafe(F.col("_u")))
+    weight = F.col("_before") + F.col("_at") - F.col("_first") + F.col("_beside") + F.col("up").isNotNull().cast("long")
+    state = checkpointed(beside.select("id", "up", weight.alias("weight"), F.col("up").isNotNull().cast("int").alias("depth"), F.col("id").alias("top")))
+    walked = _doubled(state, n_inner, _climb).select(F.col("id").alias("_i"), "weight", "depth", "top")
+
+    # A head stands before the rows of each (range, parent): the place, depth and top ancestor that they take from their parent.
+    heads = borders.join(walked, F.col("_u") == F.col("_i"), "left")
+    first = F.col("_before") + F.coalesce(F.col("weight") + 1, F.lit(0))
+    heads = heads.select(F.col("_r").alias("_range"), F.col("_u").alias("up"), first.alias("size"), F.coalesce(F.col("depth") + 1, F.lit(0)).alias("depth"), F.when(F.col("depth") > 0, F.col("top")).alias("top"))
+    rows = dealt.where("NOT inner").select("_range", "up", "place", F.lit(1).cast("long").alias("size")).unionByName(sized.select("_range", "up", "place", "size"))
+    w = Window.partitionBy("_range", "up").orderBy("place")
+    joined = rows.unionByName(heads, allowMissingColumns=True)
+    joined = joined.withColumns({"path": earlier("size", w), "depth": F.first("depth").over(w), "top": F.first("top").over(w)}).where("place IS NOT NULL")
+    top = F.when(F.col("depth") == 1, F.col("place.k")).when(F.col("depth") > 1, F.col("top")).alias("top_id")
+    return joined.select(F.col("place.k").alias("id"), F.col("up").alias("parent_id"), "depth", top, "path", F.col("size").alias("subtree_size"), (F.col("size") == 1).alias("is_leaf"))
 
 
 def class_nodes(nodes: DataFrame, key: str, parent: str, order: str, label: str, text: str) -> DataFrame:
